@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import secrets
+from weftgraph.llm import language, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_secret_scan,)}
+    return {f.__name__: f for f in (op3_secret_scan, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
