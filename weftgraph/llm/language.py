@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.llm.textcols import as_strings, mix
 
@@ -194,7 +195,7 @@ def identify(df: DataFrame, filters: Filters, text_col: str = "text", lang_as: s
                 [*batch.schema.names, lang_as, score_as],
             )
 
-    schema = df.schema.add(lang_as, "string").add(score_as, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
     return df.mapInArrow(run, schema)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import language, secrets
+from weftgraph.llm import language, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +19,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
 
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_secret_scan, op8_language_id)}
+    return {f.__name__: f for f in (op3_secret_scan, op4_warc_bundles, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
