@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import language, secrets, warc
+from weftgraph.llm import digest, language, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_exact_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.report(documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
@@ -28,7 +32,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_secret_scan, op4_warc_bundles, op8_language_id)}
+    return {f.__name__: f for f in (op2_exact_fingerprint, op3_secret_scan, op4_warc_bundles, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
