@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import digest, language, secrets, warc
+from weftgraph.llm import digest, language, mixing, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,13 +27,17 @@ def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_fingerprint, op3_secret_scan, op4_warc_bundles, op8_language_id)}
+    return {f.__name__: f for f in (op2_exact_fingerprint, op3_secret_scan, op4_warc_bundles, op7_source_mix, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_source_mix": mixing.SQL}
