@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontaminate, digest, language, mixing, secrets, warc
+from weftgraph.llm import decontaminate, digest, language, mixing, secrets, warc, webtext
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,8 +39,16 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_fingerprint, op3_secret_scan, op4_warc_bundles, op7_source_mix, op8_language_id, op9_benchmark_decontamination)}
+    found = (
+        op2_exact_fingerprint, op3_secret_scan, op4_warc_bundles, op7_source_mix, op8_language_id,
+        op9_benchmark_decontamination, op10_html_main_text,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
