@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontaminate, digest, language, mixing, secrets, warc, webtext
+from weftgraph.llm import decontaminate, digest, language, mixing, secrets, simhash, warc, webtext
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(documents(spark, sf_dir))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -45,7 +49,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        op2_exact_fingerprint, op3_secret_scan, op4_warc_bundles, op7_source_mix, op8_language_id,
+        op2_exact_fingerprint, op3_secret_scan, op4_warc_bundles, op6_simhash_near_dedup, op7_source_mix, op8_language_id,
         op9_benchmark_decontamination, op10_html_main_text,
     )
     return {f.__name__: f for f in found}
