@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontaminate, digest, language, mixing, secrets, simhash, warc, webtext
+from weftgraph.llm import decontaminate, digest, language, lmscore, mixing, secrets, simhash, warc, webtext
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.report(documents(spark, sf_dir))
+
+
 def op2_exact_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.report(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        op2_exact_fingerprint, op3_secret_scan, op4_warc_bundles, op6_simhash_near_dedup, op7_source_mix, op8_language_id,
+        op1_lm_score, op2_exact_fingerprint, op3_secret_scan, op4_warc_bundles, op6_simhash_near_dedup, op7_source_mix, op8_language_id,
         op9_benchmark_decontamination, op10_html_main_text,
     )
     return {f.__name__: f for f in found}
