@@ -1,21 +1,58 @@
-"""A training-data pipeline over ``documents``; each stage works on all that the one before kept."""
+"""A training-data pipeline over ``documents``; each stage works on all that the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``; the last one adds
+what the mix takes of each document. Empty tables and null texts pass through every stage as
+its operator defines.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph import scratch
+from weftgraph.llm import decontaminate, language, mixing, secrets, simhash
+
+#: A document of at least so many characters is rejected if its best language holds a smaller share of its n-grams.
+LEAST_LANGUAGE_SHARE, LEAST_JUDGED_CHARS = 0.15, 200
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of no language: without a letter, or long and with hardly an n-gram of any; corrects ``lang``."""
+    filters = language.train(docs.where(F.col("text").isNotNull()))
+    found = language.identify(docs, filters, lang_as="_lang", score_as="_score")
+    foreign = (F.length("text") >= LEAST_JUDGED_CHARS) & (F.col("_score") < LEAST_LANGUAGE_SHARE)
+    kept = found.where((F.col("_lang") != language.UNDECIDED) & ~foreign)
+    return kept.withColumn("lang", F.col("_lang")).select(docs.columns)
+
 
-from weftgraph.llm import secrets
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest identifier stays."""
+    return simhash.keep_first(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item or most of one."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets are masked and ``n_chars`` follows the new text."""
-    from pyspark.sql import functions as F
-
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its source's target and the words that the mix takes of it."""
+    sized = scratch.written(mixing.with_sizes(docs.select("doc_id", "lang", "source", "n_chars", "text")), "sizes")
+    return mixing.mix(sized, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", decontaminate_benchmark),
     ("secret scans", redact_secrets),
+    ("source mixing", mix_sources),
 ]
 
 #: Most stages are beyond SQL (trained filters, fingerprints); tests hold them against brute force.
@@ -23,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each written as Parquet and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.written(docs, name.replace(" ", "-").lower())
     return docs
