@@ -45,7 +45,7 @@ def test_filter_returns_levels():
     keys = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
     counts = rng.geometric(0.5, 20_000)
     bits = L.build_filter(keys & np.uint64((1 << 48) - 1), L.level(counts))
-    m = L.Model(0, 0, keys[:0], counts[:0], bits, np.array([0]), np.array([8 * len(bits)], np.uint64))
+    m = L.Model(0, 0, keys[:0], counts[:0], bits, np.array([0]), np.array([len(bits)], np.uint64))
     assert (m.probed(keys) >= L.quantised(counts)).all()
     assert (m.probed(keys) == L.quantised(counts)).mean() > 0.98
     assert (m.probed(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)) > 0).mean() < 0.01

@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 from weftgraph import scratch
 from weftgraph.llm.textcols import as_strings, lower_ascii, mix, row_chunks, token_hashes, tokens
 
-#: Ratio of neighbouring levels of large counts; filter bits for each entry and probes for each test.
-BASE, BITS, PROBES = 1.25, 14, 7
+#: Ratio of neighbouring levels of large counts; filter bits for each entry, and bits that an entry sets.
+BASE, BITS, PROBES = 1.25, 16, 5
 #: Weight of single words against pairs: factor and power of the context's count.
 KAPPA = (4.0, 0.8)
 #: Most bytes of filter and word counts that are broadcast.
 BROADCAST_BYTES = 320 << 20
 #: Text bytes for a shard, and tokens that a task counts at once, about.
-SHARD_BYTES, TASK_TOKENS = 16 << 20, 5_000_000
+SHARD_BYTES, TASK_TOKENS = 16 << 20, 3_000_000
 
 #: The hash of the end token, which is also the context of a text's first word.
 END = np.uint64(0x5E1F_E0D0_0F7E_4751)
@@ -109,22 +109,26 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[starts], np.add.reduceat(n, starts) if len(k) else n
 
 
-def filter_slots(keys: np.ndarray, q: int, probe: int) -> np.ndarray:
-    """A 32-bit place, to be scaled to a shard's bits, of (key, level q) for one of the probes."""
-    salt = (q * 0x9E3779B97F4A7C15 + probe * 0xC2B2AE3D27D4EB4F) % (1 << 64)
-    return mix(keys ^ np.uint64(salt)) >> np.uint64(32)
+def filter_words(keys: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of (key, level q): a 32-bit place, to be scaled to a shard's words, and the bits of that 64-bit word.
+
+    All bits of an entry are in one word, so a probe is one read of memory.
+    """
+    h = mix(keys ^ np.uint64(q * 0x9E3779B97F4A7C15 % (1 << 64)))
+    bits = np.zeros(len(h), np.uint64)
+    for i in range(PROBES):
+        bits |= np.uint64(1) << ((h >> np.uint64(6 * i)) & np.uint64(63))
+    return h >> np.uint64(32), bits
 
 
 def build_filter(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Bloom filter bytes holding every key at each level up to its own."""
-    entries = int(levels.sum())
-    bits = max(64, -(-entries * BITS // 64) * 64)
-    out = np.zeros(bits, dtype=bool)
+    """Bloom filter words holding every key at each level up to its own."""
+    size = max(1, -(-int(levels.sum()) * BITS // 64))
+    out = np.zeros(size, dtype=np.uint64)
     for q in range(1, int(levels.max(initial=0)) + 1):
-        now = keys[levels >= q]
-        for probe in range(PROBES):
-            out[(filter_slots(now, q, probe) * np.uint64(bits) >> np.uint64(32)).astype(np.int64)] = True
-    return np.packbits(out, bitorder="little")
+        place, bits = filter_words(keys[levels >= q], q)
+        np.bitwise_or.at(out, (place * np.uint64(size) >> np.uint64(32)).astype(np.int64), bits)
+    return out
 
 
 @dataclass
@@ -153,9 +157,10 @@ class Model:
         out = np.zeros(len(h), np.int64)
         active = np.arange(len(h))
         for q in range(1, len(LEVELS)):
-            for probe in range(PROBES):
-                place = start[active] + (filter_slots(keys[active], q, probe) * size[active] >> np.uint64(32)).astype(np.int64)
-                active = active[(self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+            place, bits = filter_words(keys, q)
+            at = start + (place * size >> np.uint64(32)).astype(np.int64)
+            held = self.bits[at] & bits == bits
+            keys, start, size, active = keys[held], start[held], size[held], active[held]
             if not len(active):
                 break
             out[active] = q
@@ -213,7 +218,7 @@ def count(train: DataFrame, n_shards: int, text_col: str = "text") -> DataFrame:
             shard, (w, wn, p, pn) = found.popitem()
             words, wn = _summed(w, wn)
             pairs, pn = _summed(p, pn)
-            data = [words.tobytes(), wn.tobytes(), _pack48(pairs), pn.tobytes()]
+            data = [words.tobytes(), wn.tobytes(), _pack48(pairs), pn.tobytes()]  # counts of 64 bits compress well
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([d], pa.binary()) for d in data)], ["shard", "words", "word_counts", "pairs", "pair_counts"])
 
     schema = "shard int, words binary, word_counts binary, pairs binary, pair_counts binary"
@@ -231,12 +236,12 @@ def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _model(spark, filters: DataFrame, n_shards: int, n_tokens: int, n_words: int) -> Model:
     """Gathers the shards on the driver; their size has been checked."""
-    words, counts, bits = ([np.zeros(0, d)] * n_shards for d in (np.uint64, np.uint32, np.uint8))
+    words, counts, bits = ([np.zeros(0, d)] * n_shards for d in (np.uint64, np.uint32, np.uint64))
     for r in filters.toLocalIterator():
-        words[r.shard], bits[r.shard] = np.frombuffer(r.words, np.uint64), np.frombuffer(r.bits, np.uint8)
+        words[r.shard], bits[r.shard] = np.frombuffer(r.words, np.uint64), np.frombuffer(r.bits, np.uint64)
         counts[r.shard] = np.frombuffer(r.word_counts, np.uint32 if len(r.word_counts) == len(r.words) // 2 else np.int64)
-    bits = [b if len(b) else np.zeros(8, np.uint8) for b in bits]
-    sizes = np.array([8 * len(b) for b in bits], dtype=np.uint64)
+    bits = [b if len(b) else np.zeros(1, np.uint64) for b in bits]
+    sizes = np.array([len(b) for b in bits], dtype=np.uint64)
     starts = (np.cumsum(sizes) - sizes).astype(np.int64)
     # Shards are ranges of the hash, so the words stay sorted.
     return Model(n_tokens, n_words, np.concatenate(words), np.concatenate(counts), np.concatenate(bits), starts, sizes)
@@ -250,7 +255,7 @@ def score(df: DataFrame, train: DataFrame, text_col: str = "text", broadcast_byt
     spark = df.sparkSession
     size = train.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("bigint")), F.lit(0))).first()[0]
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    counted = scratch.written(count(train, n_shards, text_col), "ngrams", "none")
+    counted = scratch.written(count(train, n_shards, text_col), "ngrams", "zstd")
     facts = counted.mapInArrow(_facts, "tokens bigint, words bigint, entries bigint").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words", "entries"))).first()
     keep = [c for c in df.columns if c != text_col]
     if facts.entries * BITS // 8 + facts.words * 12 > broadcast_bytes:
@@ -269,7 +274,8 @@ def score(df: DataFrame, train: DataFrame, text_col: str = "text", broadcast_byt
                 end = np.searchsorted(unique, END)
                 context = np.concatenate([[0], word[:-1]])
                 context[first] = model.probed(unique[end : end + 1])[0]
-                base, own = terms(model.n_tokens, model.n_words, exact, word, context, model.probed(pair_hashes(contexts(h, counts), h)))
+                pairs, pair_at = np.unique(pair_hashes(contexts(h, counts), h), return_inverse=True)
+                base, own = terms(model.n_tokens, model.n_words, exact, word, context, model.probed(pairs)[pair_at])
                 for column, value in zip(found, (counts, np.add.reduceat(exact > 0, first, dtype=np.int64), np.add.reduceat(base, first), np.add.reduceat(own, first)), strict=True):
                     column.append(value)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())

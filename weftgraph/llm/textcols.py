@@ -13,7 +13,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text handled at once; larger batches are cut between rows.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
