@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontaminate, digest, language, lmscore, mixing, secrets, simhash, warc, webtext
+from weftgraph.llm import decontaminate, digest, language, lmscore, mixing, secrets, simhash, suffixes, warc, webtext
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(documents(spark, sf_dir))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
@@ -53,7 +57,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        op1_lm_score, op2_exact_fingerprint, op3_secret_scan, op4_warc_bundles, op6_simhash_near_dedup, op7_source_mix, op8_language_id,
+        op1_lm_score, op2_exact_fingerprint, op3_secret_scan, op4_warc_bundles, op5_suffix_array_dedup, op6_simhash_near_dedup, op7_source_mix, op8_language_id,
         op9_benchmark_decontamination, op10_html_main_text,
     )
     return {f.__name__: f for f in found}
