@@ -43,8 +43,8 @@ BASE, BITS, PROBES = 1.25, 16, 5
 KAPPA = (4.0, 0.8)
 #: Most bytes of filter and word counts that are broadcast.
 BROADCAST_BYTES = 320 << 20
-#: Text bytes for a shard, and tokens that a task counts at once, about.
-SHARD_BYTES, TASK_TOKENS = 16 << 20, 3_000_000
+#: Text bytes for a merging task, its shards, and tokens that a counting task holds, about. Rows stay at a few megabytes.
+TASK_BYTES, SHARDS_A_TASK, TASK_TOKENS = 16 << 20, 6, 2_000_000
 
 #: The hash of the end token, which is also the context of a text's first word.
 END = np.uint64(0x5E1F_E0D0_0F7E_4751)
@@ -176,7 +176,7 @@ def terms(n_tokens: int, n_words: int, exact: np.ndarray, word: np.ndarray, cont
     return base, np.log10((pair + k * single) / (context + k))
 
 
-def count(train: DataFrame, n_shards: int, text_col: str = "text") -> DataFrame:
+def count(train: DataFrame, n_shards: int, n_tasks: int, text_col: str = "text") -> DataFrame:
     """(shard, words, word_counts, pairs, pair_counts): merged counts, one row for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +189,8 @@ def count(train: DataFrame, n_shards: int, text_col: str = "text") -> DataFrame:
                 cuts = np.searchsorted(shard_of(keys, n_shards), np.arange(n_shards + 1))  # keys are in order of shard
                 low = keys if wide else keys & _LOW48
                 columns.append([(keys[a:b].tobytes() if wide else _pack48(low[a:b]), n[a:b].astype("<u4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            for i in range(0, n_shards, 16):
-                part = range(i, min(n_shards, i + 16))
+            for i in range(0, n_shards, 32):
+                part = range(i, min(n_shards, i + 32))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part, pa.int32()), *(pa.array([column[s][k] for s in part], pa.binary()) for column in columns for k in (0, 1))],
                     ["shard", "words", "word_counts", "pairs", "pair_counts"],
@@ -222,7 +222,7 @@ def count(train: DataFrame, n_shards: int, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([d], pa.binary()) for d in data)], ["shard", "words", "word_counts", "pairs", "pair_counts"])
 
     schema = "shard int, words binary, word_counts binary, pairs binary, pair_counts binary"
-    return train.select(F.col(text_col).alias("text")).mapInArrow(run, schema).repartition(n_shards, "shard").mapInArrow(merged, schema)
+    return train.select(F.col(text_col).alias("text")).mapInArrow(run, schema).repartition(n_tasks, "shard").mapInArrow(merged, schema)
 
 
 def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +254,9 @@ def score(df: DataFrame, train: DataFrame, text_col: str = "text", broadcast_byt
     """The rows of ``df``, its text replaced by n_tokens, n_known, base_score, score and train_tokens."""
     spark = df.sparkSession
     size = train.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("bigint")), F.lit(0))).first()[0]
-    n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    counted = scratch.written(count(train, n_shards, text_col), "ngrams", "zstd")
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    n_shards = SHARDS_A_TASK * n_tasks
+    counted = scratch.written(count(train, n_shards, n_tasks, text_col), "ngrams", "zstd")
     facts = counted.mapInArrow(_facts, "tokens bigint, words bigint, entries bigint").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words", "entries"))).first()
     keep = [c for c in df.columns if c != text_col]
     if facts.entries * BITS // 8 + facts.words * 12 > broadcast_bytes:
