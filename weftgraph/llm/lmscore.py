@@ -38,7 +38,7 @@ from weftgraph import scratch
 from weftgraph.llm.textcols import as_strings, lower_ascii, mix, row_chunks, token_hashes, tokens
 
 #: Ratio of neighbouring levels of large counts; filter bits for each entry, and bits that an entry sets.
-BASE, BITS, PROBES = 1.25, 16, 5
+BASE, BITS, PROBES = 1.25, 14, 4
 #: Weight of single words against pairs: factor and power of the context's count.
 KAPPA = (4.0, 0.8)
 #: Most bytes of filter and word counts that are broadcast.
@@ -143,6 +143,10 @@ class Model:
     starts: np.ndarray
     sizes: np.ndarray
 
+    def clear(self) -> None:
+        """Lets go of the large arrays."""
+        self.words = self.word_counts = self.bits = None
+
     def exact(self, h: np.ndarray) -> np.ndarray:
         """Counts of words, from the sorted table."""
         if not len(self.words):
@@ -234,17 +238,19 @@ def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (w, pa.binary()), (counts.tobytes(), pa.binary()), (bits.tobytes(), pa.binary()))], ["shard", "words", "word_counts", "bits"])
 
 
-def _model(spark, filters: DataFrame, n_shards: int, n_tokens: int, n_words: int) -> Model:
-    """Gathers the shards on the driver; their size has been checked."""
-    words, counts, bits = ([np.zeros(0, d)] * n_shards for d in (np.uint64, np.uint32, np.uint64))
+def _model(filters: DataFrame, n_shards: int, n_tokens: int, n_words: int) -> Model:
+    """Gathers the shards on the driver, whose size has been checked, each straight to its place."""
+    sizes = np.ones((n_shards, 2), np.int64) * (0, 1)
+    for r in filters.select("shard", F.octet_length("words").alias("w"), F.octet_length("bits").alias("b")).collect():
+        sizes[r.shard] = r.w // 8, r.b // 8
+    ends = np.cumsum(sizes, axis=0)
+    words, counts, bits = (np.zeros(int(ends[-1, i]), d) for i, d in ((0, np.uint64), (0, np.int64 if n_tokens >= 1 << 32 else np.uint32), (1, np.uint64)))
     for r in filters.toLocalIterator():
-        words[r.shard], bits[r.shard] = np.frombuffer(r.words, np.uint64), np.frombuffer(r.bits, np.uint64)
-        counts[r.shard] = np.frombuffer(r.word_counts, np.uint32 if len(r.word_counts) == len(r.words) // 2 else np.int64)
-    bits = [b if len(b) else np.zeros(1, np.uint64) for b in bits]
-    sizes = np.array([len(b) for b in bits], dtype=np.uint64)
-    starts = (np.cumsum(sizes) - sizes).astype(np.int64)
+        a, b = ends[r.shard] - sizes[r.shard], ends[r.shard]
+        words[a[0] : b[0]], bits[a[1] : b[1]] = np.frombuffer(r.words, np.uint64), np.frombuffer(r.bits, np.uint64)
+        counts[a[0] : b[0]] = np.frombuffer(r.word_counts, np.uint32 if len(r.word_counts) == len(r.words) // 2 else np.int64)
     # Shards are ranges of the hash, so the words stay sorted.
-    return Model(n_tokens, n_words, np.concatenate(words), np.concatenate(counts), np.concatenate(bits), starts, sizes)
+    return Model(n_tokens, n_words, words, counts, bits, (ends - sizes)[:, 1].copy(), sizes[:, 1].astype(np.uint64))
 
 
 _OUT = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
@@ -262,7 +268,9 @@ def score(df: DataFrame, train: DataFrame, text_col: str = "text", broadcast_byt
     if facts.entries * BITS // 8 + facts.words * 12 > broadcast_bytes:
         return _scored_by_joins(df, counted, facts.tokens, facts.words, n_shards, text_col).withColumn("train_tokens", F.lit(facts.tokens).cast("bigint"))
     filters = scratch.written(counted.mapInArrow(_filters, "shard int, words binary, word_counts binary, bits binary"), "filter", "none")
-    shipped = spark.sparkContext.broadcast(_model(spark, filters, n_shards, facts.tokens, facts.words))
+    model = _model(filters, n_shards, facts.tokens, facts.words)
+    shipped = spark.sparkContext.broadcast(model)
+    model.clear()  # the driver has written its copy out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
