@@ -46,6 +46,9 @@ BROADCAST_BYTES = 320 << 20
 #: Text bytes for a merging task, its shards, and tokens that a counting task holds, about. Rows stay at a few megabytes.
 TASK_BYTES, SHARDS_A_TASK, TASK_TOKENS = 16 << 20, 6, 2_000_000
 
+#: Bytes of text that are scored or counted at once.
+SLICE_BYTES = 1 << 20
+
 #: The hash of the end token, which is also the context of a text's first word.
 END = np.uint64(0x5E1F_E0D0_0F7E_4751)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -66,7 +69,7 @@ def quantised(counts: np.ndarray) -> np.ndarray:
 
 def text_words(strings: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes with an end token after each text, tokens per text) of slices."""
-    for row, raw, offsets in row_chunks(strings):
+    for row, raw, offsets in row_chunks(strings, SLICE_BYTES):
         raw = lower_ascii(raw)
         starts, ends, counts = tokens(raw, offsets)
         h = token_hashes(raw, starts, ends)
@@ -253,6 +256,7 @@ def _model(filters: DataFrame, n_shards: int, n_tokens: int, n_words: int) -> Mo
     return Model(n_tokens, n_words, words, counts, bits, (ends - sizes)[:, 1].copy(), sizes[:, 1].astype(np.uint64))
 
 
+_earlier: list = []
 _OUT = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
 
 
@@ -271,6 +275,9 @@ def score(df: DataFrame, train: DataFrame, text_col: str = "text", broadcast_byt
     model = _model(filters, n_shards, facts.tokens, facts.words)
     shipped = spark.sparkContext.broadcast(model)
     model.clear()  # the driver has written its copy out
+    while _earlier:  # executors drop the last model; one that is still asked for is fetched again
+        _earlier.pop().unpersist()
+    _earlier.append(shipped)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
