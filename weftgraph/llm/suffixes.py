@@ -238,9 +238,10 @@ def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = scratch.written(docs.mapInArrow(places, _FOUND), "contexts", "zstd")
     times = found.where(F.col("kind") == _CONTEXT).groupBy("c1", "c2").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("times"), F.max("gram").alias("gram"))
     times = scratch.written(times, "times")
-    groups = times.groupBy("gram").agg(F.count("*").alias("n"), F.max("times").alias("most"))
+    # Written first: then only exchanges stand under the join, and Spark splits the contexts of a hot anchor.
+    groups = scratch.written(times.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "groups")
     texts = found.where((F.col("kind") == _CONTEXT) & F.col("bytes").isNotNull()).select("gram", "c1", "c2", "anchor", "bytes")
-    spread = texts.join(groups.where("n > 1").withColumnRenamed("n", "group_size").select("gram", "group_size"), "gram")
+    spread = texts.join(groups.withColumnRenamed("n", "group_size"), "gram")
     cold, hot = spread.where(F.col("group_size") <= HOT), spread.where(F.col("group_size") > HOT)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("bytes").cast("bigint")), F.lit(0))).first()[0]
     n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
