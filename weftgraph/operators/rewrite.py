@@ -106,7 +106,7 @@ def edited(nodes: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     from weftgraph.functions.jsontext import set_paths
 
     now = edits.join(nodes.select("id", "props"), "id", "left")
-    state = F.when(F.col("props").isNull(), "failed").when(F.get_json_object("props", F.concat(F.lit("$."), F.col("field"))).eqNullSafe(F.col("value")), "skipped").otherwise("applied")
+    state = F.when(F.col("props").isNull(), "failed").when(F.expr("get_json_object(props, concat('$.', field)) <=> value"), "skipped").otherwise("applied")
     counts = now.withColumn("state", state).groupBy("state").agg(F.count("*").alias("n"))
     wanted = edits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_set"))
     return nodes.join(wanted, "id", "left").withColumn("props", F.when(F.col("_set").isNull(), F.col("props")).otherwise(set_paths("props", "_set"))).drop("_set"), counts
