@@ -44,7 +44,7 @@ from weftgraph import scratch
 from weftgraph.llm import bloom
 from weftgraph.llm.textcols import _powers_to, as_strings, buffers, mix, row_chunks
 
-LENGTH, GRAM, SYMBOL = 400, 40, 80
+LENGTH, GRAM, SYMBOL = 400, 40, 200
 #: Bytes of contexts that one task indexes, about, and contexts of one anchor that stay together.
 TASK_BYTES, HOT = 3 << 20, 2000
 _NO_ID = -(1 << 63)
@@ -109,7 +109,6 @@ def repeated_starts(texts: list[bytes], anchors: np.ndarray, symbol: int = SYMBO
     for i in range(0, max(1, len(whole) - symbol + 1), step):
         part = rolling(whole[i : i + step + symbol - 1], symbol)
         codes[i : i + len(part)] = part
-    codes = np.unique(codes, return_inverse=True)[1].astype(np.int32)
     # Documents: a context cut into symbols at one of the phases counted from its anchor.
     first = (np.asarray(anchors)[:, None] - np.arange(symbol)[None, :]) % symbol
     counts = np.maximum(0, (sizes[:, None] - first) // symbol)
@@ -125,16 +124,17 @@ def repeated_starts(texts: list[bytes], anchors: np.ndarray, symbol: int = SYMBO
     doc, size = np.arange(len(base), dtype=np.int32), np.zeros(len(base), np.int8)
     prefix = np.zeros(len(base), np.int8)
 
-    def before(doc: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The symbol before each suffix; -1 where the suffix is the whole document."""
+    def before(doc: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes that have a symbol before them, and these symbols; any order of symbols will do, so hashes serve."""
         left = n_symbols[doc] - size
-        return np.where(left > 0, codes[base[doc] + np.maximum(left - 1, 0) * symbol], -1)
+        has = np.flatnonzero(left > 0)
+        return has, codes[base[doc[has]] + (left[has] - 1) * symbol]
 
-    bwt = before(doc, size)
+    has, bwt = before(doc, size)
     for _ in range(rounds):
-        order = np.argsort(bwt, kind="stable")
-        order = order[np.searchsorted(bwt[order], 0) :]
-        same = np.concatenate([[False], bwt[order[1:]] == bwt[order[:-1]]]) if len(order) else np.zeros(0, bool)
+        by_symbol = np.argsort(bwt, kind="stable")
+        order, symbols = has[by_symbol], bwt[by_symbol]
+        same = np.concatenate([[False], symbols[1:] == symbols[:-1]]) if len(order) else np.zeros(0, bool)
         above = np.concatenate([[0], order[:-1]]) if len(order) else order
         grown = same.astype(np.int8)
         for v in range(1, need):
@@ -145,7 +145,7 @@ def repeated_starts(texts: list[bytes], anchors: np.ndarray, symbol: int = SYMBO
         doc = np.concatenate([np.arange(len(base), dtype=np.int32), doc[order]])
         size = np.concatenate([np.zeros(len(base), np.int8), size[order] + np.int8(1)])
         prefix = np.concatenate([np.zeros(len(base), np.int8), grown])
-        bwt = before(doc, size)
+        has, bwt = before(doc, size)
     hit = prefix >= need
     hit[:-1] |= hit[1:]
     found = np.flatnonzero(hit & (size >= need))
