@@ -15,6 +15,8 @@ from weftgraph.llm import decontaminate, language, mixing, secrets, simhash
 
 #: A document of at least so many characters is rejected if its best language holds a smaller share of its n-grams.
 LEAST_LANGUAGE_SHARE, LEAST_JUDGED_CHARS = 0.15, 200
+#: Near-duplicates: words in a shingle, and fingerprint bits that may differ (pairs of similarity 0.8 differ in 0 to 5, rarely more).
+SHINGLE, THRESHOLD = 5, 4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest identifier stays."""
-    return simhash.keep_first(docs)
+    return simhash.keep_first(docs, shingle=SHINGLE, threshold=THRESHOLD)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def test_stages_match_brute_force(spark):
 
     alone = P.drop_near_duplicates(spark, kept, SF)
     assert alone.columns == COLUMNS
-    want = {c for _, _, c in brute_components([(i, r.text) for i, r in now.items()])}
+    want = {c for _, _, c in brute_components([(i, r.text) for i, r in now.items()], P.SHINGLE, P.THRESHOLD)}
     now = rows_of(alone)
     assert {str(i) for i in now} == want
 

@@ -38,8 +38,8 @@ def test_anchors_meet_for_all_pairs_within_two():
     assert 40 < len(rows) / len(fps) < 90
 
 
-def brute_components(rows):
-    fps = [brute_fp(t) for _, t in rows]
+def brute_components(rows, k=3, d=2):
+    fps = [brute_fp(t, k) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(i):
@@ -49,14 +49,14 @@ def brute_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 2:
+            if bin(fps[i] ^ fps[j]).count("1") <= d:
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     low = {}
-    for i, (d, _) in enumerate(rows):
+    for i, (doc, _) in enumerate(rows):
         r = find(i)
-        if d is not None:
-            low[r] = min(low.get(r, d), d)
-    return sorted((str(d), f"{fps[i]:016x}", str(low.get(find(i)))) for i, (d, _) in enumerate(rows))
+        if doc is not None:
+            low[r] = min(low.get(r, doc), doc)
+    return sorted((str(doc), f"{fps[i]:016x}", str(low.get(find(i)))) for i, (doc, _) in enumerate(rows))
 
 
 def test_report_matches_brute_force(spark):
@@ -93,3 +93,27 @@ def test_crowded_anchor_links_like_brute_force(monkeypatch):
                 if bin(int(x) ^ int(y)).count("1") <= 2:
                     want[int(x)] = want[int(y)] = min(want[int(x)], want[int(y)])
     assert label == want
+
+
+def test_wider_thresholds_meet_halfway(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    groups = [base]
+    for n in (1, 2, 3, 4, 5):
+        other = base.copy()
+        for i in range(len(other)):
+            for b in rng.choice(64, n, replace=False):
+                other[i] ^= np.uint64(1) << np.uint64(b)
+        groups.append(other)
+    fps = np.unique(np.concatenate(groups))
+    rows, at, home = S.anchors(fps)
+    for pairs in (1 << 21, 3):
+        monkeypatch.setattr(S, "_PAIRS", pairs)
+        for d in (3, 4):
+            a, b = S._compared(fps[rows], at, home, d)
+            label = {int(f): int(f) for f in fps} | {int(x): int(y) for x, y in zip(a, b)}
+            near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= d
+            want = np.arange(len(fps))
+            for _ in range(8):
+                want = np.array([want[near[i]].min() for i in range(len(fps))])
+            assert [label[int(f)] for f in fps] == [int(fps[w]) for w in want]

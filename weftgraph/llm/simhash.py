@@ -7,6 +7,8 @@ A fingerprint is stored at its home anchor and replicated to every anchor within
 the threshold that can be home to a fingerprint within the threshold: its own, and those at
 distance at most 3 + 2 in one half or 3 + 1 in both (68 of 16.7 million anchors on average).
 So two fingerprints within the threshold always meet at the home anchor of either, and are compared there.
+For thresholds 3 and 4 the same anchors serve: a fingerprint halfway between two such fingerprints is within
+2 bits of both, so its home anchor holds both; there all members are compared, not only with those at home.
 
 Only distinct fingerprints take part: equal ones are one row with a count, so thousands of
 copies never meet. At an anchor, linked fingerprints are reduced to a spanning forest before any
@@ -36,6 +38,8 @@ from weftgraph.llm.textcols import as_strings
 from weftgraph.operators.components import components
 
 SHINGLE, THRESHOLD, SEED = 3, 2, 42
+#: Bits that replication allows for, and the largest threshold, which two replicas share.
+REACH, MOST_THRESHOLD = 2, 4
 #: Replicated fingerprints that one task compares, about.
 TASK_ROWS = 400_000
 #: Pairs compared at once.
@@ -119,7 +123,7 @@ def _tables():
 
 
 def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, whether it is the row's home) for every anchor where a fingerprint must be, for threshold 2."""
+    """(row, anchor, whether it is the row's home) for every anchor where a fingerprint must be: homes of all within 2 bits of it."""
     nearest, by_one, by_two = _tables()
     mask = np.uint64((1 << _LENGTH) - 1)
     halves = [(fps & mask).astype(np.uint32), ((fps >> np.uint64(_LENGTH)) & mask).astype(np.uint32)]
@@ -172,7 +176,7 @@ def _compared(fps: np.ndarray, at: np.ndarray, home: np.ndarray, threshold: int)
     distinct, position = np.unique(fps, return_inverse=True)
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     sizes = np.diff(np.append(starts, len(at)))
-    homes = np.add.reduceat(home, starts, dtype=np.int64)
+    homes = np.add.reduceat(home, starts, dtype=np.int64) if threshold <= REACH else sizes
     busy = (homes > 0) & (sizes > 1)
     starts, sizes, homes = starts[busy], sizes[busy], homes[busy]
     left_found, right_found = [], []
@@ -197,10 +201,11 @@ def _compared(fps: np.ndarray, at: np.ndarray, home: np.ndarray, threshold: int)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         base, size = np.repeat(starts[g], n), np.repeat(sizes[g], n)
         test(base + inner // size, base + inner % size)
-    for g in np.flatnonzero(~small):  # a crowded anchor: by pigeonhole, close fingerprints agree in one of three bands
+    for g in np.flatnonzero(~small):  # a crowded anchor: by pigeonhole, close fingerprints agree in one of the bands
         members = np.arange(starts[g], starts[g] + sizes[g])
-        for low, width in ((0, 21), (21, 21), (42, 22)):
-            band = (fps[members] >> np.uint64(low)) & np.uint64((1 << width) - 1)
+        edges = np.linspace(0, 64, threshold + 2).astype(int)
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            band = (fps[members] >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
             o = members[np.argsort(band, kind="stable")]
             sorted_band = np.sort(band)
             step = 1
@@ -218,8 +223,8 @@ def _compared(fps: np.ndarray, at: np.ndarray, home: np.ndarray, threshold: int)
 
 def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b) forest links between distinct fingerprints (one column ``fp``) at most ``threshold`` bits apart."""
-    if threshold > 2:
-        raise ValueError("the anchors are laid out for thresholds up to 2")
+    if threshold > MOST_THRESHOLD:
+        raise ValueError(f"the anchors are laid out for thresholds up to {MOST_THRESHOLD}")
     spark = fps.sparkSession
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
