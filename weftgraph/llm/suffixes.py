@@ -46,7 +46,9 @@ from weftgraph.llm.textcols import _powers_to, as_strings, buffers, mix, row_chu
 
 LENGTH, GRAM, SYMBOL = 400, 40, 200
 #: Bytes of contexts that one task indexes, about, and contexts of one anchor that stay together.
-TASK_BYTES, HOT = 3 << 20, 2000
+TASK_BYTES, HOT = 3 << 20, 600
+#: Most hot anchors whose hashes are broadcast; more are joined.
+MOST_BROADCAST = 500_000
 _NO_ID = -(1 << 63)
 
 
@@ -179,9 +181,9 @@ def row_key(ids: np.ndarray, text_keys: np.ndarray) -> np.ndarray:
     return mix(ids.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + text_keys)
 
 
-_FOUND = "kind int, gram bigint, c1 bigint, c2 bigint, anchor int, times bigint, bytes binary, id bigint, text_key bigint, first int"
+_FOUND = "kind int, gram bigint, c1 bigint, c2 bigint, anchor int, times bigint, bytes binary, id bigint, text_key bigint, first int, n_starts int"
 _FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
-_FOUND_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+_FOUND_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 _CONTEXT, _PLACE = 0, 1
 
 
@@ -219,9 +221,9 @@ def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     g = int(gram[i]) - (1 << 64) if gram[i] >> np.uint64(63) else int(gram[i])
                     k = int(owner[i])
                     if (c1, c2) not in seen:
-                        rows.append((_CONTEXT, g, c1, c2, at, None, bytes(data), None, None, None))
+                        rows.append((_CONTEXT, g, c1, c2, at, None, bytes(data), None, None, None, len(data) - length + 1))
                     seen[c1, c2] = seen.get((c1, c2), 0) + 1
-                    rows.append((_PLACE, None, c1, c2, None, None, None, int(ids[row + k]), int(text_keys[row + k]), int(low[i] - offsets[k])))
+                    rows.append((_PLACE, None, c1, c2, None, None, None, int(ids[row + k]), int(text_keys[row + k]), int(low[i] - offsets[k]), None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FOUND_TYPES, strict=True)], _FOUND_NAMES)
             if len(seen) > 1_000_000:
@@ -232,18 +234,19 @@ def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def _counts(seen: dict[tuple[int, int], int]) -> pa.RecordBatch:
         n = len(seen)
-        columns = [[_CONTEXT] * n, [None] * n, [k[0] for k in seen], [k[1] for k in seen], [None] * n, list(seen.values()), *[[None] * n] * 4]
+        columns = [[_CONTEXT] * n, [None] * n, [k[0] for k in seen], [k[1] for k in seen], [None] * n, list(seen.values()), *[[None] * n] * 5]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND_TYPES, strict=True)], _FOUND_NAMES)
 
     found = scratch.written(docs.mapInArrow(places, _FOUND), "contexts", "zstd")
-    times = found.where(F.col("kind") == _CONTEXT).groupBy("c1", "c2").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("times"), F.max("gram").alias("gram"))
+    times = found.where(F.col("kind") == _CONTEXT).groupBy("c1", "c2").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("times"), F.max("gram").alias("gram"), F.max("n_starts").alias("n"))
     times = scratch.written(times, "times")
-    # Written first: then only exchanges stand under the join, and Spark splits the contexts of a hot anchor.
-    groups = scratch.written(times.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "groups")
     texts = found.where((F.col("kind") == _CONTEXT) & F.col("bytes").isNotNull()).select("gram", "c1", "c2", "anchor", "bytes")
-    spread = texts.join(groups.withColumnRenamed("n", "group_size"), "gram")
-    cold, hot = spread.where(F.col("group_size") <= HOT), spread.where(F.col("group_size") > HOT)
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("bytes").cast("bigint")), F.lit(0))).first()[0]
+    crowded = scratch.written(times.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram"), "crowded")
+    n_crowded = crowded.count()
+    if n_crowded <= MOST_BROADCAST:
+        crowded = F.broadcast(crowded)
+    cold = texts.join(crowded, "gram", "left_anti") if n_crowded else texts
+    size = times.agg(F.coalesce(F.sum(F.col("n") + length - 1), F.lit(0))).first()[0]
     n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,6 +257,8 @@ def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         part: list[tuple[tuple[int, int], int, bytes]] = []
         held = 0
         for members in groups.values():
+            if len(members) == 1:  # no other context to share a string with
+                continue
             part += [(k, at, data) for k, (at, data) in members.items()]
             held += sum(len(data) for _, data in members.values())
             if held >= TASK_BYTES:
@@ -273,15 +278,16 @@ def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 n = len(h)
                 yield pa.RecordBatch.from_arrays([pa.array([c1] * n), pa.array([c2] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(np.ascontiguousarray(g).view(np.int64))], ["c1", "c2", "start", "h1", "h2"])
 
-    single = hot.select(columns).dropDuplicates(["c1", "c2"]).mapInArrow(strings, "c1 bigint, c2 bigint, start int, h1 bigint, h2 bigint")
-    twice = single.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    hot_starts = single.join(twice, ["h1", "h2"]).groupBy("c1", "c2").agg(F.collect_list("start").alias("starts")).withColumn("ends", F.transform("starts", lambda s: s + 1))
+    starts = cold_starts
+    if n_crowded:
+        hot = texts.join(crowded, "gram", "left_semi").select(columns).dropDuplicates(["c1", "c2"])
+        single = hot.mapInArrow(strings, "c1 bigint, c2 bigint, start int, h1 bigint, h2 bigint")
+        twice = scratch.written(single.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "twice")
+        hot_starts = single.join(twice, ["h1", "h2"]).groupBy("c1", "c2").agg(F.collect_list("start").alias("starts")).withColumn("ends", F.transform("starts", lambda s: s + 1))
+        starts = starts.unionByName(hot_starts)
     # A context with a count over one repeats at all of its starts.
-    many = times.where("times > 1").select("c1", "c2", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("ends"))
-    sure = scratch.written(many.unionByName(cold_starts).unionByName(hot_starts), "starts")
-    lengths = texts.select("c1", "c2", (F.octet_length("bytes") - length + 1).alias("n")).groupBy("c1", "c2").agg(F.max("n").alias("n"))
-    whole = sure.where("starts IS NULL").select("c1", "c2").join(lengths, ["c1", "c2"]).select("c1", "c2", F.array(F.lit(0)).alias("starts"), F.array("n").alias("ends"))
-    ranges = whole.unionByName(sure.where("starts IS NOT NULL"))
+    many = times.where("times > 1").select("c1", "c2", F.array(F.lit(0)).alias("starts"), F.array("n").alias("ends"))
+    ranges = scratch.written(many.unionByName(starts), "starts")
     spots = found.where(F.col("kind") == _PLACE).select("c1", "c2", "id", "text_key", "first")
     placed = spots.join(ranges, ["c1", "c2"]).select("id", "text_key", F.transform("starts", lambda s: s + F.col("first")).alias("starts"), F.transform("ends", lambda s: s + F.col("first")).alias("ends"))
     return placed.groupBy("id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
