@@ -29,6 +29,11 @@ def test_parser_survives_broken_markup():
     assert X.main_text("x&nbsp;&amp;&#233;\n\n y<br>z") == "x &é y z"
 
 
+def test_a_frame_named_after_its_parts_is_kept():
+    page = "<div class='page with-sidebar'><div class=sidebar>no</div><article>yes<section class=comments><h2>Said</h2><article class=comment>no</article></section></article></div>"
+    assert X.main_text(page) == "yes"
+
+
 def test_simple_tree_matching_counts_nodes():
     a, b = (outline([parse(s)])[0] for s in ("<div><p>1</p><ul><li>2</ul><i>3</i></div>", "<div><ul><li>9</ul><b>8</b><i>7</i></div>"))
     assert match(a, b)[0] == 5  # root, div, ul, li, i

@@ -39,7 +39,7 @@ _DROPPED = frozenset(
 )
 # Words in class or id, cut at anything but letters, that name what is not the article.
 _NOT_ARTICLE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu "
+    "ad ads adv adslot adbox adunit advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu "
     "sidebar aside footer header masthead topbar breadcrumb breadcrumbs pagination pager cookie cookies consent gdpr notice notices alert "
     "popup modal overlay comment comments commentlist discussion disqus replies reply respond share sharing social related recommended "
     "recommendations newsletter subscribe subscription signup login search widget toolbar skip copyright paywall".split()
@@ -70,7 +70,12 @@ def not_article(e: Element, inside: bool = False) -> bool:
     names = _names(e)
     if e.tag == "article" or inside:
         names -= {"header"}
-    return bool(names & _NOT_ARTICLE)
+    if not names & _NOT_ARTICLE:
+        return False
+    # Words like "with-sidebar" also name the frame of a whole page; a frame holds the article.
+    if e.tag == "article":
+        return True
+    return not any(x.tag in ("article", "main") and not not_article(x) for x in e.elements() if x is not e)
 
 
 def roots(page: Element) -> list[Element]:
