@@ -63,7 +63,7 @@ def test_label_filter_does_not_stop_the_walk_and_cycles_end(spark):
 def library(spark):
     nodes = [
         ("c", "Course", {}), ("g", "LessonGrouping", {}), ("l", "Lesson", {}), ("t", "TeachingLearningMaterial", {}), ("s1", "DocumentSection", {"position": 2}), ("s2", "DocumentSection", {"position": 1}),
-        ("f1", "DocumentFormatter", {}), ("f2", "DocumentFormatter", {}), ("r1", "InstructionalRoutine", {"description": "R1"}), ("r2", "InstructionalRoutine", {"description": "R2"}), ("st", "RoutineStep", {"position": 1, "description": "step"}), ("m", "Material", {}),
+        ("f1", "Formatter", {}), ("f2", "Formatter", {}), ("r1", "InstructionalRoutine", {"description": "R1"}), ("r2", "InstructionalRoutine", {"description": "R2"}), ("st", "RoutineStep", {"position": 1, "description": "step"}), ("m", "Material", {}),
     ]
     links = [("hasPart", "c", "g"), ("hasPart", "g", "l"), ("hasPart", "t", "s1"), ("hasPart", "t", "s2"), ("hasPart", "t", "f1"), ("hasPart", "s1", "f2"), ("covers", "s1", "l"), ("covers", "t", "c"), ("usesRoutine", "g", "r1"), ("usesRoutine", "c", "r2"), ("hasPart", "r1", "st"), ("hasPart", "st", "m")]
     return build(spark, nodes, links)
@@ -172,9 +172,16 @@ def test_audit_reads(spark):
 
 def test_display_folds(spark):
     n, e = build(spark, [("a", "Course", {"metadata": {"x": 1, "en": 2}, "x": 0, "y": 1}), ("b", "Lesson", {}), ("c", "LearningComponent", {})], [("hasPart", "a", "b"), ("supports", "c", "a"), ("odd", "a", "c"), ("hasPart", "a", "gone")])
-    assert sorted((r.src, r.dst, r.rel) for r in display.display_edges(n, e).collect()) == [("a", "b", "hasChild"), ("a", "c", "hasChild")]
-    moved = spark.createDataFrame([("b", "c")], "activity string, component string")
-    assert ("c", "b") in {(r.src, r.dst) for r in display.display_edges(n, e, moved).collect()}
+    got = sorted((r.src, r.dst, r.rel, r.type) for r in display.display_edges(n, e).collect())
+    assert got == [("a", "b", "hasChild", "hasPart"), ("a", "c", "hasChild", "supports"), ("a", "c", "odd", "odd")]
+    n2, e2 = build(spark, [(i, "X", {}) for i in "abcs"], [("hasChild", "a", "b"), ("hasEducationalAlignment", "b", "s"), ("supports", "c", "s")])
+    moved = spark.createDataFrame([("b", "c"), ("s", "gone")], "activity string, component string")
+    drawn = display.display_edges(n2, e2, moved)
+    assert {(r.src, r.dst, r.type) for r in drawn.collect()} == {("c", "b", "illustrates"), ("s", "c", "supports")}
+    start = n2.where("id = 'b'").select("id")
+    assert ids(display.scoped_subtree(drawn, start)) == {"b", "c"}
+    assert ids(display.scoped_subtree(display.display_edges(n2, e2), start)) == {"b", "s", "c"}
+    assert {(r.parent, r.child) for r in display.grafted(display.display_edges(n2, e2), display.display_nodes(n2), [("X", "supports", "out")]).collect()} == {("s", "c")}
     assert display.flat_props(n).where("id = 'a'").first().props == {"x": "1", "y": "1"}
 
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.traverse import closure, steps
 
-#: How each edge type is drawn: relation, and whether it is drawn from target to source.
+#: Edge types drawn on another axis than their own, and whether they are drawn from target to source.
 DRAWN = {
-    "hasPart": ("hasChild", False), "hasChild": ("hasChild", False), "supports": ("hasChild", True), "hasEducationalAlignment": ("alignsTo", False),
-    "hasDependency": ("buildsTowards", True), "buildsTowards": ("buildsTowards", False), "covers": ("covers", False), "usesRoutine": ("usesRoutine", False),
+    "hasPart": ("hasChild", False), "usesRoutine": ("hasChild", False), "supports": ("hasChild", True), "hasEducationalAlignment": ("hasChild", True),
+    "hasDependency": ("buildsTowards", True),
 }
+#: Alignment is followed from content to what it is aligned with; support from a standard to its components.
+ALIGNMENTS, SUPPORT = ("hasEducationalAlignment", "illustrates"), "supports"
 
 
 def display_nodes(nodes: DataFrame) -> DataFrame:
@@ -35,20 +37,50 @@ def flat_props(nodes: DataFrame) -> DataFrame:
 
 
 def display_edges(nodes: DataFrame, edges: DataFrame, illustrates: DataFrame | None = None) -> DataFrame:
-    """(src, dst, rel, type): drawn edges between shown nodes; an unknown type or end is not drawn.
+    """(src, dst, rel, type): edges as drawn between shown nodes, on the axis ``rel``; ``type`` is what they are.
 
-    ``illustrates`` (activity, component): containment of such an activity hangs it below its component instead.
+    ``illustrates`` (activity, component): such an activity hangs below its component instead of below what it is
+    aligned with, and is no longer drawn below its frame; a component that is not shown changes nothing.
     """
     ids = nodes.select("id")
-    known = edges.where(F.col("type").isin(*DRAWN)).join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
-    rel = F.create_map(*(F.lit(x) for k, (r, _) in DRAWN.items() for x in (k, r)))[F.col("type")]
+    rows = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    axis = F.coalesce(*(F.when(F.col("type") == k, r) for k, (r, _) in DRAWN.items()), F.col("type"))
     turned = F.col("type").isin(*(k for k, (_, back) in DRAWN.items() if back))
-    rows = known.select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst"), rel.alias("rel"), "type")
+    a, b = F.when(turned, F.col("dst")).otherwise(F.col("src")), F.when(turned, F.col("src")).otherwise(F.col("dst"))
+    kind = F.when(F.col("type") == "hasDependency", "buildsTowards").otherwise(F.col("type"))
+    drawn = rows.select(a.alias("src"), b.alias("dst"), axis.alias("rel"), kind.alias("type"))
     if illustrates is None:
-        return rows
-    moved = rows.join(illustrates.select(F.col("activity").alias("dst"), "component"), "dst", "left")
-    hung = (F.col("rel") == "hasChild") & F.col("component").isNotNull()
-    return moved.select(F.when(hung, F.col("component")).otherwise(F.col("src")).alias("src"), "dst", "rel", "type")
+        return drawn
+    known = illustrates.join(ids.select(F.col("id").alias("component")), "component", "left_semi").select(F.col("activity").alias("dst"), "component")
+    moved = drawn.join(known, "dst", "left")
+    hung, framed = F.col("component").isNotNull() & (F.col("type") == "hasEducationalAlignment"), F.col("component").isNotNull() & (F.col("type") == "hasChild")
+    return moved.where(~framed).select(F.when(hung, F.col("component")).otherwise(F.col("src")).alias("src"), "dst", "rel", F.when(hung, "illustrates").otherwise(F.col("type")).alias("type"))
+
+
+def scoped_subtree(drawn: DataFrame, start: DataFrame, most_depth: int = 4) -> DataFrame:
+    """(id, depth): what is drawn below a start to a depth, then, without one, what that is aligned with and its components."""
+    ways = drawn.where("rel = 'hasChild'")
+    held = closure(start, ways.select(F.col("src").alias("a"), F.col("dst").alias("b")), min(max(most_depth, 1), 12)).groupBy("id").agg(F.min("depth").alias("depth"))
+    up = ways.where(F.col("type").isin(*ALIGNMENTS)).select(F.col("dst").alias("a"), F.col("src").alias("b"))
+    down = ways.where(F.col("type") == SUPPORT).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    beyond = closure(held.select("id"), up.unionByName(down)).select("id").distinct().join(held, "id", "left_anti")
+    return held.unionByName(beyond.withColumn("depth", F.lit(None).cast("int")))
+
+
+def grafted(drawn: DataFrame, shown: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(parent, child): the extra children by rules (label, type, "out" or "in"), each node once.
+
+    A rule applies to every node of its label, so targets that match another rule are expanded in turn.
+    """
+    parts = []
+    for label, kind, way in rules:
+        a, b = ("src", "dst") if way == "out" else ("dst", "src")
+        of = shown.where(F.col("label") == label).select(F.col("id").alias(a))
+        parts.append(drawn.where(F.col("type") == kind).join(of, a, "left_semi").select(F.col(a).alias("parent"), F.col(b).alias("child")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
 
 
 def taxonomy(shown: DataFrame, order: tuple[str, ...]) -> DataFrame:

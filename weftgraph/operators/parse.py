@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators import traverse
 
 #: Labels of the document layer, which is not part of the units.
-DOCUMENT_LABELS = ("TeachingLearningMaterial", "DocumentSection", "DocumentFormatter", "FormatterSpecification")
+DOCUMENT_LABELS = ("TeachingLearningMaterial", "DocumentSection", "Formatter", "FormatterSpec")
 #: Labels whose description is a title rather than a text.
 GROUPING_LABELS = ("Course", "LessonGrouping", "StandardsFramework")
 

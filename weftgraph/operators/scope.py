@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators.traverse import ancestors, closure, induced, nearest, steps
 
 CONTAINMENT = ["hasPart", "hasChild"]
-FORMATTER_LABELS = ("DocumentFormatter", "FormatterSpecification")
+FORMATTER_LABELS = ("Formatter",)
 
 
 def courses(nodes: DataFrame) -> DataFrame:
@@ -109,10 +109,3 @@ def section_subgraph(nodes: DataFrame, edges: DataFrame, section: str) -> dict[s
     if first:
         formatters = formatters.unionByName(document_formatters(nodes, edges, first[0].id)).distinct()
     return {"document": document, "curriculum": curriculum, "curriculum_edges": induced(edges, curriculum, CONTAINMENT), "routine": section_routine(nodes, edges, section), "formatters": formatters}
-
-
-def scoped_subtree(edges: DataFrame, start: DataFrame, most_depth: int = 4, tail: tuple[str, ...] = ("hasEducationalAlignment",)) -> DataFrame:
-    """(id, depth): contained nodes to a depth, then what the tail edges lead to from them, to a fixed point."""
-    held = closure(start, steps(edges, "out", CONTAINMENT), min(max(most_depth, 1), 12)).groupBy("id").agg(F.min("depth").alias("depth"))
-    beyond = closure(held.select("id"), steps(edges, "out", list(tail))).select("id").distinct().join(held, "id", "left_anti").withColumn("depth", F.lit(None).cast("int"))
-    return held.unionByName(beyond)

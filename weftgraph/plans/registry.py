@@ -147,10 +147,11 @@ def t15_owning_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.owning_document(n, e, n.where("type = 'DocumentSection'").select("id"))
 
 
-@_query("SELECT id, CAST(depth AS INTEGER) AS depth FROM depths UNION ALL SELECT DISTINCT e.dst, CAST(NULL AS INTEGER) FROM edges e JOIN depths d ON e.src = d.id WHERE e.type = 'hasEducationalAlignment'", more=_WALK)
+@_query("SELECT id, CAST(depth AS INTEGER) AS depth FROM depths UNION ALL SELECT id, CAST(NULL AS INTEGER) FROM aligned UNION ALL SELECT DISTINCT e.src, CAST(NULL AS INTEGER) FROM edges e JOIN aligned a ON e.dst = a.id WHERE e.type = 'supports'",
+    more=_WALK + ", aligned AS (SELECT DISTINCT e.dst AS id FROM edges e JOIN depths d ON e.src = d.id WHERE e.type = 'hasEducationalAlignment')")
 def t20_scoped_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = graph(spark, sf_dir)
-    return scope.scoped_subtree(e, n.where(F.col("id") == COURSE).select("id"), 3)
+    return display.scoped_subtree(display.display_edges(n, e), n.where(F.col("id") == COURSE).select("id"), 3)
 
 
 @_query(
@@ -472,8 +473,8 @@ def a14_events_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- display --------------------------------------------------------------------------------------
 _DRAWN = """drawn AS (
-  SELECT src, dst, CASE type WHEN 'hasPart' THEN 'hasChild' WHEN 'hasChild' THEN 'hasChild' WHEN 'hasEducationalAlignment' THEN 'alignsTo' ELSE type END AS rel, type FROM edges WHERE type IN ('hasPart', 'hasChild', 'hasEducationalAlignment', 'covers')
-  UNION ALL SELECT dst, src, CASE type WHEN 'supports' THEN 'hasChild' ELSE 'buildsTowards' END, type FROM edges WHERE type IN ('supports', 'hasDependency')),
+  SELECT src, dst, CASE type WHEN 'hasPart' THEN 'hasChild' ELSE type END AS rel, type FROM edges WHERE type IN ('hasPart', 'hasChild', 'covers')
+  UNION ALL SELECT dst, src, CASE type WHEN 'hasDependency' THEN 'buildsTowards' ELSE 'hasChild' END, CASE type WHEN 'hasDependency' THEN 'buildsTowards' ELSE type END FROM edges WHERE type IN ('supports', 'hasEducationalAlignment', 'hasDependency')),
 shown AS (SELECT id, type AS label, coalesce(json_extract_string(props, '$.description'), id) AS text, CAST(json_extract_string(props, '$.position') AS DOUBLE) AS ord FROM nodes)"""
 
 
