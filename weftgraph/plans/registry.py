@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import audit, display, lookup, overlay, parse, rewrite, scope, stats, traverse
+from weftgraph.functions import text
+from weftgraph.operators import audit, display, export, lookup, mutate, overlay, parse, rewrite, scope, stats, traverse
 from weftgraph.sources import project
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -545,6 +546,82 @@ def c27_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bare.unionByName(held.where("assessments = 0").select(F.lit("no assessment").alias("check_name"), "id"))
 
 
+# --- more of the inventory ------------------------------------------------------------------------
+@_query("SELECT count(*) > 0 AS open, count(*) AS edits_staged FROM diff", True, _DIFF)
+def o15_draft_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    diff = overlay.whole_difference(graph(spark, sf_dir), draft(spark, sf_dir))
+    return diff.agg((F.count("*") > 0).alias("open"), F.count("*").alias("edits_staged"))
+
+
+@_query("SELECT src AS id, string_agg(dst, ',' ORDER BY type, dst) AS child_ids FROM edges WHERE type IN ('hasPart', 'hasChild') GROUP BY src")
+def p7_ordered_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = project.with_seq(project.edges(spark, sf_dir)).where("type IN ('hasPart', 'hasChild')").withColumn("place", F.lit(None).cast("double"))
+    return parse.ordered_children(e).withColumn("child_ids", F.array_join("child_ids", ","))
+
+
+@_query("SELECT e.src AS parent, CAST(greatest(max(coalesce(CAST(json_extract_string(n.props, '$.position') AS DOUBLE), 0)), 0) + 1 AS DOUBLE) AS next_position FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.type = 'hasPart' GROUP BY e.src")
+def a12_next_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = graph(spark, sf_dir)
+    return mutate.next_positions(n, e.where("type = 'hasPart'").select(F.col("src").alias("parent"), F.col("dst").alias("id")))
+
+
+@_query(
+    "SELECT type, count(*) AS n FROM nodes WHERE id NOT IN (SELECT id FROM seeds UNION ALL SELECT id FROM gone_orders UNION ALL SELECT id FROM gone_lessons UNION ALL SELECT e.dst FROM edges e WHERE e.type = 'hasPart' AND e.dst LIKE 'P%' GROUP BY e.dst HAVING count(*) FILTER (e.src NOT IN (SELECT id FROM gone_lessons)) = 0) GROUP BY type",
+    more="""seeds AS (SELECT 'C0000001' AS id),
+gone_orders AS (SELECT dst AS id FROM edges WHERE type = 'hasPart' AND src IN (SELECT id FROM seeds)),
+gone_lessons AS (SELECT dst AS id FROM edges WHERE type = 'hasPart' AND src IN (SELECT id FROM gone_orders))""",
+)
+def m6_after_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = mutate.delete_nodes(mutate.Graph(*graph(spark, sf_dir)), [COURSE])
+    return after.nodes.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY coalesce(CAST(json_extract_string(n.props, '$.position') AS DOUBLE), 0), dst) AS place FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.type = 'hasPart'")
+def l9_running_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = graph(spark, sf_dir)
+    return mutate.running_positions(e, n)
+
+
+@_query("SELECT src AS id, 'out' AS way, dst AS other, type FROM edges UNION ALL SELECT dst, 'in', src, type FROM edges")
+def t25_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.neighbours(*graph(spark, sf_dir))
+
+
+@_query("SELECT id, eventType || ' by ' || actor || ' at ' || ts AS summary FROM log", more=_AUDIT)
+def f14_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.summary(project.audit(spark, sf_dir))
+
+
+@_query("SELECT p_name AS name, trim(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM (SELECT DISTINCT p_name FROM part)")
+def fn_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().select("name", text.slug(F.col("name")).alias("slug"))
+
+
+@_query("SELECT doc_id, substr(text, 101, 200) AS piece, CASE WHEN length(text) > 300 THEN 300 END AS next_offset FROM documents")
+def l5_text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = text.text_window(F.col("text"), 100, 200)
+    return project.table(spark, sf_dir, "documents").select("doc_id", w["text"].alias("piece"), w["next_offset"].alias("next_offset"))
+
+
+@_query("SELECT a.id AS a, b.id AS b, d.rel, true AS forward FROM drawn d JOIN nodes a ON a.id = d.src JOIN nodes b ON b.id = d.dst WHERE a.type = 'LessonGrouping' AND b.type = 'LessonGrouping' UNION ALL SELECT d.dst, d.src, d.rel, false FROM drawn d WHERE d.src LIKE 'O%' AND d.dst LIKE 'O%'", more=_DRAWN)
+def c18_relations_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = graph(spark, sf_dir)
+    drawn = display.display_edges(n, e)
+    both = drawn.where("src LIKE 'O%' AND dst LIKE 'O%'")
+    pairs = both.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(both.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
+    return display.between(drawn, pairs)
+
+
+@_query("SELECT label, count(*) AS n, CASE label " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(export.LEGEND)) + f" ELSE {len(export.LEGEND)} END AS place FROM shown GROUP BY label", more=_DRAWN)
+def c11_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.whole(*graph(spark, sf_dir))[2]["legend"]
+
+
+@_query("SELECT true AS standards, true AS components, true AS curriculum, true AS documents, true AS progression")
+def c11_views_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.whole(*graph(spark, sf_dir))[2]["views"]
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
