@@ -2,7 +2,10 @@ import json
 
 import pytest
 
-from weftgraph.operators import catalog, export, mutate, profile, workspaces
+from pyspark.sql import functions as F
+
+from weftgraph.operators import catalog, display, export, lookup, mutate, profile, workspaces
+from weftgraph.operators.store import Store
 
 
 def graph(spark, nodes, links):
@@ -73,3 +76,36 @@ def test_exports(spark):
     assert meta["views"].first().asDict() == {"standards": False, "components": False, "curriculum": True, "documents": False, "progression": True}
     big = export.response({"a": [0] * 100_000, "b": "x", "c": None})
     assert not big["ok"] and big["shape"] == {"a": "array(100000)", "b": "string(1 chars)", "c": "null"} and export.response({"a": 1})["ok"]
+
+
+def test_terms_and_records(spark):
+    lex = spark.createDataFrame([("1", {"fr": "un"}, None)], "id string, renderings map<string,string>, subject string")
+    row = lambda i, r: spark.createDataFrame([(i, r, None)], lex.schema)
+    assert lookup.added_terms(lex, row("2", {"FR": " deux "})).where("id = '2'").first().renderings == {"fr": "deux"}
+    assert lookup.edited_terms(lex, row("1", {"wo": "benn"})).first().renderings == {"fr": "un", "wo": "benn"}
+    assert lookup.removed_terms(lex, lex.select("id")).count() == 0
+    for bad in (lambda: lookup.added_terms(lex, row("3", {"fr": " "})), lambda: lookup.added_terms(lex, row("1", {"fr": "x"})), lambda: lookup.edited_terms(lex, row("9", {})), lambda: lookup.removed_terms(lex, row("9", {}))):
+        with pytest.raises(ValueError):
+            bad()
+    history = spark.createDataFrame([("c", "a.docx"), ("t", "b.docx")], "nodeId string, relPath string")
+    edges = mutate.edge_rows(spark, [("covers", "t", "c")])
+    assert lookup.document_record(history, edges, "t").first().relPath == "a.docx"
+    assert lookup.document_record(history, edges.limit(0), "t").first().relPath == "b.docx"
+
+
+def test_orders(spark):
+    names = spark.createDataFrame([("10",), ("9",), ("b",), ("first",), ("a",)], "n string")
+    assert [r.n for r in names.orderBy(*display.bucket_order(F.col("n"), ("first",))).collect()] == ["first", "9", "10", "a", "b"]
+    cards = spark.createDataFrame([("x", None, "a10"), ("y", 0.0, "a9"), ("z", -1.0, "q")], "id string, ord double, code string")
+    assert [r.id for r in display.card_order(cards).collect()] == ["z", "y", "x"]
+
+
+def test_staged_changes_leave_no_draft(spark, tmp_path):
+    g = mutate.Graph(*graph(spark, [("c", "Course", {}), ("l", "Lesson", {})], [("hasPart", "c", "l")]))
+    s = Store(spark, f"file://{tmp_path}")
+    s.write("w/g/s", g)
+    s.stage_and_publish("w/g/s", lambda x: mutate.edit_node(x, "c", {"a": 1}))
+    assert s.published("w/g/s").nodes.where("id = 'c'").first().props == '{"a":1}'
+    with pytest.raises(mutate.Rejected):
+        s.stage_and_publish("w/g/s", lambda x: mutate.delete_nodes(x, ["q"]))
+    assert s.pointer("w/g/s")["draft"] is None

@@ -103,6 +103,20 @@ def grouped(rows: DataFrame, levels: list[str], anchor: str = "id") -> DataFrame
     return rows.groupBy(*levels).agg(F.count("*").alias("n"), F.min(anchor).alias("first"))
 
 
+def bucket_order(name: Column, fixed: tuple[str, ...] = ()) -> list[Column]:
+    """Sort keys of bucket names: a fixed order first, then numbers by value, then other names."""
+    place = F.coalesce(*(F.when(name == x, i) for i, x in enumerate(fixed)), F.lit(len(fixed)))
+    number = F.when(name.rlike(r"^-?\d+(\.\d+)?$"), name.cast("double"))
+    return [place, number.asc_nulls_last(), name]
+
+
+def card_order(shown: DataFrame) -> DataFrame:
+    """Nodes by number, then by code with its digits read as numbers."""
+    from weftgraph.functions.text import natural_key
+
+    return shown.orderBy(F.coalesce("ord", F.lit(0.0)), natural_key(F.col("code")), "id")
+
+
 def by_kind(shown: DataFrame) -> DataFrame:
     return shown.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 

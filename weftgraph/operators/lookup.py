@@ -62,6 +62,32 @@ def new_terms(source: DataFrame, existing: DataFrame) -> DataFrame:
     return source.dropDuplicates(["fr", "wo"]).join(existing.select("fr", "wo"), (source.fr.eqNullSafe(existing.fr)) & (source.wo.eqNullSafe(existing.wo)), "left_anti")
 
 
+def added_terms(lexicon: DataFrame, new: DataFrame) -> DataFrame:
+    """The lexicon with new entries; one without any text is refused, as is an identifier in use."""
+    rows = new.withColumn("renderings", normal_renderings(F.col("renderings")))
+    if rows.where(F.size("renderings") == 0).take(1):
+        raise ValueError("an entry needs a text in some language")
+    if rows.join(lexicon.select("id"), "id", "left_semi").take(1):
+        raise ValueError("an identifier is in use")
+    return lexicon.unionByName(rows.select(*lexicon.columns))
+
+
+def edited_terms(lexicon: DataFrame, changes: DataFrame) -> DataFrame:
+    """The lexicon with entries merged as ``merged_entry`` does; an unknown entry, or one left without text, is refused."""
+    if changes.join(lexicon.select("id"), "id", "left_anti").take(1):
+        raise ValueError("an entry is unknown")
+    out = merged_entry(lexicon, changes)
+    if out.join(changes.select("id"), "id", "left_semi").where(F.size("renderings") == 0).take(1):
+        raise ValueError("an entry needs a text in some language")
+    return out
+
+
+def removed_terms(lexicon: DataFrame, ids: DataFrame) -> DataFrame:
+    if ids.join(lexicon.select("id"), "id", "left_anti").take(1):
+        raise ValueError("an entry is unknown")
+    return lexicon.join(ids.select("id"), "id", "left_anti")
+
+
 def section_counts(terms: DataFrame) -> DataFrame:
     """(section, n, first): counts by section, the null one included, with the place where it is first seen."""
     return terms.groupBy("section").agg(F.count("*").alias("n"), F.min("place").alias("first"))
@@ -95,6 +121,13 @@ def recorded(history: DataFrame, entry: DataFrame) -> DataFrame:
     return history.join(entry.select("nodeId"), "nodeId", "left_anti").unionByName(entry)
 
 
+def document_record(history: DataFrame, edges: DataFrame, document: str) -> DataFrame:
+    """The history entry of a document: that of what it covers, else its own; the first by node."""
+    covered = edges.where((F.col("type") == "covers") & (F.col("src") == document)).select(F.col("dst").alias("nodeId"), F.lit(0).alias("rank"))
+    own = history.sparkSession.createDataFrame([(document, 1)], "nodeId string, rank int")
+    return history.join(F.broadcast(covered.unionByName(own)), "nodeId").orderBy("rank", "nodeId").limit(1).drop("rank")  # what one document covers
+
+
 def documents_only(files: DataFrame) -> DataFrame:
     """Listed paths that are documents: .docx in any case, no folder marks, no lock files."""
     name = F.element_at(F.split("path", "/"), -1)

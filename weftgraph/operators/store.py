@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,6 +141,20 @@ class Store:
         self._remove(p["draft"])
         self._remove(p["published"])
 
+    def stage_and_publish(self, namespace: str, change: Callable[[Graph], Graph]) -> None:
+        """Applies a change and publishes it at once; whatever fails, no draft is left. Refused while one is open."""
+        p = self.pointer(namespace)
+        if p is None:
+            raise ValueError(f"{namespace!r} is not seeded")
+        if p["draft"]:
+            raise ValueError("a draft is open")
+        try:
+            self.apply(namespace, change(self.published(namespace)))
+            self.publish(namespace)
+        except Exception:
+            self.discard(namespace)
+            raise
+
     def discard(self, namespace: str) -> None:
         """Drops the draft; nothing happens without one."""
         p = self.pointer(namespace)
