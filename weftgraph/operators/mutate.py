@@ -213,6 +213,25 @@ def structural_errors(published: Graph, after: Graph) -> list[str]:
     return errors + [f"edge {r.id!r} points to {r.missing!r}" for r in overlay.dangling(after.edges, after.nodes).limit(20).collect()]
 
 
+def templates(nodes: DataFrame) -> DataFrame:
+    """(label, example, keys): for each label its first node by id, and the property names that a new one would have."""
+    first = nodes.select(F.explode("labels").alias("label"), "id", "props").groupBy("label").agg(F.min(F.struct("id", "props")).alias("m"))
+    keys = F.sort_array(F.coalesce(F.json_object_keys("m.props"), F.array().cast("array<string>")))
+    return first.select("label", F.col("m.id").alias("example"), keys.alias("keys"))
+
+
+def containment_types(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(label, edge_type): by which edge nodes of a label hang below their container; of several the commonest.
+
+    A component hangs by ``supports``, from itself to what it supports.
+    """
+    down = edges.where(F.col("type").isin("hasPart", "hasChild")).select(F.col("dst").alias("id"), F.col("type").alias("edge_type"))
+    up = edges.where(F.col("type") == "supports").select(F.col("src").alias("id"), F.col("type").alias("edge_type"))
+    labels = nodes.select("id", F.explode("labels").alias("label"))
+    counted = down.unionByName(up).join(labels, "id").groupBy("label", "edge_type").agg(F.count("*").alias("n"))
+    return counted.groupBy("label").agg(F.min_by("edge_type", F.struct(-F.col("n"), "edge_type")).alias("edge_type"))
+
+
 def running_positions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst, place): children in order of position and id, counted from 1."""
     at = F.coalesce(F.get_json_object("props", "$.position").cast("double"), F.lit(0.0))

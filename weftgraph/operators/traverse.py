@@ -51,6 +51,7 @@ def closure(starts: DataFrame, ways: DataFrame, most_depth: int | None = None, t
             frontier = found.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth + 1))
             seen = seen.unionByName(frontier)
         return seen
+    ways = scratch.written(ways, "ways")  # read once for each level
     frontier = seen = scratch.written(frontier, "level")
     for depth in range(MOST_LEVELS if most_depth is None else most_depth):
         found = frontier.join(ways, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct()
@@ -186,7 +187,7 @@ def nearest(found: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
 
 def cascade(seeds: DataFrame, edges: DataFrame, types: list[str] = ["hasPart", "hasChild"]) -> DataFrame:  # noqa: B006
     """(id) of the seeds and of every node all of whose containers are removed, to a fixed point."""
-    links = edges.where(F.col("type").isin(types)).select("src", "dst").distinct()
+    links = scratch.written(edges.where(F.col("type").isin(types)).select("src", "dst").distinct(), "links")
     total = links.groupBy("dst").agg(F.count("*").alias("n"))
     removed = fresh = scratch.written(seeds.select("id").distinct(), "removed")
     lost = None

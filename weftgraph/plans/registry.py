@@ -622,6 +622,16 @@ def c11_views_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.whole(*graph(spark, sf_dir))[2]["views"]
 
 
+@_query("SELECT type AS label, id AS example, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY id) AS k FROM nodes) WHERE k = 1")
+def v6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutate.templates(project.nodes(spark, sf_dir)).withColumn("keys", F.array_join("keys", ","))
+
+
+@_query("SELECT label, arg_min(edge_type, (-n, edge_type)) AS edge_type FROM (SELECT n.type AS label, e.type AS edge_type, count(*) AS n FROM edges e JOIN nodes n ON n.id = CASE e.type WHEN 'supports' THEN e.src ELSE e.dst END WHERE e.type IN ('hasPart', 'hasChild', 'supports') GROUP BY ALL) GROUP BY label")
+def v6_containment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutate.containment_types(*graph(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
