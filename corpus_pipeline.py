@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import scratch
 from weftgraph.llm import decontaminate, language, mixing, secrets, simhash
+from weftgraph.llm.textcols import fresh
 
 #: A document of at least so many characters is rejected if its best language holds a smaller share of its n-grams.
 LEAST_LANGUAGE_SHARE, LEAST_JUDGED_CHARS = 0.15, 200
@@ -22,10 +23,11 @@ SHINGLE, THRESHOLD = 5, 4
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no language: without a letter, or long and with hardly an n-gram of any; corrects ``lang``."""
     filters = language.train(docs.where(F.col("text").isNotNull()))
-    found = language.identify(docs, filters, lang_as="_lang", score_as="_score")
-    foreign = (F.length("text") >= LEAST_JUDGED_CHARS) & (F.col("_score") < LEAST_LANGUAGE_SHARE)
-    kept = found.where((F.col("_lang") != language.UNDECIDED) & ~foreign)
-    return kept.withColumn("lang", F.col("_lang")).select(docs.columns)
+    lang, score = fresh(docs.columns, "_lang"), fresh(docs.columns, "_score")
+    found = language.identify(docs, filters, lang_as=lang, score_as=score)
+    foreign = (F.length("text") >= LEAST_JUDGED_CHARS) & (F.col(score) < LEAST_LANGUAGE_SHARE)
+    kept = found.where((F.col(lang) != language.UNDECIDED) & ~foreign)
+    return kept.withColumn("lang", F.col(lang)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

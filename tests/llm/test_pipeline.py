@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
-from weftgraph.llm import mixing, secrets
+from weftgraph.llm import decontaminate, digest, language, mixing, secrets, simhash, webtext
 from tests.llm.test_decontaminate import brute as overlap
 from tests.llm.test_simhash import brute_components
 
@@ -59,6 +61,35 @@ def masked_words(text):
     return text.split()
 
 
+CLASHES = ["_lang", "_score", "_row", "_ID", "_overlaps", "overlaps", "fp", "component_id", "size", "taken", "target", "_source", "score", "Spans"]
+
+
+def test_clashing_columns_survive(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).cache()
+    for i, name in enumerate(CLASHES):
+        docs = docs.withColumn(name, F.lit(i if i % 2 else f"v{i}"))
+    plain = docs.select(COLUMNS)
+    for (_, stage), last in zip(P.STAGES, [False] * 4 + [True]):
+        docs, plain = stage(spark, docs, SF), stage(spark, plain, SF)
+        if not last:
+            assert set(docs.columns) == set(COLUMNS + CLASHES)
+            row = docs.first()
+            assert all(row[n] == (i if i % 2 else f"v{i}") for i, n in enumerate(CLASHES))
+        assert sorted(map(str, docs.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_operators_replace_columns_of_their_own_names(spark):
+    docs = spark.createDataFrame([(i, f"word {i} the and of", "en", "s", "x", "y", "z", 1, 2) for i in range(20)], "doc_id long, text string, lang string, source string, fp string, fingerprint string, overlaps string, size int, target int")
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "item_id long, text string")
+    assert simhash.near_duplicates(docs).count() == 20
+    assert digest.fingerprints(docs).select("fingerprint").distinct().count() == 20
+    assert decontaminate.overlaps(docs, bench).where("size(overlaps) > 0").count() == 0
+    assert mixing.mix(mixing.with_sizes(docs)).where("size = 5").count() == 20
+    assert language.identify(docs, language.train(docs), lang_as="lang").count() == 20
+    pages = spark.createDataFrame([("u", "<p>a</p>", 1, "h")], "url string, html string, text int, _host string")
+    assert [tuple(r) for r in webtext.extract(pages).collect()] == [("u", "a")]
+
+
 def test_run_is_the_stages_in_turn(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in P.STAGES:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.textcols import as_strings, mix, row_chunks, token_hashes, tokens
+from weftgraph.llm.textcols import as_strings, fresh, mix, row_chunks, token_hashes, tokens, without
 
 #: Positions looked at (1) and ignored (0); six of each window count.
 MASKS = ("1111011", "110110011", "1110001011", "11010010101")
@@ -164,6 +164,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", to: str = "overlaps", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` with an array of the items that each contains, in order of item."""
+    docs = without(docs, to)
     schema = T.StructType([*docs.schema.fields, T.StructField(to, T._parse_datatype_string(OVERLAP_TYPE))])
     out = None
     for block in blocks(benchmark, most=block_bytes):
@@ -193,7 +194,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", to:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item."""
-    return overlaps(docs, benchmark, to="_overlaps").where(F.size("_overlaps") == 0).drop("_overlaps")
+    to = fresh(docs.columns, "_overlaps")
+    return overlaps(docs, benchmark, to=to).where(F.size(to) == 0).drop(to)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph import scratch
-from weftgraph.llm.textcols import mix
+from weftgraph.llm.textcols import mix, without
 
 #: Largest Bloom filter of repeated fingerprints that is broadcast, in bytes.
 FILTER_BYTES = 32 << 20
@@ -119,6 +119,8 @@ def numbered(texts: DataFrame, bits: int = 128, filter_bytes: int = FILTER_BYTES
 
 def fingerprints(df: DataFrame, text_col: str = "text", bits: int = 128) -> DataFrame:
     """The rows of ``df`` with ``fingerprint``; equal canonical texts and only they share one."""
+    df = without(df, "fingerprint", "_hash", "_sha")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             forms = [canonical(t.as_py()).encode("utf-8", "surrogatepass") for t in batch.column(batch.schema.get_field_index(text_col))]

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.textcols import as_strings, mix
+from weftgraph.llm.textcols import as_strings, mix, without
 
 #: About how many documents of each language are learned from.
 TRAIN_DOCS = 5000
@@ -184,6 +184,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def identify(df: DataFrame, filters: Filters, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """The rows of ``df`` with the predicted language and its score; same columns otherwise."""
+    df = without(df, lang_as, score_as)
     shipped = df.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

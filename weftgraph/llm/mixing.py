@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.textcols import as_strings, row_chunks, tokens
+from weftgraph.llm.textcols import as_strings, row_chunks, tokens, without
 
 #: Weights of the sources in order of name, repeating; size of the mix; most epochs of a source.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -38,10 +38,12 @@ BUCKETS = 4096
 #: Quality weights of labelled documents and of the rest.
 GOOD, BAD, UNKNOWN = 2.0, 0.5, 1.0
 _UNIT = float(1 << 52)
+_OWN = ("_source", "_epochs", "_labelled", "_quality", "_key", "_bucket", "_sum", "_s", "_b", "_start")
 
 
 def with_sizes(df: DataFrame, text_col: str = "text", size_as: str = "size", keep_text: bool = False) -> DataFrame:
     """Adds the number of words ``[^\\x20\\x09-\\x0D]+`` of the text, and drops the text unless asked for."""
+    df = without(df, size_as)
     fields = [f for f in df.schema.fields if keep_text or f.name != text_col]
     schema = T.StructType([*fields, T.StructField(size_as, T.LongType())])
 
@@ -91,6 +93,7 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, buckets: int = BUCKETS
     ``docs`` is read twice; write it first if it is costly.
     """
     spark = docs.sparkSession
+    docs = without(docs, "source_size", "target", "taken", *_OWN)
     sizes = {r[0]: r[1] for r in docs.groupBy(source_col).agg(F.sum(size_col)).collect()}
     goals = targets(sizes)
     plan = spark.createDataFrame(

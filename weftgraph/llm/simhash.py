@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph import scratch
-from weftgraph.llm.textcols import as_strings
+from weftgraph.llm.textcols import as_strings, fresh, without
 from weftgraph.operators.components import components
 
 SHINGLE, THRESHOLD, SEED = 3, 2, 42
@@ -70,6 +70,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def with_fingerprints(df: DataFrame, text_col: str = "text", shingle: int = SHINGLE, to: str = "fp", keep_text: bool = False) -> DataFrame:
     """Adds the fingerprint as a signed long and drops the text unless asked for."""
+    df = without(df, to)
     fields = [f for f in df.schema.fields if keep_text or f.name != text_col]
     schema = T.StructType([*fields, T.StructField(to, T.LongType())])
 
@@ -249,7 +250,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``df`` without the text, with ``fp`` and ``component_id``, the smallest identifier of the component."""
-    marked = scratch.written(with_fingerprints(df, text_col, shingle), "simhash")
+    marked = scratch.written(with_fingerprints(without(df, "component_id", "_fp"), text_col, shingle), "simhash")
     groups = scratch.written(marked.groupBy("fp").agg(F.min(id_col).alias("low")), "fps")
     found = components(links(groups.select("fp"), threshold), "a", "b")  # (node, root) of linked fingerprints only
     rooted = groups.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
@@ -260,13 +261,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component: that with the smallest identifier (of equal rows one; nulls only if none has one)."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    row = fresh(docs.columns, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
     numbered = scratch.written(numbered, "numbered")
-    found = near_duplicates(numbered.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), "_row"), "_id", "_text", **options)
+    found = near_duplicates(numbered.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(row).alias("_row")), "_id", "_text", **options)
     first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     # A component without identifiers is told apart by its fingerprint.
-    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(first.alias("first")).select(F.col("first.row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -23,6 +23,19 @@ _LOWER[65:91] += 32
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """A column name that is not taken, in any case of letters."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def without(df, *names: str):
+    """The table without columns that an operator is about to add; an input's column of that name is replaced."""
+    return df.drop(*names)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit values (the splitmix64 finaliser)."""
     h = h.astype(np.uint64, copy=True)

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from weftgraph import scratch
 from weftgraph.llm.dom import BLOCK, Element, parse
+from weftgraph.llm.textcols import without
 from weftgraph.llm.wrappers import Wrapper
 
 BROADCAST_BYTES = 32 << 20
@@ -201,6 +202,9 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_as: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``pages`` with their main text in place of the html."""
+    if text_as not in (url_col, html_col):
+        pages = without(pages, text_as)
+    pages = without(pages, "_host", "_wrapper")
     induced = scratch.written(induce(pages, url_col, html_col), "wrappers")
     size = induced.agg(F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0))).first()[0]
     fields = [f for f in pages.schema.fields if f.name != html_col]
