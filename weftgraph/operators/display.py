@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.traverse import closure, steps
+from weftgraph.operators.traverse import closure
 
 #: Edge types drawn on another axis than their own, and whether they are drawn from target to source.
 DRAWN = {
@@ -170,7 +170,3 @@ def reveal(drawn: DataFrame, node: str, most: int = 50) -> DataFrame:
     parent = drawn.where("rel = 'hasChild'").groupBy(F.col("dst").alias("a")).agg(F.max("src").alias("b"))
     start = drawn.sparkSession.createDataFrame([(node,)], "id string")
     return closure(start, parent, most).select("id", "depth")
-
-
-def view_edges(edges: DataFrame) -> DataFrame:
-    return steps(edges)

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.jsontext import dumps, set_paths, touches
 from weftgraph.operators import overlay, traverse
-from weftgraph.operators.rewrite import edge_id
 
 #: Edge types that are known without being observed.
 EDGE_TYPES = ("hasChild", "hasPart", "supports", "buildsTowards", "hasDependency", "hasEducationalAlignment", "relatesTo", "usesRoutine", "covers")
@@ -239,10 +238,6 @@ def running_positions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy("at", "dst")).alias("place"))
 
 
-def relinked(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("id", edge_id())
-
-
 @dataclass
 class Workflow:
     """Dry run and confirmation. ``clock`` returns seconds; state is this process's, like a session's."""
