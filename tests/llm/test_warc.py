@@ -59,6 +59,18 @@ def test_equal_rows_are_one_response(spark):
     assert {r.refers_to for r in rows} == {None, 1}
 
 
+def test_sql_says_the_same(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}' UNION ALL SELECT page_id + 1000, url, html FROM '{path}' WHERE page_id % 3 = 0")
+    pages = spark.read.parquet(path)
+    more = pages.where("page_id % 3 = 0").selectExpr("page_id + 1000 AS page_id", "url", "html")
+    got = [tuple(r) for r in W.report(pages.unionByName(more)).collect()]
+    assert sorted(got, key=key) == sorted(db.execute(W.SQL).fetchall(), key=key)
+
+
 def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = [(r.page_id, r.html) for r in df.collect()]

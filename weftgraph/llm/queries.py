@@ -64,4 +64,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mix": mixing.SQL}
+    return {"op4_warc_bundles": warc.SQL, "op7_source_mix": mixing.SQL}

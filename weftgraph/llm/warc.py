@@ -233,3 +233,15 @@ def report(pages: DataFrame) -> DataFrame:
     return read(spark, path).select(
         F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind)
     )
+
+
+#: The contract's rows in DuckDB SQL.
+SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+ranked AS (
+  SELECT *, n >= 100 AND row_number() OVER (PARTITION BY d ORDER BY page_id NULLS LAST) > 1 AS again,
+    first_value(page_id) OVER (PARTITION BY d ORDER BY page_id NULLS LAST) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to
+FROM ranked
+"""
