@@ -388,7 +388,7 @@ def a6_domain_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("ordinals", F.array_join(F.sort_array(F.transform("ordinals", lambda x: x.cast("string"))), ","))
 
 
-@_query("SELECT DISTINCT o.ordinal, lower(u.domain) AS domain FROM (SELECT DISTINCT ordinal FROM used) o JOIN used u ON abs(u.ordinal - o.ordinal) <= 2 AND u.ordinal <> o.ordinal", more=_USED)
+@_query("SELECT DISTINCT CAST(o.ordinal AS INTEGER) AS ordinal, lower(u.domain) AS domain FROM (SELECT DISTINCT ordinal FROM used) o JOIN used u ON abs(u.ordinal - o.ordinal) <= 2 AND u.ordinal <> o.ordinal", more=_USED)
 def j12_nearby_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.nearby_domains(project.domains(spark, sf_dir), 2)
 
@@ -576,7 +576,7 @@ def m6_after_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.nodes.groupBy("type").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY coalesce(CAST(json_extract_string(n.props, '$.position') AS DOUBLE), 0), dst) AS place FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.type = 'hasPart'")
+@_query("SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY coalesce(CAST(json_extract_string(n.props, '$.position') AS DOUBLE), 0), dst) AS INTEGER) AS place FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.type = 'hasPart'")
 def l9_running_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = graph(spark, sf_dir)
     return mutate.running_positions(e, n)
