@@ -21,7 +21,7 @@ def brute(rows):
     one = Counter(w for t in train for w in words(t))
     two = Counter(p for t in train for p in zip([None, *words(t)], words(t)))
     n, v = sum(one.values()), len(one)
-    q = lambda c: float(L.quantised(np.array([c]))[0])
+    q = lambda c, pair=False: float(L.quantised(np.array([c]), L.PAIR_LEVELS if pair else L.LEVELS)[0])
     out = []
     for i, t in rows:
         w = words(t)
@@ -29,7 +29,7 @@ def brute(rows):
         own = 0.0
         for a, b in zip([None, *w], w):
             k = L.KAPPA[0] * max(1, q(one[a])) ** L.KAPPA[1]
-            own += math.log10((q(two[a, b]) + k * (q(one[b]) + 1) / (n + v + 1)) / (q(one[a]) + k))
+            own += math.log10((q(two[a, b], True) + k * (q(one[b]) + 1) / (n + v + 1)) / (q(one[a]) + k))
         out.append((i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(one[x] > 0 for x in w), n, base, own))
     return out
 

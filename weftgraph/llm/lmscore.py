@@ -1,7 +1,7 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Counts of words and of pairs of adjacent words are quantised to levels (1, 2, 3, 4, then about ``BASE``
-times the one before). An n-gram of level q is put into the Bloom filter q times, as (n-gram, 1) to
+Counts of words and of pairs of adjacent words are quantised to levels (for words 1, 2, 3, 4, then about
+``BASE`` times the one before; for pairs powers of ``PAIR_BASE``). An n-gram of level q is put into the Bloom filter q times, as (n-gram, 1) to
 (n-gram, q). A count is read back by probing level 1, 2, ... until a probe fails. The
 probability of a word w after v interpolates the two orders:
 
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from weftgraph import scratch
 from weftgraph.llm.textcols import as_strings, lower_ascii, mix, row_chunks, token_hashes, tokens
 
-#: Ratio of neighbouring levels of large counts; filter bits for each entry, and bits that an entry sets.
-BASE, BITS, PROBES = 1.25, 14, 4
+#: Ratio of neighbouring levels of large counts, for words and for pairs; filter bits for each entry, and bits that an entry sets.
+BASE, PAIR_BASE, BITS, PROBES = 1.25, 2.0, 13, 5
 #: Weight of single words against pairs: factor and power of the context's count.
 KAPPA = (4.0, 0.8)
 #: Most bytes of filter and word counts that are broadcast.
@@ -47,24 +47,29 @@ BROADCAST_BYTES = 320 << 20
 TASK_BYTES, SHARDS_A_TASK, TASK_TOKENS = 16 << 20, 6, 2_000_000
 
 #: Bytes of text that are scored or counted at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: The hash of the end token, which is also the context of a text's first word.
 END = np.uint64(0x5E1F_E0D0_0F7E_4751)
 _LOW48 = np.uint64((1 << 48) - 1)
 
-LEVELS = np.unique(np.ceil(BASE ** np.arange(0, 200)))[:180].astype(np.float64)
-#: The count that a level stands for: the middle of its range; level 0 is 0.
-_MIDDLE = np.concatenate([[0.0], (LEVELS[:-1] + LEVELS[1:] - 1) / 2, LEVELS[-1:]])
+#: The least count of each level, from 1 up, for words and for pairs.
+LEVELS = np.unique(np.ceil(BASE ** np.arange(0, 180)))
+PAIR_LEVELS = PAIR_BASE ** np.arange(0, 60)
 
 
-def level(counts: np.ndarray) -> np.ndarray:
+def level(counts: np.ndarray, levels: np.ndarray = LEVELS) -> np.ndarray:
     """Level of each count; 0 for none."""
-    return np.searchsorted(LEVELS, counts, side="right")
+    return np.searchsorted(levels, counts, side="right")
 
 
-def quantised(counts: np.ndarray) -> np.ndarray:
-    return _MIDDLE[level(counts)]
+def middles(levels: np.ndarray = LEVELS) -> np.ndarray:
+    """The count that each level stands for: the middle of its range; level 0 is 0."""
+    return np.concatenate([[0.0], (levels[:-1] + levels[1:] - 1) / 2, levels[-1:]])
+
+
+def quantised(counts: np.ndarray, levels: np.ndarray = LEVELS) -> np.ndarray:
+    return middles(levels)[level(counts, levels)]
 
 
 def text_words(strings: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -157,13 +162,13 @@ class Model:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, self.word_counts[at], 0)
 
-    def probed(self, h: np.ndarray) -> np.ndarray:
+    def probed(self, h: np.ndarray, levels: np.ndarray = LEVELS) -> np.ndarray:
         """Counts read from the filter, level by level, for 64-bit n-gram hashes."""
         shard = shard_of(h, len(self.sizes))
         keys, start, size = h & _LOW48, self.starts[shard], self.sizes[shard]
         out = np.zeros(len(h), np.int64)
         active = np.arange(len(h))
-        for q in range(1, len(LEVELS)):
+        for q in range(1, len(levels) + 1):
             place, bits = filter_words(keys, q)
             at = start + (place * size >> np.uint64(32)).astype(np.int64)
             held = self.bits[at] & bits == bits
@@ -171,7 +176,7 @@ class Model:
             if not len(active):
                 break
             out[active] = q
-        return _MIDDLE[out]
+        return middles(levels)[out]
 
 
 def terms(n_tokens: int, n_words: int, exact: np.ndarray, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +241,7 @@ def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, w, wn, p, pn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words, wn = np.frombuffer(w, np.uint64), np.frombuffer(wn, np.int64)
-            bits = build_filter(np.concatenate([words & _LOW48, _unpack48(p)]), np.concatenate([level(wn), level(np.frombuffer(pn, np.int64))]))
+            bits = build_filter(np.concatenate([words & _LOW48, _unpack48(p)]), np.concatenate([level(wn), level(np.frombuffer(pn, np.int64), PAIR_LEVELS)]))
             counts = wn.astype("<u4") if wn.max(initial=0) < 1 << 32 else wn
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (w, pa.binary()), (counts.tobytes(), pa.binary()), (bits.tobytes(), pa.binary()))], ["shard", "words", "word_counts", "bits"])
 
@@ -291,7 +296,7 @@ def score(df: DataFrame, train: DataFrame, text_col: str = "text", broadcast_byt
                 context = np.concatenate([[0], word[:-1]])
                 context[first] = model.probed(unique[end : end + 1])[0]
                 pairs, pair_at = np.unique(pair_hashes(contexts(h, counts), h), return_inverse=True)
-                base, own = terms(model.n_tokens, model.n_words, exact, word, context, model.probed(pairs)[pair_at])
+                base, own = terms(model.n_tokens, model.n_words, exact, word, context, model.probed(pairs, PAIR_LEVELS)[pair_at])
                 for column, value in zip(found, (counts, np.add.reduceat(exact > 0, first, dtype=np.int64), np.add.reduceat(base, first), np.add.reduceat(own, first)), strict=True):
                     column.append(value)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
@@ -305,7 +310,7 @@ def score(df: DataFrame, train: DataFrame, text_col: str = "text", broadcast_byt
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = [(np.frombuffer(wn, np.int64), np.frombuffer(pn, np.int64)) for wn, pn in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-        values = [sum(int(w.sum()) for w, _ in n), sum(len(w) for w, _ in n), sum(int(level(w).sum() + level(p).sum()) for w, p in n)]
+        values = [sum(int(w.sum()) for w, _ in n), sum(len(w) for w, _ in n), sum(int(level(w).sum() + level(p, PAIR_LEVELS).sum()) for w, p in n)]
         yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in values], ["tokens", "words", "entries"])
 
 
@@ -344,7 +349,7 @@ def _scored_by_joins(df: DataFrame, counted: DataFrame, n_tokens: int, n_words:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, times, w, c, p = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in batch.columns)
-            base, own = terms(n_tokens, n_words, w, quantised(w), quantised(c), quantised(p))
+            base, own = terms(n_tokens, n_words, w, quantised(w), quantised(c), quantised(p, PAIR_LEVELS))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row, times, np.where(w > 0, times, 0), base * times, own * times)], ["_row", *_OUT])
 
     parts = found.select("row", "times", "n_word", "n_context", "n_pair").mapInArrow(add, "_row bigint, " + ", ".join(f"{k} {t}" for k, t in _OUT.items()))
