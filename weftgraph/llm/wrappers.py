@@ -123,15 +123,13 @@ def merge(into: list, other: list) -> None:
     for i, j in pairs:
         merge(into[KIDS][i], other[KIDS][j])
     if len(pairs) < len(other[KIDS]):
-        after, done = dict((j, i) for i, j in pairs), 0
-        spot, added = 0, 0
+        place, spot, added = {j: i for i, j in pairs}, 0, 0
         for j, kid in enumerate(other[KIDS]):
-            if j in after:
-                spot = after[j] + 1 + added
+            if j in place:
+                spot = place[j] + 1 + added
             else:
                 into[KIDS].insert(spot, kid)
                 spot, added = spot + 1, added + 1
-            done += 1
 
 
 def _size(node: list) -> int:
