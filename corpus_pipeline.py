@@ -7,17 +7,19 @@ its operator defines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import scratch
-from weftgraph.llm import decontaminate, language, mixing, secrets, simhash
+from weftgraph.llm import decontaminate, jaccard, language, mixing, secrets, simhash
 from weftgraph.llm.textcols import fresh
 
 #: A document of at least so many characters is rejected if its best language holds a smaller share of its n-grams.
 LEAST_LANGUAGE_SHARE, LEAST_JUDGED_CHARS = 0.15, 200
-#: Near-duplicates: words in a shingle, and fingerprint bits that may differ (pairs of similarity 0.8 differ in 0 to 5, rarely more).
-SHINGLE, THRESHOLD = 5, 4
+#: Near-duplicates: words in a shingle, fingerprint bits that may differ, and the Jaccard similarity from which texts go that fingerprints leave.
+SHINGLE, THRESHOLD, LEAST_SIMILARITY = 5, 4, 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +32,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.col(lang)).select(docs.columns)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest identifier stays."""
-    return simhash.keep_first(docs, shingle=SHINGLE, threshold=THRESHOLD)
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, then: Callable | None = None) -> DataFrame:
+    """Of each group of close fingerprints the document with the smallest identifier stays."""
+    return simhash.keep_first(docs, shingle=SHINGLE, threshold=THRESHOLD, then=then)
+
+
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As ``drop_near_duplicates``; of what that leaves, one document of each group of similar texts stays."""
+    return drop_near_duplicates(
+        spark, docs, sf_dir, lambda numbered, kept, row: jaccard.first_rows(numbered, kept, row, "doc_id", "text", SHINGLE, LEAST_SIMILARITY)
+    )
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", identify_language),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("SimHash near-dedup", drop_similar),
     ("benchmark decontamination", decontaminate_benchmark),
     ("secret scans", redact_secrets),
     ("source mixing", mix_sources),

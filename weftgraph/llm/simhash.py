@@ -24,7 +24,7 @@ component without any identifier has a null component; an empty table returns no
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,23 +49,32 @@ _PAIRS = 1 << 21
 _LENGTH, _DIMENSION, _GENERATOR = 23, 12, 0b101011100011
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of the text's word shingles: a bit is 1 if it is set in over half of the hashes."""
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's word shingles in order, none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
     n = len(words) - shingle + 1
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def folded(h: np.ndarray) -> int:
+    """SimHash of hashes: a bit is 1 if it is set in over half of them."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, 8192):
+    for i in range(0, len(h), 8192):
         counts += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << int(b) for b in np.flatnonzero(2 * counts > n)))
+    return int(sum(1 << int(b) for b in np.flatnonzero(2 * counts > len(h))))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of the text's word shingles; zero for a text without words."""
+    return folded(hashes(text, shingle))
 
 
 def with_fingerprints(df: DataFrame, text_col: str = "text", shingle: int = SHINGLE, to: str = "fp", keep_text: bool = False) -> DataFrame:
@@ -259,8 +268,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(of_fp, F.col("fp") == F.col("_fp"), "left").drop("_fp")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component: that with the smallest identifier (of equal rows one; nulls only if none has one)."""
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", then: Callable | None = None, **options) -> DataFrame:
+    """One document of each component: that with the smallest identifier (of equal rows one; nulls only if none has one).
+
+    ``then`` thins out the rows that stay further, given (numbered documents, rows that stay, name of the row number).
+    """
     row = fresh(docs.columns, "_row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     numbered = scratch.written(numbered, "numbered")
@@ -268,6 +280,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     # A component without identifiers is told apart by its fingerprint.
     kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(first.alias("first")).select(F.col("first.row").alias(row))
+    if then is not None:
+        kept = then(numbered, kept, row)
     return numbered.join(kept, row, "left_semi").drop(row)
 
 
