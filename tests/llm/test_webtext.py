@@ -54,6 +54,22 @@ def test_constant_places_become_template():
         assert "Read more below" in X.main_text(source)
 
 
+def test_a_constant_text_among_equal_siblings_is_template():
+    rng = random.Random(5)
+    unlike = lambda i: " ".join(f"w{i}x{rng.randrange(10**6)}" for _ in range(9))
+    for tag in ("div", "p", "li"):
+        articles = [[unlike(i) for _ in range(rng.randrange(1, 6))] for i in range(400)]
+        pages = ["<body>" + "".join(f"<{tag}>{t}</{tag}>" for t in ("site notice", *a, "legal line")) + "</body>" for a in articles]
+        whole = Wrapper()
+        for k in range(0, 400, 100):
+            part = Wrapper()
+            for source in pages[k : k + 100]:
+                part.add(Wrapper.of_page(parse(source)))
+            whole.add(Wrapper.load(part.dump()))
+        known = whole.template_texts()
+        assert [X.main_text(s, known) for s in pages] == [" ".join(a) for a in articles]
+
+
 def test_copies_of_one_page_keep_their_text():
     source, want = page(1, random.Random(2))
     w = Wrapper()

@@ -7,8 +7,9 @@ stood in its place. A place that nearly always held the same text is template; o
 varies is content.
 
 Wrappers of parts of a host can be merged in the same way, so a host with a third of all pages is
-built in many tasks. Size is bounded: siblings with equal labels are one repeated node, a place
-keeps ``KEPT`` candidate texts (counts that never overestimate), and rare nodes are dropped
+built in many tasks. Size is bounded: siblings with equal labels are one repeated node, whose texts are each
+counted once a page; a place keeps ``KEPT`` candidate texts for each text that a page has there (counts that never
+overestimate, and are short by an error of at most a 21st of the pages), and rare nodes are dropped
 when a wrapper passes ``MOST_NODES``, which cannot concern a node on nearly all pages.
 """
 
@@ -26,11 +27,11 @@ from weftgraph.llm.dom import RAW, Element
 SHARE, LEAST_PAGES = 0.9, 5
 #: A host whose pages mostly share their longest block shows copies of one page, not a layout.
 SAME_PAGE = 0.5
-KEPT, MOST_NODES = 4, 1500
+KEPT, MOST_NODES = 20, 1500
 _MANY = 12
 
-# A wrapper node: label, pages, texts seen, {hash: count}, children; the root has the longest blocks' counts too.
-LABEL, PAGES, SEEN, TEXTS, KIDS = range(5)
+# A wrapper node: label, pages, pages with a text, {hash: pages}, children, what a count may be short by, most texts of a page.
+LABEL, PAGES, SEEN, TEXTS, KIDS, SHORT, WIDE = range(7)
 
 _SKIPPED = RAW | {"head", "br", "noscript", "template", "svg"}
 _DIGITS = re.compile(r"\d+")
@@ -60,15 +61,29 @@ def _add(texts: dict[int, int], h: int, n: int) -> None:
             texts[h] = n - least
 
 
+def _add_texts(into: list, other: list) -> None:
+    """Sums the counts of two nodes; beyond the bound all are lowered until the rarest are gone."""
+    texts = into[TEXTS]
+    for h, n in other[TEXTS].items():
+        texts[h] = texts.get(h, 0) + n
+    into[SHORT] += other[SHORT]
+    into[WIDE] = max(into[WIDE], other[WIDE])
+    most = KEPT * max(1, into[WIDE])
+    if len(texts) > most:
+        least = sorted(texts.values(), reverse=True)[most]
+        into[TEXTS] = {h: n - least for h, n in texts.items() if n > least}
+        into[SHORT] += least
+
+
 def outline(elements: list[Element]) -> tuple[list, list]:
     """A wrapper node of equally labelled elements, and the same tree of the elements themselves."""
-    node = [_label(elements[0]), 1, 0, {}, []]
+    texts: dict[int, int] = {}
     kids: list[list[Element]] = []
     for e in elements:
         if text := e.own_text():
-            node[SEEN] += 1
-            _add(node[TEXTS], _hash(text), 1)
+            texts[_hash(text)] = 1
         kids += [[c] for c in e.children if isinstance(c, Element) and c.tag not in _SKIPPED]
+    node = [_label(elements[0]), 1, int(bool(texts)), texts, [], 0, len(texts)]
     groups: list[list[Element]] = []
     anywhere = len(kids) > _MANY
     place: dict[str, int] = {}
@@ -117,8 +132,7 @@ def merge(into: list, other: list) -> None:
     """Lays ``other`` over ``into``; nodes without a counterpart are kept at their place."""
     into[PAGES] += other[PAGES]
     into[SEEN] += other[SEEN]
-    for h, n in other[TEXTS].items():
-        _add(into[TEXTS], h, n)
+    _add_texts(into, other)
     pairs = match(into, other)[1]
     for i, j in pairs:
         merge(into[KIDS][i], other[KIDS][j])
@@ -182,8 +196,8 @@ class Wrapper:
             return None
 
         def kept(node: list) -> list:
-            most = {h: n for h, n in node[TEXTS].items() if n >= SHARE * node[SEEN] and node[SEEN] >= max(LEAST_PAGES, SHARE * pages)}
-            return [node[LABEL], node[PAGES], node[SEEN], most, [k for k in map(kept, node[KIDS])]]
+            most = {h: n for h, n in node[TEXTS].items() if n + node[SHORT] >= SHARE * node[SEEN] and node[SEEN] >= max(LEAST_PAGES, SHARE * pages)}
+            return [node[LABEL], node[PAGES], node[SEEN], most, [k for k in map(kept, node[KIDS])], 0, 0]
 
         return Wrapper(kept(self.tree), {})
 
