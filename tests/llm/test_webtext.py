@@ -79,6 +79,16 @@ def test_copies_of_one_page_keep_their_text():
     assert X.main_text(source, w.template_texts()) == want
 
 
+def test_a_long_constant_block_and_copies_leave_the_layout(spark):
+    rng = random.Random(6)
+    legal = "legal " * 80
+    text = lambda i: f"{i} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))
+    texts = {i: text(i) for i in range(20)}
+    texts |= {i: texts[0] for i in range(20, 60)}
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", f"<body><p>{legal}</p><p>{t}</p></body>") for i, t in texts.items()], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in X.report(df).collect()} == texts
+
+
 def test_report(spark):
     rng = random.Random(4)
     made = {i: page(i, rng) for i in range(60)}

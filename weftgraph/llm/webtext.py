@@ -1,8 +1,8 @@
 """Main text of web pages: wrapper induction per host, then the roles of what is left.
 
 First every host's wrapper is built (see ``wrappers``): each task merges the pages that it reads, by host,
-and the partial wrappers of a host are merged in two steps, so no task sees all pages of a host and no
-page moves. Then each page is laid over its host's wrapper again; places with constant text are
+and the partial wrappers of a host are merged in two steps, so no task sees all pages of a host and only
+pages that occur several times on a host move: they count once. Then each page is laid over its host's wrapper again; places with constant text are
 template and dropped. What varies but is not the article (menus, forms, adverts, notices, comments) is
 told by element and by words in class, id and role.
 
@@ -194,7 +194,12 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
         if found:
             yield out()
 
-    parts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(run, "host string, wrapper binary")
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("html <> ''").withColumn("page", F.xxhash64("host", "html"))
+    repeated = scratch.written(rows.groupBy("page").agg(F.count("*").alias("n")).where("n > 1").select("page"), "repeated")
+    once = rows.join(repeated, "page", "left_anti").select("host", "html")
+    if not repeated.isEmpty():
+        once = once.unionByName(rows.join(repeated, "page", "left_semi").groupBy("page", "host").agg(F.min("html").alias("html")).select("host", "html"))
+    parts = once.mapInArrow(run, "host string, wrapper binary")
     part = F.pmod(F.xxhash64("wrapper"), F.lit(PARTS))
     once = parts.withColumn("part", part).repartition("host", "part").sortWithinPartitions("host", F.xxhash64("wrapper")).select("host", "wrapper").mapInArrow(_merged, "host string, wrapper binary")
     return once.repartition("host").sortWithinPartitions("host", F.xxhash64("wrapper")).mapInArrow(_merged, "host string, wrapper binary")

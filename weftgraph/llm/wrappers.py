@@ -25,8 +25,6 @@ from weftgraph.llm.dom import RAW, Element
 
 #: A place is template if at least this share of its pages has one of its commonest texts, over so many pages.
 SHARE, LEAST_PAGES = 0.9, 5
-#: A host whose pages mostly share their longest block shows copies of one page, not a layout.
-SAME_PAGE = 0.5
 KEPT, MOST_NODES = 20, 1500
 _MANY = 12
 
@@ -45,22 +43,6 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def _add(texts: dict[int, int], h: int, n: int) -> None:
-    """Keeps the commonest texts; a kept count is never above the true one."""
-    if h in texts:
-        texts[h] += n
-    elif len(texts) < KEPT:
-        texts[h] = n
-    else:
-        least = min(n, min(texts.values()))
-        for k in list(texts):
-            texts[k] -= least
-            if not texts[k]:
-                del texts[k]
-        if n > least:
-            texts[h] = n - least
-
-
 def _add_texts(into: list, other: list) -> None:
     """Sums the counts of two nodes; beyond the bound all are lowered until the rarest are gone."""
     texts = into[TEXTS]
@@ -157,25 +139,25 @@ def _prune(node: list, least: float) -> None:
 
 
 class Wrapper:
-    """The merged tree of a host's pages, and how common its longest blocks are."""
+    """The merged tree of a host's pages, and the digest of their texts while all have the same."""
 
-    def __init__(self, tree: list | None = None, longest: dict[int, int] | None = None):
-        self.tree, self.longest, self._added = tree, longest or {}, 0
+    def __init__(self, tree: list | None = None, same: int | None = None):
+        self.tree, self.same, self._added = tree, same, 0
 
     @classmethod
     def of_page(cls, root: Element) -> Wrapper:
-        longest = max((e.own_text() for e in root.elements() if e.tag not in _SKIPPED), key=len, default="")
-        return cls(outline([root])[0], {_hash(longest): 1})
+        texts = "\0".join(e.own_text() for e in root.elements() if e.tag not in _SKIPPED)
+        return cls(outline([root])[0], _hash(texts))
 
     def add(self, other: Wrapper) -> None:
         if other.tree is None:
             return
         if self.tree is None:
-            self.tree, self.longest = other.tree, other.longest
+            self.tree, self.same = other.tree, other.same
             return
         merge(self.tree, other.tree)
-        for h, n in other.longest.items():
-            _add(self.longest, h, n)
+        if self.same != other.same:
+            self.same = None
         self._added += 1
         if self._added % 32 == 0 and _size(self.tree) > MOST_NODES:
             _prune(self.tree, 0.1 * self.tree[PAGES])
@@ -183,23 +165,23 @@ class Wrapper:
     def dump(self) -> bytes:
         if self.tree is not None and _size(self.tree) > MOST_NODES:
             _prune(self.tree, 0.1 * self.tree[PAGES])
-        return zlib.compress(pickle.dumps((self.tree, self.longest)), 1)
+        return zlib.compress(pickle.dumps((self.tree, self.same)), 1)
 
     @classmethod
     def load(cls, data: bytes) -> Wrapper:
         return cls(*pickle.loads(zlib.decompress(data)))
 
     def template_texts(self) -> Wrapper | None:
-        """This wrapper with only its template texts; None if the host shows no layout."""
+        """This wrapper with only its template texts; None if the host shows no layout: few pages, or copies of one."""
         pages = self.tree[PAGES] if self.tree is not None else 0
-        if pages < LEAST_PAGES or max(self.longest.values(), default=0) >= SAME_PAGE * pages:
+        if pages < LEAST_PAGES or self.same is not None:
             return None
 
         def kept(node: list) -> list:
             most = {h: n for h, n in node[TEXTS].items() if n + node[SHORT] >= SHARE * node[SEEN] and node[SEEN] >= max(LEAST_PAGES, SHARE * pages)}
             return [node[LABEL], node[PAGES], node[SEEN], most, [k for k in map(kept, node[KIDS])], 0, 0]
 
-        return Wrapper(kept(self.tree), {})
+        return Wrapper(kept(self.tree))
 
     def mark(self, root: Element) -> None:
         """Marks the elements of a page whose own text is template."""
