@@ -42,6 +42,16 @@ def test_checksums_decide():
     assert S.find_spans("eyJxxx.yyy.zzz") == []
 
 
+def test_private_keys_of_any_length():
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    long = f"{begin}\n{'ab cd\n' * 20_000}{end}"
+    assert S.find_spans(f"x {long} y") == [(2, S.KINDS.index("private_key"), 2 + len(long))]
+    pattern = r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s:,.-]*?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"
+    for text in (f"{begin}é{end} {begin}a{end}{end}", f"{begin}-{end[1:]}{begin}{end}", f"{begin}{end[5:]} {begin} -----END X {end}", f"{begin} {begin} {end} {begin}", begin * 20_000):
+        want = [m.span() for m in re.finditer(pattern, text)] if len(text) < 1000 else []
+        assert [(s, e) for s, k, e in S.find_spans(text) if S.KINDS[k] == "private_key"] == want
+
+
 def test_report_and_redaction(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "a", None), (2, TEXTS[2], "x")], "doc_id long, text string, spans string")
     rows = S.report(df).collect()

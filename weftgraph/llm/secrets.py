@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import functools
 import hashlib
 import json
@@ -42,7 +43,9 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _FORGE = re.compile(r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _PACKAGE = re.compile(r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-_PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s:,.-]{0,20000}?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
+_KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
+_KEY_END = re.compile(r"(?=(-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----))")
+_NOT_KEY = re.compile(r"[^A-Za-z0-9+/=\s:,.-]")
 _WEB = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -88,7 +91,25 @@ def _automata():
     return words, runs
 
 
-def _tried(kind: str, text: str, at: int) -> tuple[int, bool] | None:
+class _Keys:
+    """Private keys of one text, asked for in order of their starts; the whole text is passed over once."""
+
+    def __init__(self, text: str):
+        self.text, self.foreign, self.ends = text, -1, None
+
+    def end(self, at: int) -> int | None:
+        """Where the key that begins at ``at`` ends: the first END line, with nothing foreign to a key before it."""
+        if not (m := _KEY_BEGIN.match(self.text, at)):
+            return None
+        if self.ends is None:
+            self.ends = [(e.start(), e.end(1)) for e in _KEY_END.finditer(self.text)]
+        if self.foreign < m.end():
+            self.foreign = bad.start() if (bad := _NOT_KEY.search(self.text, m.end())) else len(self.text)
+        k = bisect.bisect_left(self.ends, (m.end(), 0))
+        return self.ends[k][1] if k < len(self.ends) and self.ends[k][0] <= self.foreign else None
+
+
+def _tried(kind: str, text: str, at: int, keys: _Keys) -> tuple[int, bool] | None:
     """End of the pattern that starts at ``at`` and whether it passes its tests; None if none starts there."""
     if kind == "assign":
         return (m.end(), len(m[2]) >= LEAST_ASSIGN) if (m := _ASSIGN.match(text, at)) else None
@@ -98,7 +119,7 @@ def _tried(kind: str, text: str, at: int) -> tuple[int, bool] | None:
         pattern = _FORGE if kind == "forge" else _PACKAGE
         return (m.end(), checksum62(m[1]) == m[2]) if (m := pattern.match(text, at)) else None
     if kind == "private_key":
-        return (m.end(), True) if (m := _PRIVATE.match(text, at)) else None
+        return (end, True) if (end := keys.end(at)) is not None else None
     return (m.end(), _json_header(m[1])) if (m := _WEB.match(text, at)) else None
 
 
@@ -111,10 +132,11 @@ def find_spans(text: str | None) -> list[Span]:
     spans: list[Span] = []
     hits = sorted((end - size + 1, kind) for end, (kind, size) in words.iter(narrow.translate(_LOWER).decode("latin-1")))
     done: dict[str, int] = {}
+    keys = _Keys(text)
     for at, kind in hits:
         if at < done.get(kind, 0):
             continue
-        if found := _tried(kind, text, at):
+        if found := _tried(kind, text, at, keys):
             done[kind] = found[0]
             if found[1]:
                 spans.append((at, KINDS.index(kind), found[0]))
