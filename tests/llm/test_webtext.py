@@ -70,6 +70,18 @@ def test_a_constant_text_among_equal_siblings_is_template():
         assert [X.main_text(s, known) for s in pages] == [" ".join(a) for a in articles]
 
 
+def test_a_place_that_was_dropped_while_rare_is_template():
+    letters = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
+    once = lambda i: "".join(f"<i class={letters(1000 * i + k)}>{i} {k}</i>" for k in range(60))
+    # The notice is on 3 of the first 33 pages, when rare nodes are dropped, and on all later ones: 270 of 300.
+    pages = [f"<body>{'' if 2 < i < 33 else '<p>notice</p>'}<div>text {i}</div>{once(i) if i < 33 else ''}</body>" for i in range(300)]
+    w = Wrapper()
+    for source in pages:
+        w.add(Wrapper.of_page(parse(source)))
+    known = w.template_texts()
+    assert all("notice" not in X.main_text(s, known) for s in pages)
+
+
 def test_copies_of_one_page_keep_their_text():
     source, want = page(1, random.Random(2))
     w = Wrapper()

@@ -10,7 +10,8 @@ Wrappers of parts of a host can be merged in the same way, so a host with a thir
 built in many tasks. Size is bounded: siblings with equal labels are one repeated node, whose texts are each
 counted once a page; a place keeps ``KEPT`` candidate texts for each text that a page has there (counts that never
 overestimate, and are short by an error of at most a 21st of the pages), and rare nodes are dropped
-when a wrapper passes ``MOST_NODES``, which cannot concern a node on nearly all pages.
+when a wrapper passes ``MOST_NODES``. A place that comes back after that is held to be missing as many pages as
+any dropped one had, at most a tenth of all, and counts with them.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ SHARE, LEAST_PAGES = 0.9, 5
 KEPT, MOST_NODES = 20, 1500
 _MANY = 12
 
-# A wrapper node: label, pages, pages with a text, {hash: pages}, children, what a count may be short by, most texts of a page.
-LABEL, PAGES, SEEN, TEXTS, KIDS, SHORT, WIDE = range(7)
+# A wrapper node: label, pages, pages with a text, {hash: pages}, children, what a count may be short by, most texts of a page,
+# most pages that dropped children had, and most pages that this node may have lost.
+LABEL, PAGES, SEEN, TEXTS, KIDS, SHORT, WIDE, LOST, MISSED = range(9)
 
 _SKIPPED = RAW | {"head", "br", "noscript", "template", "svg"}
 _DIGITS = re.compile(r"\d+")
@@ -65,7 +67,7 @@ def outline(elements: list[Element]) -> tuple[list, list]:
         if text := e.own_text():
             texts[_hash(text)] = 1
         kids += [[c] for c in e.children if isinstance(c, Element) and c.tag not in _SKIPPED]
-    node = [_label(elements[0]), 1, int(bool(texts)), texts, [], 0, len(texts)]
+    node = [_label(elements[0]), 1, int(bool(texts)), texts, [], 0, len(texts), 0, 0]
     groups: list[list[Element]] = []
     anywhere = len(kids) > _MANY
     place: dict[str, int] = {}
@@ -115,7 +117,13 @@ def merge(into: list, other: list) -> None:
     into[PAGES] += other[PAGES]
     into[SEEN] += other[SEEN]
     _add_texts(into, other)
+    into[MISSED] += other[MISSED]
     pairs = match(into, other)[1]
+    if other[LOST]:
+        matched = {i for i, _ in pairs}
+        for i, kid in enumerate(into[KIDS]):
+            if i not in matched:
+                _miss(kid, other[LOST])
     for i, j in pairs:
         merge(into[KIDS][i], other[KIDS][j])
     if len(pairs) < len(other[KIDS]):
@@ -124,16 +132,26 @@ def merge(into: list, other: list) -> None:
             if j in place:
                 spot = place[j] + 1 + added
             else:
+                if into[LOST]:
+                    _miss(kid, into[LOST])
                 into[KIDS].insert(spot, kid)
                 spot, added = spot + 1, added + 1
+    into[LOST] += other[LOST]
 
 
 def _size(node: list) -> int:
     return 1 + sum(map(_size, node[KIDS]))
 
 
+def _miss(node: list, pages: int) -> None:
+    node[MISSED] += pages
+    for k in node[KIDS]:
+        _miss(k, pages)
+
+
 def _prune(node: list, least: float) -> None:
-    node[KIDS] = [k for k in node[KIDS] if k[PAGES] > least]
+    node[LOST] = max([node[LOST], *(k[PAGES] + k[MISSED] for k in node[KIDS] if k[PAGES] + k[MISSED] <= least)])
+    node[KIDS] = [k for k in node[KIDS] if k[PAGES] + k[MISSED] > least]
     for k in node[KIDS]:
         _prune(k, least)
 
@@ -178,8 +196,8 @@ class Wrapper:
             return None
 
         def kept(node: list) -> list:
-            most = {h: n for h, n in node[TEXTS].items() if n + node[SHORT] >= SHARE * node[SEEN] and node[SEEN] >= max(LEAST_PAGES, SHARE * pages)}
-            return [node[LABEL], node[PAGES], node[SEEN], most, [k for k in map(kept, node[KIDS])], 0, 0]
+            most = {h: n for h, n in node[TEXTS].items() if n + node[SHORT] >= SHARE * node[SEEN] and node[SEEN] >= LEAST_PAGES and node[SEEN] + node[MISSED] >= SHARE * pages}
+            return [node[LABEL], node[PAGES], node[SEEN], most, [k for k in map(kept, node[KIDS])], 0, 0, 0, 0]
 
         return Wrapper(kept(self.tree))
 
