@@ -51,20 +51,21 @@ def test_collection_bwt_finds_repeats():
             t = bytearray(core[a : a + rng.randrange(400, 700)])
             if rng.random() < 0.7:
                 t[rng.randrange(len(t))] = 65
-            texts.append((bytes(t), 300 - a))
-    got = S.repeated_starts([t for t, _ in texts], np.array([a for _, a in texts]))
+            texts.append((bytes(t), 300 - a, g))
+    rng.shuffle(texts)
+    got = S.repeated_starts(*([t for t, _, _ in texts], *(np.array([x[k] for x in texts]) for k in (1, 2))))
     count = {}
-    for t, a in texts:
+    for t, _, _ in texts:
         for p in range(len(t) - 399):
             count[t[p : p + 400]] = count.get(t[p : p + 400], 0) + 1
-    for (t, _), flags in zip(texts, got):
+    for (t, _, _), flags in zip(texts, got):
         assert flags.tolist() == [count[t[p : p + 400]] > 1 for p in range(len(t) - 399)]
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_report_matches_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(S, "HOT", hot)
-    texts = corpus(hot)
+@pytest.mark.parametrize("group", [1000, 3, 1])
+def test_report_matches_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(S, "GROUP", group)
+    texts = corpus(group)
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, None), (5, texts[5]), (3, "other " + texts[3]), (None, texts[3])]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, id int")
     want = brute([(t or "").encode() for _, t in rows], 400)
@@ -74,6 +75,17 @@ def test_report_matches_brute_force(spark, monkeypatch, hot):
     assert S.report(df.limit(0)).count() == 0
 
 
+def test_a_passage_with_other_surroundings_in_every_text(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP", 5)
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = say(450)
+    texts = [say(rng.randrange(300, 900)) + passage[rng.randrange(0, 30) : 450 - rng.randrange(0, 30)] + say(500) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute([t.encode() for t in texts], 400)
+    assert [tuple(r)[1:] for r in S.report(df).orderBy("doc_id").collect()] == want
+
+
 def test_kept_bytes(spark):
     texts = corpus(9)
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")

@@ -3,23 +3,25 @@
 Dealing out. A string of ``LENGTH`` bytes has an anchor: of the ``GRAM``-byte strings in it the one with the
 smallest hash, the leftmost if several. Equal strings have equal anchors at equal places, so they are
 found among the contexts of one anchor: the bytes from the first to the end of the last string with
-that anchor, at most 2 * LENGTH - GRAM. A text has about one context for 180 bytes. Anchors that
+that anchor, at most 2 * LENGTH - GRAM. A text has about one context for 140 bytes. Anchors that
 occur once are told apart by a Bloom filter of the others, of a fixed largest size, and
 dropped; equal contexts become one with a count before they are shuffled.
 
-Construction. The contexts of the anchors dealt to a task are its collection of documents. A symbol is a
-block of ``SYMBOL`` bytes, and each context gives one document for each of the SYMBOL ways to cut it into
-blocks counted from the anchor, so every string that starts anywhere is LENGTH / SYMBOL symbols of one
-document. Each round inserts the next symbol of every document, from the right: the suffixes that it begins
-take the order of the Burrows-Wheeler transform (a stable sort by symbol), and common prefixes
-follow from the minima between neighbours of a symbol. A string repeats if its suffix shares
-LENGTH / SYMBOL symbols with a neighbour, or if its context has a count over one. The columns of a
-round are read and written in order; as a task's collection has a set size (``TASK_BYTES``), they are
-arrays in memory rather than files.
-
-Hot anchors. An anchor with over ``HOT`` contexts (a passage in a third of all documents, with other
-surroundings each time) is not sent to one task: its strings are hashed one by one (128 bits) and
-counted by partial aggregates instead.
+Construction. The contexts dealt to a task are its collection of documents, laid below each other so that
+their anchors stand in one column. Each round, from the last column to the first, inserts one byte of every
+document: the column of bytes in the order of the suffixes behind them is that column's part of the
+Burrows-Wheeler transform, a stable sort by byte gives the order of the suffixes that begin here, and
+the common prefix of two neighbours follows from the smallest one between them in the round before. A string
+repeats if it shares LENGTH bytes with a neighbour, or if its context has a count over one. Suffixes are only
+held against those that begin in their own column, which is where equal strings stand; so a round costs the
+number of documents and the whole construction is linear. Columns are written once and read in order. As a task's
+collection has a set size (``TASK_BYTES``), they are arrays in memory and no files of a machine that may be lost.
+
+Crowded anchors. An anchor with more than ``GROUP`` different contexts (a passage in a third of all documents, with
+other surroundings each time) is refined: its strings are parted by the place where they start before the
+anchor into two halves, and each half is dealt out by the bytes that all its strings have in common. Those are
+LENGTH less the width of the half, so they grow from GRAM to LENGTH in at most nine steps, each of which sends
+the crowded contexts only, cut to the half and equal ones as one with a count. In the end a group is one string.
 
 The spans found go back to their documents by a join in which only documents that may have
 one carry their text.
@@ -44,10 +46,10 @@ from weftgraph import scratch
 from weftgraph.llm import bloom
 from weftgraph.llm.textcols import _powers_to, as_strings, buffers, mix, row_chunks
 
-LENGTH, GRAM, SYMBOL = 400, 40, 200
-#: Bytes of contexts that one task indexes, about, and contexts of one anchor that stay together.
-TASK_BYTES, HOT = 3 << 20, 2000
-#: Most hot anchors whose hashes are broadcast; more are joined.
+LENGTH, GRAM = 400, 120
+#: Bytes of contexts that one task indexes, about, and different contexts of one anchor that stay together.
+TASK_BYTES, GROUP = 4 << 20, 1000
+#: Most crowded groups whose keys are broadcast; more are joined.
 MOST_BROADCAST = 500_000
 _NO_ID = -(1 << 63)
 
@@ -100,64 +102,41 @@ def contexts(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return owner[fresh], h[anchor[fresh]], anchor[fresh], starts[fresh], starts[last]
 
 
-def repeated_starts(texts: list[bytes], anchors: np.ndarray, symbol: int = SYMBOL, length: int = LENGTH) -> list[np.ndarray]:
-    """For each context, which of its starts hold a string that another start of the collection holds too."""
-    need = length // symbol
-    sizes = np.array([len(t) for t in texts], np.int64)
-    places = np.cumsum(sizes) - sizes
-    whole = np.frombuffer(b"".join(texts), np.uint8)
-    codes = np.zeros(len(whole), np.uint64)
-    step = 1 << 20
-    for i in range(0, max(1, len(whole) - symbol + 1), step):
-        part = rolling(whole[i : i + step + symbol - 1], symbol)
-        codes[i : i + len(part)] = part
-    # Documents: a context cut into symbols at one of the phases counted from its anchor.
-    first = (np.asarray(anchors)[:, None] - np.arange(symbol)[None, :]) % symbol
-    counts = np.maximum(0, (sizes[:, None] - first) // symbol)
-    keep = counts.ravel() >= need
-    base = (places[:, None] + first).ravel()[keep]  # byte where the document begins
-    n_symbols = counts.ravel()[keep]
-    owner = np.repeat(np.arange(len(texts)), symbol)[keep]
-    out = [np.zeros(max(0, n - length + 1), bool) for n in sizes]
-    if not len(base):
-        return out
-    rounds = int(n_symbols.max())
-    # Columns of the sorted suffixes: document, length in symbols, symbol before it, common prefix with the one above.
-    doc, size = np.arange(len(base), dtype=np.int32), np.zeros(len(base), np.int8)
-    prefix = np.zeros(len(base), np.int8)
-
-    def before(doc: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes that have a symbol before them, and these symbols; any order of symbols will do, so hashes serve."""
-        left = n_symbols[doc] - size
-        has = np.flatnonzero(left > 0)
-        return has, codes[base[doc[has]] + (left[has] - 1) * symbol]
-
-    has, bwt = before(doc, size)
-    for _ in range(rounds):
-        by_symbol = np.argsort(bwt, kind="stable")
-        order, symbols = has[by_symbol], bwt[by_symbol]
-        same = np.concatenate([[False], symbols[1:] == symbols[:-1]]) if len(order) else np.zeros(0, bool)
-        above = np.concatenate([[0], order[:-1]]) if len(order) else order
-        grown = same.astype(np.int8)
-        for v in range(1, need):
-            # The prefixes between two suffixes are all at least v if the last smaller one is not between them.
-            smaller = np.maximum.accumulate(np.where(prefix < v, np.arange(len(prefix)), -1))
-            grown += same & (smaller[order] <= above)
-        # One more symbol has been inserted: the empty suffixes, then all others in order of their first symbol.
-        doc = np.concatenate([np.arange(len(base), dtype=np.int32), doc[order]])
-        size = np.concatenate([np.zeros(len(base), np.int8), size[order] + np.int8(1)])
-        prefix = np.concatenate([np.zeros(len(base), np.int8), grown])
-        has, bwt = before(doc, size)
-    hit = prefix >= need
-    hit[:-1] |= hit[1:]
-    found = np.flatnonzero(hit & (size >= need))
-    start = base[doc[found]] + (n_symbols[doc[found]] - size[found]) * symbol
-    who = owner[doc[found]]
-    flags = np.zeros(len(whole) + 1, bool)
-    flags[start] = True
-    for i in np.unique(who):
-        out[i][:] = flags[places[i] : places[i] + len(out[i])]
-    return out
+def repeated_starts(texts: list[bytes], anchors: np.ndarray, groups: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For each context, which of its starts hold a string that another context of its group holds at the same column."""
+    m = len(texts)
+    sizes, anchors = np.fromiter(map(len, texts), np.int64, m), np.asarray(anchors, np.int64)
+    left, right = -anchors, sizes - anchors  # columns of each document
+    first, last = int(left.min()), int(right.max())
+    # The columns of the collection, one line for each; 256 stands where a document has no byte.
+    table = np.full((m, last - first), 256, np.uint16)
+    begin = np.cumsum(sizes) - sizes
+    table[np.repeat(np.arange(m), sizes), np.arange(sizes.sum()) - np.repeat(begin + anchors + first, sizes)] = np.frombuffer(b"".join(texts), np.uint8)
+    columns = np.ascontiguousarray(table.T)
+    doc = np.argsort(groups, kind="stable")  # documents in the order of their suffixes, group by group
+    rank = np.cumsum(np.concatenate([[0], groups[doc][1:] != groups[doc][:-1]])).astype(np.int64)
+    place = rank << np.int64(29) | np.arange(m)
+    end = np.full(m + 1, last)  # the column where the common prefix with the suffix above ends
+    flags = np.zeros((m, last - first), bool)
+    for j in range(last - 1, first - 1, -1):
+        bwt = columns[j - first][doc]
+        key = np.sort(place | bwt.astype(np.int64) << np.int64(20))
+        before = key & np.int64((1 << 20) - 1)  # where each suffix stood without its first byte
+        doc = doc[before]
+        at = np.flatnonzero(key[1:] >> np.int64(20) == key[:-1] >> np.int64(20)) + 1  # same group, same byte as above
+        low, high = before[at - 1], before[at]
+        shared = end[high]
+        far = np.flatnonzero(high > low + 1)
+        if len(far):
+            far = far[np.argsort(low[far])]
+            shared[far] = np.minimum.reduceat(end, np.stack([low[far] + 1, high[far] + 1], axis=1).ravel())[::2]
+        end = np.full(m + 1, j)
+        end[at] = shared
+        if j <= last - length:
+            hit = np.minimum(end[:m], right[doc]) - j >= length
+            hit[:-1] |= hit[1:]
+            flags[doc, j - first] = hit & (left[doc] <= j) & (j + length <= right[doc])
+    return [flags[i, a - first : b - first - length + 1] for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True))]
 
 
 def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
@@ -181,12 +160,73 @@ def row_key(ids: np.ndarray, text_keys: np.ndarray) -> np.ndarray:
     return mix(ids.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + text_keys)
 
 
-_FOUND = "kind int, gram bigint, c1 bigint, c2 bigint, anchor int, times bigint, bytes binary, id bigint, text_key bigint, first int, n_starts int"
-_FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
-_FOUND_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+_FOUND = {
+    "kind": "int", "key": "bigint", "c1": "bigint", "c2": "bigint", "anchor": "int", "times": "bigint", "bytes": "binary", "n": "int", "low": "int",
+    "high": "int", "o1": "bigint", "o2": "bigint", "first": "int",
+}
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+_SCHEMA = ", ".join(f"{k} {t}" for k, t in _FOUND.items())
+# Rows of contexts: one with its bytes for each task that meets it; how often a task meets it; and where it lies, in
+# a text (o1, o2: identifier and hash of the text) or in a crowded context (o1, o2: that one's hashes).
 _CONTEXT, _PLACE = 0, 1
 
 
+class _Contexts:
+    """Gathers the rows of one task."""
+
+    def __init__(self):
+        self.seen: dict[tuple[int, int], int] = {}
+        self.rows: list[tuple] = []
+
+    def add(self, key: int, anchor: int, data, low: int, high: int, owner: tuple[int, int], first: int, times: int, length: int) -> None:
+        """A context at byte ``first`` of its owner; its strings start ``-high`` to ``-low`` bytes before the anchor."""
+        c = xxhash.xxh3_128_intdigest(data, seed=anchor & 0xFFFFFFFF)
+        c = (c >> 64) - (1 << 63), (c & (1 << 64) - 1) - (1 << 63)
+        if c not in self.seen:
+            self.rows.append((_CONTEXT, key, *c, anchor, None, bytes(data), len(data) - length + 1, low, high, None, None, None))
+        self.seen[c] = self.seen.get(c, 0) + times
+        self.rows.append((_PLACE, None, *c, None, None, None, None, None, None, *owner, first))
+
+    def batch(self) -> Iterator[pa.RecordBatch]:
+        """What has been gathered since the last call."""
+        if self.rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(zip(*self.rows, strict=True), _FOUND.values(), strict=True)], list(_FOUND))
+        self.rows = []
+
+    def counts(self) -> Iterator[pa.RecordBatch]:
+        if self.seen:
+            self.rows = [(_CONTEXT, None, *c, None, n, *[None] * 7) for c, n in self.seen.items()]
+            yield from self.batch()
+        self.seen = {}
+
+
+def _signed(value) -> int:
+    value = int(value)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _refined(length: int):
+    """Parts crowded contexts (key, c1, c2, anchor, bytes, low, high, times) in two by the places of their starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Contexts()
+        for batch in batches:
+            for c1, c2, anchor, data, low, high, times in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    start, stop = max(0, a + anchor), min(len(data) - length, b + anchor)
+                    if start <= stop:
+                        # All strings that start between a and b have these bytes.
+                        key = xxhash.xxh3_64_intdigest(data[b + anchor : a + anchor + length], seed=b & 0xFFFFFFFF)
+                        out.add(_signed(key), anchor - start, data[start : stop + length], a, b, (c1, c2), start, times, length)
+            yield from out.batch()
+            if len(out.seen) > 1_000_000:
+                yield from out.counts()
+        yield from out.counts()
+
+    return run
+
+
 def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, text_key, starts, ends): starts of repeated strings in each document, as half-open ranges of bytes.
 
@@ -204,100 +244,85 @@ def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     known = spark.sparkContext.broadcast(bloom.build(shared, shared.count()))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], int] = {}
+        out = _Contexts()
         for batch in batches:
             ids, strings = _keyed(batch)
             text_keys = _text_keys(strings).view(np.int64)
             for row, raw, offsets in row_chunks(strings):
                 owner, gram, anchor, low, high = contexts(raw, offsets, length)
-                chosen = np.flatnonzero(bloom.maybe(known.value, gram)) if len(gram) else []
+                chosen = np.flatnonzero(bloom.maybe(known.value, gram)) if len(gram) else np.zeros(0, np.int64)
                 view = memoryview(np.ascontiguousarray(raw))
-                rows = []
-                for i in chosen:
-                    data = view[low[i] : high[i] + length]
-                    at = int(anchor[i] - low[i])
-                    c = xxhash.xxh3_128_intdigest(data, seed=at)
-                    c1, c2 = (c >> 64) - (1 << 63), (c & (1 << 64) - 1) - (1 << 63)
-                    g = int(gram[i]) - (1 << 64) if gram[i] >> np.uint64(63) else int(gram[i])
-                    k = int(owner[i])
-                    if (c1, c2) not in seen:
-                        rows.append((_CONTEXT, g, c1, c2, at, None, bytes(data), None, None, None, len(data) - length + 1))
-                    seen[c1, c2] = seen.get((c1, c2), 0) + 1
-                    rows.append((_PLACE, None, c1, c2, None, None, None, int(ids[row + k]), int(text_keys[row + k]), int(low[i] - offsets[k]), None))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FOUND_TYPES, strict=True)], _FOUND_NAMES)
-            if len(seen) > 1_000_000:
-                yield _counts(seen)
-                seen = {}
-        if seen:
-            yield _counts(seen)
-
-    def _counts(seen: dict[tuple[int, int], int]) -> pa.RecordBatch:
-        n = len(seen)
-        columns = [[_CONTEXT] * n, [None] * n, [k[0] for k in seen], [k[1] for k in seen], [None] * n, list(seen.values()), *[[None] * n] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND_TYPES, strict=True)], _FOUND_NAMES)
-
-    found = scratch.written(docs.mapInArrow(places, _FOUND), "contexts", "zstd")
-    times = found.where(F.col("kind") == _CONTEXT).groupBy("c1", "c2").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("times"), F.max("gram").alias("gram"), F.max("n_starts").alias("n"))
-    times = scratch.written(times, "times")
-    texts = found.where((F.col("kind") == _CONTEXT) & F.col("bytes").isNotNull()).select("gram", "c1", "c2", "anchor", "bytes")
-    crowded = scratch.written(times.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram"), "crowded")
-    n_crowded = crowded.count()
-    if n_crowded <= MOST_BROADCAST:
-        crowded = F.broadcast(crowded)
-    cold = texts.join(crowded, "gram", "left_anti") if n_crowded else texts
-    size = times.agg(F.coalesce(F.sum(F.col("n") + length - 1), F.lit(0))).first()[0]
+                which = owner[chosen]
+                columns = gram.view(np.int64)[chosen], anchor[chosen] - low[chosen], low[chosen], high[chosen] + length, ids[row + which], text_keys[row + which], low[chosen] - offsets[which]
+                for g, at, a, b, i, t, first in zip(*(c.tolist() for c in columns), strict=True):
+                    out.add(g, at, view[a:b], GRAM - length, 0, (i, t), first, 1, length)
+                yield from out.batch()
+            if len(out.seen) > 1_000_000:
+                yield from out.counts()
+        yield from out.counts()
+
+    found = scratch.written(docs.mapInArrow(places, _SCHEMA), "contexts", "zstd")
+    levels, settled, size = [], None, 0
+    while True:
+        levels.append((found, times := _times(found)))
+        texts = found.where((F.col("kind") == _CONTEXT) & F.col("bytes").isNotNull()).select("key", "c1", "c2", "anchor", "bytes", "low", "high")
+        size += times.agg(F.coalesce(F.sum(F.col("n") + length - 1), F.lit(0))).first()[0]
+        crowded = scratch.written(times.where("low < high").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key"), "crowded")
+        n_crowded = crowded.count()
+        if n_crowded <= MOST_BROADCAST:
+            crowded = F.broadcast(crowded)
+        cold = texts.join(crowded, "key", "left_anti") if n_crowded else texts
+        settled = cold if settled is None else settled.unionByName(cold)
+        if not n_crowded:
+            break
+        hot = texts.join(crowded, "key", "left_semi").dropDuplicates(["c1", "c2"]).join(times.select("c1", "c2", "times"), ["c1", "c2"])
+        found = scratch.written(hot.select("key", "c1", "c2", "anchor", "bytes", "low", "high", "times").mapInArrow(_refined(length), _SCHEMA), "contexts", "zstd")
     n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[int, dict[tuple[int, int], tuple[int, bytes]]] = {}
         for batch in batches:
-            for g, c1, c2, at, data in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
-                groups.setdefault(g, {})[c1, c2] = (at, data)
-        part: list[tuple[tuple[int, int], int, bytes]] = []
+            for key, c1, c2, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                groups.setdefault(key, {})[c1, c2] = (at, data)
+        part: list[tuple[tuple[int, int], int, bytes, int]] = []
         held = 0
-        for members in groups.values():
+        for key, members in groups.items():
             if len(members) == 1:  # no other context to share a string with
                 continue
-            part += [(k, at, data) for k, (at, data) in members.items()]
+            part += [(c, at, data, key) for c, (at, data) in members.items()]
             held += sum(len(data) for _, data in members.values())
             if held >= TASK_BYTES:
                 yield from _indexed(part, length)
                 part, held = [], 0
         yield from _indexed(part, length)
 
-    columns = ["gram", "c1", "c2", "anchor", "bytes"]
-    cold_starts = cold.select(columns).repartition(n_tasks, "gram").mapInArrow(indexed, "c1 bigint, c2 bigint, starts array<int>, ends array<int>")
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c1, c2, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
-                raw = np.frombuffer(data, np.uint8)
-                h = rolling(raw, length)
-                g = rolling(raw[::-1], length)[::-1]  # a second hash, of the bytes read backwards
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array([c1] * n), pa.array([c2] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(np.ascontiguousarray(g).view(np.int64))], ["c1", "c2", "start", "h1", "h2"])
-
-    starts = cold_starts
-    if n_crowded:
-        hot = texts.join(crowded, "gram", "left_semi").select(columns).dropDuplicates(["c1", "c2"])
-        single = hot.mapInArrow(strings, "c1 bigint, c2 bigint, start int, h1 bigint, h2 bigint")
-        twice = scratch.written(single.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "twice")
-        hot_starts = single.join(twice, ["h1", "h2"]).groupBy("c1", "c2").agg(F.collect_list("start").alias("starts")).withColumn("ends", F.transform("starts", lambda s: s + 1))
-        starts = starts.unionByName(hot_starts)
-    # A context with a count over one repeats at all of its starts.
-    many = times.where("times > 1").select("c1", "c2", F.array(F.lit(0)).alias("starts"), F.array("n").alias("ends"))
-    ranges = scratch.written(many.unionByName(starts), "starts")
-    spots = found.where(F.col("kind") == _PLACE).select("c1", "c2", "id", "text_key", "first")
-    placed = spots.join(ranges, ["c1", "c2"]).select("id", "text_key", F.transform("starts", lambda s: s + F.col("first")).alias("starts"), F.transform("ends", lambda s: s + F.col("first")).alias("ends"))
-    return placed.groupBy("id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-
-
-def _indexed(part: list[tuple[tuple[int, int], int, bytes]], length: int) -> Iterator[pa.RecordBatch]:
+    starts = settled.select("key", "c1", "c2", "anchor", "bytes").repartition(n_tasks, "key").mapInArrow(indexed, "c1 bigint, c2 bigint, starts array<int>, ends array<int>")
+    if len(levels) > 1:
+        starts = scratch.written(starts, "starts")
+    # From the last refinement back to the texts: what repeats in a part repeats in the context that it was cut from.
+    placed = None
+    for found, times in reversed(levels):
+        # A context with a count over one repeats at all of its starts.
+        ranges = times.where("times > 1").select("c1", "c2", F.array(F.lit(0)).alias("starts"), F.array("n").alias("ends")).unionByName(starts)
+        if placed is not None:
+            ranges = ranges.unionByName(placed.select(F.col("o1").alias("c1"), F.col("o2").alias("c2"), "starts", "ends"))
+        ranges = scratch.written(ranges, "ranges")
+        spots = found.where(F.col("kind") == _PLACE).select("c1", "c2", "o1", "o2", "first")
+        placed = spots.join(ranges, ["c1", "c2"]).select("o1", "o2", F.transform("starts", lambda s: s + F.col("first")).alias("starts"), F.transform("ends", lambda s: s + F.col("first")).alias("ends"))
+    return placed.groupBy(F.col("o1").alias("id"), F.col("o2").alias("text_key")).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+
+
+def _times(found: DataFrame) -> DataFrame:
+    """(c1, c2, times, key, n, low, high) of each different context."""
+    facts = (F.max(c).alias(c) for c in ("key", "n", "low", "high"))
+    return scratch.written(found.where(F.col("kind") == _CONTEXT).groupBy("c1", "c2").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("times"), *facts), "times")
+
+
+def _indexed(part: list[tuple[tuple[int, int], int, bytes, int]], length: int) -> Iterator[pa.RecordBatch]:
     if not part:
         return
-    flags = repeated_starts([d for _, _, d in part], np.array([at for _, at, _ in part]), length=length)
-    rows = [(k[0], k[1], *_runs(f)) for (k, _, _), f in zip(part, flags, strict=True) if f.any()]
+    flags = repeated_starts([p[2] for p in part], np.array([p[1] for p in part]), np.array([p[3] for p in part]), length)
+    rows = [(*p[0], *_runs(f)) for p, f in zip(part, flags, strict=True) if f.any()]
     if rows:
         types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["c1", "c2", "starts", "ends"])
