@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm import lmscore as L
 
@@ -45,23 +46,31 @@ def test_filter_returns_levels():
     keys = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
     counts = rng.geometric(0.5, 20_000)
     bits = L.build_filter(keys & np.uint64((1 << 48) - 1), L.level(counts))
-    m = L.Model(0, 0, keys[:0], counts[:0], bits, np.array([0]), np.array([len(bits)], np.uint64))
-    assert (m.probed(keys) >= L.quantised(counts)).all()
-    assert (m.probed(keys) == L.quantised(counts)).mean() > 0.98
-    assert (m.probed(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)) > 0).mean() < 0.01
+    read = L.probed(bits, keys & np.uint64((1 << 48) - 1), len(L.LEVELS))
+    assert (read >= L.level(counts)).all()
+    assert (read == L.level(counts)).mean() > 0.98
+    assert (L.probed(bits, rng.integers(0, 1 << 48, 20_000, dtype=np.uint64), len(L.LEVELS)) > 0).mean() < 0.01
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("chunk_bytes", [L.CHUNK_BYTES, 20_000])
+def test_matches_brute_force(spark, monkeypatch, chunk_bytes):
+    monkeypatch.setattr(L.score, "__defaults__", ("text", chunk_bytes))
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10**6, None), (10**6 + 1, " \n"), (None, "The of"), (7, "a\x1fb A\x1fB")]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10**6, None), (10**6 + 1, " \n"), (None, "The of"), (7, "a\x1fb A\x1fB"), (8, "of the " * 50_000)]
     df = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")
     want = sorted(brute(rows), key=str)
-    for limit, near in ((L.BROADCAST_BYTES, 0.01), (0, 1e-9)):
-        got = sorted((tuple(r) for r in L.report(df, limit).collect()), key=str)
-        assert [g[:5] for g in got] == [w[:5] for w in want]
-        assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-9)
-        off = abs(np.array([g[6] for g in got]) / np.array([w[6] for w in want]) - 1)
-        assert off.max() < 5 * near and off.mean() < near / 2
+    got = sorted((tuple(r) for r in L.report(df).collect()), key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-9)
+    off = abs(np.array([g[6] for g in got]) / np.array([w[6] for w in want]) - 1)
+    assert off.max() < 0.05 and off.mean() < 0.005
+
+
+def test_other_columns_stay(spark):
+    df = spark.createDataFrame([(1, "a b a b", "x", 3.5, [1, 2]), (2, "a b", None, None, None)], "id long, body string, `odd name` string, score double, n_known array<int>")
+    got = L.score(df, F.lit(None).cast("boolean") | (F.col("id") == 1), "body")
+    assert got.columns == ["id", "odd name", "n_tokens", "n_known", "base_score", "score", "train_tokens"]
+    assert [(r.id, r["odd name"], r.n_tokens, r.n_known, r.train_tokens) for r in got.orderBy("id").collect()] == [(1, "x", 5, 5, 5), (2, None, 3, 3, 5)]
 
 
 def test_model_beats_the_base_on_held_out(spark):

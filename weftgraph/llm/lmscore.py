@@ -11,42 +11,40 @@ probability of a word w after v interpolates the two orders:
 so a context passes more to single words the rarer it is. All c here come from probes. The
 base score of the contract is exact: it uses the word counts themselves.
 
-Counting: each task counts its n-grams in numpy and sends each shard of the hash space one blob of
-sorted keys and counts; shards are merged apart, so the shuffle is a few bytes for each
-distinct n-gram of a task, a frequent word is one entry of it, and the filter grows with the corpus.
-
-Scoring: filter and word counts are broadcast if they take at most ``BROADCAST_BYTES``. Beyond that,
-the pairs of each document are joined with the tables of quantised counts instead, which is the
-same model without the filter's false hits.
-
-Cases: a null text is empty, and an empty text is one end token; documents without an identifier
-are training documents; repeated rows count and are scored each for itself; with no training
-documents every count is zero.
+The corpus is cut into chunks of whole texts, written once. Each chunk sends every shard of the hash space one
+blob of the distinct n-grams that it asks for, in order, with how often its training texts have them. A shard adds
+these up, builds its part of the filter from the sums, probes the filter for every n-gram that was asked for and
+answers each chunk with one byte for each (and with the exact counts of words). So one exchange both teaches and
+asks, a frequent n-gram is one entry of a chunk, and neither filter nor counts ever have to fit
+on one machine: the filter grows with the corpus, a shard does not. Scoring reads each chunk again next to its answers.
+
+Cases: a null text is empty, and an empty text is one end token; a null flag is no training text; repeated rows count
+and are scored each for itself; without training texts every count is zero; an empty table returns no rows; columns of
+the input with the names of results are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph import scratch
-from weftgraph.llm.textcols import as_strings, lower_ascii, mix, row_chunks, token_hashes, tokens
+from weftgraph.llm.textcols import as_strings, fresh, lower_ascii, mix, row_chunks, token_hashes, tokens, without
 
 #: Ratio of neighbouring levels of large counts, for words and for pairs; filter bits for each entry, and bits that an entry sets.
 BASE, PAIR_BASE, BITS, PROBES = 1.25, 2.0, 13, 5
 #: Weight of single words against pairs: factor and power of the context's count.
 KAPPA = (4.0, 0.8)
-#: Most bytes of filter and word counts that are broadcast.
-BROADCAST_BYTES = 320 << 20
-#: Text bytes for a merging task, its shards, and tokens that a counting task holds, about. Rows stay at a few megabytes.
-TASK_BYTES, SHARDS_A_TASK, TASK_TOKENS = 16 << 20, 6, 2_000_000
+#: Text bytes of a chunk, and of all chunks for a task of shards, about; shards of such a task.
+CHUNK_BYTES, TASK_BYTES, SHARDS_A_TASK = 8 << 20, 16 << 20, 4
 
-#: Bytes of text that are scored or counted at once.
+#: Bytes of text that are cut into tokens at once.
 SLICE_BYTES = 1 << 19
 
 #: The hash of the end token, which is also the context of a text's first word.
@@ -139,44 +137,17 @@ def build_filter(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return out
 
 
-@dataclass
-class Model:
-    """What scoring needs; shards of the filter end to end."""
-
-    n_tokens: int
-    n_words: int
-    words: np.ndarray
-    word_counts: np.ndarray
-    bits: np.ndarray
-    starts: np.ndarray
-    sizes: np.ndarray
-
-    def clear(self) -> None:
-        """Lets go of the large arrays."""
-        self.words = self.word_counts = self.bits = None
-
-    def exact(self, h: np.ndarray) -> np.ndarray:
-        """Counts of words, from the sorted table."""
-        if not len(self.words):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.word_counts[at], 0)
-
-    def probed(self, h: np.ndarray, levels: np.ndarray = LEVELS) -> np.ndarray:
-        """Counts read from the filter, level by level, for 64-bit n-gram hashes."""
-        shard = shard_of(h, len(self.sizes))
-        keys, start, size = h & _LOW48, self.starts[shard], self.sizes[shard]
-        out = np.zeros(len(h), np.int64)
-        active = np.arange(len(h))
-        for q in range(1, len(levels) + 1):
-            place, bits = filter_words(keys, q)
-            at = start + (place * size >> np.uint64(32)).astype(np.int64)
-            held = self.bits[at] & bits == bits
-            keys, start, size, active = keys[held], start[held], size[held], active[held]
-            if not len(active):
-                break
-            out[active] = q
-        return middles(levels)[out]
+def probed(bits: np.ndarray, keys: np.ndarray, n_levels: int) -> np.ndarray:
+    """The level of each key, read from a shard's filter level by level."""
+    size, out, active = np.uint64(len(bits)), np.zeros(len(keys), np.uint8), np.arange(len(keys))
+    for q in range(1, n_levels + 1):
+        place, mask = filter_words(keys, q)
+        held = bits[(place * size >> np.uint64(32)).astype(np.int64)] & mask == mask
+        keys, active = keys[held], active[held]
+        if not len(active):
+            break
+        out[active] = q
+    return out
 
 
 def terms(n_tokens: int, n_words: int, exact: np.ndarray, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,173 +159,157 @@ def terms(n_tokens: int, n_words: int, exact: np.ndarray, word: np.ndarray, cont
     return base, np.log10((pair + k * single) / (context + k))
 
 
-def count(train: DataFrame, n_shards: int, n_tasks: int, text_col: str = "text") -> DataFrame:
-    """(shard, words, word_counts, pairs, pair_counts): merged counts, one row for each shard."""
+def _ipc(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def chunks(df: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(chunk, rows): the rows of a table as compressed Arrow streams of about so many bytes of text each, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, held = [], [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            columns = []
-            for found, wide in ((words, True), (pairs, False)):
-                keys, n = np.unique(np.concatenate(found), return_counts=True)
-                cuts = np.searchsorted(shard_of(keys, n_shards), np.arange(n_shards + 1))  # keys are in order of shard
-                low = keys if wide else keys & _LOW48
-                columns.append([(keys[a:b].tobytes() if wide else _pack48(low[a:b]), n[a:b].astype("<u4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            for i in range(0, n_shards, 32):
-                part = range(i, min(n_shards, i + 32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.int32()), *(pa.array([column[s][k] for s in part], pa.binary()) for column in columns for k in (0, 1))],
-                    ["shard", "words", "word_counts", "pairs", "pair_counts"],
-                )
+        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([_ipc(pa.Table.from_batches(held))], pa.binary())], ["chunk", "rows"])
 
         for batch in batches:
-            for _, h, counts in text_words(as_strings(batch.column(0))):
-                words.append(h)
-                pairs.append(pair_hashes(contexts(h, counts), h))
-                held += len(h)
-                if held >= TASK_TOKENS:
-                    yield from out()
-                    words, pairs, held = [], [], 0
+            for row, raw, offsets in row_chunks(as_strings(batch.column(batch.schema.get_field_index(text_col))), chunk_bytes // 4):
+                held.append(batch.slice(row, len(offsets) - 1))
+                size += len(raw)
+                if size >= chunk_bytes:
+                    yield out()
+                    n, held, size = n + 1, [], 0
         if held:
-            yield from out()
+            yield out()
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[list[np.ndarray]]] = {}
-        for batch in batches:
-            for shard, w, wn, p, pn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lists = found.setdefault(shard, [[], [], [], []])
-                lists[0].append(np.frombuffer(w, np.uint64)), lists[1].append(np.frombuffer(wn, "<u4").astype(np.int64))
-                lists[2].append(_unpack48(p)), lists[3].append(np.frombuffer(pn, "<u4").astype(np.int64))
-        while found:
-            shard, (w, wn, p, pn) = found.popitem()
-            words, wn = _summed(w, wn)
-            pairs, pn = _summed(p, pn)
-            data = [words.tobytes(), wn.tobytes(), _pack48(pairs), pn.tobytes()]  # counts of 64 bits compress well
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([d], pa.binary()) for d in data)], ["shard", "words", "word_counts", "pairs", "pair_counts"])
-
-    schema = "shard int, words binary, word_counts binary, pairs binary, pair_counts binary"
-    return train.select(F.col(text_col).alias("text")).mapInArrow(run, schema).repartition(n_tasks, "shard").mapInArrow(merged, schema)
-
-
-def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for shard, w, wn, p, pn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words, wn = np.frombuffer(w, np.uint64), np.frombuffer(wn, np.int64)
-            bits = build_filter(np.concatenate([words & _LOW48, _unpack48(p)]), np.concatenate([level(wn), level(np.frombuffer(pn, np.int64), PAIR_LEVELS)]))
-            counts = wn.astype("<u4") if wn.max(initial=0) < 1 << 32 else wn
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (w, pa.binary()), (counts.tobytes(), pa.binary()), (bits.tobytes(), pa.binary()))], ["shard", "words", "word_counts", "bits"])
-
-
-def _model(filters: DataFrame, n_shards: int, n_tokens: int, n_words: int) -> Model:
-    """Gathers the shards on the driver, whose size has been checked, each straight to its place."""
-    sizes = np.ones((n_shards, 2), np.int64) * (0, 1)
-    for r in filters.select("shard", F.octet_length("words").alias("w"), F.octet_length("bits").alias("b")).collect():
-        sizes[r.shard] = r.w // 8, r.b // 8
-    ends = np.cumsum(sizes, axis=0)
-    words, counts, bits = (np.zeros(int(ends[-1, i]), d) for i, d in ((0, np.uint64), (0, np.int64 if n_tokens >= 1 << 32 else np.uint32), (1, np.uint64)))
-    for r in filters.toLocalIterator():
-        a, b = ends[r.shard] - sizes[r.shard], ends[r.shard]
-        words[a[0] : b[0]], bits[a[1] : b[1]] = np.frombuffer(r.words, np.uint64), np.frombuffer(r.bits, np.uint64)
-        counts[a[0] : b[0]] = np.frombuffer(r.word_counts, np.uint32 if len(r.word_counts) == len(r.words) // 2 else np.int64)
-    # Shards are ranges of the hash, so the words stay sorted.
-    return Model(n_tokens, n_words, words, counts, bits, (ends - sizes)[:, 1].copy(), sizes[:, 1].astype(np.uint64))
-
-
-_earlier: list = []
-_OUT = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
-
-
-def score(df: DataFrame, train: DataFrame, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of ``df``, its text replaced by n_tokens, n_known, base_score, score and train_tokens."""
-    spark = df.sparkSession
-    size = train.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("bigint")), F.lit(0))).first()[0]
-    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    n_shards = SHARDS_A_TASK * n_tasks
-    counted = scratch.written(count(train, n_shards, n_tasks, text_col), "ngrams", "zstd")
-    facts = counted.mapInArrow(_facts, "tokens bigint, words bigint, entries bigint").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words", "entries"))).first()
-    keep = [c for c in df.columns if c != text_col]
-    if facts.entries * BITS // 8 + facts.words * 12 > broadcast_bytes:
-        return _scored_by_joins(df, counted, facts.tokens, facts.words, n_shards, text_col).withColumn("train_tokens", F.lit(facts.tokens).cast("bigint"))
-    filters = scratch.written(counted.mapInArrow(_filters, "shard int, words binary, word_counts binary, bits binary"), "filter", "none")
-    model = _model(filters, n_shards, facts.tokens, facts.words)
-    shipped = spark.sparkContext.broadcast(model)
-    model.clear()  # the driver has written its copy out
-    while _earlier:  # executors drop the last model; one that is still asked for is fetched again
-        _earlier.pop().unpersist()
-    _earlier.append(shipped)
+    return scratch.written(df.mapInArrow(run, "chunk bigint, rows binary"), "chunks", "none")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
-        for batch in batches:
-            found: list[list[np.ndarray]] = [[] for _ in _OUT]
-            for _, h, counts in text_words(as_strings(batch.column(batch.schema.get_field_index(text_col)))):
-                unique, at = np.unique(h, return_inverse=True)
-                exact, word = model.exact(unique)[at], model.probed(unique)[at]
-                first = np.cumsum(counts) - counts
-                end = np.searchsorted(unique, END)
-                context = np.concatenate([[0], word[:-1]])
-                context[first] = model.probed(unique[end : end + 1])[0]
-                pairs, pair_at = np.unique(pair_hashes(contexts(h, counts), h), return_inverse=True)
-                base, own = terms(model.n_tokens, model.n_words, exact, word, context, model.probed(pairs, PAIR_LEVELS)[pair_at])
-                for column, value in zip(found, (counts, np.add.reduceat(exact > 0, first, dtype=np.int64), np.add.reduceat(base, first), np.add.reduceat(own, first)), strict=True):
-                    column.append(value)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            arrays = [pa.array(np.concatenate(c), t) if c else pa.array([], t) for c, t in zip(found, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *arrays], [*keep, *_OUT])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text_col), *(f"{k} {t}" for k, t in _OUT.items())])
-    return df.mapInArrow(run, schema).withColumn("train_tokens", F.lit(facts.tokens).cast("bigint"))
-
-
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = [(np.frombuffer(wn, np.int64), np.frombuffer(pn, np.int64)) for wn, pn in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-        values = [sum(int(w.sum()) for w, _ in n), sum(len(w) for w, _ in n), sum(int(level(w).sum() + level(p, PAIR_LEVELS).sum()) for w, p in n)]
-        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in values], ["tokens", "words", "entries"])
 
+def _read(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
-def _table(counted: DataFrame, n_shards: int, pairs: bool) -> DataFrame:
-    """(key, n) rows of the merged counts; a pair's key is its low 48 bits and its shard."""
+
+class _Chunk:
+    """Tokens of a chunk: distinct words and pairs in order of hash, and where each token has its own."""
+
+    def __init__(self, texts: pa.Array):
+        parts = [(h, counts) for _, h, counts in text_words(texts)]
+        h, self.counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+        self.first = np.cumsum(self.counts) - self.counts
+        self.words, self.word_at = np.unique(h, return_inverse=True)
+        self.pairs, self.pair_at = np.unique(pair_hashes(contexts(h, self.counts), h), return_inverse=True)
+
+
+def _asked(n_shards: int, text_col: str, learn_col: str):
+    """For each chunk and shard: words and pairs, each with its count in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, w, wn, p, pn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys = _unpack48(p) | np.uint64(shard) << np.uint64(48) if pairs else np.frombuffer(w, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.frombuffer(pn if pairs else wn, np.int64))], ["key", "n"])
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = _read(data.as_py())
+                chunk = _Chunk(as_strings(rows.column(text_col)))
+                learnt = np.repeat(rows.column(learn_col).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False), chunk.counts)
+                columns = []
+                for keys, at, wide in ((chunk.words, chunk.word_at, True), (chunk.pairs, chunk.pair_at, False)):
+                    n = np.bincount(at[learnt], minlength=len(keys)).astype("<u4")
+                    cuts = np.searchsorted(shard_of(keys, n_shards), np.arange(n_shards + 1)).tolist()  # keys are in order of shard
+                    columns.append([(keys[a:b].tobytes() if wide else _pack48(keys[a:b]), n[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                for i in range(0, n_shards, 64):
+                    part = [s for s in range(i, min(n_shards, i + 64)) if columns[0][s][0] or columns[1][s][0]]
+                    arrays = [pa.array(part, pa.int32()), pa.array([number] * len(part), pa.int64()), *(pa.array([c[s][k] for s in part], pa.binary()) for c in columns for k in (0, 1))]
+                    yield pa.RecordBatch.from_arrays(arrays, _ASKED_NAMES)
+
+    return run
+
+
+_ASKED = "shard int, chunk bigint, words binary, word_counts binary, pairs binary, pair_counts binary"
+_ASKED_NAMES = [c.split()[0] for c in _ASKED.split(", ")]
+_ANSWERS = "shard int, chunk bigint, counts binary, word_levels binary, pair_levels binary, n_tokens bigint, n_words bigint"
+_ANSWER_NAMES = [c.split()[0] for c in _ANSWERS.split(", ")]
+
+
+def _shard_answers(shard: int, asked: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Adds up what the chunks have counted, builds the shard's filter, and probes it for every chunk."""
+    found = []
+    for keys, counts, levels in ((1, 2, LEVELS), (3, 4, PAIR_LEVELS)):
+        parts = [_unpack48(a[keys]) if keys == 3 else np.frombuffer(a[keys], np.uint64) for a in asked]
+        known, total = _summed(parts, [np.frombuffer(a[counts], "<u4").astype(np.int64) for a in asked])
+        found.append((parts, known, total, levels))
+    learnt = [(known[total > 0] & _LOW48, level(total[total > 0], levels)) for _, known, total, levels in found]
+    bits = build_filter(*(np.concatenate(x) for x in zip(*learnt, strict=True)))
+    (words, known, total, _), (pairs, known_pairs, _, _) = found
+    read = probed(bits, known & _LOW48, len(LEVELS)), probed(bits, known_pairs, len(PAIR_LEVELS))
+    facts = int(total.sum()), int((total > 0).sum())
+    for i, (a, w, p) in enumerate(zip(asked, words, pairs, strict=True)):
+        at = np.searchsorted(known, w)
+        values = shard, a[0], total[at].tobytes(), read[0][at].tobytes(), read[1][np.searchsorted(known_pairs, p)].tobytes(), *(facts if i == 0 else (0, 0))
+        types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], _ANSWER_NAMES)
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for shard, *asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found.setdefault(shard, []).append(tuple(asked))
+    while found:
+        shard, asked = found.popitem()
+        yield from pa.Table.from_batches(_shard_answers(shard, asked)).combine_chunks().to_batches()
 
-    return counted.mapInArrow(run, "key bigint, n bigint")
 
+_OUT = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double", "train_tokens": "bigint"}
 
-def _scored_by_joins(df: DataFrame, counted: DataFrame, n_tokens: int, n_words: int, n_shards: int, text_col: str) -> DataFrame:
-    """Scores without a broadcast: the distinct pairs of each text joined with the count tables."""
-    keep = [c for c in df.columns if c != text_col]
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for row, h, counts in text_words(as_strings(batch.column(1))):
-                before, owner = contexts(h, counts), np.repeat(np.arange(len(counts)), counts)
-                both = pair_hashes(before, h)
-                _, first, n = np.unique(np.stack([owner.astype(np.uint64), both]), axis=1, return_index=True, return_counts=True)
-                key = both[first] & _LOW48 | shard_of(both[first], n_shards).astype(np.uint64) << np.uint64(48)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row + owner[first]], h[first].view(np.int64), before[first].view(np.int64), key.view(np.int64), n)], ["row", "word", "context", "pair", "times"])
-
-    words, twos = _table(counted, n_shards, False), _table(counted, n_shards, True)
-    found = rows.select("_row", text_col).mapInArrow(pairs, "row bigint, word bigint, context bigint, pair bigint, times bigint")
-    for name, table in (("word", words), ("context", words), ("pair", twos)):
-        found = found.join(table.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}")), name, "left")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, times, w, c, p = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in batch.columns)
-            base, own = terms(n_tokens, n_words, w, quantised(w), quantised(c), quantised(p, PAIR_LEVELS))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row, times, np.where(w > 0, times, 0), base * times, own * times)], ["_row", *_OUT])
+def score(df: DataFrame, learn: Column, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``df``, its text replaced by n_tokens, n_known, base_score, score and train_tokens.
 
-    parts = found.select("row", "times", "n_word", "n_context", "n_pair").mapInArrow(add, "_row bigint, " + ", ".join(f"{k} {t}" for k, t in _OUT.items()))
-    sums = parts.groupBy("_row").agg(*(F.sum(c).alias(c) for c in _OUT))
-    return rows.drop(text_col).join(sums, "_row").select(*keep, *_OUT)
+    The model learns from the rows for which ``learn`` holds.
+    """
+    spark = df.sparkSession
+    df = without(df, *_OUT)
+    flag = fresh(df.columns, "_learn")
+    kept = [f for f in df.schema.fields if f.name != text_col]
+    packed = chunks(df.withColumn(flag, learn), text_col, chunk_bytes)
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("bigint")), F.lit(0))).first()[0]
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    asked = packed.mapInArrow(_asked(SHARDS_A_TASK * n_tasks, text_col, flag), _ASKED)
+    answers = scratch.written(asked.repartition(n_tasks, "shard").mapInArrow(_answered, _ANSWERS), "answers", "zstd")
+    facts = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_words"))).first()
+
+    def scored(data: bytes, answers: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        rows = _read(data)
+        chunk = _Chunk(as_strings(rows.column(text_col)))
+        exact, words, pairs = (np.frombuffer(b"".join(a), t) for a, t in zip(zip(*answers, strict=True), (np.int64, np.uint8, np.uint8), strict=True))
+        word = middles()[words]
+        context = np.concatenate([[0.0], word[chunk.word_at[:-1]]])
+        context[chunk.first] = word[np.searchsorted(chunk.words, END)]
+        base, own = terms(facts.n_tokens, facts.n_words, exact[chunk.word_at], word[chunk.word_at], context, middles(PAIR_LEVELS)[pairs][chunk.pair_at])
+        sums = np.add.reduceat(exact[chunk.word_at] > 0, chunk.first, dtype=np.int64), np.add.reduceat(base, chunk.first), np.add.reduceat(own, chunk.first)
+        arrays = [pa.array(chunk.counts, pa.int64()), *map(pa.array, sums), pa.array(np.full(rows.num_rows, facts.n_tokens), pa.int64())]
+        return pa.RecordBatch.from_arrays([*(rows.column(f.name).combine_chunks() for f in kept), *arrays], [*(f.name for f in kept), *_OUT])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []  # answers come in order of shard, and the chunk's rows after them
+        for batch in batches:
+            for chunk, rows, *answer in zip(*(batch.column(n).to_pylist() for n in ("chunk", "rows", "counts", "word_levels", "pair_levels")), strict=True):
+                if chunk != now:
+                    now, parts = chunk, []
+                if rows is None:
+                    parts.append(answer)
+                else:
+                    yield scored(rows, parts)
+
+    nothing = {c: F.lit(None).cast("binary") for c in ("rows", "counts", "word_levels", "pair_levels")}
+    last = F.lit(2**31 - 1)
+    both = packed.select("chunk", last.alias("shard"), "rows", *(nothing[c].alias(c) for c in list(nothing)[1:])).unionByName(
+        answers.select("chunk", "shard", nothing["rows"].alias("rows"), *list(nothing)[1:])
+    )
+    schema = T.StructType([*kept, *(T.StructField(k, T._parse_datatype_string(t)) for k, t in _OUT.items())])
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
+    return both.repartition(n_parts, "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -362,8 +317,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
 
 
-def report(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def report(docs: DataFrame) -> DataFrame:
     """The contract's row for each document."""
-    rows = docs.select("doc_id", "text").withColumn("held_out", held_out())
-    found = score(rows, rows.where(~F.col("held_out")), broadcast_bytes=broadcast_bytes)
+    found = score(docs.select("doc_id", "text").withColumn("held_out", held_out()), ~F.col("held_out"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
