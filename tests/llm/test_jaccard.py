@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -54,8 +55,23 @@ def test_the_stage_leaves_no_similar_pair(spark):
 
 
 def similar_dropped(df):
-    numbered = df.withColumn("n", F.col("doc_id"))
-    return {r.n for r in jaccard.first_rows(numbered, numbered.select("n"), "n", "doc_id", "text", 5).collect()}
+    rows = df.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("doc_id").alias("_row"))
+    gone = {r[0] for r in jaccard.later_rows(rows, 5).collect()}
+    return {r.doc_id for r in df.collect()} - gone
+
+
+def test_bands_meet_as_often_as_they_should():
+    rng = np.random.default_rng(1)
+    met = []
+    for least in (0.8, 0.5):
+        n = 0
+        for _ in range(200):
+            common = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+            own = round(400 * (1 / least - 1))
+            left, right = (np.concatenate([common, rng.integers(0, 1 << 63, k, dtype=np.uint64)]) for k in (own // 2, own - own // 2))
+            n += int((jaccard.bands(left) == jaccard.bands(right)).sum())
+        met.append(n / 200 / jaccard.BANDS)
+    assert abs(met[0] - 0.8**7) < 0.03 and abs(met[1] - 0.5**7) < 0.01
 
 
 def test_large_buckets_match_brute_force(spark, monkeypatch):

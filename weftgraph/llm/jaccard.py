@@ -1,7 +1,7 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles.
 
 A second pass for what fingerprints leave (see ``simhash.keep_first``). Candidates meet in MinHash bands: a pair
-of similarity s shares a band with probability 1 - (1 - s^4)^30, which misses 1.4 in ten million pairs at 0.8.
+of similarity s shares a band with probability 1 - (1 - s^7)^50, which misses 8 in a million pairs at 0.8.
 Inside a bucket every pair that could still join two groups is compared by its whole sets of shingles, so
 only pairs of at least the wanted similarity are linked. Texts with equal words are one unit.
 
@@ -29,13 +29,14 @@ from weftgraph.llm.textcols import as_strings
 from weftgraph.operators.components import components
 
 LEAST = 0.8
-BANDS, ROWS = 30, 4
+BANDS, ROWS = 50, 7
 #: Units of a bucket that one task compares, and those that all blocks of a bucket share.
 BLOCK, SHARED = 500, 8
 #: Band keys that one task groups, about.
 TASK_KEYS = 1_000_000
 
-_MIX = np.random.default_rng(5).integers(0, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Odd factors of the MinHashes.
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -45,11 +46,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def bands(h: np.ndarray) -> np.ndarray:
     """One key for each band of the MinHashes of a text's shingle hashes."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for i in range(0, len(h), 2048):
-        part = h[i : i + 2048]
-        for k, (a, b) in enumerate(_MIX):
-            low[k] = min(low[k], ((part ^ b) * a ^ ((part ^ b) * a >> np.uint64(32))).min())
+    short = (_mixed(h) >> np.uint64(32)).astype(np.uint32)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max)
+    for i in range(0, len(short), 128):
+        np.minimum(low, (short[i : i + 128, None] * _FACTORS).min(axis=0), out=low)
+    low = low.astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in low.reshape(BANDS, ROWS).T:
         key = _mixed(key ^ column) + column
@@ -178,21 +179,21 @@ def _rest(big: DataFrame, found: DataFrame) -> DataFrame:
     return whole.select(task, "unit").unionByName(rest.select(task, "unit")).distinct()
 
 
-def first_rows(numbered: DataFrame, kept: DataFrame, row: str, id_col: str, text_col: str, shingle: int, least: float = LEAST) -> DataFrame:
-    """Of the rows that ``kept`` (column ``row``) names, those with the smallest identifier of each group of similar ones."""
-    marks = _marked(numbered.select(F.col(id_col).alias("_id"), F.col(row).alias("_row"), F.col(text_col).alias("_text")), shingle)
-    marked = scratch.written(marks.join(kept.select(F.col(row).alias("_row")), "_row", "left_semi").select(marks.columns), "marked")
+def later_rows(rows: DataFrame, shingle: int, least: float = LEAST) -> DataFrame:
+    """Of rows (``_id``, ``_text``, ``_row``) the numbers of all but those with the smallest identifier of each group of similar ones."""
+    spark = rows.sparkSession
+    marked = scratch.written(_marked(rows.select("_id", "_row", "_text"), shingle), "marked", "zstd")
     units = marked.groupBy("unit").agg(F.min("_row").alias("_row"))
-    n_tasks = max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-BANDS * marked.count() // TASK_KEYS))
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-BANDS * marked.count() // TASK_KEYS))
     tasks = scratch.written(_buckets(marked.select(F.explode("bands").alias("key"), "unit").distinct(), n_tasks), "buckets")
     wanted = scratch.written(units.join(tasks.select("unit").distinct(), "unit"), "wanted")
-    texts = numbered.select(F.col(row).alias("_row"), F.col(text_col).alias("_text")).join(wanted, "_row").select("unit", "_text")
-    sets = scratch.written(_sets(texts, shingle), "sets")
+    n_wanted = wanted.count()
+    texts = rows.select("_row", "_text").join(F.broadcast(wanted) if n_wanted <= simhash.MOST_BROADCAST else wanted, "_row").select("unit", "_text")
+    sets = scratch.written(_sets(texts, shingle), "sets", "none")
     found = components(_links(tasks.select(F.xxhash64("bucket", "block").alias("task"), "unit").distinct(), sets, least), "a", "b")
     big = tasks.where("big")
     if not big.isEmpty():
         more = _links(_rest(big, found), sets, least)
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")
-    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    grouped = marked.join(found, F.col("unit") == F.col("node"), "left").groupBy(F.coalesce("root", "unit")).agg(first.alias("first"))
-    return grouped.select(F.col("first.row").alias(row))
+    grouped = marked.select("_id", "_row", "unit").join(found, F.col("unit") == F.col("node"), "left").select("_id", "_row", F.coalesce("root", "unit").alias("root"))
+    return simhash.others(grouped, [F.col("root")], "_row")

@@ -42,6 +42,8 @@ SHINGLE, THRESHOLD, SEED = 3, 2, 42
 REACH, MOST_THRESHOLD = 2, 4
 #: Replicated fingerprints that one task compares, about.
 TASK_ROWS = 400_000
+#: Rows to be dropped whose numbers are broadcast; more are joined.
+MOST_BROADCAST = 2_000_000
 #: Pairs compared at once.
 _PAIRS = 1 << 21
 
@@ -268,21 +270,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(of_fp, F.col("fp") == F.col("_fp"), "left").drop("_fp")
 
 
+def others(rows: DataFrame, group: list, row: str) -> DataFrame:
+    """The row numbers of all rows but the first of each group: that with the smallest ``_id``, null only if none has one."""
+    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col(row).alias("row")))
+    stay = rows.groupBy(*group).agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return rows.select(row).join(stay, row, "left_anti")
+
+
+def less(table: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """The table without some rows; it is not shuffled for up to ``MOST_BROADCAST`` of them."""
+    return table.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, row, "left_anti")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", then: Callable | None = None, **options) -> DataFrame:
     """One document of each component: that with the smallest identifier (of equal rows one; nulls only if none has one).
 
-    ``then`` thins out the rows that stay further, given (numbered documents, rows that stay, name of the row number).
+    ``then`` thins out the rows that stay further: given these (``_id``, ``_text``, ``_row``), it returns the row numbers that go.
     """
-    row = fresh(docs.columns, "_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    numbered = scratch.written(numbered, "numbered")
-    found = near_duplicates(numbered.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(row).alias("_row")), "_id", "_text", **options)
-    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    # A component without identifiers is told apart by its fingerprint.
-    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(first.alias("first")).select(F.col("first.row").alias(row))
+    spark, row = docs.sparkSession, fresh(docs.columns, "_row")
+    numbered = scratch.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd")
+    short = numbered.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(row).alias("_row"))
+
+    def repeated() -> DataFrame:
+        found = near_duplicates(short, "_id", "_text", **options)
+        # A component without identifiers is told apart by its fingerprint.
+        return others(found, [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))], "_row")
+
+    gone = scratch.settled(spark, "gone", repeated)
     if then is not None:
-        kept = then(numbered, kept, row)
-    return numbered.join(kept, row, "left_semi").drop(row)
+        rest = less(short, gone, "_row")
+        gone = gone.unionByName(scratch.settled(spark, "gone", lambda: then(rest)))
+    return less(numbered, gone.withColumnRenamed("_row", row), row).drop(row)
 
 
 def report(docs: DataFrame) -> DataFrame:
