@@ -9,11 +9,14 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_open = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     global _own
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="weft-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
@@ -28,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in getattr(_open, "made", [])[-1:]:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
@@ -42,6 +50,21 @@ def written(df: DataFrame, name: str, compression: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame], compression: str | None = None) -> DataFrame:
+    """Writes what ``build`` returns, and then deletes the tables that were written on the way to it."""
+    path = new_path(spark, name)
+    made = _open.made = getattr(_open, "made", [])
+    made.append([])
+    try:
+        df = build()
+        writer = df.write.option("compression", compression) if compression else df.write
+        writer.parquet(path)
+    finally:
+        for passing in made.pop():
+            remove(spark, passing)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path through Hadoop's file system, so that it works on any store."""
     jvm = spark.sparkContext._jvm
