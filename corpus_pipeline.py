@@ -7,8 +7,6 @@ its operator defines.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,16 +30,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.col(lang)).select(docs.columns)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, then: Callable | None = None) -> DataFrame:
-    """Of each group of close fingerprints the document with the smallest identifier stays."""
-    return simhash.keep_first(docs, shingle=SHINGLE, threshold=THRESHOLD, then=then)
-
-
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As ``drop_near_duplicates``; of what that leaves, one document of each group of similar texts stays."""
-    return drop_near_duplicates(
-        spark, docs, sf_dir, lambda numbered, kept, row: jaccard.first_rows(numbered, kept, row, "doc_id", "text", SHINGLE, LEAST_SIMILARITY)
-    )
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of close fingerprints, and then of each group of similar texts among the rest, the smallest identifier stays."""
+    return simhash.keep_first(docs, shingle=SHINGLE, threshold=THRESHOLD, then=lambda rows: jaccard.later_rows(rows, SHINGLE, LEAST_SIMILARITY))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,14 +46,21 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its source's target and the words that the mix takes of it."""
-    sized = scratch.written(mixing.with_sizes(docs.select("doc_id", "lang", "source", "n_chars", "text")), "sizes")
-    return mixing.mix(sized, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Every document as it is, with its size, its source's size and target, and the words that the mix takes of it.
+
+    The mix is worked out without texts; these move once, to meet its result.
+    """
+    row = fresh(docs.columns, "_row")
+    sized = mixing.with_sizes(docs, keep_text=True).withColumn(row, F.monotonically_increasing_id())
+    sized = scratch.written(sized, "sizes", "zstd")
+    mixed = mixing.mix(sized.select(row, "doc_id", "source", "size"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    plain = sized.drop("source_size", "target", "taken")
+    return plain.join(mixed.select(row, "source_size", "target", "taken"), row).drop(row)
 
 
 STAGES = [
     ("language ID", identify_language),
-    ("SimHash near-dedup", drop_similar),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", decontaminate_benchmark),
     ("secret scans", redact_secrets),
     ("source mixing", mix_sources),
