@@ -1,6 +1,8 @@
 import html as H
 import random
 
+from pyspark.sql import functions as F
+
 from weftgraph.llm import webtext as X
 from weftgraph.llm.dom import parse
 from weftgraph.llm.wrappers import Wrapper, match, outline
@@ -36,7 +38,72 @@ def test_a_frame_named_after_its_parts_is_kept():
 
 def test_simple_tree_matching_counts_nodes():
     a, b = (outline([parse(s)])[0] for s in ("<div><p>1</p><ul><li>2</ul><i>3</i></div>", "<div><ul><li>9</ul><b>8</b><i>7</i></div>"))
-    assert match(a, b)[0] == 5  # root, div, ul, li, i
+    assert match(a, b)[id(a), id(b)][0] == 5  # root, div, ul, li, i
+
+
+def brute_matching(a, b):
+    """The textbook recursion."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1], 1):
+        for j, y in enumerate(b[1], 1):
+            best[i][j] = max(best[i][j - 1], best[i - 1][j], best[i - 1][j - 1] + brute_matching(x, y))
+    return best[-1][-1] + 1
+
+
+def test_matching_is_that_of_the_textbook():
+    rng = random.Random(8)
+
+    def tree(depth):
+        return [rng.choice("abc"), [tree(depth - 1) for _ in range(rng.randrange(5) if depth else 0)]]
+
+    def node(t):
+        return [t[0], 1, 0, {}, [node(k) for k in t[1]], 0, 0, 0, 0]
+
+    for _ in range(300):
+        a, b = (["r", [tree(3) for _ in range(rng.randrange(5))]] for _ in range(2))
+        x, y = node(a), node(b)
+        assert match(x, y)[id(x), id(y)][0] == brute_matching(a, b)
+
+
+def test_any_depth():
+    rng = random.Random(3)
+    deep = lambda i: "<div>" * 10_000 + f"<p>{i} {rng.random()}</p><p>legal</p>" + "</div>" * 10_000 + "<span>" * 5_000 + "x"
+    pages = [deep(i) for i in range(6)]
+    w = Wrapper()
+    for source in pages:
+        w.add(Wrapper.of_page(parse(source)))
+    known = Wrapper.load(w.dump()).layout()
+    for source in pages:
+        assert X.main_text(source) == source.replace("</p><p>", " ").split("<p>")[1].split("</p>")[0] + " x"
+        assert "legal" not in X.main_text(source, known)
+
+
+def test_names_that_articles_use_are_believed_where_the_wrapper_shows_furniture():
+    for name in ("related work", "search results", "social history", "alert-levels"):
+        assert X.main_text(f"<article><p>a</p><div class='{name}'><p>b</p></div></article>") == "a b"
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))
+    rows = [(text(), text(), text()) for _ in range(40)]
+    pages = [f"<article><p>{a}</p>{f'<div class=search-results>{c}</div>' if i == 7 else ''}<div class=related>{b}</div></article>" for i, (a, b, c) in enumerate(rows)]
+    w = Wrapper()
+    for source in pages:
+        w.add(Wrapper.of_page(parse(source)))
+    known = w.layout()
+    assert [X.main_text(s, known) for s in pages] == [a if i != 7 else f"{a} {c}" for i, (a, b, c) in enumerate(rows)]
+    assert X.main_text("<article>a<div class='ad-box'>b</div><p hidden>c</p><div class=comments>d</div><div class='share bar'>e</div></article>") == "a c"
+
+
+def test_the_wrapper_decides_without_an_article(spark):
+    rng = random.Random(10)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    made = {i: (text(25), text(30)) for i in range(80)}
+    source = lambda a, b: f"<body><div>The Daily Thing</div><div><p>{a}</p><p>{b}</p><p>Send us your letters</p></div><div>All rights kept</div></body>"
+    df = spark.createDataFrame([(i, f"http://one.example/{i}", source(*t)) for i, t in made.items()], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in X.report(df).collect()} == {i: " ".join(t) for i, t in made.items()}
+    alone = df.withColumn("url", F.concat(F.lit("http://h"), F.col("page_id").cast("string"), F.lit(".example/")))
+    assert {r.page_id: r.text for r in X.report(alone).collect()} == {i: f"The Daily Thing {a} {b} Send us your letters All rights kept" for i, (a, b) in made.items()}
 
 
 def test_constant_places_become_template():
@@ -48,7 +115,7 @@ def test_constant_places_become_template():
         for source, _ in pages[k : k + 10]:
             part.add(Wrapper.of_page(parse(source)))
         whole.add(Wrapper.load(part.dump()))
-    known = whole.template_texts()
+    known = whole.layout()
     for source, want in pages:
         assert X.main_text(source, known) == want
         assert "Read more below" in X.main_text(source)
@@ -66,7 +133,7 @@ def test_a_constant_text_among_equal_siblings_is_template():
             for source in pages[k : k + 100]:
                 part.add(Wrapper.of_page(parse(source)))
             whole.add(Wrapper.load(part.dump()))
-        known = whole.template_texts()
+        known = whole.layout()
         assert [X.main_text(s, known) for s in pages] == [" ".join(a) for a in articles]
 
 
@@ -78,7 +145,7 @@ def test_a_place_that_was_dropped_while_rare_is_template():
     w = Wrapper()
     for source in pages:
         w.add(Wrapper.of_page(parse(source)))
-    known = w.template_texts()
+    known = w.layout()
     assert all("notice" not in X.main_text(s, known) for s in pages)
 
 
@@ -87,8 +154,8 @@ def test_copies_of_one_page_keep_their_text():
     w = Wrapper()
     for _ in range(50):
         w.add(Wrapper.of_page(parse(source)))
-    assert w.template_texts() is None
-    assert X.main_text(source, w.template_texts()) == want
+    assert w.layout() is None
+    assert X.main_text(source, w.layout()) == want
 
 
 def test_a_long_constant_block_and_copies_leave_the_layout(spark):

@@ -31,14 +31,14 @@ _TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
     re.DOTALL,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "template")
+    __slots__ = ("tag", "attrs", "children", "template", "common")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.children, self.template = tag, attrs or {}, [], False
+        self.tag, self.attrs, self.children, self.template, self.common = tag, attrs or {}, [], False, False
 
     def elements(self):
         """This element and all below it, in page order."""
@@ -54,7 +54,7 @@ class Element:
 
 
 def _attributes(text: str) -> dict[str, str]:
-    if "=" not in text and "hidden" not in text:
+    if "=" not in text:
         return {}
     out: dict[str, str] = {}
     for m in _ATTR.finditer(text):

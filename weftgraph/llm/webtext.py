@@ -2,16 +2,21 @@
 
 First every host's wrapper is built (see ``wrappers``): each task merges the pages that it reads, by host,
 and the partial wrappers of a host are merged in two steps, so no task sees all pages of a host and only
-pages that occur several times on a host move: they count once. Then each page is laid over its host's wrapper again; places with constant text are
-template and dropped. What varies but is not the article (menus, forms, adverts, notices, comments) is
-told by element and by words in class, id and role.
+pages that occur several times on a host move: they count once. Then each page is laid over its host's wrapper again:
+places with constant text are template and dropped, wherever they are; slots whose text varies are content.
+
+What varies but is no article text needs another sign. Elements that HTML itself sets apart (nav, aside, footer, form,
+script) go always, and so does what is named after nothing but furniture (``class="ad-box"``, ``id="comments"``).
+Names that articles use too (``related``, ``search``) are only believed if the wrapper shows that place to be
+part of the host's layout, or, on a host without a wrapper, outside the article.
 
 Wrappers are broadcast if they take no more than ``BROADCAST_BYTES`` together; otherwise pages and
 wrappers are joined by host, where Spark splits the pages of a hot host.
 
 Cases: a null or empty page has an empty text; pages without an address form one host; hosts with
-few pages, or whose pages are copies of one page, have no template and are told by roles alone; if
-the template would leave nothing, roles alone decide; broken markup never fails.
+few pages, or whose pages are copies of one page, have no wrapper and are told by elements and names alone; if
+the template would leave nothing, these alone decide; broken markup and nesting of any depth never fail; text that is
+hidden by a style is text.
 """
 
 from __future__ import annotations
@@ -38,42 +43,54 @@ _DROPPED = frozenset(
     "head script style noscript template iframe object embed svg canvas audio video nav footer aside form button select textarea input "
     "datalist dialog menu search title".split()
 )
-# Words in class or id, cut at anything but letters, that name what is not the article.
-_NOT_ARTICLE = frozenset(
-    "ad ads adv adslot adbox adunit advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu "
-    "sidebar aside footer header masthead topbar breadcrumb breadcrumbs pagination pager cookie cookies consent gdpr notice notices alert "
-    "popup modal overlay comment comments commentlist discussion disqus replies reply respond share sharing social related recommended "
-    "recommendations newsletter subscribe subscription signup login search widget toolbar skip copyright paywall".split()
+# Names of furniture: a class or id made of these words alone, and of the words below, is not article text.
+_FURNITURE = frozenset(
+    "ad ads adv adslot adbox adunit advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu "
+    "sidebar aside footer masthead topbar breadcrumb breadcrumbs pagination pager cookie cookies consent gdpr notice notices popup comment comments "
+    "commentlist disqus share sharing newsletter subscribe paywall".split()
+)
+_PARTS = frozenset("box slot unit wrap wrapper container block section area list item items inner outer top bottom left right panel bar links buttons form".split())
+# Names that furniture shares with articles.
+_DOUBTFUL = frozenset(
+    "banner header alert modal overlay discussion replies reply respond social related recommended recommendations subscription signup login search "
+    "widget toolbar skip copyright".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _CONTENT = frozenset("content article post entry story".split())
 _WORDS = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _KEPT_ROOTS = ("html", "body", "#root", "main")
 
 
+def _tokens(e: Element) -> list[set[str]]:
+    """The words of each class and id."""
+    return [set(_WORDS.findall(t)) for t in f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}".lower().split()]
+
+
 def _names(e: Element) -> set[str]:
-    return set(_WORDS.findall(f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}".lower()))
+    return set().union(*_tokens(e))
 
 
-def not_article(e: Element, inside: bool = False) -> bool:
-    """Whether an element is something else than article text; ``inside``: it stands in the article."""
+def not_article(e: Element, inside: bool = False, laid_out: bool = False) -> bool:
+    """Whether an element is something else than article text.
+
+    ``inside``: it stands in the article; ``laid_out``: the page has been laid over a wrapper.
+    """
     if e.tag in _DROPPED:
         return True
     if e.tag == "header" and not (inside and any(x.tag in ("h1", "h2") for x in e.elements())):
         return True
     if not e.attrs or e.tag in _KEPT_ROOTS:
         return False
-    if "hidden" in e.attrs or e.attrs.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(e.attrs.get("style", "")):
-        return True
     if e.attrs.get("role", "").lower() in _ROLES:
         return True
-    names = _names(e)
-    if e.tag == "article" or inside:
-        names -= {"header"}
-    if not names & _NOT_ARTICLE:
+    tokens = _tokens(e)
+    named = any(t & _FURNITURE and t <= _FURNITURE | _PARTS for t in tokens)
+    if not named and (e.common if laid_out else not inside):
+        doubtful = _DOUBTFUL - {"header"} if inside or e.tag == "article" else _DOUBTFUL
+        named = any(t & doubtful and t <= _FURNITURE | _PARTS | _DOUBTFUL for t in tokens)
+    if not named:
         return False
-    # Words like "with-sidebar" also name the frame of a whole page; a frame holds the article.
+    # Such words also name the frame of a whole page; a frame holds the article.
     if e.tag == "article":
         return True
     return not any(x.tag in ("article", "main") and not not_article(x) for x in e.elements() if x is not e)
@@ -107,7 +124,7 @@ def roots(page: Element) -> list[Element]:
     return [page]
 
 
-def _joined(tops: list[Element], use_template: bool = False) -> str:
+def _joined(tops: list[Element], use_template: bool = False, inside: bool = True, laid_out: bool = False) -> str:
     blocks: list[str] = []
     run: list[str] = []
 
@@ -125,7 +142,7 @@ def _joined(tops: list[Element], use_template: bool = False) -> str:
             elif isinstance(e, str):
                 run.append(e)
             else:
-                if e is not top and not_article(e, True):
+                if e is not top and not_article(e, inside, laid_out):
                     if e.tag in BLOCK:
                         flush()
                     continue
@@ -143,16 +160,17 @@ def _joined(tops: list[Element], use_template: bool = False) -> str:
 
 
 def main_text(source: str | None, wrapper: Wrapper | None = None) -> str:
-    """The article of one page, given what is template on its host."""
+    """The article of one page, given its host's layout."""
     if not source:
         return ""
     page = parse(source)
     tops = roots(page)
-    if wrapper is not None:
+    inside, laid_out = tops != [page], wrapper is not None
+    if laid_out:
         wrapper.mark(page)
-        if text := _joined(tops, use_template=True):
+        if text := _joined(tops, True, inside, True):
             return text
-    return _joined(tops)
+    return _joined(tops, False, inside, laid_out)
 
 
 def host_of(url: Column) -> Column:
@@ -232,7 +250,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
                     if len(ready) > 2000:
                         ready.clear()
                     data = shipped.value.get(host) if shipped is not None else given[i].as_py()
-                    ready[host] = Wrapper.load(data).template_texts() if data else None
+                    ready[host] = Wrapper.load(data).layout() if data else None
                 texts.append(main_text(column[html_col][i].as_py(), ready[host]))
             yield pa.RecordBatch.from_arrays([*(column[f.name] for f in fields), pa.array(texts, pa.string())], schema.names)
 

@@ -26,6 +26,8 @@ from weftgraph.llm.dom import RAW, Element
 
 #: A place is template if at least this share of its pages has one of its commonest texts, over so many pages.
 SHARE, LEAST_PAGES = 0.9, 5
+#: A place is common, part of a host's layout, if so many pages have it.
+COMMON = 0.4
 KEPT, MOST_NODES = 20, 1500
 _MANY = 12
 
@@ -59,42 +61,85 @@ def _add_texts(into: list, other: list) -> None:
         into[SHORT] += least
 
 
-def outline(elements: list[Element]) -> tuple[list, list]:
-    """A wrapper node of equally labelled elements, and the same tree of the elements themselves."""
+def _groups(elements: list[Element]) -> tuple[list, list[list[Element]]]:
+    """A wrapper node of equally labelled elements, without children yet, and the groups of equally labelled children."""
     texts: dict[int, int] = {}
-    kids: list[list[Element]] = []
+    kids: list[Element] = []
     for e in elements:
         if text := e.own_text():
             texts[_hash(text)] = 1
-        kids += [[c] for c in e.children if isinstance(c, Element) and c.tag not in _SKIPPED]
-    node = [_label(elements[0]), 1, int(bool(texts)), texts, [], 0, len(texts), 0, 0]
+        kids += [c for c in e.children if isinstance(c, Element) and c.tag not in _SKIPPED]
     groups: list[list[Element]] = []
     anywhere = len(kids) > _MANY
     place: dict[str, int] = {}
     for kid in kids:
-        label = _label(kid[0])
+        label = _label(kid)
         if groups and label in place and (anywhere or place[label] == len(groups) - 1):
-            groups[place[label]] += kid
+            groups[place[label]].append(kid)
         else:
             place[label] = len(groups)
-            groups.append(kid)
-    refs = []
-    for group in groups:
-        child, ref = outline(group)
-        node[KIDS].append(child)
-        refs.append(ref)
-    return node, [elements, refs]
-
-
-def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two nodes with equal labels: matched nodes, and the paired children."""
-    left, right = a[KIDS], b[KIDS]
-    if not left or not right:
-        return 1, []
-    if len(left) == len(right) and all(x[LABEL] == y[LABEL] for x, y in zip(left, right, strict=True)):
-        return 1 + sum(match(x, y)[0] for x, y in zip(left, right, strict=True)), [(i, i) for i in range(len(left))]
+            groups.append([kid])
+    return [_label(elements[0]), 1, int(bool(texts)), texts, [], 0, len(texts), 0, 0], groups
+
+
+def outline(elements: list[Element]) -> tuple[list, list]:
+    """A wrapper node of equally labelled elements, and the same tree of the elements themselves. Depth is no matter here and below."""
+    node, groups = _groups(elements)
+    ref: list = [elements, []]
+    stack = [(node, ref, groups)]
+    while stack:
+        above, above_ref, groups = stack.pop()
+        for group in groups:
+            child, below = _groups(group)
+            child_ref: list = [group, []]
+            above[KIDS].append(child)
+            above_ref[1].append(child_ref)
+            stack.append((child, child_ref, below))
+    return node, ref
+
+
+Pairs = dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]
+
+
+def match(a: list, b: list) -> Pairs:
+    """Simple tree matching of two nodes with equal labels and of all below that may be paired.
+
+    For each pair of nodes (by ``id``) the most nodes that can be matched, and the children paired for that.
+    """
+    known: Pairs = {}
+    stack = [(a, b, False)]
+    while stack:
+        x, y, ready = stack.pop()
+        key = id(x), id(y)
+        if key in known:
+            continue
+        left, right = x[KIDS], y[KIDS]
+        if not left or not right:
+            known[key] = 1, []
+            continue
+        labels = [k[LABEL] for k in left]
+        aligned = len(set(labels)) == len(labels) and labels == [k[LABEL] for k in right]
+        if aligned:
+            open_ = list(zip(left, right, strict=True))
+        else:
+            by_label: dict[str, list] = {}
+            for k in right:
+                by_label.setdefault(k[LABEL], []).append(k)
+            open_ = [(k, other) for k in left for other in by_label.get(k[LABEL], ())]
+        if not ready:
+            stack.append((x, y, True))
+            stack += [(k, other, False) for k, other in open_ if (id(k), id(other)) not in known]
+        elif aligned:
+            known[key] = 1 + sum(known[id(k), id(other)][0] for k, other in open_), [(i, i) for i in range(len(left))]
+        else:
+            known[key] = _best(left, right, known)
+    return known
+
+
+def _best(left: list, right: list, known: Pairs) -> tuple[int, list[tuple[int, int]]]:
+    """The ordered pairing of children with most matched nodes."""
     n, m = len(left), len(right)
-    gain = [[match(x, y)[0] if x[LABEL] == y[LABEL] else 0 for y in right] for x in left]
+    gain = [[known[id(x), id(y)][0] if x[LABEL] == y[LABEL] else 0 for y in right] for x in left]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
         for j in range(1, m + 1):
@@ -112,48 +157,78 @@ def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     return 1 + best[n][m], pairs[::-1]
 
 
-def merge(into: list, other: list) -> None:
-    """Lays ``other`` over ``into``; nodes without a counterpart are kept at their place."""
-    into[PAGES] += other[PAGES]
-    into[SEEN] += other[SEEN]
-    _add_texts(into, other)
-    into[MISSED] += other[MISSED]
-    pairs = match(into, other)[1]
-    if other[LOST]:
-        matched = {i for i, _ in pairs}
-        for i, kid in enumerate(into[KIDS]):
-            if i not in matched:
-                _miss(kid, other[LOST])
-    for i, j in pairs:
-        merge(into[KIDS][i], other[KIDS][j])
-    if len(pairs) < len(other[KIDS]):
-        place, spot, added = {j: i for i, j in pairs}, 0, 0
-        for j, kid in enumerate(other[KIDS]):
-            if j in place:
-                spot = place[j] + 1 + added
-            else:
-                if into[LOST]:
-                    _miss(kid, into[LOST])
-                into[KIDS].insert(spot, kid)
-                spot, added = spot + 1, added + 1
-    into[LOST] += other[LOST]
+def merge(tree: list, added: list) -> None:
+    """Lays ``added`` over ``tree``; nodes without a counterpart are kept at their place."""
+    known = match(tree, added)
+    stack = [(tree, added)]
+    while stack:
+        into, other = stack.pop()
+        pairs = known[id(into), id(other)][1]
+        into[PAGES] += other[PAGES]
+        into[SEEN] += other[SEEN]
+        _add_texts(into, other)
+        into[MISSED] += other[MISSED]
+        stack += [(into[KIDS][i], other[KIDS][j]) for i, j in pairs]
+        if other[LOST]:
+            matched = {i for i, _ in pairs}
+            for i, kid in enumerate(into[KIDS]):
+                if i not in matched:
+                    _miss(kid, other[LOST])
+        if len(pairs) < len(other[KIDS]):
+            place, spot, extra = {j: i for i, j in pairs}, 0, 0
+            for j, kid in enumerate(other[KIDS]):
+                if j in place:
+                    spot = place[j] + 1 + extra
+                else:
+                    if into[LOST]:
+                        _miss(kid, into[LOST])
+                    into[KIDS].insert(spot, kid)
+                    spot, extra = spot + 1, extra + 1
+        into[LOST] += other[LOST]
+
+
+def _nodes(node: list):
+    """A node and all below it, each before its children and these in order."""
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack += reversed(node[KIDS])
 
 
 def _size(node: list) -> int:
-    return 1 + sum(map(_size, node[KIDS]))
+    return sum(1 for _ in _nodes(node))
 
 
 def _miss(node: list, pages: int) -> None:
-    node[MISSED] += pages
-    for k in node[KIDS]:
-        _miss(k, pages)
+    for k in _nodes(node):
+        k[MISSED] += pages
+
 
+def _prune(tree: list, least: float) -> None:
+    for node in _nodes(tree):
+        node[LOST] = max([node[LOST], *(k[PAGES] + k[MISSED] for k in node[KIDS] if k[PAGES] + k[MISSED] <= least)])
+        node[KIDS] = [k for k in node[KIDS] if k[PAGES] + k[MISSED] > least]
 
-def _prune(node: list, least: float) -> None:
-    node[LOST] = max([node[LOST], *(k[PAGES] + k[MISSED] for k in node[KIDS] if k[PAGES] + k[MISSED] <= least)])
-    node[KIDS] = [k for k in node[KIDS] if k[PAGES] + k[MISSED] > least]
-    for k in node[KIDS]:
-        _prune(k, least)
+
+def _flat(tree: list | None) -> list[list]:
+    """The nodes in order, each with its number of children in place of them."""
+    return [[*n[:KIDS], len(n[KIDS]), *n[KIDS + 1 :]] for n in _nodes(tree)] if tree is not None else []
+
+
+def _grown(nodes: list[list]) -> list | None:
+    """The tree that ``_flat`` has laid out."""
+    open_: list[tuple[list, int]] = []
+    for node in nodes:
+        n, node[KIDS] = node[KIDS], []
+        if open_:
+            above, left = open_.pop()
+            above[KIDS].append(node)
+            if left > 1:
+                open_.append((above, left - 1))
+        if n:
+            open_.append((node, n))
+    return nodes[0] if nodes else None
 
 
 class Wrapper:
@@ -183,35 +258,38 @@ class Wrapper:
     def dump(self) -> bytes:
         if self.tree is not None and _size(self.tree) > MOST_NODES:
             _prune(self.tree, 0.1 * self.tree[PAGES])
-        return zlib.compress(pickle.dumps((self.tree, self.same)), 1)
+        return zlib.compress(pickle.dumps((_flat(self.tree), self.same)), 1)
 
     @classmethod
     def load(cls, data: bytes) -> Wrapper:
-        return cls(*pickle.loads(zlib.decompress(data)))
+        nodes, same = pickle.loads(zlib.decompress(data))
+        return cls(_grown(nodes), same)
+
+    def layout(self) -> Wrapper | None:
+        """This wrapper with only its template texts, and places that nearly half of the pages have; None if the host shows no layout: few pages, or copies of one.
 
-    def template_texts(self) -> Wrapper | None:
-        """This wrapper with only its template texts; None if the host shows no layout: few pages, or copies of one."""
+        In what is returned PAGES says whether a place is common.
+        """
         pages = self.tree[PAGES] if self.tree is not None else 0
         if pages < LEAST_PAGES or self.same is not None:
             return None
-
-        def kept(node: list) -> list:
-            most = {h: n for h, n in node[TEXTS].items() if n + node[SHORT] >= SHARE * node[SEEN] and node[SEEN] >= LEAST_PAGES and node[SEEN] + node[MISSED] >= SHARE * pages}
-            return [node[LABEL], node[PAGES], node[SEEN], most, [k for k in map(kept, node[KIDS])], 0, 0, 0, 0]
-
-        return Wrapper(kept(self.tree))
+        nodes = []
+        for node in _flat(self.tree):
+            enough = node[SEEN] >= LEAST_PAGES and node[SEEN] + node[MISSED] >= SHARE * pages
+            most = {h: n for h, n in node[TEXTS].items() if n + node[SHORT] >= SHARE * node[SEEN]} if enough else {}
+            nodes.append([node[LABEL], int(node[PAGES] + node[MISSED] >= COMMON * pages), node[SEEN], most, node[KIDS], 0, 0, 0, 0])
+        return Wrapper(_grown(nodes))
 
     def mark(self, root: Element) -> None:
-        """Marks the elements of a page whose own text is template."""
+        """Marks the elements of a page whose own text is template (``template``), and those at common places (``common``)."""
         if self.tree is None:
             return
         page, refs = outline([root])
-
-        def walk(node: list, ref: list, known: list) -> None:
-            if known[TEXTS]:
-                for e in ref[0]:
-                    e.template = _hash(e.own_text()) in known[TEXTS]
-            for i, j in match(known, node)[1]:
-                walk(node[KIDS][j], ref[1][j], known[KIDS][i])
-
-        walk(page, refs, self.tree)
+        pairs = match(self.tree, page)
+        stack = [(self.tree, page, refs)]
+        while stack:
+            known, node, (elements, below) = stack.pop()
+            for e in elements:
+                e.common = bool(known[PAGES])
+                e.template = bool(known[TEXTS]) and _hash(e.own_text()) in known[TEXTS]
+            stack += [(known[KIDS][i], node[KIDS][j], below[j]) for i, j in pairs[id(known), id(node)][1]]
