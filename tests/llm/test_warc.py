@@ -2,6 +2,7 @@ import hashlib
 import glob
 
 import zstandard
+from pyspark.sql import functions as F
 
 from weftgraph.llm import warc as W
 
@@ -59,6 +60,22 @@ def test_equal_rows_are_one_response(spark):
     assert {r.refers_to for r in rows} == {None, 1}
 
 
+def test_revisits_lead_to_their_response_through_the_index(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", "page " * 40 + str(i % 7)) for i in range(60)] + [(None, "u", "none " * 40), (None, "v", "none " * 40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    W.write(df, f"{tmp_path}/a")
+    records = W.read(spark, f"{tmp_path}/a")
+    names = records.where("record_type = 'revisit'").select(F.col("refers_to_record").alias("record_id"))
+    assert names.count() == 54
+    got = {r.record_id: r for r in W.fetch(spark, f"{tmp_path}/a", names).collect()}
+    assert len(got) == 8 and all(r.record_type == "response" for r in got.values())
+    by_id = {str(i): h for i, _, h in rows}
+    for r in records.where("record_type = 'revisit' AND page_id IS NOT NULL").collect():
+        there = got[r.refers_to_record]
+        assert there.page_id == r.refers_to and bytes(there.payload).decode() == by_id[r.page_id] and there.payload_digest == r.payload_digest
+    assert W.fetch(spark, f"{tmp_path}/a", spark.createDataFrame([("x",), (None,)], "record_id string")).count() == 0
+
+
 def test_sql_says_the_same(spark):
     import duckdb
 

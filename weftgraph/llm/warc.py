@@ -10,9 +10,9 @@ Bundles are written as binary rows of a Parquet table in the shared folder, beca
 what Spark can write to any store; ``export`` copies them to ``.warc.zst`` files.
 
 Of records with equal payloads of at least ``REVISIT_LEAST`` bytes, the one with the smallest
-identifier is the response; the others become revisit records without a payload. The smallest
-identifier of each digest is aggregated before any page moves, so thousands of copies of one
-page cost one row for each task.
+identifier is the response; the others become revisit records without a payload, which name the response's record.
+Rows are numbered and written once, so that numbers stay what they are if an executor is lost. Which are revisits
+is found from digests alone; payloads move once, by their numbers, so that copies of one page spread over all tasks.
 
 Cases: a null payload is an empty response; a null identifier sorts last and stays null; equal
 rows (same identifier and payload) are one response and revisits of it; an empty table gives
@@ -128,18 +128,22 @@ def _plain(address: str | None) -> str:
 
 
 def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = REVISIT_LEAST) -> DataFrame:
-    """Rows (id, url, payload, bytes, digest, refers_to, revisit); a revisit's payload is null."""
+    """Rows (id, url, payload, bytes, digest, refers_to, refers_row, revisit, row); a revisit's payload is null."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload"))
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("bytes", F.octet_length("payload").cast("bigint"))
-    rows = rows.withColumn("digest", F.sha2(F.encode("payload", "UTF-8"), 256))
+    rows = scratch.written(rows.withColumn("digest", F.sha2(F.encode("payload", "UTF-8"), 256)), "numbered", "zstd")
+    large = rows.where(F.col("bytes") >= least).select("id", "row", "digest")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
-    first = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(first.select("digest", "first"), "digest", "left")
-    revisit = F.coalesce(F.col("first.row") != F.col("row"), F.lit(False))
-    return joined.select(
-        "id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "bytes", "digest",
-        F.when(revisit, F.col("first.id")).alias("refers_to"), revisit.alias("revisit"), "row",
-    )
+    first = large.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    again = large.join(first, "digest").where(F.col("row") != F.col("first.row"))
+    again = scratch.written(again.select("row", F.col("first.id").alias("refers_to"), F.col("first.row").alias("refers_row")), "revisits")
+    joined = rows.join(again, "row", "left")
+    revisit = F.col("refers_row").isNotNull()
+    return joined.select("id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "bytes", "digest", "refers_to", "refers_row", revisit.alias("revisit"), "row")
+
+
+def _name(page, row: int) -> str:
+    return f"urn:page:{'' if page is None else page}:{row}"
 
 
 def bundles(rows: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -156,7 +160,7 @@ def bundles(rows: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int =
         writer = BundleWriter(frame_bytes)
         for batch in batches:
             for r in batch.to_pylist():
-                name = f"urn:page:{'' if r['id'] is None else r['id']}:{r['row']}"
+                name = _name(r["id"], r["row"])
                 headers = {
                     "WARC-Type": "revisit" if r["revisit"] else "response", "WARC-Record-ID": f"<{name}>", "WARC-Target-URI": _plain(r["url"]),
                     "WARC-Date": "1970-01-01T00:00:00Z", "Content-Type": "text/html;charset=utf-8", "WARC-Payload-Digest": f"sha256:{r['digest']}",
@@ -164,7 +168,7 @@ def bundles(rows: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int =
                 }
                 if r["revisit"]:
                     headers["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-                    headers["WARC-Refers-To"] = f"<urn:page:{'' if r['refers_to'] is None else r['refers_to']}>"
+                    headers["WARC-Refers-To"] = f"<{_name(r['refers_to'], r['refers_row'])}>"
                 writer.add(name, warc_record(headers, (r["payload"] or "").encode("utf-8", "surrogatepass")))
                 if writer.size >= bundle_bytes:
                     yield done(writer)
@@ -180,31 +184,64 @@ def write(pages: DataFrame, path: str, **columns: str) -> None:
     bundles(planned(pages, **columns)).write.option("compression", "none").parquet(path)
 
 
+_RECORD = {"page_id": pa.string(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.string(), "refers_to_record": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string()}
+_RECORD_SCHEMA = "page_id string, url string, record_type string, refers_to string, refers_to_record string, payload binary, payload_bytes bigint, payload_digest string"
+
+
+def _parsed(headers: dict[str, str], block: bytes) -> tuple:
+    """One record, its payload held against its length and digest."""
+    revisit, digest = headers["WARC-Type"] == "revisit", headers["WARC-Payload-Digest"].removeprefix("sha256:")
+    if not revisit and (len(block) != int(headers["X-Payload-Length"]) or hashlib.sha256(block).hexdigest() != digest):
+        raise ValueError(f"damaged record {headers['WARC-Record-ID']}")
+    record = headers["WARC-Refers-To"][1:-1] if revisit else None
+    to = record.removeprefix("urn:page:").rsplit(":", 1)[0] if revisit else None
+    return headers["X-Page-ID"] or None, headers["WARC-Target-URI"], headers["WARC-Type"], to or None, record, None if revisit else block, int(headers["X-Payload-Length"]), digest
+
+
+def _records(rows: list[tuple], *before: pa.Array) -> pa.RecordBatch:
+    arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RECORD.values(), strict=True)]
+    return pa.RecordBatch.from_arrays([*before, *arrays], [*(["record_id"] if before else []), *_RECORD])
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of an archive: (page_id text, url, record_type, refers_to text, payload, bytes, digest).
+    """Every record of an archive: (page_id text, url, record_type, refers_to and its record, payload, bytes, digest).
 
     Each stored payload is held against its length and digest; a mismatch is an error.
     """
-    schema = "page_id string, url string, record_type string, refers_to string, payload binary, payload_bytes bigint, payload_digest string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"]
-        types = [pa.string()] * 4 + [pa.binary(), pa.int64(), pa.string()]
         for batch in batches:
             for bundle in batch.column(0):
                 data = bundle.as_py()
                 table = seek_table(data)
                 for frame in range(len(table)):
-                    rows = []
-                    for h, block in parse_records(read_frame(data, frame, table)):
-                        revisit, digest = h["WARC-Type"] == "revisit", h["WARC-Payload-Digest"].removeprefix("sha256:")
-                        if not revisit and (len(block) != int(h["X-Payload-Length"]) or hashlib.sha256(block).hexdigest() != digest):
-                            raise ValueError(f"damaged record {h['WARC-Record-ID']}")
-                        to = h["WARC-Refers-To"][len("<urn:page:") : -1] if revisit else None
-                        rows.append((h["X-Page-ID"] or None, h["WARC-Target-URI"], h["WARC-Type"], to or None, None if revisit else block, int(h["X-Payload-Length"]), digest))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    return spark.read.schema(BUNDLE_SCHEMA).parquet(path).select("bundle").mapInArrow(run, schema)
+                    yield _records([_parsed(*r) for r in parse_records(read_frame(data, frame, table))])
+
+    return spark.read.schema(BUNDLE_SCHEMA).parquet(path).select("bundle").mapInArrow(run, _RECORD_SCHEMA)
+
+
+def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The records that ``wanted`` names (one column, ``record_id``), found through the index: only their frames are decompressed.
+
+    Unknown and null names find nothing, repeated ones one record.
+    """
+    archive = spark.read.schema(BUNDLE_SCHEMA).parquet(path)
+    places = archive.select("bundle_id", F.explode("index").alias("at")).join(wanted.select(F.col("record_id")).distinct(), F.col("at.record_id") == F.col("record_id"))
+    spots = places.groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("at.frame", "at.offset", "at.length", "record_id"))).alias("spots"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bundle, spots in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                data = bundle.as_py()
+                table, now, plain = seek_table(data), None, b""
+                rows = []
+                for s in spots:
+                    if s["frame"] != now:
+                        now, plain = s["frame"], read_frame(data, s["frame"], table)
+                    rows += [_parsed(*r) for r in parse_records(plain[s["offset"] : s["offset"] + s["length"]])]
+                yield _records(rows, pa.array([s["record_id"] for s in spots], pa.string()))
+
+    return archive.join(spots, "bundle_id").select("bundle", "spots").mapInArrow(run, f"record_id string, {_RECORD_SCHEMA}")
 
 
 def export(spark: SparkSession, path: str, folder: str) -> DataFrame:
