@@ -39,6 +39,8 @@ from weftgraph.llm.textcols import mix, without
 
 #: Largest Bloom filter of repeated fingerprints that is broadcast, in bytes.
 FILTER_BYTES = 32 << 20
+#: Bytes of text that one task sorts, about.
+PART_BYTES = 64 << 20
 
 
 def canonical(text: str | None) -> str:
@@ -210,7 +212,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Rows of _ROW_SCHEMA: each document with its edited text's digests and the next document's."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     order = (F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     found = scratch.written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_edited, _ROW_SCHEMA), "digests")
     firsts, lasts = found.where(F.col("kind") == _FIRST), found.where(F.col("kind") == _LAST)
     # One row for each partition that has rows; after the last of these comes the first.
@@ -227,6 +230,8 @@ def report(docs: DataFrame) -> DataFrame:
     rows = with_next(docs)
     rows = _with_numbers(rows, numbers, "hash", "sha", "fingerprint")
     rows = _with_numbers(rows, numbers, "edited_hash", "edited_form_sha", "edited_fingerprint")
-    rows = _with_numbers(rows, numbers, "next_hash", "next_sha", "next_fingerprint")
-    like = lambda other: F.when(F.col("fingerprint") == F.col(other), 1.0).otherwise(0.0)
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"))
+    # Equal hashes of an edited text and another are the same text only if their SHA-256 is equal too.
+    like = lambda h, sha: F.when((F.col("hash") == F.col(h)) & (F.col("sha") == F.col(sha)), 1.0).otherwise(0.0)
+    near = like("edited_hash", "edited_form_sha").alias("near_edited"), like("next_hash", "next_sha").alias("near_next")
+    edited = F.when((F.col("hash") == F.col("edited_hash")) & (F.col("sha") != F.col("edited_form_sha")), F.concat("edited_fingerprint", F.lit("-edited"))).otherwise(F.col("edited_fingerprint"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", edited.alias("edited_fingerprint"), *near)
