@@ -1,3 +1,6 @@
+import zlib
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -60,6 +63,34 @@ def test_accuracy_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_decisions_match_plain_sets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.collect()
+    counts = {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            counts.setdefault(r.lang, Counter()).update(brute_grams(r.text))
+    share = {n: {g: k / c.total() for g, k in c.items()} for n, c in counts.items()}
+    most = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    least = {n: L.LEAST_COUNT if c.total() >= L.LARGE_SAMPLE else 1 for n, c in counts.items()}
+    held = {n: {g for g, k in c.items() if k >= least[n] and share[n][g] * L.CONTRAST >= most[g]} for n, c in counts.items()}
+    got, same = {r.doc_id: r for r in L.report(docs).collect()}, 0
+    for r in rows:
+        grams = brute_grams(r.text)
+        part = {n: sum(g in held[n] for g in grams) / max(1, len(grams)) for n in sorted(held)}
+        best = max(part.values())
+        same += got[r.doc_id].lang_pred == max(part, key=part.get)
+        assert abs(part.get(got[r.doc_id].lang_pred, best) - best) < 0.03 and abs(got[r.doc_id].score - best) < 0.03
+    assert same >= 0.99 * len(rows)
+
+
+def test_a_language_with_few_short_texts_is_learnt(spark):
+    few = ["zorvax quilmet brundel", "quilmet hadrow zorvax", "brundel hadrow ximbel", "ximbel zorvax tolquen"]
+    rows = [(i, "the and that of which with from " * 30, "en") for i in range(200)] + [(1000 + i, t, "zz") for i, t in enumerate(few * 3)] + [(5000, "hadrow quilmet ximbel", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.report(df).where("doc_id = 5000").first().lang_pred == "zz"
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame(
         [(1, None, "en"), (2, "", "en"), (3, "12 34 !!", None), (None, "the and that", "en"), (5, "the and that " * 40, "en"), (6, "der die das " * 40, "de"), (6, "der die das " * 40, "de")],

@@ -41,6 +41,8 @@ GRAM, SLOTS, PROBES = 4, 1 << 21, 2
 CONTRAST = 3.0
 #: Least count of an n-gram in a language's sample.
 LEAST_COUNT = 3
+#: A sample of fewer n-grams, or of fewer documents, is small: all its n-grams count.
+LARGE_SAMPLE, SMALL_SAMPLE = 200_000, 200
 UNDECIDED = "und"
 
 _CHUNK_CHARS = 1 << 21
@@ -101,7 +103,7 @@ class Filters:
         if names:
             hashes = np.concatenate([counts[n][0] for n in names])
             share = np.concatenate([counts[n][1] / max(1, counts[n][1].sum()) for n in names])
-            enough = np.concatenate([counts[n][1] >= min(LEAST_COUNT, max(1, counts[n][1].max(initial=1))) for n in names])
+            enough = np.concatenate([counts[n][1] >= (LEAST_COUNT if counts[n][1].sum() >= LARGE_SAMPLE else 1) for n in names])
             which = np.repeat(np.arange(len(names)), [len(counts[n][0]) for n in names])
             _, at = np.unique(hashes, return_inverse=True)
             most = np.zeros(at.max(initial=-1) + 1)
@@ -176,7 +178,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     totals = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = totals.where(F.col("n") >= 2).toArrow()
+    # A language with few texts keeps the n-grams that it has once.
+    rare = F.create_map(*(F.lit(x) for n in names for x in (n, 1 if sizes[n] < SMALL_SAMPLE else 2)))
+    table = totals.where(F.col("n") >= rare[F.col("lang")]).toArrow()
     langs = np.array(table.column("lang").to_pylist(), dtype=object)
     grams, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
     return Filters.build(names, {x: (grams[langs == x], n[langs == x]) for x in names})
