@@ -48,7 +48,9 @@ from weftgraph.llm.textcols import _powers_to, as_strings, buffers, mix, row_chu
 
 LENGTH, GRAM = 400, 120
 #: Bytes of contexts that one task indexes, about, and different contexts of one anchor that stay together.
-TASK_BYTES, GROUP = 4 << 20, 1000
+TASK_BYTES, GROUP = 2 << 20, 1000
+#: Bytes of text that are cut into contexts at once, and contexts that a task counts before it sends them.
+SLICE_BYTES, MOST_SEEN = 1 << 19, 200_000
 #: Most crowded groups whose keys are broadcast; more are joined.
 MOST_BROADCAST = 500_000
 _NO_ID = -(1 << 63)
@@ -110,8 +112,8 @@ def repeated_starts(texts: list[bytes], anchors: np.ndarray, groups: np.ndarray,
     first, last = int(left.min()), int(right.max())
     # The columns of the collection, one line for each; 256 stands where a document has no byte.
     table = np.full((m, last - first), 256, np.uint16)
-    begin = np.cumsum(sizes) - sizes
-    table[np.repeat(np.arange(m), sizes), np.arange(sizes.sum()) - np.repeat(begin + anchors + first, sizes)] = np.frombuffer(b"".join(texts), np.uint8)
+    for line, a, b, text in zip(table, (left - first).tolist(), (right - first).tolist(), texts, strict=True):
+        line[a:b] = np.frombuffer(text, np.uint8)
     columns = np.ascontiguousarray(table.T)
     doc = np.argsort(groups, kind="stable")  # documents in the order of their suffixes, group by group
     rank = np.cumsum(np.concatenate([[0], groups[doc][1:] != groups[doc][:-1]])).astype(np.int64)
@@ -220,7 +222,7 @@ def _refined(length: int):
                         key = xxhash.xxh3_64_intdigest(data[b + anchor : a + anchor + length], seed=b & 0xFFFFFFFF)
                         out.add(_signed(key), anchor - start, data[start : stop + length], a, b, (c1, c2), start, times, length)
             yield from out.batch()
-            if len(out.seen) > 1_000_000:
+            if len(out.seen) > MOST_SEEN:
                 yield from out.counts()
         yield from out.counts()
 
@@ -236,7 +238,7 @@ def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, raw, offsets in row_chunks(as_strings(batch.column(1))):
+            for _, raw, offsets in row_chunks(as_strings(batch.column(1)), SLICE_BYTES):
                 keys, n = np.unique(contexts(raw, offsets, length)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["gram", "n"])
 
@@ -248,7 +250,7 @@ def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             ids, strings = _keyed(batch)
             text_keys = _text_keys(strings).view(np.int64)
-            for row, raw, offsets in row_chunks(strings):
+            for row, raw, offsets in row_chunks(strings, SLICE_BYTES):
                 owner, gram, anchor, low, high = contexts(raw, offsets, length)
                 chosen = np.flatnonzero(bloom.maybe(known.value, gram)) if len(gram) else np.zeros(0, np.int64)
                 view = memoryview(np.ascontiguousarray(raw))
@@ -257,7 +259,7 @@ def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 for g, at, a, b, i, t, first in zip(*(c.tolist() for c in columns), strict=True):
                     out.add(g, at, view[a:b], GRAM - length, 0, (i, t), first, 1, length)
                 yield from out.batch()
-            if len(out.seen) > 1_000_000:
+            if len(out.seen) > MOST_SEEN:
                 yield from out.counts()
         yield from out.counts()
 
