@@ -30,21 +30,23 @@ def test_profiles():
 def test_workspaces(spark):
     registry = spark.createDataFrame([("a", "A")], "id string, displayName string")
     contexts = spark.createDataFrame([("b", "g", "s")], "workspace string, grade string, subject string")
-    roles = spark.createDataFrame([("b", "author")], "workspace string, role string")
-    assert [(r.id, r.displayName, r.role, len(r.contexts)) for r in workspaces.listed(registry, contexts, roles).collect()] == [("b", "b", "author", 1)]
+    roles = spark.createDataFrame([("b", "curator")], "workspace string, role string")
+    assert [(r.id, r.displayName, r.role, len(r.contexts)) for r in workspaces.listed(registry, contexts, roles).collect()] == [("b", "b", "curator", 1)]
     assert len(workspaces.listed(registry, contexts, roles, True).collect()) == 2
     assert workspaces.created(registry, "Été 1", "E").count() == 2 and workspaces.slugged("Été 1") == "ete-1"
     for bad in ("A", "--"):
         with pytest.raises(workspaces.Refused):
             workspaces.created(registry, bad, "x")
-    members = spark.createDataFrame([("a", "u", "admin"), ("a", "v", "viewer")], "workspace string, userId string, role string")
+    members = spark.createDataFrame([("a", "u", "admin"), ("a", "v", "curator")], "workspace string, userId string, role string")
     with pytest.raises(workspaces.Refused):
         workspaces.revoked(members, "a", "u")
     more = workspaces.granted(members, registry, "A", "v", "admin")
     assert [(r.userId, r.role) for r in workspaces.members_of(workspaces.revoked(more, "a", "u"), "a").collect()] == [("v", "admin")]
-    assert workspaces.may({"a": "approver"}, "a", "author") and not workspaces.may({"a": "viewer"}, "a", "author") and workspaces.may({}, "q", "admin", True)
-    needs = spark.createDataFrame([("read", "viewer"), ("publish", "approver")], "action string, needed string")
-    assert {(r.action, r.allowed) for r in workspaces.capabilities(roles, needs).collect()} == {("read", True), ("publish", False)}
+    assert workspaces.may({"a": "approver"}, "a", "publish") and not workspaces.may({"a": "curator"}, "a", "publish") and workspaces.may({}, "q", "manageWorkspace", True)
+    assert {r.action for r in workspaces.capabilities(roles).where("allowed").collect()} == {"apply", "discard", "readDraft"}
+    assert workspaces.of_user(more, "v").first().role == "admin" and workspaces.member(more, "a", "zz").count() == 0
+    with pytest.raises(workspaces.Refused):
+        workspaces.granted(members, registry, "a", "v", "viewer")
 
 
 def test_catalog(spark):
@@ -63,6 +65,40 @@ def test_catalog(spark):
     assert json.loads(after["f"].props) == {"description": "F", "metadata": {"keep": 1}}
 
 
+def test_cards_follow_the_rules(spark):
+    rows = [
+        ("a", "task", [], {"text": "", "title": "t", "code": 7, "order": "3", "metadata": {"order": 4, "en": {"os_texte": "e"}}}),
+        ("b", "Lesson", ["Lesson", "Course"], {"osTexte": "o", "statementCode": "s", "order": 2.5, "contentType": "c", "sourceKey": "k"}),
+        ("c", "odd", [""], {"title": "T", "description": "d", "position": 9, "identifier": "i", "statementType": "st", "metadata": {"en": {"description": "D", "statement_type": "x"}}}),
+    ]
+    got = {r.id: r.asDict() for r in display.display_nodes(mutate.node_rows(spark, rows)).collect()}
+    assert got["a"] == {"id": "a", "label": "Activity", "code": "7", "ord": 4.0, "text": "", "text_en": "e", "nt": "", "st": "", "st_en": "", "source": ""}
+    assert got["b"] == {"id": "b", "label": "Lesson", "code": "s", "ord": 2.5, "text": "o", "text_en": "", "nt": "c", "st": "", "st_en": "", "source": "k"}
+    assert got["c"] == {"id": "c", "label": "odd", "code": "i", "ord": None, "text": "T", "text_en": "D", "nt": "", "st": "st", "st_en": "x", "source": ""}
+    n = mutate.node_rows(spark, rows)
+    links = spark.createDataFrame([("1", "hasPart", "b", "c", 3, '{"orderInParent":2}'), ("2", "hasPart", "c", "a", 4, '{"orderInParent":"x","sequenceInFrom":5}'), ("3", "covers", "a", "b", 6, None)], "id string, type string, src string, dst string, seq int, props string")
+    drawn = display.display_edges(n, links)
+    assert {(r.src, r.dst): r.ord for r in drawn.collect()} == {("b", "c"): 2.0, ("c", "a"): 5.0, ("a", "b"): 6.0}
+    shown = display.display_nodes(n)
+    found = lambda q, **k: {(r.id, r.matched) for r in display.search(shown, drawn, q, **k).collect()}
+    assert found(" E ") == {("a", True), ("b", False), ("c", False)} and found("  ") == set() and found("t") == {("c", True), ("b", False)}
+    one = spark.createDataFrame([("a", "b")], "id string, parent_id string")
+    assert found("e", view_parents=one) == {("a", True), ("b", False)}
+    hung = display.display_edges(n, links.limit(0).unionByName(spark.createDataFrame([("4", "hasEducationalAlignment", "a", "b", 1, None)], links.schema)), spark.createDataFrame([("a", "c", 8)], "activity string, component string, ord int"))
+    assert [(r.src, r.dst, r.type, r.ord) for r in hung.collect()] == [("c", "a", "illustrates", 8.0)]
+    from weftgraph.operators import stats
+    assert [(r.id, r["rank"]) for r in stats.shown_roots(n, links.limit(0)).collect()] == [("b", 0), ("a", 99), ("c", 99)]
+
+
+def test_summaries(spark):
+    from weftgraph.operators import audit
+
+    rows = [("1", "discard", None, None, 3), ("2", "preview", None, None, 0), ("3", "preview", None, "r" * 200, 0), ("4", "membership", None, "added", 0), ("5", "workspace", None, None, 0), ("6", "apply", "m", None, 0)]
+    log = spark.createDataFrame(rows, "id string, eventType string, mutation string, reason string, discarded int")
+    got = {r.id: r.summary for r in audit.summary(log).collect()}
+    assert got == {"1": "discarded 3 apply(ies)", "2": "preview", "3": "r" * 139 + "…", "4": "added", "5": "workspace", "6": "m"}
+
+
 def test_exports(spark):
     n, e = graph(spark, [("c", "Course", {"description": "C", "z": "y" * 500}), ("l", "Lesson", {}), ("q", "Lesson", {})], [("hasPart", "c", "l"), ("hasDependency", "q", "l")])
     whole = export.subtree(n, e, "c", detail=True)

@@ -46,11 +46,18 @@ def test_added_nodes_take_the_next_positions(g):
 
 
 def test_edits_and_moves(g, spark):
-    after = M.edit_node(g, "l1", {"description": "new", "metadata.level.a": [1, 2.0]})
+    after = M.edit_node(g, "l1", {"metadata.level.a": [1, 2.0]}, title="new")
     assert after.nodes.where("id = 'l1'").first().props == '{"description":"new","metadata":{"level":{"a":[1,2]}},"position":3}'
-    for path in ("id", "metadata", "metadata.id.x"):
+    for path in ("normalizedType", "metadata", "metadata.role.x", "position", "description", "content", ""):
         with pytest.raises(M.Rejected):
             M.edit_node(g, "l1", {path: "x"})
+    for bad in ({"content": ""}, {"title": ""}, {"position": float("nan")}, {"position": "1"}, {}):
+        with pytest.raises(M.Rejected):
+            M.edit_node(g, "l1", **bad)
+    both = M.edit_node(M.edit_node(g, "l1", {"metadataFoo": 1, "metadata.x": 1}), "l1", position=4, title_en="E", summary="S")
+    assert json.loads(both.nodes.where("id = 'l1'").first().props) == {"description": "node l1", "position": 4, "metadataFoo": 1, "metadata": {"x": 1, "en": {"description": "E"}, "summary": "S"}}
+    ordered = M.Graph(M.node_rows(spark, [("a", "Lesson", ["Lesson"], {"metadata": {"order": 1}, "text": "t"})]), g.edges)
+    assert json.loads(M.edit_node(ordered, "a", position=2, title="T").nodes.first().props) == {"metadata": {"order": 2}, "text": "T", "description": "T"}
     many = spark.createDataFrame([("l1", {"a.b": "1"}), ("l2", {"position": "x"})], "id string, changes map<string,string>")
     assert json.loads(M.edit_many(g, many).nodes.where("id = 'l1'").first().props)["a"] == {"b": "1"}
     moved = M.move_node(g, "l2", "c", position=9)
@@ -84,7 +91,7 @@ def test_preview_and_confirm(g):
 def test_hash_ignores_order_and_sees_content(g):
     h = lambda x: overlay.graph_hash(*x).first().hash
     assert h(g) == h(M.Graph(g.nodes.orderBy(F.col("id").desc()).repartition(3), g.edges.repartition(2)))
-    assert h(g) != h(M.edit_node(g, "c", {"description": "other"}))
+    assert h(g) != h(M.edit_node(g, "c", title="other"))
 
 
 def test_store_lifecycle(g, spark, tmp_path):
@@ -97,7 +104,7 @@ def test_store_lifecycle(g, spark, tmp_path):
     assert s.namespaces() == ["w/_catalog/s", "w/g/s"] and s.namespaces(reserved=False) == ["w/g/s"]
     before = overlay.graph_hash(*s.published("w/g/s")).first().hash
     s.apply("w/g/s", M.delete_nodes(g, ["g1"]))
-    s.apply("w/g/s", M.edit_node(s.active("w/g/s")[0], "c", {"description": "draft"}))
+    s.apply("w/g/s", M.edit_node(s.active("w/g/s")[0], "c", title="draft"))
     s.write_config("w/g/s", {"guide": 2})
     assert overlay.graph_hash(*s.published("w/g/s")).first().hash == before and s.active("w/g/s")[1] == "draft"
     ops = sorted((r.side, r.op, r.id) for r in s.difference("w/g/s").collect())

@@ -95,3 +95,40 @@ def normal_renderings(renderings: Column) -> Column:
 
 def primary_rendering(renderings: Column) -> Column:
     return F.coalesce(F.try_element_at(renderings, F.lit("fr")), F.get(F.map_values(renderings), 0))
+
+
+# Subjects with a name of their own, in two languages.
+SUBJECTS = {"maths": ("Mathématiques", "Mathematics"), "reading": ("Lecture", "Reading")}
+
+
+def capitalised(text: Column) -> Column:
+    """The first letter in upper case, the rest as it is."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
+
+
+def namespace_label(grade: Column, subject: Column) -> Column:
+    """(fr, en) of a grade and subject."""
+    named = lambda i: F.concat(F.coalesce(*(F.when(subject == k, v[i]) for k, v in SUBJECTS.items()), capitalised(subject)), F.lit(" — "), F.upper(grade))
+    return F.struct(named(0).alias("fr"), named(1).alias("en"))
+
+
+def text_of(value: Column) -> Column:
+    """A value as text, nothing as the empty text."""
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def stored_apart(canonical: Column, least: int) -> Column:
+    """Whether arguments, as canonical JSON, are long enough to be kept aside instead of being sent again."""
+    return F.length(canonical) >= least
+
+
+# What a message says when the store is to blame.
+_STORE_SIGNS = (
+    r"(?i)\b(ECONNRESET|ETIMEDOUT|ENOTFOUND|ECONNREFUSED|EAI_AGAIN)\b|socket hang up|network error|Could not (load|refresh) default credentials|credential"
+    r"|GaxiosError|firebase|storage bucket|\bbucket\b|Quota exceeded|rate limit|DEADLINE_EXCEEDED|UNAVAILABLE"
+)
+
+
+def error_code(message: Column) -> Column:
+    """STORE_UNAVAILABLE if the message has a sign of it, else INTERNAL_ERROR."""
+    return F.when(message.rlike(_STORE_SIGNS), "STORE_UNAVAILABLE").otherwise("INTERNAL_ERROR")

@@ -65,11 +65,30 @@ def broken_chain(log: DataFrame, by: str = "namespace") -> DataFrame:
 
 
 def summary(log: DataFrame) -> DataFrame:
-    """(id, summary): one line for each record."""
+    """(id, summary): one line on what each record touched, by its kind. Columns that a log lacks count as null."""
     from weftgraph.functions.text import truncated
 
-    text = F.concat_ws(" ", "eventType", F.lit("by"), "actor", F.concat(F.lit("at "), F.col("ts")), F.col("reason") if "reason" in log.columns else F.lit(None))
-    return log.select("id", truncated(text, 140).alias("summary"))
+    has = lambda name, kind="string": F.col(name) if name in log.columns else F.lit(None).cast(kind)
+    joined = lambda sep, *parts: F.concat_ws(sep, *(F.nullif(p, F.lit("")) for p in parts))
+    n = lambda value: F.coalesce(value, F.lit(0)).cast("string")
+    side = lambda what, name: F.when(
+        F.aggregate(F.array(*(F.coalesce(has(f"{what}_{op}", "bigint"), F.lit(0).cast("bigint")) for op in ("added", "changed", "removed"))), F.lit(0).cast("bigint"), lambda x, y: x + y) > 0,
+        F.concat(n(has(f"{what}_added", "bigint")), F.lit(" added / "), n(has(f"{what}_changed", "bigint")), F.lit(" changed / "), n(has(f"{what}_removed", "bigint")), F.lit(f" removed {name}(s)")),
+    )
+    counts = joined("; ", side("nodes", "node"), side("edges", "edge"))
+    # The wording of each kind.
+    by_kind = {
+        "apply": truncated(joined(" — ", has("mutation"), counts), 140),
+        "createDraft": F.lit("draft created from published"),
+        "publish": joined(" · ", F.concat(F.lit("promoted "), n(has("promoted", "bigint")), F.lit(" apply(ies)")), F.when(has("selfAuthored", "boolean"), "self-approved")),
+        "discard": F.concat(F.lit("discarded "), n(has("discarded", "bigint")), F.lit(" apply(ies)")),
+        "blocked": truncated(joined(": ", has("mutation"), has("reason")), 140),
+        "preview": truncated(F.coalesce(has("reason"), F.lit("preview")), 140),
+        "read": truncated(joined(" · ", F.concat(F.lit("returned "), n(has("readCount", "bigint")), F.lit(" record(s)")), has("readQuery")), 140),
+        "membership": truncated(F.coalesce(has("reason"), F.col("eventType")), 140),
+        "workspace": truncated(F.coalesce(has("reason"), F.col("eventType")), 140),
+    }
+    return log.select("id", F.coalesce(*(F.when(F.col("eventType") == k, text) for k, text in by_kind.items())).alias("summary"))
 
 
 def per_window(log: DataFrame, minutes: int = 60) -> DataFrame:

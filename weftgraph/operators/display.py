@@ -12,20 +12,38 @@ DRAWN = {
     "hasPart": ("hasChild", False), "usesRoutine": ("hasChild", False), "supports": ("hasChild", True), "hasEducationalAlignment": ("hasChild", True),
     "hasDependency": ("buildsTowards", True),
 }
+# The label of a node that has none, by its kind.
+LABEL_OF_KIND = {
+    "domaine": "StandardsFrameworkItem", "chapter": "StandardsFrameworkItem", "lesson": "StandardsFrameworkItem", "standard": "StandardsFrameworkItem",
+    "week": "StandardsFrameworkItem", "component": "LearningComponent", "task": "Activity",
+}
 #: Alignment is followed from content to what it is aligned with; support from a standard to its components.
 ALIGNMENTS, SUPPORT = ("hasEducationalAlignment", "illustrates"), "supports"
 
 
 def display_nodes(nodes: DataFrame) -> DataFrame:
-    """(id, label, text, code, ord, source): what a card shows; ``text`` falls back to the label's and id's."""
-    p = lambda k: F.nullif(F.get_json_object("props", f"$.{k}"), F.lit(""))
-    label = F.coalesce(F.get(F.col("labels"), 0), F.lit("(unlabeled)"))
+    """What a card shows: id, label, code, ord, text and text_en, nt (normalised type), st and st_en (statement type), source.
+
+    The first property that is there counts, also an empty one. Only JSON numbers are an order.
+    """
+    first = lambda *keys: F.coalesce(*(F.get_json_object("props", f"$.{k}") for k in keys), F.lit(""))
+    kind = F.coalesce(*(F.when(F.col("type") == k, v) for k, v in LABEL_OF_KIND.items()), F.col("type"))
+    number = lambda text: F.from_json(text, "order double")["order"]
     return nodes.select(
-        "id", label.alias("label"), F.coalesce(p("title"), p("text"), p("description"), F.col("id")).alias("text"), F.coalesce(p("code"), F.lit("")).alias("code"),
-        F.coalesce(p("order").cast("double"), p("position").cast("double")).alias("ord"), F.coalesce(p("metadata.source"), p("source")).alias("source"),
+        "id", F.coalesce(F.nullif(F.get(F.col("labels"), 0), F.lit("")), kind).alias("label"), first("code", "statementCode", "identifier").alias("code"),
+        F.coalesce(number(F.col("props")), number(F.get_json_object("props", "$.metadata"))).alias("ord"),
+        first("text", "title", "description", "osTexte").alias("text"), first("metadata.en.description", "metadata.en.os_texte").alias("text_en"),
+        first("normalizedType", "normalizedStatementType", "contentType").alias("nt"), first("statementType").alias("st"),
+        first("metadata.en.statement_type").alias("st_en"), first("sourceKey").alias("source"),
     )
 
 
+def edge_order(edges: DataFrame) -> Column:
+    """An edge's place: its own order in the parent, else in the sequence, else ``seq``, else 0. ``props`` and ``seq`` may be missing."""
+    found = [F.from_json("props", f"{k} double")[k] for k in ("orderInParent", "sequenceInFrom")] if "props" in edges.columns else []
+    return F.coalesce(*found, *([F.col("seq").cast("double")] if "seq" in edges.columns else []), F.lit(0.0))
+
+
 def flat_props(nodes: DataFrame) -> DataFrame:
     """(id, props map): top-level properties without metadata, then metadata without its translation; the latter wins."""
     whole = F.from_json("props", "map<string,string>")
@@ -37,9 +55,9 @@ def flat_props(nodes: DataFrame) -> DataFrame:
 
 
 def display_edges(nodes: DataFrame, edges: DataFrame, illustrates: DataFrame | None = None) -> DataFrame:
-    """(src, dst, rel, type): edges as drawn between shown nodes, on the axis ``rel``; ``type`` is what they are.
+    """(src, dst, rel, type, ord): edges as drawn between shown nodes, on the axis ``rel``; ``type`` is what they are, ``ord`` where.
 
-    ``illustrates`` (activity, component): such an activity hangs below its component instead of below what it is
+    ``illustrates`` (activity, component, and ord if known): such an activity hangs below its component instead of below what it is
     aligned with, and is no longer drawn below its frame; a component that is not shown changes nothing.
     """
     ids = nodes.select("id")
@@ -48,13 +66,13 @@ def display_edges(nodes: DataFrame, edges: DataFrame, illustrates: DataFrame | N
     turned = F.col("type").isin(*(k for k, (_, back) in DRAWN.items() if back))
     a, b = F.when(turned, F.col("dst")).otherwise(F.col("src")), F.when(turned, F.col("src")).otherwise(F.col("dst"))
     kind = F.when(F.col("type") == "hasDependency", "buildsTowards").otherwise(F.col("type"))
-    drawn = rows.select(a.alias("src"), b.alias("dst"), axis.alias("rel"), kind.alias("type"))
+    drawn = rows.select(a.alias("src"), b.alias("dst"), axis.alias("rel"), kind.alias("type"), edge_order(edges).alias("ord"))
     if illustrates is None:
         return drawn
-    known = illustrates.join(ids.select(F.col("id").alias("component")), "component", "left_semi").select(F.col("activity").alias("dst"), "component")
+    known = illustrates.join(ids.select(F.col("id").alias("component")), "component", "left_semi").select(F.col("activity").alias("dst"), "component", (F.col("ord").cast("double") if "ord" in illustrates.columns else F.lit(0.0)).alias("own"))
     moved = drawn.join(known, "dst", "left")
     hung, framed = F.col("component").isNotNull() & (F.col("type") == "hasEducationalAlignment"), F.col("component").isNotNull() & (F.col("type") == "hasChild")
-    return moved.where(~framed).select(F.when(hung, F.col("component")).otherwise(F.col("src")).alias("src"), "dst", "rel", F.when(hung, "illustrates").otherwise(F.col("type")).alias("type"))
+    return moved.where(~framed).select(F.when(hung, F.col("component")).otherwise(F.col("src")).alias("src"), "dst", "rel", F.when(hung, "illustrates").otherwise(F.col("type")).alias("type"), F.when(hung, F.col("own")).otherwise(F.col("ord")).alias("ord"))
 
 
 def scoped_subtree(drawn: DataFrame, start: DataFrame, most_depth: int = 4) -> DataFrame:
@@ -144,11 +162,16 @@ def progression(drawn: DataFrame) -> DataFrame:
     return ahead.select(F.col("src").alias("id")).distinct().join(ahead.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
-def search(shown: DataFrame, drawn: DataFrame, query: str) -> DataFrame:
-    """(id, matched): nodes whose text or code holds the query, and all above them."""
-    q = query.lower()
-    hits = shown.where(F.contains(F.lower("text"), F.lit(q)) | F.contains(F.lower("code"), F.lit(q))).select("id")
+def search(shown: DataFrame, drawn: DataFrame, query: str, view_parents: DataFrame | None = None) -> DataFrame:
+    """(id, matched): nodes of which a text in either language or the code holds the query, and those above them; none for an empty one.
+
+    ``view_parents`` (id, parent_id): the one parent that a view hangs each node below; without it all parents count.
+    """
+    q = query.lower().strip()
+    hits = shown.where(F.lit(bool(q)) & F.greatest(*(F.contains(F.lower(c), F.lit(q)) for c in ("text", "text_en", "code")))).select("id")
     ways = drawn.where("rel = 'hasChild'").select(F.col("dst").alias("a"), F.col("src").alias("b"))
+    if view_parents is not None:
+        ways = view_parents.select(F.col("id").alias("a"), F.col("parent_id").alias("b"))
     return closure(hits, ways).groupBy("id").agg((F.min("depth") == 0).alias("matched"))
 
 

@@ -11,11 +11,25 @@ from weftgraph.operators import display
 
 #: Largest subtree and largest response, in bytes of indented JSON.
 SUBTREE_BYTES, RESPONSE_BYTES = 80 * 1024, 100 * 1024
-#: Labels in the order of a legend (fixed values), and the layers that views are offered for.
+# The labels of a legend in its order, in two languages.
+LEGEND = {
+    "StandardsFramework": ("Cadre de référence", "Standards framework"),
+    "StandardsFrameworkItem": ("Élément du cadre", "Framework item"),
+    "Course": ("Cours", "Course"),
+    "LessonGrouping": ("Regroupement", "Lesson grouping"),
+    "Lesson": ("Leçon", "Lesson"),
+    "Activity": ("Activité", "Activity"),
+    "Material": ("Matériel", "Material"),
+    "LearningComponent": ("Composant", "Learning component"),
+    "TeachingLearningMaterial": ("Document", "Document (TLM)"),
+    "DocumentSection": ("Section", "Document section"),
+    "Formatter": ("Formateur", "Formatter"),
+    "FormatterSpec": ("Règle de format", "Formatter spec"),
+}
+#: The layers that views are offered for.
 STANDARDS = ("StandardsFramework", "StandardsFrameworkItem")
 CONTENT = ("Course", "LessonGrouping", "Lesson", "Activity", "Material", "InstructionalRoutine")
 DOCUMENTS = ("TeachingLearningMaterial", "DocumentSection", "Formatter", "FormatterSpec")
-LEGEND = (*STANDARDS, "LearningComponent", *CONTENT, *DOCUMENTS)
 
 
 def size_of(value) -> int:
@@ -50,7 +64,7 @@ def summary(shown: DataFrame, drawn: DataFrame) -> dict[str, DataFrame]:
     has = lambda labels: F.max(F.col("label").isin(*labels))
     layers = present.agg(has(STANDARDS).alias("standards"), has(("LearningComponent",)).alias("components"), has(CONTENT).alias("curriculum"), has(DOCUMENTS).alias("documents"))
     ahead = drawn.agg(F.coalesce(F.max(F.col("rel") == "buildsTowards"), F.lit(False)).alias("progression"))
-    return {"legend": display.taxonomy(shown, LEGEND), "sources": display.sources(shown), "views": layers.join(F.broadcast(ahead), F.lit(True))}  # one row each
+    return {"legend": display.taxonomy(shown, tuple(LEGEND)), "sources": display.sources(shown), "views": layers.join(F.broadcast(ahead), F.lit(True))}  # one row each
 
 
 def subtree(nodes: DataFrame, edges: DataFrame, start: str, most_depth: int = 4, detail: bool = False, most_bytes: int = SUBTREE_BYTES) -> dict:

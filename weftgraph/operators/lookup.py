@@ -15,6 +15,13 @@ def entry_applies(subject: str | None = None, grade: str | None = None) -> Colum
     return one("subject", subject) & one("grade", grade)
 
 
+def glossary_entries(nodes: DataFrame) -> DataFrame:
+    """(id, renderings, subject, grade, tags) of nodes whose type or label is LexiconEntry."""
+    found = nodes.where((F.col("type") == "LexiconEntry") | F.array_contains("labels", "LexiconEntry"))
+    p = F.from_json("props", "renderings map<string,string>, subject string, grade string, tags array<string>")
+    return found.select("id", *(p[c].alias(c) for c in ("renderings", "subject", "grade", "tags")))
+
+
 def matching_terms(lexicon: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
     """Entries with a rendering that holds the query, without regard to accents and case; first by id."""
     from weftgraph.functions.text import without_accents
@@ -159,7 +166,14 @@ def fresh_domain(pool: DataFrame, used: DataFrame, ordinal: int, reach: int) ->
 
 
 # --- memberships ---------------------------------------------------------------------------------
-ROLES = ("viewer", "author", "approver", "admin", "super_admin")
+# Roles from the lowest to the highest, and the lowest that each action takes.
+ROLES = ("curator", "approver", "admin", "super_admin")
+NEEDED = {
+    "apply": "curator", "discard": "curator", "readDraft": "curator", "publish": "approver", "readAudit": "approver", "manageMembers": "admin",
+    "manageWorkspace": "super_admin",
+}
+#: Super admins are named in a setting.
+MOST_SUPER_ADMINS = 1000
 
 
 def memberships(rows: DataFrame) -> DataFrame:
@@ -178,7 +192,10 @@ def effective_roles(users: DataFrame, rows: DataFrame, default_workspace: str) -
     legacy = users.where(F.col("legacyRole").isNotNull()).select("userId", F.lit(default_workspace).alias("workspace"), F.col("legacyRole").alias("role"))
     legacy = legacy.join(mine.select("userId", "workspace"), ["userId", "workspace"], "left_anti")
     plain = mine.unionByName(legacy).join(users.where("superAdmin").select("userId"), "userId", "left_anti")
-    everywhere = users.where("superAdmin").select("userId").join(rows.select("workspace").distinct(), F.lit(True)).select("userId", "workspace", F.lit("super_admin").alias("role"))
+    named = users.where("superAdmin").select("userId").distinct()
+    if named.limit(MOST_SUPER_ADMINS + 1).count() > MOST_SUPER_ADMINS:
+        raise ValueError(f"more than {MOST_SUPER_ADMINS} super admins")
+    everywhere = rows.select("workspace").distinct().join(F.broadcast(named), F.lit(True)).select("userId", "workspace", F.lit("super_admin").alias("role"))
     return plain.unionByName(everywhere)
 
 
@@ -186,6 +203,15 @@ def allowed(roles: DataFrame, needed: str) -> DataFrame:
     return roles.where(rank(F.col("role")) >= rank(F.lit(needed)))
 
 
+def verdicts(requests: DataFrame, roles: DataFrame) -> DataFrame:
+    """Requests (userId, action, workspace, known) with role, allowed, and why not: no identity, no role, or the role it needs."""
+    asked = requests.join(roles.select("userId", "workspace", "role"), ["userId", "workspace"], "left").withColumn("role", F.when(F.col("known"), F.col("role")))
+    needs = F.coalesce(*(F.when(F.col("action") == a, r) for a, r in NEEDED.items()))
+    may = F.coalesce(rank(F.col("role")) >= rank(needs), F.lit(False)) & F.col("role").isNotNull()
+    why = F.when(~F.col("known"), "no identity").when(F.col("role").isNull(), "no role").when(~may, F.coalesce(F.concat(F.lit("needs "), needs), F.lit("unknown action")))
+    return asked.withColumn("allowed", may).withColumn("why", why)
+
+
 def last_admin(rows: DataFrame) -> DataFrame:
     """Workspaces where one admin is left."""
     return rows.where("role = 'admin'").groupBy("workspace").agg(F.countDistinct("userId").alias("n")).where("n <= 1").select("workspace")

@@ -22,8 +22,11 @@ from weftgraph.operators import overlay, traverse
 
 #: Edge types that are known without being observed.
 EDGE_TYPES = ("hasChild", "hasPart", "supports", "buildsTowards", "hasDependency", "hasEducationalAlignment", "relatesTo", "usesRoutine", "covers")
-#: Paths of a node that an edit must not change.
-PROTECTED = ("id", "type", "labels", "spine", "identifier", "metadata.id", "metadata.identifier", "metadata.type")
+# Paths that a free edit must not touch, as they say what a node is or have an argument of their own.
+PROTECTED = ("normalizedType", "normalizedStatementType", "metadata.role", "identifier", "position", "metadata.order", "description", "content")
+#: Where a node's position is kept; each place that it has is written.
+POSITION_PATHS = ("position", "metadata.order")
+GROUPING_LABELS = ("Course", "LessonGrouping", "StandardsFramework")
 ROUTINE_USERS = ("Lesson", "Course", "Activity")
 TOKEN_SECONDS, REPLAY_SECONDS = 15 * 60, 24 * 3600
 
@@ -156,22 +159,49 @@ def move_node(g: Graph, node: str, parent: str, kind: str = "hasPart", position:
         raise Rejected(f"{parent!r} is inside {node!r}")
     kept = g.edges.where(~((F.col("dst") == node) & F.col("type").isin("hasPart", "hasChild"))).select("id", "type", "src", "dst")
     moved = Graph(g.nodes, kept.unionByName(edge_rows(_spark(g), [(kind, parent, node)])))
-    return moved if position is None else edit_node(moved, node, {"position": position})
+    return moved if position is None else edit_node(moved, node, position=position)
 
 
-def edit_node(g: Graph, node: str, changes: dict[str, object]) -> Graph:
-    """Writes values at dotted paths of a node's properties; protected paths are refused."""
-    errors = [f"node {i!r} not found" for i in _missing(g, [node])] + ([] if changes else ["no changes given"])
-    errors += [f"{p!r} is protected" for p in changes if any(touches(p, q) for q in PROTECTED)]
-    if "content" in changes and not str(changes["content"] or "").strip():
-        errors.append("empty content")
+def edit_node(
+    g: Graph, node: str, properties: dict[str, object] | None = None, *, content: str | None = None, position: float | None = None, title: str | None = None,
+    title_en: str | None = None, summary: str | None = None,
+) -> Graph:
+    """Edits a node: values at dotted paths of its properties, protected ones refused, and fields with an argument of their own.
+
+    These are written to every place that mirrors them: a position to each ordinal that the node has, a title to its
+    description and to the title or text that is kept beside it.
+    """
+    from weftgraph.functions.jsontext import read_path, write_path
+
+    bag = dict(properties or {})
+    fields = {"content": content, "title": title, "summary": summary}
+    errors = [f"node {i!r} not found" for i in _missing(g, [node])]
+    if not bag and position is None and title_en is None and all(v is None for v in fields.values()):
+        errors.append("no changes given")
+    errors += ["empty key" for k in bag if not k] + [f"{p!r} is protected" for p in bag if any(touches(p, q) for q in PROTECTED)]
+    errors += [f"{k} must be a text that is not empty" for k, v in fields.items() if v is not None and (not isinstance(v, str) or not v)]
+    if position is not None and (isinstance(position, bool) or not isinstance(position, (int, float)) or position != position or abs(position) == float("inf")):
+        errors.append("position must be a number")
     if errors:
         raise Rejected(*errors)
-    from weftgraph.functions.jsontext import write_path
-
     row = g.nodes.where(F.col("id") == node).first()
     value = json.loads(row.props or "{}")
-    for path, new in changes.items():
+    if position is not None:
+        for path in [p for p in POSITION_PATHS if read_path(value, p) is not None] or POSITION_PATHS[:1]:
+            value = write_path(value, path, position)
+        if "order" in value:
+            value = write_path(value, "order", position)
+    if content is not None:
+        value = write_path(value, "content", content)
+    if title is not None:
+        value = write_path(value, "description", title)
+        beside = "title" if set(row.labels or []) & set(GROUPING_LABELS) else "text"
+        value = write_path(value, beside, title) if beside in value else value
+    if title_en is not None:
+        value = write_path(value, "metadata.en.description", title_en)
+    if summary is not None:
+        value = write_path(value, "metadata.summary", summary)
+    for path, new in bag.items():
         value = write_path(value, path, new)
     fixed = F.when(F.col("id") == node, F.lit(dumps(value))).otherwise(F.col("props"))
     return Graph(g.nodes.withColumn("props", fixed), g.edges)

@@ -50,14 +50,16 @@ def applied(before: DataFrame, writes: DataFrame, removals: DataFrame) -> DataFr
 def graph_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row (hash): the same for any order of rows, different for any other content.
 
-    Row digests are hashed within 4,096 groups of equal leading digits, and the group digests together, so no
-    task sorts all rows.
+    Each row's SHA-256 is read as four numbers of 64 bits. They are added up, modulo 2**64, by partial aggregates, and the
+    sums and the number of rows are hashed; so no list of digests is ever gathered.
     """
     rows = nodes.select(F.sha2(F.concat_ws("\x1e", F.lit("node"), "id", content(NODE_CONTENT)), 256).alias("d")).unionByName(
         edges.select(F.sha2(F.concat_ws("\x1e", F.lit("edge"), "id", content(EDGE_CONTENT)), 256).alias("d"))
     )
-    groups = rows.groupBy(F.substring("d", 1, 3).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("h"))
-    return groups.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), ""), 256).alias("hash"))
+    lane = lambda i: F.conv(F.substring("d", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
+    sums = rows.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(lane(i).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)))
+    parts = [F.pmod(F.col(f"s{i}"), F.lit(str(2**64)).cast("decimal(38,0)")).cast("decimal(20,0)").cast("string") for i in range(4)]
+    return sums.select(F.sha2(F.concat_ws("/", F.col("n").cast("string"), *parts), 256).alias("hash"))
 
 
 def capped(diff: DataFrame, cap: int = DIFF_CAP, by: tuple[str, ...] = ("side", "op")) -> DataFrame:

@@ -88,6 +88,12 @@ def children(links: DataFrame) -> DataFrame:
     return links.groupBy(F.col("parent").alias("id")).agg(F.transform(ordered, lambda x: x["child"]).alias("child_ids"))
 
 
+def placed_children(links: DataFrame) -> DataFrame:
+    """(id, place, child): the children as rows, counted from 0, which a parent of any size can have."""
+    place = F.row_number().over(Window.partitionBy("parent").orderBy("phase", "seq")) - 1
+    return links.select(F.col("parent").alias("id"), place.alias("place"), "child")
+
+
 def progression(edges: DataFrame, unit_rows: DataFrame, d: Descriptor = Descriptor()) -> DataFrame:
     """(src, dst, seq) of what builds towards what; a dependency counts backwards."""
     inner = _both_ends(edges, unit_rows)
@@ -155,6 +161,13 @@ def raw_envelope(stored: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFr
     return stored.select("id", "labels", "props"), links.withColumn("id", own).select("id", "type", "src", "dst", "seq").orderBy(F.col("seq").asc_nulls_last())
 
 
+def placed_stored_children(links: DataFrame, place: str = "place") -> DataFrame:
+    """As ``ordered_children``, as rows (id, place, child) counted from 0."""
+    at = F.coalesce(F.col(place).cast("double"), F.col("seq").cast("double"))
+    turn = F.row_number().over(Window.partitionBy("src").orderBy(at, "seq")) - 1
+    return links.select(F.col("src").alias("id"), turn.alias("place"), F.col("dst").alias("child"))
+
+
 def ordered_children(links: DataFrame, place: str = "place") -> DataFrame:
     """(id, child_ids) from stored edges: by their place, else by arrival."""
     ordered = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(place).cast("double"), F.col("seq").cast("double")).alias("p"), "seq", "dst")))

@@ -24,15 +24,16 @@ def edge_counts(edges: DataFrame) -> DataFrame:
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label): nodes that nothing contains."""
+    """(id, label, labels): nodes that nothing contains."""
     inside = edges.where(F.col("type").isin(*CONTAINMENT)).select(F.col("dst").alias("id"))
-    return nodes.join(inside, "id", "left_anti").select("id", primary_label().alias("label"))
+    return nodes.join(inside, "id", "left_anti").select("id", primary_label().alias("label"), "labels")
 
 
 def shown_roots(nodes: DataFrame, edges: DataFrame, most: int = MOST_ROOTS) -> DataFrame:
-    """The first roots by rank of label and id, with the total."""
+    """The first roots by the best rank of their labels and by id, with the total."""
     found = roots(nodes, edges)
-    rank = F.coalesce(*(F.when(F.col("label") == x, i) for i, x in enumerate(ROOT_RANK)), F.lit(99))
+    one = lambda label: F.coalesce(*(F.when(label == x, i) for i, x in enumerate(ROOT_RANK)), F.lit(99))
+    rank = F.coalesce(F.array_min(F.transform("labels", one)), F.lit(99))
     total = found.agg(F.count("*").alias("roots_total"))
     return found.withColumn("rank", rank).orderBy("rank", "id").limit(most).crossJoin(F.broadcast(total))  # one row
 

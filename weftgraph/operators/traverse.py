@@ -59,6 +59,8 @@ def closure(starts: DataFrame, ways: DataFrame, most_depth: int | None = None, t
         if not frontier.take(1):
             return seen
         seen = seen.unionByName(frontier)
+    if most_depth is None:
+        raise RuntimeError(f"more than {MOST_LEVELS} levels")
     return seen
 
 
@@ -150,7 +152,8 @@ def walk(
     if include_edges and window:
         ids = [r["id"] for r in window]
         used = traversed(edges, depths, direction, edge_types, most_depth).where(F.col("src").isin(ids) | F.col("dst").isin(ids)).orderBy("id")
-        links = [{"id": e.id, "type": e.type, "start": e.src, "end": e.dst} for e in used.collect()]
+        # No edge takes less than this in a page, so a hub's others could not be shown anyway.
+        links = [{"id": e.id, "type": e.type, "start": e.src, "end": e.dst} for e in used.limit(page_bytes // 40 + 1).collect()]
 
     def page(n: int) -> tuple[list[dict], list[dict] | None]:
         held = {x["id"] for x in shown[:n]}
@@ -199,7 +202,7 @@ def cascade(seeds: DataFrame, edges: DataFrame, types: list[str] = ["hasPart", "
         if not fresh.take(1):
             return removed
         removed = removed.unionByName(fresh)
-    return removed
+    raise RuntimeError(f"more than {MOST_LEVELS} levels")
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import without_accents
-from weftgraph.operators.lookup import ROLES
+from weftgraph.operators.lookup import NEEDED, ROLES
 
 
 class Refused(ValueError):
@@ -19,10 +19,10 @@ def slugged(name: str) -> str:
     return re.sub("[^a-z0-9]+", "-", (without_accents(name) or "").strip()).strip("-")
 
 
-def may(roles: dict[str, str], workspace: str, needed: str, super_admin: bool = False) -> bool:
-    """Whether an actor's role in a workspace is at least the one needed."""
+def may(roles: dict[str, str], workspace: str, action: str, super_admin: bool = False) -> bool:
+    """Whether an actor's role in a workspace suffices for an action."""
     rank = {r: i for i, r in enumerate(ROLES)}
-    return super_admin or rank.get(roles.get(workspace, ""), -1) >= rank[needed]
+    return super_admin or rank.get(roles.get(workspace, ""), -1) >= rank[NEEDED[action]]
 
 
 def listed(registry: DataFrame, contexts: DataFrame, roles: DataFrame, super_admin: bool = False) -> DataFrame:
@@ -75,7 +75,18 @@ def members_of(members: DataFrame, workspace: str) -> DataFrame:
     return members.where(F.col("workspace") == slugged(workspace)).orderBy("userId")
 
 
-def capabilities(roles: DataFrame, needs: DataFrame) -> DataFrame:
-    """(workspace, action, allowed): what each role suffices for. needs (action, needed)."""
-    rank = lambda c: F.coalesce(*(F.when(F.col(c) == r, i) for i, r in enumerate(ROLES)), F.lit(-1))
-    return roles.join(F.broadcast(needs), F.lit(True)).select("workspace", "action", (rank("role") >= rank("needed")).alias("allowed"))  # a fixed list of actions
+def of_user(members: DataFrame, user: str) -> DataFrame:
+    """A user's memberships, by workspace."""
+    return members.where(F.col("userId") == user).orderBy("workspace")
+
+
+def member(members: DataFrame, workspace: str, user: str) -> DataFrame:
+    """The one membership of a user in a workspace, or no row."""
+    return members.where((F.col("workspace") == slugged(workspace)) & (F.col("userId") == user)).limit(1)
+
+
+def capabilities(roles: DataFrame) -> DataFrame:
+    """(workspace, action, allowed): what each role suffices for; the actions are a fixed short list."""
+    rank = lambda c: F.coalesce(*(F.when(c == r, i) for i, r in enumerate(ROLES)), F.lit(-1))
+    needs = F.explode(F.array(*(F.struct(F.lit(a).alias("action"), F.lit(r).alias("needed")) for a, r in NEEDED.items()))).alias("x")
+    return roles.select("workspace", "role", needs).select("workspace", "x.action", (rank(F.col("role")) >= rank(F.col("x.needed"))).alias("allowed"))

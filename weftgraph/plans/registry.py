@@ -36,7 +36,7 @@ def _query(sql: str | None = None, overlay_too: bool = False, more: str = ""):
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return project.nodes(spark, sf_dir), project.edges(spark, sf_dir)
+    return project.graph(spark, sf_dir)
 
 
 def draft(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +86,7 @@ def t4_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT id FROM nodes WHERE type = 'Course'")
 def t8_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scope.courses(project.nodes(spark, sf_dir)).select("id")
+    return scope.courses(graph(spark, sf_dir)[0]).select("id")
 
 
 @_query("SELECT root, id, depth FROM course_members", more=_MEMBERS)
@@ -176,12 +176,12 @@ def w10_nearest_course(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- counts ---------------------------------------------------------------------------------------
 @_query("SELECT type AS label, count(*) AS n FROM nodes GROUP BY type")
 def a1_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.node_counts(project.nodes(spark, sf_dir))
+    return stats.node_counts(graph(spark, sf_dir)[0])
 
 
 @_query("SELECT type, count(*) AS n FROM edges GROUP BY type")
 def a1_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.edge_counts(project.edges(spark, sf_dir))
+    return stats.edge_counts(graph(spark, sf_dir)[1])
 
 
 _ROOTS = "top AS (SELECT id, type AS label FROM nodes WHERE id NOT IN (SELECT dst FROM edges WHERE type IN ('hasPart', 'hasChild')))"
@@ -209,7 +209,7 @@ def a4_child_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT dst AS id, count(DISTINCT src) AS parents FROM edges WHERE type IN ('hasPart', 'hasChild') GROUP BY dst HAVING count(DISTINCT src) > 1")
 def a4_many_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.many_parents(project.edges(spark, sf_dir))
+    return stats.many_parents(graph(spark, sf_dir)[1])
 
 
 # --- drafts ---------------------------------------------------------------------------------------
@@ -238,8 +238,11 @@ def _digest(columns: tuple[str, ...]) -> str:
     return "sha256(" + " || chr(31) || ".join(f"'v' || {c}" for c in columns) + ")"
 
 
+_LANES = ", ".join(f"CAST(sum(CAST(('0x' || substr(d, {16 * i + 1}, 16)) AS UBIGINT)::HUGEINT) % 18446744073709551616 AS VARCHAR) AS s{i}" for i in range(4))
+
+
 @_query(
-    "SELECT sha256(string_agg(h, '' ORDER BY g)) AS hash FROM (SELECT substr(d, 1, 3) AS g, sha256(string_agg(d, '' ORDER BY d)) AS h FROM row_digests GROUP BY 1)",
+    f"SELECT sha256(concat_ws('/', n, s0, s1, s2, s3)) AS hash FROM (SELECT CAST(count(*) AS VARCHAR) AS n, {_LANES} FROM row_digests)",
     more=f"row_digests AS (SELECT sha256('node' || chr(30) || id || chr(30) || {_digest(overlay.NODE_CONTENT)}) AS d FROM nodes UNION ALL SELECT sha256('edge' || chr(30) || id || chr(30) || {_digest(overlay.EDGE_CONTENT)}) FROM edges)",
 )
 def o8_graph_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +251,7 @@ def o8_graph_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT id, true AS write FROM diff WHERE side = 'node' AND op <> 'removed' UNION ALL SELECT id, false FROM diff WHERE side = 'node' AND op = 'removed'", True, _DIFF)
 def o9_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    writes, removals = overlay.delta(project.nodes(spark, sf_dir), draft(spark, sf_dir)[0])
+    writes, removals = overlay.delta(graph(spark, sf_dir)[0], draft(spark, sf_dir)[0])
     return writes.select("id", F.lit(True).alias("write")).unionByName(removals.select("id", F.lit(False).alias("write")))
 
 
@@ -264,14 +267,14 @@ def o14_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT a.id AS removed_id, b.id AS added_id FROM nodes a JOIN nodes b ON a.type = b.type AND a.props = b.props WHERE a.type = 'Material'".replace("b.id AS added_id", "'Q' || substr(b.id, 2) AS added_id"))
 def v1_disguised_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = project.nodes(spark, sf_dir)
+    n = graph(spark, sf_dir)[0]
     after = n.withColumn("id", F.when(F.col("type") == "Material", F.concat(F.lit("Q"), F.substring("id", 2, 20))).otherwise(F.col("id")))
     return overlay.renamed(n, after)
 
 
 @_query("SELECT id, dst AS missing FROM edges WHERE dst NOT IN (SELECT id FROM draft_nodes) UNION SELECT id, src FROM edges WHERE src NOT IN (SELECT id FROM draft_nodes)", True)
 def v2_dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlay.dangling(project.edges(spark, sf_dir), draft(spark, sf_dir)[0])
+    return overlay.dangling(graph(spark, sf_dir)[1], draft(spark, sf_dir)[0])
 
 
 # --- parsing --------------------------------------------------------------------------------------
@@ -288,12 +291,12 @@ held AS (
 
 @_query("SELECT id, kind, title, text, ord, is_assessment FROM units", more=_UNITS)
 def p1_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.units(project.nodes(spark, sf_dir))
+    return parse.units(graph(spark, sf_dir)[0])
 
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     n, e = graph(spark, sf_dir)
-    e, units = project.with_seq(e), parse.units(n)
+    e, units = project.numbered_edges(spark, sf_dir), parse.units(n)
     return e, units, parse.containment(e, units)
 
 
@@ -302,9 +305,9 @@ def p1f_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parents(_links(spark, sf_dir)[2])
 
 
-@_query("SELECT parent AS id, string_agg(child, ',' ORDER BY phase, child) AS child_ids FROM held GROUP BY parent", more=_UNITS.replace("1 AS phase", "CASE type WHEN 'hasChild' THEN 10 ELSE 11 END AS phase").replace("dst, src, 2", "dst, src, CASE type WHEN 'hasEducationalAlignment' THEN 20 ELSE 21 END"))
+@_query("SELECT parent AS id, CAST(row_number() OVER (PARTITION BY parent ORDER BY phase, child) - 1 AS INTEGER) AS place, child FROM held", more=_UNITS.replace("1 AS phase", "CASE type WHEN 'hasChild' THEN 10 ELSE 11 END AS phase").replace("dst, src, 2", "dst, src, CASE type WHEN 'hasEducationalAlignment' THEN 20 ELSE 21 END"))
 def p1g_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.children(_links(spark, sf_dir)[2]).withColumn("child_ids", F.array_join("child_ids", ","))
+    return parse.placed_children(_links(spark, sf_dir)[2])
 
 
 @_query("SELECT dst AS src, src AS dst FROM edges WHERE type = 'hasDependency'")
@@ -316,7 +319,7 @@ def p1h_progression(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT id FROM nodes WHERE type IN ('Course', 'LessonGrouping', 'Lesson', 'Material') AND (type <> 'Material' OR id IN (SELECT dst FROM edges WHERE type = 'hasPart' AND src LIKE 'L%')) UNION ALL SELECT DISTINCT dst FROM edges WHERE type = 'hasEducationalAlignment' UNION ALL SELECT DISTINCT s.src FROM edges s JOIN edges a ON a.dst = s.dst AND a.type = 'hasEducationalAlignment' WHERE s.type = 'supports'")
 def p2_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = graph(spark, sf_dir)
-    units = parse.parsed(n, project.with_seq(e))
+    units = parse.parsed(n, project.numbered_edges(spark, sf_dir))
     return parse.pruned(units, ["Course"], ["Standard"], ["Course", "Lesson"], "LearningComponent").select("id")
 
 
@@ -329,19 +332,19 @@ def p3_model_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT id, seq FROM (SELECT id, row_number() OVER (ORDER BY type, src, dst) AS seq FROM edges)")
 def p4_stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = graph(spark, sf_dir)
-    return parse.serialised(n, project.with_seq(e), parse.units(n))[1].select("id", "seq")
+    return parse.serialised(n, project.numbered_edges(spark, sf_dir), parse.units(n))[1].select("id", "seq")
 
 
 @_query("SELECT id, type NOT IN ('TeachingLearningMaterial', 'DocumentSection') AS spine FROM nodes")
 def p4_stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = graph(spark, sf_dir)
-    return parse.serialised(n, project.with_seq(e), parse.units(n))[0].select("id", "spine")
+    return parse.serialised(n, project.numbered_edges(spark, sf_dir), parse.units(n))[0].select("id", "spine")
 
 
 @_query("SELECT 'hasChild:' || parent || '->' || child AS id, CAST(row_number() OVER (PARTITION BY parent ORDER BY phase, child) - 1 AS INTEGER) AS place FROM held", more=_UNITS.replace("1 AS phase", "CASE type WHEN 'hasChild' THEN 10 ELSE 11 END AS phase").replace("dst, src, 2", "dst, src, CASE type WHEN 'hasEducationalAlignment' THEN 20 ELSE 21 END"))
 def p5_spine_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = graph(spark, sf_dir)
-    return parse.spine_edges(parse.parsed(n, project.with_seq(e))).where("type = 'hasChild'").select("id", "place")
+    return parse.spine_edges(parse.parsed(n, project.numbered_edges(spark, sf_dir))).where("type = 'hasChild'").select("id", "place")
 
 
 # --- rewriting ------------------------------------------------------------------------------------
@@ -367,7 +370,7 @@ def w6_flagged_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', CAST(strpos('0123456789abcdef', substr(h, 17, 1)) AS INTEGER), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id, id AS seed FROM (SELECT id, sha1(id) AS h FROM nodes WHERE type = 'Course')")
 def p10_derived_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project.nodes(spark, sf_dir).where("type = 'Course'").select(rewrite.derived_id(F.col("id")).alias("id"), F.col("id").alias("seed"))
+    return graph(spark, sf_dir)[0].where("type = 'Course'").select(rewrite.derived_id(F.col("id")).alias("id"), F.col("id").alias("seed"))
 
 
 @_query("SELECT id FROM (SELECT DISTINCT type || ':' || CASE WHEN type = 'covers' THEN 'T' || lpad(regexp_extract(source, '(\\d+)', 1), 3, '0') ELSE src END || '->' || dst AS id FROM edges LEFT JOIN documents ON type = 'covers' AND src = 'D' || lpad(CAST(doc_id AS VARCHAR), 7, '0'))".replace("\\\\", "\\"))
@@ -476,22 +479,23 @@ def a14_events_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DRAWN = """drawn AS (
   SELECT src, dst, CASE type WHEN 'hasPart' THEN 'hasChild' ELSE type END AS rel, type FROM edges WHERE type IN ('hasPart', 'hasChild', 'covers')
   UNION ALL SELECT dst, src, CASE type WHEN 'hasDependency' THEN 'buildsTowards' ELSE 'hasChild' END, CASE type WHEN 'hasDependency' THEN 'buildsTowards' ELSE type END FROM edges WHERE type IN ('supports', 'hasEducationalAlignment', 'hasDependency')),
-shown AS (SELECT id, type AS label, coalesce(json_extract_string(props, '$.description'), id) AS text, CAST(json_extract_string(props, '$.position') AS DOUBLE) AS ord FROM nodes)"""
+shown AS (SELECT id, type AS label, coalesce(json_extract_string(props, '$.description'), '') AS text, CASE WHEN json_type(props, '$.order') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(json_extract(props, '$.order') AS DOUBLE) END AS ord,
+  coalesce(json_extract_string(props, '$.normalizedStatementType'), '') AS nt FROM nodes)"""
 
 
-@_query("SELECT id, label, text, ord FROM shown", more=_DRAWN)
+@_query("SELECT id, label, text, ord, nt FROM shown", more=_DRAWN)
 def f10_display_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return display.display_nodes(project.nodes(spark, sf_dir)).select("id", "label", "text", "ord")
+    return display.display_nodes(graph(spark, sf_dir)[0]).select("id", "label", "text", "ord", "nt")
 
 
-@_query("SELECT src, dst, rel, type FROM drawn", more=_DRAWN)
+@_query("SELECT src, dst, rel, type, CAST(0 AS DOUBLE) AS ord FROM drawn", more=_DRAWN)
 def f13_display_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display.display_edges(*graph(spark, sf_dir))
 
 
 @_query("SELECT label, count(*) AS n, CASE label WHEN 'Course' THEN 0 WHEN 'Lesson' THEN 1 ELSE 2 END AS place FROM shown GROUP BY label", more=_DRAWN)
 def a9_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return display.taxonomy(display.display_nodes(project.nodes(spark, sf_dir)), ("Course", "Lesson"))
+    return display.taxonomy(display.display_nodes(graph(spark, sf_dir)[0]), ("Course", "Lesson"))
 
 
 @_query("SELECT json_extract_string(c.props, '$.audience') AS audience, json_extract_string(o.props, '$.groupName') AS groupName, count(*) AS n, min(o.id) AS first FROM edges e JOIN nodes c ON c.id = e.src JOIN nodes o ON o.id = e.dst WHERE e.type = 'hasPart' AND c.type = 'Course' GROUP BY 1, 2")
@@ -505,7 +509,7 @@ def c13_grouped_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT label, count(*) AS n, min(id) AS first, max(id) AS last FROM shown GROUP BY label", more=_DRAWN)
 def c14_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return display.by_kind(display.display_nodes(project.nodes(spark, sf_dir)))
+    return display.by_kind(display.display_nodes(graph(spark, sf_dir)[0]))
 
 
 @_query(
@@ -553,10 +557,10 @@ def o15_draft_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.agg((F.count("*") > 0).alias("open"), F.count("*").alias("edits_staged"))
 
 
-@_query("SELECT src AS id, string_agg(dst, ',' ORDER BY type, dst) AS child_ids FROM edges WHERE type IN ('hasPart', 'hasChild') GROUP BY src")
+@_query("SELECT src AS id, CAST(row_number() OVER (PARTITION BY src ORDER BY type, dst) - 1 AS INTEGER) AS place, dst AS child FROM edges WHERE type IN ('hasPart', 'hasChild')")
 def p7_ordered_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = project.with_seq(project.edges(spark, sf_dir)).where("type IN ('hasPart', 'hasChild')").withColumn("place", F.lit(None).cast("double"))
-    return parse.ordered_children(e).withColumn("child_ids", F.array_join("child_ids", ","))
+    e = project.numbered_edges(spark, sf_dir).where("type IN ('hasPart', 'hasChild')").withColumn("place", F.lit(None).cast("double"))
+    return parse.placed_stored_children(e)
 
 
 @_query("SELECT e.src AS parent, CAST(greatest(max(coalesce(CAST(json_extract_string(n.props, '$.position') AS DOUBLE), 0)), 0) + 1 AS DOUBLE) AS next_position FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.type = 'hasPart' GROUP BY e.src")
@@ -587,7 +591,18 @@ def t25_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.neighbours(*graph(spark, sf_dir))
 
 
-@_query("SELECT id, eventType || ' by ' || actor || ' at ' || ts AS summary FROM log", more=_AUDIT)
+@_query(
+    """SELECT id, CASE eventType
+  WHEN 'apply' THEN concat_ws(' — ', mutation, nullif(concat_ws('; ',
+    CASE WHEN na + nc > 0 THEN na || ' added / ' || nc || ' changed / 0 removed node(s)' END, CASE WHEN er > 0 THEN '0 added / 0 changed / ' || er || ' removed edge(s)' END), ''))
+  WHEN 'createDraft' THEN 'draft created from published'
+  WHEN 'publish' THEN 'promoted ' || event_id % 7 || ' apply(ies)' || CASE WHEN event_id % 5 = 0 THEN ' · self-approved' ELSE '' END
+  WHEN 'blocked' THEN concat_ws(': ', mutation, reason)
+  WHEN 'read' THEN 'returned ' || event_id % 40 || ' record(s)' || CASE WHEN event_id % 3 = 0 THEN ' · q=' || user_id ELSE '' END END AS summary
+  FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'edit_node' WHEN 1 THEN 'add_nodes' END AS mutation, CASE WHEN event_id % 2 = 0 THEN 'reason ' || user_id END AS reason,
+    event_id % 3 AS na, event_id % 4 AS nc, event_id % 5 AS er FROM log JOIN events e ON log.id = lpad(CAST(e.event_id AS VARCHAR), 9, '0'))""",
+    more=_AUDIT,
+)
 def f14_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.summary(project.audit(spark, sf_dir))
 
@@ -612,7 +627,10 @@ def c18_relations_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display.between(drawn, pairs)
 
 
-@_query("SELECT label, count(*) AS n, CASE label " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(export.LEGEND)) + f" ELSE {len(export.LEGEND)} END AS place FROM shown GROUP BY label", more=_DRAWN)
+_LEGEND = ("StandardsFramework", "StandardsFrameworkItem", "Course", "LessonGrouping", "Lesson", "Activity", "Material", "LearningComponent", "TeachingLearningMaterial", "DocumentSection")
+
+
+@_query("SELECT label, count(*) AS n, CASE label " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(_LEGEND)) + " END AS place FROM shown GROUP BY label", more=_DRAWN)
 def c11_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.whole(*graph(spark, sf_dir))[2]["legend"]
 
@@ -624,7 +642,7 @@ def c11_views_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT type AS label, id AS example, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY id) AS k FROM nodes) WHERE k = 1")
 def v6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutate.templates(project.nodes(spark, sf_dir)).withColumn("keys", F.array_join("keys", ","))
+    return mutate.templates(graph(spark, sf_dir)[0]).withColumn("keys", F.array_join("keys", ","))
 
 
 @_query("SELECT label, arg_min(edge_type, (-n, edge_type)) AS edge_type FROM (SELECT n.type AS label, e.type AS edge_type, count(*) AS n FROM edges e JOIN nodes n ON n.id = CASE e.type WHEN 'supports' THEN e.src ELSE e.dst END WHERE e.type IN ('hasPart', 'hasChild', 'supports') GROUP BY ALL) GROUP BY label")
@@ -633,8 +651,12 @@ def v6_containment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from weftgraph.plans import more  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from weftgraph.plans import more  # noqa: F401
+
     return dict(_SQL)

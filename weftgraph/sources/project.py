@@ -7,11 +7,22 @@ by key arithmetic, so every run and both engines agree.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph import scratch
+from weftgraph.sources import files
+
+
+#: Identifiers of documents that are numbered together.
+RANGE = 100_000
+TABLES = "region nation supplier customer orders lineitem part documents".split()
+_stored: dict[tuple, dict[str, str]] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,6 +56,19 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", "l_linenumber", F.col("best.l_partkey").alias("l_partkey"), F.col("best.l_returnflag").alias("l_returnflag"))
 
 
+def _with_position(docs: DataFrame) -> DataFrame:
+    """Documents with their place in their source.
+
+    A source may hold a third of all documents: rows are only numbered within ranges of identifiers, and the
+    ranges' sizes are added up before.
+    """
+    ranged = docs.withColumn("_range", F.floor(F.col("doc_id") / RANGE))
+    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("source", "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("source", "_range").orderBy("doc_id"))
+    return ranged.join(starts, ["source", "_range"]).withColumn("position", place + F.col("_start")).drop("_range", "_start")
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes of the published graph."""
     read = lambda name: table(spark, sf_dir, name)
@@ -60,7 +84,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         _node(lines(spark, sf_dir), line_id, "Lesson", position=F.col("l_linenumber").cast("int"), educationalUse=F.when(F.col("l_returnflag") == "R", "Assessment")),
         _node(read("part"), key("P", "p_partkey", 7), "Material", description=F.col("p_name"), materialType=F.col("p_type")),
         _node(docs.select("source").distinct(), key("T", number, 3), "TeachingLearningMaterial", description=F.col("source")),
-        _node(docs.withColumn("position", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))), key("D", "doc_id", 7), "DocumentSection", position=F.col("position")),
+        _node(_with_position(docs), key("D", "doc_id", 7), "DocumentSection", position=F.col("position")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -89,6 +113,37 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the files of the graph's tables look like: changed files make another graph."""
+    jvm = spark.sparkContext._jvm
+    found = []
+    for name in TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        found.append(tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    return spark.sparkContext.applicationId, sf_dir, scratch.shared_dir(spark), tuple(found)
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the graph, written at its first use in a session and read from then on."""
+    known = _stored.setdefault(_state(spark, sf_dir), {})
+    if name not in known or not files.exists(spark, f"{known[name]}/_SUCCESS"):
+        path = f"{scratch.shared_dir(spark)}/graph-{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        known[name] = path
+    return spark.read.parquet(known[name])
+
+
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the published graph, written once."""
+    return _once(spark, sf_dir, "nodes", lambda: nodes(spark, sf_dir)), _once(spark, sf_dir, "edges", lambda: edges(spark, sf_dir))
+
+
+def numbered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges with ``seq``, written once."""
+    return _once(spark, sf_dir, "numbered", lambda: with_seq(graph(spark, sf_dir)[1]))
+
+
 def with_seq(edge_rows: DataFrame) -> DataFrame:
     """Edges with ``seq``: their place in the order of (type, src, dst).
 
@@ -98,8 +153,6 @@ def with_seq(edge_rows: DataFrame) -> DataFrame:
     ranged = edge_rows.repartitionByRange(n, "type", "src", "dst").sortWithinPartitions("type", "src", "dst")
     numbered = ranged.withColumn("_at", F.monotonically_increasing_id())
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    from weftgraph import scratch
-
     numbered = scratch.written(numbered.withColumn("_part", part).withColumn("_place", place).drop("_at"), "edges")
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,7 +162,7 @@ def with_seq(edge_rows: DataFrame) -> DataFrame:
 
 def overlay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The draft overlay: changed, added and removed (``_tombstone``) nodes and edges."""
-    base, links = nodes(spark, sf_dir), edges(spark, sf_dir)
+    base, links = graph(spark, sf_dir)
     number = F.substring("id", 2, 9).cast("bigint")
     live, dead = F.lit(False).alias("_tombstone"), F.lit(True).alias("_tombstone")
     changed = base.where(F.col("type").isin("Course", "LessonGrouping") & (number % 97 == 3))
@@ -131,9 +184,64 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         key("", "event_id", 9).alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"), F.col("user_id").cast("string").alias("actor"),
         kind.alias("eventType"), key("N", F.get_json_object("props", "$.k").cast("int") % 25, 2).alias("node"), "value",
+        F.when(F.col("event_id") % 3 == 0, "edit_node").when(F.col("event_id") % 3 == 1, "add_nodes").alias("mutation"),
+        F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("reason "), F.col("user_id").cast("string"))).alias("reason"),
+        (F.col("event_id") % 7).alias("promoted"), (F.col("event_id") % 5 == 0).alias("selfAuthored"), (F.col("event_id") % 40).alias("readCount"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("q="), F.col("user_id").cast("string"))).alias("readQuery"),
+        (F.col("event_id") % 3).alias("nodes_added"), (F.col("event_id") % 4).alias("nodes_changed"), (F.col("event_id") % 5).alias("edges_removed"),
     )
 
 
+def extended(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The published graph with routines, formatters and what uses them, written once."""
+    build = lambda i: lambda: _extended(spark, sf_dir)[i]
+    return _once(spark, sf_dir, "extended-nodes", build(0)), _once(spark, sf_dir, "extended-edges", build(1))
+
+
+def _extended(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n, e = graph(spark, sf_dir)
+    read = lambda name: table(spark, sf_dir, name)
+    regions, sources = read("region"), read("documents").select("source").distinct()
+    routine, number = key("I", "r_regionkey", 2), F.regexp_extract("source", r"(\d+)", 1)
+    tail = lambda c, s: F.concat(c, F.lit(s))
+    marked = read("documents").where("doc_id % 50 = 0")
+    more = [
+        _node(regions, routine, "InstructionalRoutine", description=F.concat(F.lit("Routine "), F.col("r_name"))),
+        _node(regions, tail(routine, "-1"), "InstructionalRoutine", description=F.lit("Practise"), position=F.lit(2)),
+        _node(regions, tail(routine, "-2"), "Material", description=F.lit("Explain"), position=F.lit(1)),
+        _node(regions, tail(routine, "-3"), "Material", description=F.lit("Sheet"), position=F.lit(1)),
+        _node(sources, key("F", number, 3), "Formatter", description=F.concat(F.lit("Format "), F.col("source"))),
+        _node(sources, tail(key("F", number, 3), "-1"), "FormatterSpec", description=F.lit("Wide")),
+        _node(marked, key("E", "doc_id", 7), "Formatter", description=F.lit("Own")),
+    ]
+
+    def edge(df: DataFrame, kind: str, src: Column, dst: Column) -> DataFrame:
+        return df.select(F.concat(F.lit(f"{kind}:"), src, F.lit("->"), dst).alias("id"), F.lit(kind).alias("type"), src.alias("src"), dst.alias("dst"))
+
+    of_nation = read("customer").where("c_custkey % 3 = 0").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    links = [
+        *(edge(regions, "hasPart", a, b) for a, b in ((routine, tail(routine, "-1")), (routine, tail(routine, "-2")), (tail(routine, "-1"), tail(routine, "-3")))),
+        edge(sources, "hasPart", key("T", number, 3), key("F", number, 3)), edge(sources, "hasPart", key("F", number, 3), tail(key("F", number, 3), "-1")),
+        edge(marked, "hasPart", key("D", "doc_id", 7), key("E", "doc_id", 7)),
+        edge(of_nation, "usesRoutine", key("C", "c_custkey", 7), key("I", "n_regionkey", 2)),
+        edge(sources.where(number.cast("int") % 2 == 0), "usesRoutine", key("T", number, 3), F.lit("I00")),
+        edge(read("documents").where("doc_id % 20 = 0"), "usesRoutine", key("D", "doc_id", 7), F.lit("I01")),
+    ]
+    return reduce(DataFrame.unionByName, [n, *more]), reduce(DataFrame.unionByName, [e, *links])
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership rows (userId, workspace, role, seq) and the last one of a user in a workspace counts: customers stand in."""
+    role = F.element_at(F.array(F.lit("curator"), F.lit("approver"), F.lit("admin")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.concat(F.lit("u"), (F.col("c_custkey") % 50).cast("string")).alias("userId"), F.lower("c_mktsegment").alias("workspace"), role.alias("role"), F.col("c_custkey").alias("seq"))
+
+
+def users(spark: SparkSession) -> DataFrame:
+    """(userId, superAdmin, legacyRole, known) of fifty users."""
+    return spark.range(50).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("userId"), (F.col("id") % 17 == 0).alias("superAdmin"), F.when(F.col("id") % 5 == 0, "approver").alias("legacyRole"), (F.col("id") % 7 != 0).alias("known"))
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("doc_id % 13 <> 0")
     return d.select(key("O", "doc_id", 9).alias("nodeId"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("relPath"), F.md5("text").alias("md5"))
@@ -193,22 +301,55 @@ edges AS (
     UNION ALL SELECT 'covers', 'D' || lpad(CAST(doc_id AS VARCHAR), 7, '0'), 'O' || lpad(CAST(doc_id AS VARCHAR), 9, '0') FROM documents WHERE doc_id % 10 <> 0))
 """
 
+#: Routines, formatters and what uses them, on top of ``SQL``.
+EXTENDED_SQL = r"""
+sources AS (SELECT DISTINCT source, lpad(regexp_extract(source, '(\d+)', 1), 3, '0') AS nr FROM documents),
+routines AS (SELECT 'I' || lpad(CAST(r_regionkey AS VARCHAR), 2, '0') AS id, r_name FROM region),
+ext_nodes AS (
+  SELECT id, type, props FROM nodes
+  UNION ALL SELECT id, 'InstructionalRoutine', '{"description":"Routine ' || r_name || '"}' FROM routines
+  UNION ALL SELECT id || '-1', 'InstructionalRoutine', '{"description":"Practise","position":2}' FROM routines
+  UNION ALL SELECT id || '-2', 'Material', '{"description":"Explain","position":1}' FROM routines
+  UNION ALL SELECT id || '-3', 'Material', '{"description":"Sheet","position":1}' FROM routines
+  UNION ALL SELECT 'F' || nr, 'Formatter', '{"description":"Format ' || source || '"}' FROM sources
+  UNION ALL SELECT 'F' || nr || '-1', 'FormatterSpec', '{"description":"Wide"}' FROM sources
+  UNION ALL SELECT 'E' || lpad(CAST(doc_id AS VARCHAR), 7, '0'), 'Formatter', '{"description":"Own"}' FROM documents WHERE doc_id % 50 = 0),
+ext_edges AS (
+  SELECT type, src, dst FROM edges
+  UNION ALL SELECT 'hasPart', id, id || '-1' FROM routines UNION ALL SELECT 'hasPart', id, id || '-2' FROM routines UNION ALL SELECT 'hasPart', id || '-1', id || '-3' FROM routines
+  UNION ALL SELECT 'hasPart', 'T' || nr, 'F' || nr FROM sources UNION ALL SELECT 'hasPart', 'F' || nr, 'F' || nr || '-1' FROM sources
+  UNION ALL SELECT 'hasPart', 'D' || lpad(CAST(doc_id AS VARCHAR), 7, '0'), 'E' || lpad(CAST(doc_id AS VARCHAR), 7, '0') FROM documents WHERE doc_id % 50 = 0
+  UNION ALL SELECT 'usesRoutine', 'C' || lpad(CAST(c_custkey AS VARCHAR), 7, '0'), 'I' || lpad(CAST(n_regionkey AS VARCHAR), 2, '0') FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0
+  UNION ALL SELECT 'usesRoutine', 'T' || nr, 'I00' FROM sources WHERE CAST(nr AS INTEGER) % 2 = 0
+  UNION ALL SELECT 'usesRoutine', 'D' || lpad(CAST(doc_id AS VARCHAR), 7, '0'), 'I01' FROM documents WHERE doc_id % 20 = 0)
+"""
+
+MEMBERS_SQL = r"""
+members AS (SELECT 'u' || c_custkey % 50 AS userId, lower(c_mktsegment) AS workspace, CASE c_custkey % 3 WHEN 0 THEN 'curator' WHEN 1 THEN 'approver' ELSE 'admin' END AS role, c_custkey AS seq FROM customer),
+users AS (SELECT 'u' || i AS userId, i % 17 = 0 AS superAdmin, CASE WHEN i % 5 = 0 THEN 'approver' END AS legacyRole, i % 7 <> 0 AS known FROM range(50) t(i)),
+latest AS (SELECT userId, workspace, arg_max(role, seq) AS role FROM members GROUP BY ALL),
+effective AS (
+  SELECT userId, workspace, role FROM latest WHERE userId NOT IN (SELECT userId FROM users WHERE superAdmin)
+  UNION ALL SELECT u.userId, 'building', legacyRole FROM users u WHERE legacyRole IS NOT NULL AND NOT superAdmin AND NOT EXISTS (SELECT 1 FROM latest l WHERE l.userId = u.userId AND l.workspace = 'building')
+  UNION ALL SELECT u.userId, w.workspace, 'super_admin' FROM users u, (SELECT DISTINCT workspace FROM members) w WHERE superAdmin)
+"""
+
 #: The draft overlay and the merged draft, on top of ``SQL``.
 OVERLAY_SQL = r"""
-node_overlay AS (
+node_overlay AS MATERIALIZED (
   SELECT id, type, regexp_replace(props, '("description":"[^"]*)"', '\1 (draft)"') AS props, false AS dead FROM nodes
     WHERE type IN ('Course', 'LessonGrouping') AND CAST(substr(id, 2) AS BIGINT) % 97 = 3
   UNION ALL SELECT id, type, props, true FROM nodes WHERE type = 'Material' AND CAST(substr(id, 2) AS BIGINT) % 101 = 5
   UNION ALL SELECT 'X' || lpad(CAST(CAST(substr(id, 2) AS BIGINT) AS VARCHAR), 9, '0'), 'LessonGrouping', '{"description":"Added for ' || id || '"}', false
     FROM nodes WHERE type = 'Course' AND CAST(substr(id, 2) AS BIGINT) % 103 = 7),
-edge_overlay AS (
+edge_overlay AS MATERIALIZED (
   SELECT id, type, src, dst, true AS dead FROM edges WHERE type = 'hasPart' AND dst LIKE 'P%' AND CAST(substr(dst, 2) AS BIGINT) % 101 = 5
   UNION ALL SELECT 'hasPart:C' || lpad(CAST(CAST(substr(id, 2) AS BIGINT) AS VARCHAR), 7, '0') || '->' || id, 'hasPart', 'C' || lpad(CAST(CAST(substr(id, 2) AS BIGINT) AS VARCHAR), 7, '0'), id, false
     FROM node_overlay WHERE id LIKE 'X%'),
 draft_nodes AS (
-  SELECT id, type, props FROM nodes WHERE id NOT IN (SELECT id FROM node_overlay)
+  SELECT id, type, props FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM node_overlay o WHERE o.id = n.id)
   UNION ALL SELECT id, type, props FROM node_overlay WHERE NOT dead),
 draft_edges AS (
-  SELECT id, type, src, dst FROM edges WHERE id NOT IN (SELECT id FROM edge_overlay)
+  SELECT id, type, src, dst FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edge_overlay o WHERE o.id = e.id)
   UNION ALL SELECT id, type, src, dst FROM edge_overlay WHERE NOT dead)
 """
