@@ -59,3 +59,15 @@ def test_sql_says_the_same(spark):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = sorted(db.execute(M.SQL).fetchall())
     assert got == want
+
+
+def test_long_texts_and_rows_without_an_identifier(spark):
+    long = "word " * 400_000
+    rows = [(1, long, "a"), (2, long, "b"), *((None, "w " * k, "a") for k in range(1, 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = M.report(df, labels).collect()
+    assert {r.size for r in got if r.doc_id} == {400_000} and len(got) == 201
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
+    taken = sorted((r.size, r.taken) for r in got if r.doc_id is None)
+    assert taken == sorted((r.size, r.taken) for r in M.report(df.repartition(3), labels).collect() if r.doc_id is None)

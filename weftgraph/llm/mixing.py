@@ -15,7 +15,7 @@ The driver sees one row for each source (name and size).
 
 Cases: a null or empty text has size 0 and takes 0; the null source comes last; a document without a
 label has quality 1; repeated labels of a document are averaged; rows with equal identifiers
-draw equal keys and are ordered by size; an empty table returns no rows.
+draw equal keys and are ordered by size, rows without one draw by their size; an empty table returns no rows.
 """
 
 from __future__ import annotations
@@ -105,7 +105,9 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, buckets: int = BUCKETS
         rows = rows.join(quality_of(labels).withColumnRenamed("doc_id", "_labelled"), F.col(id_col) == F.col("_labelled"), "left").drop("_labelled")
     else:
         rows = rows.withColumn("_quality", F.lit(None).cast("double"))
-    key = -F.log(unit(F.col(id_col))) / F.coalesce("_quality", F.lit(UNKNOWN))
+    # Rows without an identifier draw by their size, so that they do not all meet in one bucket.
+    drawn = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.col(size_col).cast("string")))
+    key = -F.log(unit(drawn)) / F.coalesce("_quality", F.lit(UNKNOWN))
     # 1 - exp(-key) is between 0 and 1 and grows with the key.
     rows = rows.withColumn("_key", key).withColumn("_bucket", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * buckets).cast("int"))
     sums = rows.groupBy("_source", "_bucket").agg(F.sum(size_col).alias("_sum"))
@@ -149,7 +151,7 @@ quality AS (SELECT doc_id, coalesce(avg(CASE WHEN quality > 0 THEN 2.0 WHEN qual
 keyed AS (
   SELECT d.doc_id, d.source, d.size, p.source_size, p.target,
     CASE WHEN p.source_size > 0 THEN floor(p.target / p.source_size) ELSE 0 END AS epochs,
-    -ln((CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0) / coalesce(q.q, 1.0) AS k
+    -ln((CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '~' || d.size)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0) / coalesce(q.q, 1.0) AS k
   FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN quality q ON q.doc_id = d.doc_id),
 summed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM keyed)
