@@ -92,3 +92,12 @@ def test_finds_every_plain_passage_of_the_table(spark):
     plain = {r.doc_id for r in docs.collect() if any(f" {' '.join(t)} " in f" {' '.join(words(r.text))} " for t in items)}
     found = {r.doc_id for r in D.report(docs, bench).where("contaminated").collect()}
     assert plain and plain <= found and len(found) < 0.2 * docs.count()
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(11)
+    item = " ".join(f"q{rng.randrange(10**6)}" for _ in range(30))
+    filler = " ".join(f"w{rng.randrange(10**5)}" for _ in range(500_000))
+    df = spark.createDataFrame([(1, f"{filler} {item}"), (2, filler), (3, f"{item} {filler} {item}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in D.report(df, bench).where("contaminated").collect()} == {1, 3}

@@ -103,3 +103,11 @@ def test_odd_rows(spark):
     assert by[None].lang_pred in ("en", "de", "und")
     assert L.report(docs.limit(0)).count() == 0
     assert L.report(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_very_long_texts(spark):
+    en, de = "the and that of which with from ", "der die das und nicht mit ein "
+    rows = [(i, en * 20, "en") for i in range(40)] + [(100 + i, de * 20, "de") for i in range(40)] + [(1000, en * 60_000, None), (1001, de * 60_000 + en, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in L.report(df).where("doc_id >= 1000").collect()}
+    assert got == {1000: "en", 1001: "de"}

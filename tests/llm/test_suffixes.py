@@ -98,3 +98,12 @@ def test_whole_table(spark):
     rows = [(r.doc_id, r.text.encode()) for r in docs.collect()]
     want = {i: w for (i, _), w in zip(rows, brute([t for _, t in rows], 400))}
     assert {r.doc_id: tuple(r)[1:] for r in S.report(docs).collect()} == want
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefghijklmnop ") for _ in range(1_300_000))
+    other = long[700_000:700_450] + "".join(rng.choice("qrstuvwxyz ") for _ in range(5_000))
+    df = spark.createDataFrame([(1, long), (2, other), (3, other[460:])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in S.report(df).collect()}
+    assert got[1] == (1_300_000, 450, 1) and got[2] == (5_450, 5_440, 2) and got[3] == (4_990, 4_990, 1)

@@ -223,12 +223,19 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     return once.repartition("host").sortWithinPartitions("host", F.xxhash64("wrapper")).mapInArrow(_merged, "host string, wrapper binary")
 
 
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The layout of each host that shows one: all that its pages need of the wrapper."""
+    for batch in batches:
+        found = [(host, known.dump(prune=False)) for host, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if (known := Wrapper.load(data.as_py()).layout())]
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([d for _, d in found], pa.binary())], ["host", "wrapper"])
+
+
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_as: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``pages`` with their main text in place of the html."""
     if text_as not in (url_col, html_col):
         pages = without(pages, text_as)
     pages = without(pages, "_host", "_wrapper")
-    induced = scratch.written(induce(pages, url_col, html_col), "wrappers")
+    induced = scratch.written(induce(pages, url_col, html_col).mapInArrow(_layouts, "host string, wrapper binary"), "wrappers")
     size = induced.agg(F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0))).first()[0]
     fields = [f for f in pages.schema.fields if f.name != html_col]
     schema = T.StructType([*fields, T.StructField(text_as, T.StringType())])
@@ -250,7 +257,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
                     if len(ready) > 2000:
                         ready.clear()
                     data = shipped.value.get(host) if shipped is not None else given[i].as_py()
-                    ready[host] = Wrapper.load(data).layout() if data else None
+                    ready[host] = Wrapper.load(data) if data else None
                 texts.append(main_text(column[html_col][i].as_py(), ready[host]))
             yield pa.RecordBatch.from_arrays([*(column[f.name] for f in fields), pa.array(texts, pa.string())], schema.names)
 

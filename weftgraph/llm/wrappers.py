@@ -255,8 +255,8 @@ class Wrapper:
         if self._added % 32 == 0 and _size(self.tree) > MOST_NODES:
             _prune(self.tree, 0.1 * self.tree[PAGES])
 
-    def dump(self) -> bytes:
-        if self.tree is not None and _size(self.tree) > MOST_NODES:
+    def dump(self, prune: bool = True) -> bytes:
+        if prune and self.tree is not None and _size(self.tree) > MOST_NODES:
             _prune(self.tree, 0.1 * self.tree[PAGES])
         return zlib.compress(pickle.dumps((_flat(self.tree), self.same)), 1)
 
@@ -268,7 +268,7 @@ class Wrapper:
     def layout(self) -> Wrapper | None:
         """This wrapper with only its template texts, and places that nearly half of the pages have; None if the host shows no layout: few pages, or copies of one.
 
-        In what is returned PAGES says whether a place is common.
+        In what is returned PAGES says whether a place is common; it is not merged any more and dumped without pruning.
         """
         pages = self.tree[PAGES] if self.tree is not None else 0
         if pages < LEAST_PAGES or self.same is not None:
