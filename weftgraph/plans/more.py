@@ -402,10 +402,10 @@ def f15_approvers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.allowed(latest, "approver").select("workspace", "userId")
 
 
-@_query("SELECT workspace FROM latest WHERE role = 'admin' AND userId < 'u2' GROUP BY workspace HAVING count(*) <= 1", more=_MEMBERS)
+@_query("SELECT workspace FROM latest WHERE role = 'admin' AND userId = 'u1' GROUP BY workspace HAVING count(*) <= 1", more=_MEMBERS)
 def v9_last_admins(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = project.members(spark, sf_dir).groupBy("userId", "workspace").agg(F.max_by("role", "seq").alias("role"))
-    return lookup.last_admin(latest.where("userId < 'u2'"))
+    return lookup.last_admin(latest.where("userId = 'u1'"))
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,7 +189,7 @@ _ROOTS = "top AS (SELECT id, type AS label FROM nodes WHERE id NOT IN (SELECT ds
 
 @_query("SELECT id, label FROM top", more=_ROOTS)
 def j6_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.roots(*graph(spark, sf_dir))
+    return stats.roots(*graph(spark, sf_dir)).select("id", "label")
 
 
 @_query("SELECT id, label, CASE label WHEN 'Course' THEN 0 WHEN 'TeachingLearningMaterial' THEN 1 WHEN 'StandardsFramework' THEN 2 WHEN 'LessonGrouping' THEN 3 ELSE 99 END AS rank, (SELECT count(*) FROM top) AS roots_total FROM top ORDER BY rank, id LIMIT 50", more=_ROOTS)
@@ -418,9 +418,10 @@ def f8_matching_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.matching_terms(project.lexicon(spark, sf_dir), TERM).select("id", F.col("renderings")["en"].alias("en"))
 
 
-@_query("SELECT DISTINCT doc_id AS passage_id, id FROM documents d JOIN lexicon l ON contains(lower(strip_accents(d.text)), lower(en)) OR contains(lower(strip_accents(d.text)), lower(xx))", more=_LEXICON)
+@_query("SELECT DISTINCT doc_id AS passage_id, id FROM (SELECT doc_id, lower(strip_accents(text || ' ' || upper(p_name))) AS t FROM documents JOIN part ON p_partkey = doc_id % 40 + 1) JOIN lexicon l ON contains(t, lower(en)) OR contains(t, lower(xx))", more=_LEXICON)
 def f8_terms_in_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = project.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    named = project.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_part"), F.upper("p_name").alias("_name"))
+    docs = project.table(spark, sf_dir, "documents").join(named, F.col("doc_id") % 40 + 1 == F.col("_part")).select(F.col("doc_id").alias("passage_id"), F.concat("text", F.lit(" "), "_name").alias("text"))
     return lookup.terms_in(docs, project.lexicon(spark, sf_dir))
 
 
