@@ -62,7 +62,7 @@ def test_collection_bwt_finds_repeats():
         assert flags.tolist() == [count[t[p : p + 400]] > 1 for p in range(len(t) - 399)]
 
 
-@pytest.mark.parametrize("group", [1000, 3, 1])
+@pytest.mark.parametrize("group", [1000, 3])
 def test_report_matches_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(S, "GROUP", group)
     texts = corpus(group)
