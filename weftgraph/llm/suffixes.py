@@ -17,7 +17,7 @@ held against those that begin in their own column, which is where equal strings
 number of documents and the whole construction is linear. Columns are written once and read in order. As a task's
 collection has a set size (``TASK_BYTES``), they are arrays in memory and no files of a machine that may be lost.
 
-Crowded anchors. An anchor with more than ``GROUP`` different contexts (a passage in a third of all documents, with
+Crowded anchors. An anchor with more than ``GROUP`` different contexts, which fill a task (a passage in a third of all documents, with
 other surroundings each time) is refined: its strings are parted by the place where they start before the
 anchor into two halves, and each half is dealt out by the bytes that all its strings have in common. Those are
 LENGTH less the width of the half, so they grow from GRAM to LENGTH in at most nine steps, each of which sends
@@ -47,8 +47,10 @@ from weftgraph.llm import bloom
 from weftgraph.llm.textcols import _powers_to, as_strings, buffers, mix, row_chunks
 
 LENGTH, GRAM = 400, 120
-#: Bytes of contexts that one task indexes, about, and different contexts of one anchor that stay together.
-TASK_BYTES, GROUP = 2 << 20, 1000
+#: Bytes of contexts that one task indexes, about.
+TASK_BYTES = 2 << 20
+#: Different contexts of one anchor that stay together: those that fill a task.
+GROUP = TASK_BYTES // (2 * LENGTH - GRAM)
 #: Bytes of text that are cut into contexts at once, and contexts that a task counts before it sends them.
 SLICE_BYTES, MOST_SEEN = 1 << 19, 200_000
 #: Most crowded groups whose keys are broadcast; more are joined.
