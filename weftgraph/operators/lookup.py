@@ -42,7 +42,8 @@ def terms_in(passages: DataFrame, lexicon: DataFrame, gram: int = 3) -> DataFram
     parts = lexicon.select("id", F.explode(F.map_values("renderings")).alias("r")).select("id", no_accents(F.col("r")).alias("r")).where(F.length("r") > 0).distinct()
 
     def pieces(text: Column, n: Column) -> Column:
-        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
+        # A look ahead at each place finds all pieces in one pass; substrings by place would take a pass each.
+        return F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1))
 
     all_of = parts.select("id", "r", F.least(F.length("r"), F.lit(gram)).alias("n")).select("id", "r", "n", F.explode(F.array_distinct(pieces(F.col("r"), F.col("n")))).alias("piece"))
     lengths = [n for n in range(1, gram + 1)]
