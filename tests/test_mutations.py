@@ -27,6 +27,15 @@ def test_cascade_keeps_shared_children_and_dependents(g):
     assert ids(g.nodes) - ids(M.delete_nodes(g, ["g1", "g2"]).nodes) == {"g1", "g2", "l1", "l2", "l3", "m"}
 
 
+def test_warnings_of_a_deletion(g):
+    assert M.cascade_warnings(g, ["g1"]) == ["removes 2 node(s) and 5 edge(s): g1, l1"]
+    assert M.cascade_warnings(g, ["t"]) == []
+    assert M.cascade_warnings(g, ["c"], shown=2)[0].endswith(": c, g1, …")
+    w = M.Workflow(lambda: 0.0)
+    p = w.preview("delete", g, g, {"ids": ["g1"]}, lambda b, a: M.delete_nodes(b, a["ids"]), full=True, warn=lambda b, a: M.cascade_warnings(b, a["ids"]))
+    assert p["warnings"] and ids(p["difference"].where("side = 'node'")) == {"g1", "l1"}
+
+
 def test_batches_are_all_or_nothing(g):
     for bad in ([], [("hasPart", "c", "nope")], [("hasPart", "c", "c")], [("hasPart", "c", "g1")], [("odd", "c", "l1")], [("covers", "t", "c")] * 2):
         with pytest.raises(M.Rejected):

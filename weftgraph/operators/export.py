@@ -91,6 +91,20 @@ def subtree(nodes: DataFrame, edges: DataFrame, start: str, most_depth: int = 4,
     return {"too_large": True, "nodes": n_nodes, "edges": n_edges}
 
 
+def document(base: dict, nodes: DataFrame, edges: DataFrame, most_bytes: int = SUBTREE_BYTES) -> dict:
+    """A document's parts with its nodes and edges, or with a marker of their number and size if they are too large to be inlined.
+
+    Their JSON is measured where it is, so no more than fits comes to the driver.
+    """
+    size = lambda rows: rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns)))), F.lit(0))).first()
+    (n_nodes, node_bytes), (n_edges, edge_bytes) = size(nodes), size(edges)
+    if node_bytes + edge_bytes <= most_bytes:  # compact JSON takes less than the indented one of the answer
+        value = base | {"curriculum": {"nodes": [r.asDict(True) for r in nodes.orderBy("id").collect()], "edges": [r.asDict(True) for r in edges.orderBy(*edges.columns).collect()]}}
+        if size_of(value) <= most_bytes:
+            return value
+    return base | {"curriculum": {"too_large": True, "nodes": n_nodes, "edges": n_edges, "bytes": node_bytes + edge_bytes, "cap": most_bytes}}
+
+
 def whole(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """A namespace's display nodes with flat properties, drawn edges and summary, all as tables."""
     shown, drawn = display.display_nodes(nodes), display.display_edges(nodes, edges)

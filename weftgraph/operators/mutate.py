@@ -17,6 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph import scratch
 from weftgraph.functions.jsontext import dumps, set_paths, touches
 from weftgraph.operators import overlay, traverse
 
@@ -108,6 +109,20 @@ def delete_nodes(g: Graph, ids: Sequence[str]) -> Graph:
     return Graph(g.nodes.join(gone, "id", "left_anti"), edges.select("id", "type", "src", "dst"))
 
 
+def cascade_warnings(g: Graph, ids: Sequence[str], shown: int = 8) -> list[str]:
+    """What a deletion takes along, if that is more than was named: how many nodes and edges, and the first of the nodes."""
+    gone = scratch.written(traverse.cascade(g.nodes.where(F.col("id").isin(list(ids))), g.edges), "gone")
+    n = gone.count()
+    touched = g.edges.join(gone.select(F.col("id").alias("src")), "src", "left_semi").select("id").unionByName(
+        g.edges.join(gone.select(F.col("id").alias("dst")), "dst", "left_semi").select("id")
+    )
+    edges = touched.distinct().count()
+    if n <= len(set(ids)) and not edges:
+        return []
+    named = [r.id for r in gone.orderBy(~F.col("id").isin(list(ids)), "id").limit(shown).collect()]
+    return [f"removes {n} node(s) and {edges} edge(s): {', '.join(named)}{', …' if n > shown else ''}"]
+
+
 def add_nodes(g: Graph, items: Sequence[dict]) -> Graph:
     """Adds nodes {id, label, props, parent?, edge?, align_to?} below existing parents, all or none.
 
@@ -276,8 +291,14 @@ class Workflow:
     used: set[str] = field(default_factory=set)
     replies: dict[str, tuple[float, str, object]] = field(default_factory=dict)
 
-    def preview(self, name: str, base: Graph, published: Graph, args: dict, apply: Callable[[Graph, dict], Graph]) -> dict:
-        """What a mutation would change, and a token to confirm it; blocked without one if it breaks the graph."""
+    def preview(
+        self, name: str, base: Graph, published: Graph, args: dict, apply: Callable[[Graph, dict], Graph], full: bool = False,
+        warn: Callable[[Graph, dict], list[str]] | None = None,
+    ) -> dict:
+        """What a mutation would change, and a token to confirm it; blocked without one if it breaks the graph.
+
+        ``full``: with the difference itself, a table, beside its counts. ``warn`` finds what a reader should know before confirming.
+        """
         try:
             after = apply(base, args)
         except Rejected as e:
@@ -287,7 +308,8 @@ class Workflow:
         version = overlay.graph_hash(*base).first().hash
         token = {"m": name, "a": _digest(args), "v": version, "n": hashlib.sha256(f"{name}{version}{self.clock()}".encode()).hexdigest()[:16], "exp": self.clock() + TOKEN_SECONDS}
         diff = overlay.whole_difference(base, after)
-        return {"status": "preview", "counts": overlay.counts_of(diff).first().asDict(), "token": base64.urlsafe_b64encode(dumps(token).encode()).decode()}
+        shown = {"status": "preview", "counts": overlay.counts_of(diff).first().asDict(), "token": base64.urlsafe_b64encode(dumps(token).encode()).decode()}
+        return shown | {"warnings": warn(base, args) if warn else []} | ({"difference": diff} if full else {})
 
     def confirm(self, name: str, base: Graph, args: dict, token: str, apply: Callable[[Graph, dict], Graph], key: str | None = None) -> tuple[str, Graph | None]:
         """("applied", graph), or why not. A changed base is told before an old token."""

@@ -178,5 +178,11 @@ class Store:
         """Adds records; there is no way to change or remove one."""
         records.write.mode("append").parquet(f"{self.root}/_audit")
 
-    def audit(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/_audit")
+    def audit(self, schema: str | None = None) -> DataFrame:
+        """The log; with a schema, columns that older records lack are null, and a log that was never written is empty."""
+        path = f"{self.root}/_audit"
+        if schema is None:
+            return self.spark.read.parquet(path)
+        if not self._fs.exists(self._path(path)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)

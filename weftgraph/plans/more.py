@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import scratch
 from weftgraph.functions import jsontext, text
-from weftgraph.operators import audit, catalog, display, export, lookup, mutate, overlay, parse, rewrite, scope, stats, traverse, workspaces
+from weftgraph.operators import audit, catalog, display, export, lifecycle, lookup, mutate, overlay, parse, rewrite, scope, stats, traverse, workspaces
 from weftgraph.operators.mutate import Graph
 from weftgraph.operators.store import Store
 from weftgraph.plans.registry import _AUDIT, _DIFF, _DRAWN, _LEXICON, _UNITS, COURSE, _query, draft, graph
@@ -97,6 +97,47 @@ def m20_staged_and_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.published(NAMESPACE).nodes.groupBy("type").agg(F.count("*").alias("n"))
 
 
+_ROLES = [("cora", "building", "curator"), ("ann", "building", "approver"), ("bob", "other", "admin")]
+
+
+def _drafts(spark: SparkSession, sf_dir: str, self_approval: bool = True) -> lifecycle.Drafts:
+    ticks = iter(range(10**6))
+    return lifecycle.Drafts(_store(spark, sf_dir), spark.createDataFrame(_ROLES, "userId string, workspace string, role string"), lambda: f"2024-01-01T00:00:{next(ticks):06}Z", self_approval)
+
+
+@_query("""SELECT * FROM (VALUES (1, 'apply', 'unauthorized', 'no role'), (2, 'apply', 'applied', NULL), (3, 'publish', 'unauthorized', 'needs approver'), (4, 'publish', 'preview', NULL),
+  (5, 'discard', 'failed', 'token of another step'), (6, 'apply', 'applied', NULL), (7, 'publish', 'failed', 'the draft has moved'), (8, 'publish', 'done', NULL),
+  (9, 'publish', 'failed', 'token used before'), (10, 'publish', 'preview', 'no draft')) v(step, action, status, reason)""")
+def m20_publishing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, said = _drafts(spark, sf_dir), []
+    cut = lambda ids: lambda g: mutate.delete_nodes(g, ids)
+    note = lambda action, reply: said.append((len(said) + 1, action, reply["status"], "no draft" if reply.get("draft") is False else reply.get("reason")))
+    note("apply", d.stage(NAMESPACE, "bob", "cut", cut(["T003"])))
+    note("apply", d.stage(NAMESPACE, "cora", "cut", cut(["T003"])))
+    note("publish", d.preview("publish", NAMESPACE, "cora"))
+    note("publish", first := d.preview("publish", NAMESPACE, "ann"))
+    note("discard", d.confirm("discard", NAMESPACE, "ann", first["token"]))
+    note("apply", d.stage(NAMESPACE, "ann", "cut", cut(["T004"])))
+    note("publish", d.confirm("publish", NAMESPACE, "ann", first["token"]))
+    again = d.preview("publish", NAMESPACE, "ann")
+    note("publish", d.confirm("publish", NAMESPACE, "ann", again["token"]))
+    note("publish", d.confirm("publish", NAMESPACE, "ann", again["token"]))
+    note("publish", d.preview("publish", NAMESPACE, "ann"))
+    return spark.createDataFrame(said, "step int, action string, status string, reason string")
+
+
+@_query("""SELECT * FROM (VALUES ('createDraft', 'cora', NULL, 0, NULL), ('apply', 'cora', NULL, 0, NULL), ('blocked', 'cora', 'node ''none'' not found', 0, NULL), ('apply', 'ann', NULL, 0, NULL),
+  ('blocked', 'ann', 'unauthorized: own changes need another approver', 0, NULL), ('discard', 'ann', NULL, 2, NULL)) v("eventType", actor, reason, n_ids, self_authored)""")
+def m20_logged_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _drafts(spark, sf_dir, self_approval=False)
+    for actor, ids in (("cora", ["T003"]), ("cora", ["none"]), ("ann", ["T004"])):
+        d.stage(NAMESPACE, actor, "cut", lambda g, ids=ids: mutate.delete_nodes(g, ids))
+    for step in ("publish", "discard"):
+        d.confirm(step, NAMESPACE, "ann", d.preview(step, NAMESPACE, "ann")["token"])
+    n = F.coalesce(F.size("ids"), F.lit(0))
+    return d.log(NAMESPACE).select("eventType", "actor", "reason", F.greatest(n, F.lit(0)).alias("n_ids"), F.col("selfAuthored").alias("self_authored"))
+
+
 @_query("SELECT eventType, count(*) AS n FROM log GROUP BY eventType", more=_AUDIT)
 def k11_appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, log = Store(spark, scratch.new_path(spark, "store")), project.audit(spark, sf_dir)
@@ -174,6 +215,26 @@ def m19_previewed_and_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "outcome string, gone long")
 
 
+_COURSE_GONE = """gone_orders AS (SELECT dst AS id FROM edges WHERE type = 'hasPart' AND src = 'C0000001'),
+gone_lessons AS (SELECT dst AS id FROM edges WHERE type = 'hasPart' AND src IN (SELECT id FROM gone_orders)),
+gone AS (SELECT 'C0000001' AS id UNION ALL SELECT id FROM gone_orders UNION ALL SELECT id FROM gone_lessons UNION ALL
+  SELECT e.dst FROM edges e WHERE e.type = 'hasPart' AND e.dst LIKE 'P%' GROUP BY e.dst HAVING count(*) FILTER (e.src NOT IN (SELECT id FROM gone_lessons)) = 0)"""
+
+
+@_query("""SELECT 'removes ' || (SELECT count(*) FROM gone) || ' node(s) and ' || (SELECT count(*) FROM edges WHERE src IN (SELECT id FROM gone) OR dst IN (SELECT id FROM gone)) || ' edge(s): '
+  || (SELECT string_agg(id, ', ' ORDER BY place) FROM (SELECT id, row_number() OVER (ORDER BY id <> 'C0000001', id) AS place FROM gone) WHERE place <= 8) || CASE WHEN (SELECT count(*) FROM gone) > 8 THEN ', …' ELSE '' END AS warning""",
+    more=_COURSE_GONE)
+def l15_cascade_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in mutate.cascade_warnings(_whole(spark, sf_dir), [COURSE])], "warning string")
+
+
+@_query("SELECT count(*) AS nodes, (SELECT count(*) FROM edges WHERE type = 'hasChild') AS edges FROM nodes WHERE type = 'Course'")
+def l17_document_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = graph(spark, sf_dir)
+    found = export.document({"id": "d"}, n.where("type = 'Course'").select("id", "props"), e.where("type = 'hasChild'").select("src", "dst"), 1000)["curriculum"]
+    return spark.createDataFrame([(found["nodes"], found["edges"])], "nodes long, edges long")
+
+
 @_query("SELECT count(*) AS n FROM edges WHERE dst LIKE 'P%'")
 def v5_structural_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = graph(spark, sf_dir)
