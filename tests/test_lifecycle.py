@@ -2,7 +2,7 @@ import itertools
 
 import pytest
 
-from weftgraph.operators import export, lifecycle
+from weftgraph.operators import catalog, display, export, lifecycle, parse, profile, scope
 from weftgraph.operators import mutate as M
 from weftgraph.operators.store import Store
 
@@ -53,3 +53,51 @@ def test_documents_are_inlined_up_to_a_bound(spark):
     small = export.document({"k": 1}, nodes, edges, 90)
     assert small["k"] == 1 and small["curriculum"]["too_large"] and small["curriculum"]["nodes"] == 2
     assert export.document({"k": "y" * 200}, nodes, edges, 200)["curriculum"]["too_large"]
+
+
+def test_reads_are_logged_after_the_page(drafts):
+    drafts.stage(NS, "cora", "cut", lambda g: M.delete_nodes(g, ["c"]))
+    assert drafts.read_log(NS, "cora")["status"] == "unauthorized"
+    page = drafts.read_log(NS, "ann", outcome="applied", limit=1)["records"]
+    assert [r["eventType"] for r in page] == ["apply"]
+    r = drafts.log(NS).where("eventType = 'read'").first()
+    assert (r.readCount, r.readQuery) == (1, '{"outcome":"applied"}')
+    with pytest.raises(ValueError):
+        drafts.read_log(NS, "ann", outcome="odd")
+    assert drafts.preview_course(NS, "cora", "a")["status"] == "not found"
+
+
+def test_entries_are_filed_below_the_container(spark):
+    kind = catalog.ROUTINE
+    lib = M.Graph(M.node_rows(spark, [("r", kind, [kind], {}), ("s", kind, [kind], {})]), M.edge_rows(spark, [("hasPart", "r", "s")]))
+    copy = M.Graph(M.node_rows(spark, [("n", kind, [kind], {})]), M.edge_rows(spark, [("hasPart", "n", "n2")]).limit(0))
+    assert {r.id for r in catalog.filed(lib, copy, "n").edges.collect()} == {"hasPart:r->s", "hasPart:r->n"}
+    for bad, root in ((copy, "x"), (lib, "r")):
+        with pytest.raises(M.Rejected):
+            catalog.filed(lib, bad, root)
+    with pytest.raises(M.Rejected):
+        catalog.filed(M.Graph(lib.nodes.limit(0), lib.edges.limit(0)), copy, "n")
+
+
+def test_first_covering_document_and_chips(spark):
+    nodes = M.node_rows(spark, [("c", "Course", ["Course"], {"sourceKey": "x"}), ("d1", "TeachingLearningMaterial", ["TeachingLearningMaterial"], {}), ("d2", "TeachingLearningMaterial", ["TeachingLearningMaterial"], {"sourceKey": "y"}), ("l", "Lesson", ["Lesson"], {})])
+    edges = M.edge_rows(spark, [("covers", "d2", "c"), ("covers", "d1", "c"), ("covers", "l", "c"), ("covers", "d1", "l"), ("hasPart", "c", "l")])
+    assert sorted(map(tuple, scope.documents_of(nodes, edges).collect())) == [("c", "d1"), ("d1", "d1"), ("d2", "d2")]
+    found = display.chips(display.display_nodes(nodes), display.display_edges(nodes, edges), ("Course", "TeachingLearningMaterial"), ["x"])
+    assert [(r.chip, r.n) for r in found.orderBy("place").collect()] == [("nodes", 3), ("Course", 1), ("TeachingLearningMaterial", 1), ("edges", 4)]
+
+
+def test_profiles_name_rules_and_take_validators(spark):
+    assert parse.prune_of(None) is None
+    for bad in ({"strategy": "odd"}, {"strategy": "content-reachable-from-roots", "rootKinds": []}):
+        with pytest.raises(ValueError):
+            parse.prune_of(bad)
+    nodes = M.node_rows(spark, [("c", "Course", ["Course"], {}), ("l", "Lesson", ["Lesson"], {}), ("o", "Lesson", ["Lesson"], {})])
+    edges = M.edge_rows(spark, [("hasPart", "c", "l")]).selectExpr("*", "1L AS seq")
+    kept = parse.parsed(nodes, edges, after=parse.prune_of({"strategy": "content-reachable-from-roots", "rootKinds": ["Course"]}))
+    assert {r.id for r in kept.select("id").collect()} == {"c", "l"}
+    good = {"core": {"id": "p", "capabilities": {"exampleDomainRotation": True}, "parse": {}}}
+    assert profile.preview({}, good, lambda p: (["no such course"], []))["status"] == "blocked"
+    shown = profile.preview({}, good, lambda p: ([], ["rare kind"]))
+    assert shown["warnings"] == ["rare kind"] and profile.confirm({}, good, shown["token"], lambda p: (["late"], [])) == ("blocked", None)
+    assert profile.confirm({}, good, shown["token"])[0] == "applied"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from weftgraph.functions.jsontext import dumps
-from weftgraph.operators.mutate import edge_rows, node_rows
+from weftgraph.operators.mutate import Graph, Rejected, edge_rows, node_rows
 from weftgraph.operators.rewrite import edge_id
 from weftgraph.operators.traverse import closure, induced, steps
 
@@ -41,6 +41,28 @@ def assembled(sources: list[tuple[DataFrame, DataFrame]], authored: list[tuple[D
     return nodes, edges if edges is not None else edge_rows(spark, [("", "", "")]).limit(0)
 
 
+def root_of(nodes: DataFrame, edges: DataFrame) -> str | None:
+    """The container of a catalog: the node of the fixed id, else the first routine by id that no routine holds."""
+    if nodes.where(F.col("id") == ROOT[0]).take(1):
+        return ROOT[0]
+    return entries(nodes, edges).agg(F.min("id").alias("id")).first().id
+
+
+def filed(g: Graph, clone: Graph, root: str) -> Graph:
+    """Adds a copied entry below the catalog's container; refused without one, without the entry, or if an id is taken."""
+    container = root_of(*g)
+    errors = [] if container else ["the catalog has no container"]
+    if not clone.nodes.where(F.col("id") == root).take(1):
+        errors.append(f"{root!r} is not among the copied nodes")
+    taken = clone.nodes.select("id").join(g.nodes.select("id"), "id", "left_semi").orderBy("id").limit(20)
+    errors += [f"node {r.id!r} exists" for r in taken.collect()]
+    if errors:
+        raise Rejected(*errors)
+    edges = g.edges.select("id", "type", "src", "dst").unionByName(clone.edges.select("id", "type", "src", "dst"))
+    link = edge_rows(g.nodes.sparkSession, [("hasPart", container, root)])
+    return Graph(g.nodes.select("id", "type", "labels", "props").unionByName(clone.nodes.select("id", "type", "labels", "props")), edges.unionByName(link))
+
+
 def _entry(nodes: DataFrame, edges: DataFrame, entry: str) -> dict[str, dict]:
     """The nodes of one entry, with their children in order; an entry is a few dozen nodes."""
     ids = closure(nodes.where(F.col("id") == entry).select("id"), steps(edges, "out", ["hasPart"]), 3).select("id")

@@ -107,6 +107,16 @@ def taxonomy(shown: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return shown.groupBy("label").agg(F.count("*").alias("n")).withColumn("place", place)
 
 
+def chips(shown: DataFrame, drawn: DataFrame, order: tuple[str, ...], allowed: list[str] | None = None) -> DataFrame:
+    """(chip, n, place): nodes of the allowed sources, their number by label in a fixed order, and the edges among them."""
+    seen = shown if allowed is None else shown.where(source_allowed(allowed) | (F.col("source") == ""))
+    ids = seen.select("id")
+    links = drawn.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    by_label = taxonomy(seen, order).where(F.col("place") < len(order)).select(F.col("label").alias("chip"), "n", (F.col("place") + 1).alias("place"))
+    total = lambda rows, name, place: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("chip"), "n", F.lit(place).alias("place"))
+    return total(seen, "nodes", 0).unionByName(by_label).unionByName(total(links, "edges", len(order) + 1))
+
+
 def sources(shown: DataFrame) -> DataFrame:
     return shown.where("source IS NOT NULL AND source <> ''").select("source").distinct()
 

@@ -18,16 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.jsontext import dumps
-from weftgraph.operators import audit, lookup, overlay
+from weftgraph.operators import audit, lookup, overlay, scope
 from weftgraph.operators.mutate import Graph, Rejected, structural_errors
 from weftgraph.operators.store import Store
 
 #: What the log keeps of a step; ``ids`` are the applies that it promoted or discarded, ``nonce`` the token's.
 RECORD = (
     "id string, ts string, actor string, namespace string, eventType string, mutation string, reason string, baseVersion string, resultingVersion string, "
-    "ids array<string>, selfAuthored boolean, nonce string"
+    "ids array<string>, selfAuthored boolean, nonce string, readQuery string, readCount bigint"
 )
-STEPS = ("publish", "discard")
+#: Longest text of a query in the log.
+MOST_QUERY = 300
 
 
 class Drafts:
@@ -83,6 +84,38 @@ class Drafts:
         now = self._version(self.store.active(namespace)[0])
         return {"status": "applied", "id": self._write(actor, namespace, "apply", mutation=mutation, baseVersion=before, resultingVersion=now)}
 
+    # --- reads that are logged --------------------------------------------------------------------
+    def read_log(self, namespace: str, actor: str | None, cursor: tuple[str, str] | None = None, limit: int = audit.DEFAULT_PAGE, outcome: str | None = None, **conditions) -> dict:
+        """A page of the log, newest first, for those who may read it; that it was read is logged after the page is taken.
+
+        ``conditions``: event_type, actor_id, since and until, as in ``audit.matching``.
+        """
+        if why := self._refused(actor, "readAudit", namespace):
+            return {"status": "unauthorized", "reason": why}
+        if outcome not in (None, "applied", "blocked"):
+            raise ValueError(f"unknown outcome {outcome!r}")
+        asked = {k: v for k, v in (conditions | {"outcome": outcome}).items() if v is not None}
+        rows = audit.matching(self.log(namespace), event_type=conditions.get("event_type"), actor=conditions.get("actor_id"), since=conditions.get("since"), until=conditions.get("until"))
+        rows = audit.outcome(rows)
+        page = [r.asDict(True) for r in audit.page(rows if outcome is None else rows.where(F.col("outcome") == outcome), limit, cursor).collect()]
+        query = dumps(asked | ({"paged": True} if cursor else {}))
+        self._write(actor, namespace, "read", readQuery=query if len(query) <= MOST_QUERY else query[: MOST_QUERY - 1] + "…", readCount=len(page))
+        return {"status": "read", "records": page}
+
+    def preview_course(self, namespace: str, actor: str | None, course: str) -> dict:
+        """The nodes and edges of a course as the draft has them, as tables; that they were seen is logged."""
+        if why := self._refused(actor, "readDraft", namespace):
+            return {"status": "unauthorized", "reason": why}
+        found = self.store.active(namespace)
+        if found is None or found[1] != "draft":
+            return {"status": "no draft"}
+        part = scope.course_subgraph(*found[0], course)
+        if part is None:
+            return {"status": "not found"}
+        version = self._version(found[0])
+        self._write(actor, namespace, "preview", reason=f"course {course!r} of draft {version}")
+        return {"status": "preview", "version": version, "nodes": part[0], "edges": part[1]}
+
     # --- publishing and discarding ----------------------------------------------------------------
     def _print(self, namespace: str) -> str | None:
         """A digest of the draft, its base and its configuration; None without a draft."""

@@ -6,6 +6,7 @@ the envelope and settles every tie. A descriptor says which edges contain, suppo
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,14 +102,18 @@ def progression(edges: DataFrame, unit_rows: DataFrame, d: Descriptor = Descript
     return ahead.unionByName(inner.where(F.col("type") == d.dependency).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "seq"))
 
 
-def parsed(nodes: DataFrame, edges: DataFrame, d: Descriptor = Descriptor()) -> DataFrame:
-    """Units with parent_id, child_ids, builds_towards and builds_from."""
+def parsed(nodes: DataFrame, edges: DataFrame, d: Descriptor = Descriptor(), after: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Units with parent_id, child_ids, builds_towards and builds_from.
+
+    ``after`` gets the units and the raw nodes and returns the units to keep, as those of ``PRUNES`` do.
+    """
     rows = units(nodes, d)
     links, ahead = containment(edges, rows, d), progression(edges, rows, d)
     listed = lambda by, item, name: ahead.groupBy(F.col(by).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", item))), lambda x: x[item]).alias(name))
     out = rows.join(parents(links), "id", "left").join(children(links), "id", "left").join(listed("src", "dst", "builds_towards"), "id", "left").join(listed("dst", "src", "builds_from"), "id", "left")
     none = F.array().cast("array<string>")
-    return out.withColumns({c: F.coalesce(c, none) for c in ("child_ids", "builds_towards", "builds_from")})
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("child_ids", "builds_towards", "builds_from")})
+    return out if after is None else after(out, nodes)
 
 
 def model_roots(unit_rows: DataFrame) -> DataFrame:
@@ -134,6 +139,30 @@ def pruned(unit_rows: DataFrame, root_kinds: list[str], leaf_kinds: list[str], c
     return unit_rows.join(kept.unionByName(parts).distinct(), "id", "left_semi")
 
 
+#: Kinds that a profile's rule is about.
+LEAF_KINDS, CONTENT_KINDS, COMPONENT_KIND = ["Standard"], ["Lesson", "Activity"], "LearningComponent"
+
+
+def _below_roots(rule: dict) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    roots = rule.get("rootKinds")
+    if not isinstance(roots, list) or not roots or not all(isinstance(k, str) and k for k in roots):
+        raise ValueError("rootKinds: a list of kinds is needed")
+    return lambda unit_rows, nodes: pruned(unit_rows, roots, LEAF_KINDS, CONTENT_KINDS, COMPONENT_KIND)
+
+
+#: Rules that a profile may name; others can be added. Each makes a step after parsing of its parameters.
+PRUNES = {"content-reachable-from-roots": _below_roots}
+
+
+def prune_of(rule: dict | None) -> Callable[[DataFrame, DataFrame], DataFrame] | None:
+    """The step that a profile's ``prune`` names; ValueError for an unknown one or wrong parameters."""
+    if rule is None:
+        return None
+    if rule.get("strategy") not in PRUNES:
+        raise ValueError(f"strategy: one of {', '.join(PRUNES)}")
+    return PRUNES[rule["strategy"]](rule)
+
+
 def serialised(nodes: DataFrame, edges: DataFrame, unit_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored rows: nodes with ``spine`` (is a unit), edges with deterministic ids, repeated ones suffixed by their place."""
     spine = unit_rows.select("id", F.lit(True).alias("spine"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from collections.abc import Callable
 
 from weftgraph.functions.jsontext import dumps
 
@@ -53,17 +54,24 @@ def changed(before: object, after: object) -> bool:
     return config_hash(before) != config_hash(after)
 
 
-def preview(now: object, proposed: object) -> dict:
+#: Looks at a profile that has the right form and returns its errors, which block it, and warnings.
+Validator = Callable[[dict], tuple[list[str], list[str]]]
+
+
+def preview(now: object, proposed: object, validate: Validator | None = None) -> dict:
     """Whether a profile is good and what token confirms it; its token has no end of time."""
     try:
         record = checked(proposed)
     except ValueError as e:
-        return {"status": "blocked", "errors": str(e).split("; ")}
+        return {"status": "blocked", "errors": str(e).split("; "), "warnings": []}
+    errors, warnings = validate(record) if validate else ([], [])
+    if errors:
+        return {"status": "blocked", "errors": errors, "warnings": warnings}
     token = {"v": config_hash(now), "p": config_hash(record)}
-    return {"status": "preview", "changed": changed(now, record), "token": base64.urlsafe_b64encode(dumps(token).encode()).decode()}
+    return {"status": "preview", "changed": changed(now, record), "warnings": warnings, "token": base64.urlsafe_b64encode(dumps(token).encode()).decode()}
 
 
-def confirm(now: object, proposed: object, token: str) -> tuple[str, dict | None]:
+def confirm(now: object, proposed: object, token: str, validate: Validator | None = None) -> tuple[str, dict | None]:
     """("applied", record), or why not."""
     try:
         t = json.loads(base64.urlsafe_b64decode(token))
@@ -73,4 +81,6 @@ def confirm(now: object, proposed: object, token: str) -> tuple[str, dict | None
     record = checked(proposed)
     if digest != config_hash(record):
         return "arguments differ", None
+    if validate and validate(record)[0]:
+        return "blocked", None
     return ("stale", None) if version != config_hash(now) else ("applied", record)

@@ -43,6 +43,18 @@ def standards_for(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> Data
     return aligned.unionByName(around.join(nodes.select("id"), "id", "left_semi").select("root", "id")).distinct()
 
 
+def documents_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, document): the document that a target stands for. A document is its own; a course has the first by id of those that cover it.
+
+    Other nodes, and courses that no document covers, have none.
+    """
+    documents = nodes.where(F.array_contains("labels", "TeachingLearningMaterial")).select(F.col("id").alias("document"))
+    covering = edges.where(F.col("type") == "covers").select(F.col("src").alias("document"), F.col("dst").alias("id")).join(documents, "document", "left_semi")
+    targets = courses(nodes).select("id").join(documents.select(F.col("document").alias("id")), "id", "left_anti")
+    first = covering.groupBy("id").agg(F.min("document").alias("document")).join(targets, "id", "left_semi")
+    return first.unionByName(documents.select(F.col("document").alias("id"), "document"))
+
+
 def document_sections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(document, section, position, covers): the sections of every document, in order of position and id."""
     sections = nodes.where(F.array_contains("labels", "DocumentSection")).select(F.col("id").alias("section"), F.coalesce(F.get_json_object("props", "$.position").cast("double"), F.get_json_object("props", "$.metadata.order").cast("double"), F.lit(0.0)).alias("position"))

@@ -138,6 +138,27 @@ def m20_logged_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.log(NAMESPACE).select("eventType", "actor", "reason", F.greatest(n, F.lit(0)).alias("n_ids"), F.col("selfAuthored").alias("self_authored"))
 
 
+@_query("""SELECT id, type FROM draft_nodes WHERE id IN (SELECT id FROM course)""", True, more="course AS (SELECT 'C0000001' AS id UNION ALL SELECT dst FROM draft_edges WHERE type = 'hasPart' AND src = 'C0000001' UNION ALL SELECT b.dst FROM draft_edges a JOIN draft_edges b ON b.src = a.dst AND b.type = 'hasPart' WHERE a.type = 'hasPart' AND a.src = 'C0000001' UNION ALL SELECT c.dst FROM draft_edges a JOIN draft_edges b ON b.src = a.dst AND b.type = 'hasPart' JOIN draft_edges c ON c.src = b.dst AND c.type = 'hasPart' WHERE a.type = 'hasPart' AND a.src = 'C0000001')")
+def c26_previewed_course(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lifecycle.Drafts(_staged(spark, sf_dir), spark.createDataFrame(_ROLES, "userId string, workspace string, role string"), lambda: "2024")
+    return d.preview_course(NAMESPACE, "cora", COURSE)["nodes"].select("id", "type")
+
+
+@_query("""SELECT * FROM (VALUES (1, 'unauthorized', 0, NULL), (2, 'read', 1, 'blocked'), (3, 'read', 1, 'read')) v(step, status, n, kind)""")
+def c10_read_is_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, rows = _drafts(spark, sf_dir), []
+    for actor, conditions in (("cora", {}), ("ann", {"outcome": "blocked"}), ("ann", {"event_type": "read"})):
+        reply = d.read_log(NAMESPACE, actor, **conditions)
+        found = reply.get("records", [])
+        rows.append((len(rows) + 1, reply["status"], len(found), found[0]["eventType"] if found else None))
+    return spark.createDataFrame(rows, "step int, status string, n int, kind string")
+
+
+@_query("SELECT id, id AS document FROM nodes WHERE type = 'TeachingLearningMaterial' UNION ALL SELECT e.dst, min(e.src) FROM edges e JOIN nodes c ON c.id = e.dst AND c.type = 'Course' JOIN nodes d ON d.id = e.src AND d.type = 'TeachingLearningMaterial' WHERE e.type = 'covers' GROUP BY e.dst")
+def j18_documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.documents_of(*graph(spark, sf_dir))
+
+
 @_query("SELECT eventType, count(*) AS n FROM log GROUP BY eventType", more=_AUDIT)
 def k11_appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, log = Store(spark, scratch.new_path(spark, "store")), project.audit(spark, sf_dir)
