@@ -226,3 +226,14 @@ def test_streams(spark, tmp_path):
     assert {(r.start.hour, r.eventType, r.n) for r in spark.table("windows").collect() if r.start.day == 1} == {(0, "apply", 2), (0, "read", 1), (1, "apply", 1)}
     assert spark.table("once").count() == 4
     assert {(r.actor, r.n) for r in spark.table("runs").collect() if r.start.day == 1} >= {("u", 2), ("v", 1)}
+
+
+def test_levels_become_one_table(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "FAN", 3)
+    edges = spark.createDataFrame([(f"e{i}", "hasPart", f"n{i}", f"n{i + 1}") for i in range(8)] + [("back", "hasPart", "n4", "n1")], "id string, type string, src string, dst string")
+    start = spark.createDataFrame([("n0",)], "id string")
+    found = traverse.closure(start, traverse.steps(edges))
+    assert sorted((r.depth, r.id) for r in found.collect()) == [(i, f"n{i}") for i in range(9)]
+    assert len(found.inputFiles()) and found._jdf.queryExecution().logical().collectLeaves().size() < 9
+    gone = traverse.cascade(start, edges.where("id <> 'back'"))
+    assert {r.id for r in gone.collect()} == {f"n{i}" for i in range(9)}

@@ -133,7 +133,7 @@ def document_record(history: DataFrame, edges: DataFrame, document: str) -> Data
     """The history entry of a document: that of what it covers, else its own; the first by node."""
     covered = edges.where((F.col("type") == "covers") & (F.col("src") == document)).select(F.col("dst").alias("nodeId"), F.lit(0).alias("rank"))
     own = history.sparkSession.createDataFrame([(document, 1)], "nodeId string, rank int")
-    return history.join(F.broadcast(covered.unionByName(own)), "nodeId").orderBy("rank", "nodeId").limit(1).drop("rank")  # what one document covers
+    return history.join(covered.unionByName(own), "nodeId").orderBy("rank", "nodeId").limit(1).drop("rank")
 
 
 def documents_only(files: DataFrame) -> DataFrame:

@@ -87,12 +87,20 @@ def grouped_between(edges: DataFrame, groups: DataFrame, label: str = "LessonGro
     return nodes, links.withColumn("id", edge_id()).select("id", "type", "src", "dst")
 
 
+#: Sessions of a week.
+MOST_SESSIONS = 1000
+
+
 def expanded(weeks: DataFrame, sessions: DataFrame, standards: DataFrame, fallback: str) -> DataFrame:
     """(week, session, standard): each week with each session of a fixed list, its standard by (week, type), else by (fallback, type).
 
-    ``sessions`` is a short fixed list (session, type), so this product is bounded by it.
+    ``sessions`` is a short list (session, type): more than ``MOST_SESSIONS`` are an error. Each week is exploded by it.
     """
-    both = weeks.join(F.broadcast(sessions), F.lit(True))
+    plan = sessions.select("session", "type").limit(MOST_SESSIONS + 1).collect()
+    if len(plan) > MOST_SESSIONS:
+        raise ValueError(f"more than {MOST_SESSIONS} sessions")
+    listed = F.array(*(F.struct(F.lit(r.session).alias("session"), F.lit(r.type).alias("type")) for r in plan))
+    both = weeks.select("week", F.inline(listed)) if plan else weeks.select("week").join(sessions.limit(0), F.lit(True))
     exact = standards.select(F.col("week"), "type", F.col("standard").alias("exact"))
     other = standards.where(F.col("week") == fallback).select("type", F.col("standard").alias("other"))
     return both.join(exact, ["week", "type"], "left").join(other, "type", "left").select("week", "session", F.coalesce("exact", "other").alias("standard"))

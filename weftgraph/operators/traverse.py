@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from weftgraph import scratch
 
 MOST_LEVELS = 10_000
+#: Tables of levels that become one, so that a plan reads few tables however deep the graph is.
+FAN = 16
 #: Defaults and bounds of a walk.
 DEPTH, MOST_DEPTH, LIMIT, MOST_LIMIT, PAGE_BYTES = 3, 10, 50, 500, 40 * 1024
 
@@ -34,6 +37,17 @@ def steps(edges: DataFrame, direction: str = "out", types: list[str] | None = No
     return {"out": out, "in": back}.get(direction) if direction != "both" else out.unionByName(back)
 
 
+def _together(parts: list[tuple[int, DataFrame]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (table for _, table in parts))
+
+
+def _add(parts: list[tuple[int, DataFrame]], table: DataFrame) -> None:
+    """Adds a level. ``FAN`` tables of one rank are written as one of the next rank, so a row is rewritten a logarithmic number of times."""
+    parts.append((0, table))
+    while len(parts) >= FAN and parts[-FAN][0] == parts[-1][0]:
+        parts[-FAN:] = [(parts[-1][0] + 1, scratch.written(_together(parts[-FAN:]), "levels"))]
+
+
 def closure(starts: DataFrame, ways: DataFrame, most_depth: int | None = None, through: DataFrame | None = None) -> DataFrame:
     """(root, id, depth) of all that each start reaches, itself at depth 0.
 
@@ -52,16 +66,17 @@ def closure(starts: DataFrame, ways: DataFrame, most_depth: int | None = None, t
             seen = seen.unionByName(frontier)
         return seen
     ways = scratch.written(ways, "ways")  # read once for each level
-    frontier = seen = scratch.written(frontier, "level")
+    frontier = scratch.written(frontier, "level")
+    parts = [(0, frontier)]
     for depth in range(MOST_LEVELS if most_depth is None else most_depth):
         found = frontier.join(ways, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct()
-        frontier = scratch.written(found.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth + 1)), "level")
+        frontier = scratch.written(found.join(_together(parts).select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth + 1)), "level")
         if not frontier.take(1):
-            return seen
-        seen = seen.unionByName(frontier)
+            return _together(parts)
+        _add(parts, frontier)
     if most_depth is None:
         raise RuntimeError(f"more than {MOST_LEVELS} levels")
-    return seen
+    return _together(parts)
 
 
 def reached(edges: DataFrame, from_id: str, direction: str = "out", types: list[str] | None = None, most_depth: int = DEPTH) -> DataFrame:
@@ -192,16 +207,17 @@ def cascade(seeds: DataFrame, edges: DataFrame, types: list[str] = ["hasPart", "
     """(id) of the seeds and of every node all of whose containers are removed, to a fixed point."""
     links = scratch.written(edges.where(F.col("type").isin(types)).select("src", "dst").distinct(), "links")
     total = links.groupBy("dst").agg(F.count("*").alias("n"))
-    removed = fresh = scratch.written(seeds.select("id").distinct(), "removed")
+    fresh = scratch.written(seeds.select("id").distinct(), "removed")
+    parts = [(0, fresh)]
     lost = None
     for _ in range(MOST_LEVELS):
         newly = links.join(fresh.select(F.col("id").alias("src")), "src", "left_semi").groupBy("dst").agg(F.count("*").alias("k"))
         lost = scratch.written(newly if lost is None else lost.unionByName(newly).groupBy("dst").agg(F.sum("k").alias("k")), "lost")
         gone = lost.join(total, "dst").where("k = n").select(F.col("dst").alias("id"))
-        fresh = scratch.written(gone.join(removed, "id", "left_anti"), "removed")
+        fresh = scratch.written(gone.join(_together(parts), "id", "left_anti"), "removed")
         if not fresh.take(1):
-            return removed
-        removed = removed.unionByName(fresh)
+            return _together(parts)
+        _add(parts, fresh)
     raise RuntimeError(f"more than {MOST_LEVELS} levels")
 
 
