@@ -178,7 +178,7 @@ def grouped(pair: Pair, texts: list[str]) -> tuple[Groups, np.ndarray, np.ndarra
     a_ids, b_ids = flat(a), flat(b)
     a_ends, b_ends = np.cumsum(_lengths(pair.a_bytes)[a_ids]), np.cumsum(_lengths(pair.b_bytes)[b_ids])
     common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    whole = np.cumsum([len(t.encode()) + 1 if g else 0 for t, g in zip(texts, good, strict=True)])
+    whole = np.cumsum(np.fromiter((len(t.encode()) + 1 if g else 0 for t, g in zip(texts, good, strict=True)), np.int64, len(texts)))
     per_text = np.diff(np.searchsorted(common, whole, side="right"), prepend=0)
     return Groups(a_ids, b_ids, np.searchsorted(a_ends, common) + 1, np.searchsorted(b_ends, common) + 1), per_text, good
 
@@ -236,7 +236,7 @@ def _encoded(docs: DataFrame, files) -> DataFrame:
         sums = [total(x) for x in (na, nb, np.ones(len(distinct), np.int64), na + nb - 1)]
         shown = [",".join(map(str, distinct.a[x - i : x].tolist())) + "|" + ",".join(map(str, distinct.b[y - j : y].tolist())) for i, j, x, y in zip(na.tolist(), nb.tolist(), distinct.a_end.tolist(), distinct.b_end.tolist(), strict=True)]
         parts, numbers, text_of = np.cumsum(per_seg).tolist(), group_of.tolist(), []
-        for begin, end in zip([0, *parts[:-1]], parts, strict=True):
+        for begin, end in zip([0, *parts], parts):
             text_of.append(";".join([shown[g] for g in numbers[begin:end]]))
         digest = ["" if b or not seq else hashlib.sha256(";".join([text_of[s] for s in seq]).encode()).hexdigest() for seq, b in zip(seqs, bad, strict=True)]
         # Which documents hold a group, and which hold a pair in several of their groups.

@@ -4,10 +4,10 @@ A document's set are its distinct five-word shingles; documents with equal sets
 of them make the keys of bands, in which candidates meet; of each minimum the lowest ``BITS`` bits are kept and packed into a signature.
 Two signatures are compared by counting equal places: of sets of similarity J, a share of C + (1 - C) J agrees, where C = 2**-BITS of unequal
 minima collide. A candidate goes on to the comparison of full sets if its count is not below ``FEWEST``, which a pair of the
-wanted similarity misses once in 10**10. A pair of just that similarity shares a band but for 6 in 10**9.
+wanted similarity misses once in 10**10. A pair of just that similarity shares a band but for 7 in 10**7, one of 0.9 but for 2 in 10**10.
 
 Buckets of any size are met in three steps, none of which holds a whole bucket:
-1. Stars: every unit is compared with the smallest unit of each of its buckets. Copies of one text are joined by this.
+1. Stars: every unit is compared with the smallest unit of each of its buckets, first by signature. Copies of one text are joined by this.
 2. In buckets whose units are then of several groups, signatures meet in blocks of ``SIGNATURES``; a unit stays if it is
    close enough to one of another group. What comes out is units, not pairs.
 3. The units that stay meet by full sets in blocks of ``SETS``, block against block; what is in one group already is not compared again.
@@ -33,11 +33,13 @@ from weftgraph.llm.textcols import as_strings, lower_ascii, mix, row_chunks, tok
 from weftgraph.operators.components import components
 
 SHINGLE, LEAST = 5, 85
-BANDS, ROWS, BITS = 40, 6, 2
+BANDS, ROWS, BITS = 30, 6, 2
 #: Equal places of two signatures, of ``BANDS * ROWS``, below which a pair is no candidate.
-FEWEST = 177
+FEWEST = 129
 #: Signatures, and full sets, of a block that meets another in one task.
 SIGNATURES, SETS = 4096, 256
+#: Units whose numbers are broadcast to find their texts; of more, texts are shuffled.
+MOST_BROADCAST = 2_000_000
 _PLACES = BANDS * ROWS
 _WORDS = -(-_PLACES * BITS // 64)
 
@@ -153,15 +155,19 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Of candidates (a, b) those whose full sets are similar."""
+    """Of candidates (a, b) those whose full sets are similar. Partners of one ``a`` are dealt in blocks of about ``SETS``, with its set in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), least) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+        for a, _, unit, value in _by_task(batches):
+            held = [np.frombuffer(v, np.uint64) for v in value]  # the first one is that of ``a``
+            good = [i for i in range(1, len(held)) if similar(held[0], held[i], least)]
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([unit[i] for i in good], pa.int64())], ["a", "b"])
 
-    left, right = (sets.select(F.col("unit").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "a_set", "b_set").mapInArrow(run, "a bigint, b bigint")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SETS).alias("parts"))
+    dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("block"), F.lit(1).alias("side"), F.col("b").alias("unit"))
+    centres = dealt.select("a", "block").distinct().select("a", "block", F.lit(0).alias("side"), F.col("a").alias("unit"))
+    rows = dealt.unionByName(centres).join(sets, "unit").select(F.concat_ws(" ", "a", "block").alias("task"), "a", "side", "unit", "set")
+    return rows.repartition("task").sortWithinPartitions("task", "side").mapInArrow(run, "a bigint, b bigint")
 
 
 def _close(pairs: DataFrame, signatures: DataFrame, fewest: int) -> DataFrame:
@@ -195,7 +201,7 @@ def _tasks(met: DataFrame) -> DataFrame:
 
 
 def _by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, ...]]:
-    """(side, unit, root, bucket, value) of each task in turn."""
+    """The columns but the first, which is the task, of each task's rows in turn."""
     task, held = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -263,18 +269,26 @@ def links(units: DataFrame, texts: DataFrame, least: int = LEAST, fewest: int =
     buckets = scratch.written(each.groupBy("n", "h", "low").agg(F.min("key").alias("key")).select("key", "low"), "buckets")
     members = scratch.written(keys.join(buckets, "key").select(F.col("key").alias("bucket"), "unit", "low"), "members")
     stars = members.where("unit <> low").select(F.col("low").alias("a"), F.col("unit").alias("b")).distinct()
-    signatures = scratch.written(units.select("unit", "signature").join(members.select("unit").distinct(), "unit"), "signatures")
-    sets = scratch.written(_sets(texts.join(members.select("unit").distinct(), "unit").select("unit", "text")), "sets", "none")
-    found = components(_confirmed(_close(stars, signatures, fewest), sets, least))
+    close = scratch.written(_close(stars, units.select("unit", "signature"), fewest), "close")
+    ends = close.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
+    found = components(_confirmed(close, scratch.written(_sets(_of(texts, ends)), "sets", "none"), least))
     rooted = members.join(found, F.col("unit") == F.col("node"), "left").select("bucket", "unit", F.coalesce("root", "unit").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    open_rows = scratch.written(rooted.join(mixed, "bucket"), "open")
-    near = _near_others(open_rows.join(signatures, "unit").select("bucket", "unit", "root", "signature"), fewest)
-    alive = scratch.written(open_rows.join(near, ["bucket", "unit"]).select("bucket", "unit", "root"), "alive")
-    more = _joined(alive, sets, least)
+    apart = scratch.written(rooted.join(mixed, "bucket"), "apart")
+    near = _near_others(apart.join(units.select("unit", "signature"), "unit").select("bucket", "unit", "root", "signature"), fewest)
+    near = scratch.written(near.join(apart, ["bucket", "unit"]).select("bucket", "unit", "root"), "near")
+    more = scratch.written(_joined(near, scratch.written(_sets(_of(texts, near.select("unit").distinct())), "sets", "none"), least), "more")
+    if more.isEmpty():
+        return found
     return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
+def _of(texts: DataFrame, units: DataFrame) -> DataFrame:
+    """The texts of some units, which are not shuffled for up to ``MOST_BROADCAST`` of them."""
+    wanted = scratch.written(units, "wanted")
+    return texts.join(F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted, "unit", "left_semi").select("unit", "text")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, fewest: int = FEWEST) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document."""
     short = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"))
@@ -282,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     units = marked.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("_row").alias("unit"))
     of_row = scratch.written(marked.select("_id", "_row", "n", "h1", "h2").join(units, ["h1", "h2"], "left").select("_id", "_row", "n", F.coalesce("unit", "_row").alias("unit")), "units")
     first = of_row.where("_row = unit AND n > 0").select("unit")
-    of_unit = marked.select(F.col("_row").alias("unit"), "keys", "signature").join(first, "unit")
+    of_unit = scratch.written(marked.select(F.col("_row").alias("unit"), "keys", "signature").join(first, "unit"), "signatures")
     found = links(of_unit, marked.select(F.col("_row").alias("unit"), F.col("_text").alias("text")), least, fewest)
     rooted = of_row.join(found, F.col("unit") == F.col("node"), "left").select("_id", "n", F.coalesce("root", "unit").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("_id").alias("component_id"))
