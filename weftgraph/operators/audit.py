@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.ordering import with_previous
+
 DEFAULT_PAGE, MOST_PAGE = 25, 100
 
 
@@ -59,8 +61,7 @@ def self_authored(log: DataFrame, actor: str) -> DataFrame:
 
 def broken_chain(log: DataFrame, by: str = "namespace") -> DataFrame:
     """Applies whose base version is not the result of the one before."""
-    turn = Window.partitionBy(by).orderBy("ts", "id")
-    found = log.where("eventType = 'apply'").withColumn("before", F.lag("resultingVersion").over(turn))
+    found = with_previous(log.where("eventType = 'apply'"), by, "ts", "id", value="resultingVersion", name="before")
     return found.where("before IS NOT NULL AND NOT (before <=> baseVersion)")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from weftgraph.functions.jsontext import dumps
-from weftgraph.operators.mutate import Graph, Rejected, edge_rows, node_rows
+from weftgraph.operators.mutate import Graph, Rejected, edge_rows, edge_table, node_rows
 from weftgraph.operators.rewrite import edge_id
 from weftgraph.operators.traverse import closure, induced, steps
 
@@ -35,7 +35,7 @@ def assembled(sources: list[tuple[DataFrame, DataFrame]], authored: list[tuple[D
             tops = entries(n, e, kinds)
             ids = closure(tops.select("id"), steps(e, "out", ["hasPart"])).select("id").distinct()
             below = tops.select(F.lit("hasPart").alias("type"), F.lit(ROOT[0]).alias("src"), F.col("id").alias("dst")).withColumn("id", edge_id()).select("id", "type", "src", "dst")
-            links = induced(e, ids, ["hasPart"]).unionByName(below)
+            links = edge_table(induced(e, ids, ["hasPart"])).unionByName(edge_table(below))
             nodes = nodes.unionByName(n.join(ids, "id", "left_semi").select("id", "type", "labels", "props"))
             edges = links if edges is None else edges.unionByName(links)
     return nodes, edges if edges is not None else edge_rows(spark, [("", "", "")]).limit(0)
@@ -58,7 +58,7 @@ def filed(g: Graph, clone: Graph, root: str) -> Graph:
     errors += [f"node {r.id!r} exists" for r in taken.collect()]
     if errors:
         raise Rejected(*errors)
-    edges = g.edges.select("id", "type", "src", "dst").unionByName(clone.edges.select("id", "type", "src", "dst"))
+    edges = edge_table(g.edges).unionByName(edge_table(clone.edges))
     link = edge_rows(g.nodes.sparkSession, [("hasPart", container, root)])
     return Graph(g.nodes.select("id", "type", "labels", "props").unionByName(clone.nodes.select("id", "type", "labels", "props")), edges.unionByName(link))
 

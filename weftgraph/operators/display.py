@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.ordering import chains, placed
 from weftgraph.operators.traverse import closure
 
 #: Edge types drawn on another axis than their own, and whether they are drawn from target to source.
@@ -86,12 +89,14 @@ def scoped_subtree(drawn: DataFrame, start: DataFrame, most_depth: int = 4) -> D
 
 
 def grafted(drawn: DataFrame, shown: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """(parent, child): the extra children by rules (label, type, "out" or "in"), each node once.
+    """(parent, child): the extra children by rules (label, type, "out" or "in"); each node is expanded once, below however many it hangs.
 
-    A rule applies to every node of its label, so targets that match another rule are expanded in turn.
+    The first rule of a label applies to every node of it, so targets that match another rule are expanded in turn.
     """
-    parts = []
-    for label, kind, way in rules:
+    parts, first = [], {}
+    for rule in rules:
+        first.setdefault(rule[0], rule)
+    for label, kind, way in first.values():
         a, b = ("src", "dst") if way == "out" else ("dst", "src")
         of = shown.where(F.col("label") == label).select(F.col("id").alias(a))
         parts.append(drawn.where(F.col("type") == kind).join(of, a, "left_semi").select(F.col(a).alias("parent"), F.col(b).alias("child")))
@@ -145,6 +150,30 @@ def card_order(shown: DataFrame) -> DataFrame:
     return shown.orderBy(F.coalesce("ord", F.lit(0.0)), natural_key(F.col("code")), "id")
 
 
+def kind_rows(shown: DataFrame) -> DataFrame:
+    """(label, place, id): the nodes of each kind in order of number and code, counted from 0, as the view by kind lists them."""
+    from weftgraph.functions.text import natural_key
+
+    rows = shown.select("label", "id", F.coalesce("ord", F.lit(0.0)).alias("_ord"), natural_key(F.coalesce("code", F.lit(""))).alias("_code"))
+    return placed(rows, "label", "_ord", "_code", "id").select("label", "place", "id")
+
+
+def nested(rows: DataFrame, levels: list[str], *order: str | Column) -> DataFrame:
+    """(depth, parent, bucket, n, anchor, place): nested buckets as rows, and below the innermost the anchors in their order.
+
+    A bucket's name is the path of its levels' values, an absent value the empty text; ``parent`` is the bucket around it, null at the top.
+    """
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    path = lambda k: F.concat_ws("/", *(value(c) for c in levels[:k])) if k else F.lit(None).cast("string")
+    parts = [
+        rows.groupBy(path(k).alias("parent"), path(k + 1).alias("bucket")).agg(F.count("*").alias("n")).select(F.lit(k).alias("depth"), "parent", "bucket", "n", F.lit(None).cast("string").alias("anchor"), F.lit(None).cast("bigint").alias("place"))
+        for k in range(len(levels))
+    ]
+    anchors = placed(rows.withColumn("_bucket", path(len(levels))), "_bucket", *(order or ("id",)))
+    parts.append(anchors.select(F.lit(len(levels)).alias("depth"), F.col("_bucket").alias("parent"), F.lit(None).cast("string").alias("bucket"), F.lit(1).cast("bigint").alias("n"), F.col("id").alias("anchor"), "place"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def by_kind(shown: DataFrame) -> DataFrame:
     return shown.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
@@ -175,13 +204,13 @@ def progression(drawn: DataFrame) -> DataFrame:
 def search(shown: DataFrame, drawn: DataFrame, query: str, view_parents: DataFrame | None = None) -> DataFrame:
     """(id, matched): nodes of which a text in either language or the code holds the query, and those above them; none for an empty one.
 
-    ``view_parents`` (id, parent_id): the one parent that a view hangs each node below; without it all parents count.
+    ``view_parents`` (id, parent_id): the one parent that a view hangs each node below, as ``ordering.last_parents`` finds it; without it all parents count.
     """
     q = query.lower().strip()
     hits = shown.where(F.lit(bool(q)) & F.greatest(*(F.contains(F.lower(c), F.lit(q)) for c in ("text", "text_en", "code")))).select("id")
-    ways = drawn.where("rel = 'hasChild'").select(F.col("dst").alias("a"), F.col("src").alias("b"))
     if view_parents is not None:
-        ways = view_parents.select(F.col("id").alias("a"), F.col("parent_id").alias("b"))
+        return chains(hits, view_parents.select("id", F.col("parent_id").alias("parent"))).groupBy("id").agg((F.min("depth") == 0).alias("matched"))
+    ways = drawn.where("rel = 'hasChild'").select(F.col("dst").alias("a"), F.col("src").alias("b"))
     return closure(hits, ways).groupBy("id").agg((F.min("depth") == 0).alias("matched"))
 
 
@@ -199,7 +228,7 @@ def between(drawn: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def reveal(drawn: DataFrame, node: str, most: int = 50) -> DataFrame:
-    """(id, depth): the chain of last parents from a node to its root."""
-    parent = drawn.where("rel = 'hasChild'").groupBy(F.col("dst").alias("a")).agg(F.max("src").alias("b"))
+    """(id, depth): the chain of last parents, in the order of the edges, from a node to its root; at most so many levels."""
+    parent = drawn.where("rel = 'hasChild'").groupBy(F.col("dst").alias("id")).agg(F.max_by("src", F.struct("ord", "src")).alias("parent"))
     start = drawn.sparkSession.createDataFrame([(node,)], "id string")
-    return closure(start, parent, most).select("id", "depth")
+    return chains(start, parent).where(F.col("depth") <= most).select("id", F.col("depth").cast("int").alias("depth"))

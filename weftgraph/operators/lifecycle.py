@@ -21,6 +21,7 @@ from weftgraph.functions.jsontext import dumps
 from weftgraph.operators import audit, lookup, overlay, scope
 from weftgraph.operators.mutate import Graph, Rejected, structural_errors
 from weftgraph.operators.store import Store
+from weftgraph.sources.numbered import Conflict
 
 #: What the log keeps of a step; ``ids`` are the applies that it promoted or discarded, ``nonce`` the token's.
 RECORD = (
@@ -68,6 +69,7 @@ class Drafts:
         """Applies a change to the draft, which is opened by the first one; a change that breaks the graph is logged and not applied."""
         if why := self._refused(actor, "apply", namespace):
             return {"status": "unauthorized", "reason": why}
+        seen = self.store.seen(namespace)
         base, slot = self.store.active(namespace)
         try:
             after = change(base)
@@ -78,9 +80,13 @@ class Drafts:
             self._write(actor, namespace, "blocked", mutation=mutation, reason="; ".join(errors))
             return {"status": "blocked", "errors": errors}
         before = self._version(base)
+        try:
+            self.store.apply(namespace, after, seen)
+        except Conflict:
+            self._write(actor, namespace, "blocked", mutation=mutation, reason="the draft has moved")
+            return {"status": "blocked", "errors": ["the draft has moved"]}
         if slot == "published":
             self._write(actor, namespace, "createDraft", baseVersion=before)
-        self.store.apply(namespace, after)
         now = self._version(self.store.active(namespace)[0])
         return {"status": "applied", "id": self._write(actor, namespace, "apply", mutation=mutation, baseVersion=before, resultingVersion=now)}
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import no_accents, normal_renderings
+from weftgraph.operators.ordering import in_order, placed
 
 
 # --- lexicon -------------------------------------------------------------------------------------
@@ -96,6 +97,15 @@ def removed_terms(lexicon: DataFrame, ids: DataFrame) -> DataFrame:
     return lexicon.join(ids.select("id"), "id", "left_anti")
 
 
+def section_order(terms: DataFrame) -> DataFrame:
+    """(id, section, section_place, place): sections in the order of their first entries (by id), entries by name, both from 0.
+
+    ``terms`` are (id, name, section). A section's entries are placed by ranges.
+    """
+    first = in_order(terms.groupBy("section").agg(F.min("id").alias("_first")), "_first", name="_n").select("section", (F.col("_n") - 1).alias("section_place"))
+    return placed(terms, "section", "name", "id").join(first, "section").select("id", "section", "section_place", "place")
+
+
 def section_counts(terms: DataFrame) -> DataFrame:
     """(section, n, first): counts by section, the null one included, with the place where it is first seen."""
     return terms.groupBy("section").agg(F.count("*").alias("n"), F.min("place").alias("first"))
@@ -238,14 +248,15 @@ def catalog_entries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cloned(nodes: DataFrame, edges: DataFrame, ids: DataFrame, stamp: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Copies of the nodes ``ids`` and the edges among them under new ids; also the map (old_id, new_id)."""
+    """Copies of the nodes ``ids`` and the containment among them under new ids; also the map (old_id, new_id)."""
     from weftgraph.operators.rewrite import derived_id, edge_id
     from weftgraph.operators.traverse import induced
 
     renamed = ids.select(F.col("id").alias("old_id"), derived_id(F.concat_ws("/", F.lit(stamp), "id")).alias("new_id"))
     copies = nodes.join(renamed, F.col("id") == F.col("old_id")).select(F.col("new_id").alias("id"), "type", "labels", "props")
-    links = induced(edges, ids).join(renamed.select(F.col("old_id").alias("src"), F.col("new_id").alias("s")), "src").join(renamed.select(F.col("old_id").alias("dst"), F.col("new_id").alias("d")), "dst")
-    links = links.select("type", F.col("s").alias("src"), F.col("d").alias("dst")).withColumn("id", edge_id()).select("id", "type", "src", "dst")
+    links = induced(edges, ids, ["hasPart"]).join(renamed.select(F.col("old_id").alias("src"), F.col("new_id").alias("s")), "src").join(renamed.select(F.col("old_id").alias("dst"), F.col("new_id").alias("d")), "dst")
+    own = ["props"] if "props" in links.columns else []
+    links = links.select("type", F.col("s").alias("src"), F.col("d").alias("dst"), *own).withColumn("id", edge_id()).select("id", "type", "src", "dst", *own)
     return copies, links, renamed
 
 

@@ -10,16 +10,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import scratch
 from weftgraph.functions.jsontext import dumps, set_paths, touches
 from weftgraph.operators import overlay, traverse
+from weftgraph.operators.ordering import placed
+from weftgraph.operators.pending import Pending
 
 #: Edge types that are known without being observed.
 EDGE_TYPES = ("hasChild", "hasPart", "supports", "buildsTowards", "hasDependency", "hasEducationalAlignment", "relatesTo", "usesRoutine", "covers")
@@ -59,9 +61,20 @@ def node_rows(spark: SparkSession, rows: Sequence[tuple[str, str, Sequence[str],
     return spark.createDataFrame([(i, t, list(ls), dumps(p)) for i, t, ls, p in rows], "id string, type string, labels array<string>, props string")
 
 
+def is_protected(path: Column) -> Column:
+    """Whether a free edit of a dotted path would touch a protected one: the path itself, what is inside it, or what holds it."""
+    held = F.array(*map(F.lit, PROTECTED))
+    return F.exists(held, lambda p: (path == p) | F.startswith(path, F.concat(p, F.lit("."))) | F.startswith(p, F.concat(path, F.lit("."))))
+
+
+def edge_table(edges: DataFrame) -> DataFrame:
+    """The edges' columns, properties among them; null where the input has none."""
+    return overlay.filled(edges, overlay.EDGE_CONTENT).select("id", *overlay.EDGE_CONTENT)
+
+
 def edge_rows(spark: SparkSession, rows: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Edge table of (type, src, dst)."""
-    return spark.createDataFrame([(f"{t}:{a}->{b}", t, a, b) for t, a, b in rows], "id string, type string, src string, dst string")
+    """Edge table of (type, src, dst), without properties."""
+    return spark.createDataFrame([(f"{t}:{a}->{b}", t, a, b, None) for t, a, b in rows], "id string, type string, src string, dst string, props string")
 
 
 def create_node(g: Graph, node_id: str, kind: str, props: dict) -> Graph:
@@ -86,7 +99,7 @@ def create_edges(g: Graph, wanted: Sequence[tuple[str, str, str]]) -> Graph:
     errors += [f"edge {r.id!r} exists" for r in g.edges.join(new.select("id"), "id", "left_semi").select("id").collect()]
     if errors:
         raise Rejected(*errors)
-    return Graph(g.nodes, g.edges.select("id", "type", "src", "dst").unionByName(new))
+    return Graph(g.nodes, edge_table(g.edges).unionByName(new))
 
 
 def delete_edges(g: Graph, ids: Sequence[str]) -> Graph:
@@ -106,7 +119,7 @@ def delete_nodes(g: Graph, ids: Sequence[str]) -> Graph:
         raise Rejected(*errors)
     gone = traverse.cascade(g.nodes.where(F.col("id").isin(list(ids))), g.edges)
     edges = g.edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
-    return Graph(g.nodes.join(gone, "id", "left_anti"), edges.select("id", "type", "src", "dst"))
+    return Graph(g.nodes.join(gone, "id", "left_anti"), edge_table(edges))
 
 
 def cascade_warnings(g: Graph, ids: Sequence[str], shown: int = 8) -> list[str]:
@@ -154,7 +167,7 @@ def add_nodes(g: Graph, items: Sequence[dict]) -> Graph:
         rows.append((i["id"], i["label"], [i["label"]], props))
     spark = _spark(g)
     nodes = g.nodes.select("id", "type", "labels", "props").unionByName(node_rows(spark, rows))
-    edges = g.edges.select("id", "type", "src", "dst")
+    edges = edge_table(g.edges)
     return Graph(nodes, edges.unionByName(edge_rows(spark, links)) if links else edges)
 
 
@@ -172,7 +185,7 @@ def move_node(g: Graph, node: str, parent: str, kind: str = "hasPart", position:
     inside = traverse.closure(g.nodes.where(F.col("id") == node).select("id"), traverse.steps(g.edges, "out", ["hasPart", "hasChild"]))
     if inside.where(F.col("id") == parent).take(1):
         raise Rejected(f"{parent!r} is inside {node!r}")
-    kept = g.edges.where(~((F.col("dst") == node) & F.col("type").isin("hasPart", "hasChild"))).select("id", "type", "src", "dst")
+    kept = edge_table(g.edges.where(~((F.col("dst") == node) & F.col("type").isin("hasPart", "hasChild"))))
     moved = Graph(g.nodes, kept.unionByName(edge_rows(_spark(g), [(kind, parent, node)])))
     return moved if position is None else edit_node(moved, node, position=position)
 
@@ -246,7 +259,7 @@ def use_in_document(g: Graph, document: str, clone: Graph, root: str) -> Graph:
 
 
 def _appended(g: Graph, clone: Graph, link: tuple[str, str, str]) -> Graph:
-    edges = g.edges.select("id", "type", "src", "dst").unionByName(clone.edges).unionByName(edge_rows(_spark(g), [link]))
+    edges = edge_table(g.edges).unionByName(edge_table(clone.edges)).unionByName(edge_rows(_spark(g), [link]))
     return Graph(g.nodes.select("id", "type", "labels", "props").unionByName(clone.nodes), edges)
 
 
@@ -280,16 +293,24 @@ def running_positions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst, place): children in order of position and id, counted from 1."""
     at = F.coalesce(F.get_json_object("props", "$.position").cast("double"), F.lit(0.0))
     rows = edges.where(F.col("type") == "hasPart").join(nodes.select(F.col("id").alias("dst"), at.alias("at")), "dst")
-    return rows.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy("at", "dst")).alias("place"))
+    found = placed(rows.select("src", "dst", "at"), "src", "at", "dst")
+    return found.select("src", "dst", (F.col("place") + 1).cast("int").alias("place"))
 
 
-@dataclass
 class Workflow:
-    """Dry run and confirmation. ``clock`` returns seconds; state is this process's, like a session's."""
+    """Dry run and confirmation. ``clock`` returns seconds.
+
+    Previewed arguments, used tokens and replies are in the folder ``root``, where they expire (see ``pending``), so they hold in every process and after a
+    restart; without a folder a passing one of the session is taken.
+    """
 
-    clock: Callable[[], float]
-    used: set[str] = field(default_factory=set)
-    replies: dict[str, tuple[float, str, object]] = field(default_factory=dict)
+    def __init__(self, clock: Callable[[], float], root: str | None = None):
+        self.clock, self.root = clock, root
+
+    def _pending(self, g: Graph) -> Pending:
+        if self.root is None:
+            self.root = scratch.new_path(_spark(g), "workflow")
+        return Pending(_spark(g), self.root, self.clock)
 
     def preview(
         self, name: str, base: Graph, published: Graph, args: dict, apply: Callable[[Graph, dict], Graph], full: bool = False,
@@ -306,37 +327,62 @@ class Workflow:
         if errors := structural_errors(published, after):
             return {"status": "blocked", "errors": errors}
         version = overlay.graph_hash(*base).first().hash
-        token = {"m": name, "a": _digest(args), "v": version, "n": hashlib.sha256(f"{name}{version}{self.clock()}".encode()).hexdigest()[:16], "exp": self.clock() + TOKEN_SECONDS}
+        token = {"m": name, "a": _digest(args), "v": version, "n": uuid.uuid4().hex, "exp": self.clock() + TOKEN_SECONDS}
+        self._pending(base).claim("arguments", token["n"], args, TOKEN_SECONDS)
         diff = overlay.whole_difference(base, after)
         shown = {"status": "preview", "counts": overlay.counts_of(diff).first().asDict(), "token": base64.urlsafe_b64encode(dumps(token).encode()).decode()}
         return shown | {"warnings": warn(base, args) if warn else []} | ({"difference": diff} if full else {})
 
-    def confirm(self, name: str, base: Graph, args: dict, token: str, apply: Callable[[Graph, dict], Graph], key: str | None = None) -> tuple[str, Graph | None]:
-        """("applied", graph), or why not. A changed base is told before an old token."""
+    def confirm(self, name: str, base: Graph, args: dict | None, token: str, apply: Callable[[Graph, dict], Graph], key: str | None = None) -> tuple[str, Graph | None]:
+        """("applied", graph), or why not. A changed base is told before an old token. Without arguments those of the preview are taken.
+
+        ``key``: a repeated call with the same key and arguments gets the same graph again, for a day.
+        """
         try:
             t = json.loads(base64.urlsafe_b64decode(token))
             named, digest, version, nonce, until = t["m"], t["a"], t["v"], t["n"], t["exp"]
         except (ValueError, KeyError, TypeError):
             return "malformed token", None
+        pending = self._pending(base)
         if named != name:
             return "token of another mutation", None
+        if args is None and (args := pending.get("arguments", nonce)) is None:
+            return "expired", None
         if digest != _digest(args):
             return "arguments differ", None
-        if key is not None and key in self.replies and self.replies[key][0] + REPLAY_SECONDS > self.clock():
-            _, before, reply = self.replies[key]
-            return ("applied", reply) if before == digest else ("key of other arguments", None)
-        if nonce in self.used:
+        if key is not None and (reply := pending.get("replies", key)) is not None:
+            return ("applied", self._stored(base, reply["folder"])) if reply["arguments"] == digest else ("key of other arguments", None)
+        if pending.get("nonces", nonce) is not None:
             return "token used before", None
         if overlay.graph_hash(*base).first().hash != version:
             return "stale", None
         if self.clock() > until:
             return "expired", None
         after = apply(base, args)
-        self.used.add(nonce)
+        if not pending.claim("nonces", nonce, {}, TOKEN_SECONDS):
+            return "token used before", None
+        pending.drop("arguments", nonce)
         if key is not None:
-            self.replies[key] = (self.clock(), digest, after)
+            folder = f"{self.root}/reply-{uuid.uuid4().hex}"
+            after.nodes.write.parquet(f"{folder}/nodes")
+            edge_table(after.edges).write.parquet(f"{folder}/edges")
+            pending.claim("replies", key, {"arguments": digest, "folder": folder}, REPLAY_SECONDS)
         return "applied", after
 
+    def sweep(self, spark: SparkSession) -> int:
+        """Removes what has expired, replies with their tables; how many values went."""
+        if self.root is None:
+            return 0
+        gone = Pending(spark, self.root, self.clock).sweep()
+        for value in gone:
+            if "folder" in value:
+                scratch.remove(spark, value["folder"])
+        return len(gone)
+
+    @staticmethod
+    def _stored(g: Graph, folder: str) -> Graph:
+        return Graph(*(_spark(g).read.parquet(f"{folder}/{side}") for side in ("nodes", "edges")))
+
 
 def _digest(args: dict) -> str:
     return hashlib.sha256(dumps(args).encode()).hexdigest()

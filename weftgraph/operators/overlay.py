@@ -9,36 +9,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NODE_CONTENT = ("type", "props")
-EDGE_CONTENT = ("type", "src", "dst")
+NODE_CONTENT = ("type", "labels", "props")
+EDGE_CONTENT = ("type", "src", "dst", "props")
 #: Caps of a reported difference, per side and kind of change.
 DIFF_CAP, MOST_DIFF = 200, 1000
 
 
 def content(columns: tuple[str, ...] = NODE_CONTENT) -> Column:
-    """Digest of the content columns; null and empty differ."""
-    parts = [F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(c).cast("string"))) for c in columns]
+    """Digest of the content columns, lists as JSON; null and empty differ."""
+    text = lambda c: F.to_json(c) if c == "labels" else F.col(c).cast("string")
+    parts = [F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), text(c))) for c in columns]
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
+def filled(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The rows with a null in each content column that they lack, as edges without properties do."""
+    return rows.withColumns({c: F.lit(None).cast("string") for c in columns if c not in rows.columns})
+
+
 def merged(canon: DataFrame, over: DataFrame) -> DataFrame:
     """The draft: published rows that the overlay does not name, and its living rows."""
     kept = canon.join(over.select("id"), "id", "left_anti")
-    return kept.unionByName(over.where(~F.col("_tombstone")).drop("_tombstone"))
+    return kept.unionByName(over.where(~F.col("_tombstone")).drop("_tombstone"), allowMissingColumns=True)
 
 
 def difference(before: DataFrame, after: DataFrame, columns: tuple[str, ...] = NODE_CONTENT) -> DataFrame:
     """(id, op): added, removed and changed rows."""
-    a = before.select("id", content(columns).alias("was"))
-    b = after.select("id", content(columns).alias("now"))
+    a = filled(before, columns).select("id", content(columns).alias("was"))
+    b = filled(after, columns).select("id", content(columns).alias("now"))
     op = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "changed")
     return a.join(b, "id", "full_outer").select("id", op.alias("op")).where("op IS NOT NULL")
 
 
 def delta(before: DataFrame, after: DataFrame, columns: tuple[str, ...] = NODE_CONTENT) -> tuple[DataFrame, DataFrame]:
     """(rows to write, ids to remove) that turn ``before`` into ``after``."""
-    same = before.select("id", content(columns).alias("_d"))
-    writes = after.withColumn("_d", content(columns)).join(same, ["id", "_d"], "left_anti").drop("_d")
+    same = filled(before, columns).select("id", content(columns).alias("_d"))
+    writes = filled(after, columns).withColumn("_d", content(columns)).join(same, ["id", "_d"], "left_anti").drop("_d")
     return writes, before.select("id").join(after.select("id"), "id", "left_anti")
 
 
@@ -47,19 +53,67 @@ def applied(before: DataFrame, writes: DataFrame, removals: DataFrame) -> DataFr
     return before.join(gone, "id", "left_anti").unionByName(writes)
 
 
+def _lanes(digest: str = "d") -> list[Column]:
+    """The four sums, modulo 2**64, of SHA-256 digests that are read as four numbers of 64 bits each."""
+    lane = lambda i: F.conv(F.substring(digest, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
+    return [F.coalesce(F.sum(lane(i).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
+
+
+def _of_lanes() -> Column:
+    parts = [F.pmod(F.col(f"s{i}"), F.lit(str(2**64)).cast("decimal(38,0)")).cast("decimal(20,0)").cast("string") for i in range(4)]
+    return F.sha2(F.concat_ws("/", F.col("n").cast("string"), *parts), 256)
+
+
+def _digests(rows: DataFrame, side: str, columns: tuple[str, ...]) -> DataFrame:
+    return filled(rows, columns).select("id", F.sha2(F.concat_ws("\x1e", F.lit(side), "id", content(columns)), 256).alias("d"))
+
+
 def graph_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row (hash): the same for any order of rows, different for any other content.
 
     Each row's SHA-256 is read as four numbers of 64 bits. They are added up, modulo 2**64, by partial aggregates, and the
     sums and the number of rows are hashed; so no list of digests is ever gathered.
     """
-    rows = nodes.select(F.sha2(F.concat_ws("\x1e", F.lit("node"), "id", content(NODE_CONTENT)), 256).alias("d")).unionByName(
-        edges.select(F.sha2(F.concat_ws("\x1e", F.lit("edge"), "id", content(EDGE_CONTENT)), 256).alias("d"))
-    )
-    lane = lambda i: F.conv(F.substring("d", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
-    sums = rows.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(lane(i).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)))
-    parts = [F.pmod(F.col(f"s{i}"), F.lit(str(2**64)).cast("decimal(38,0)")).cast("decimal(20,0)").cast("string") for i in range(4)]
-    return sums.select(F.sha2(F.concat_ws("/", F.col("n").cast("string"), *parts), 256).alias("hash"))
+    rows = _digests(nodes, "node", NODE_CONTENT).unionByName(_digests(edges, "edge", EDGE_CONTENT))
+    return rows.agg(F.count("*").alias("n"), *_lanes()).select(_of_lanes().alias("hash"))
+
+
+def in_range(ranges: int, id_col: str = "id") -> Column:
+    """Which of so many ranges (at most 65536) of the space of identifiers' hashes a row lies in."""
+    return F.pmod(F.conv(F.substring(F.md5(id_col), 1, 4), 16, 10).cast("int"), F.lit(ranges))
+
+
+def range_digests(rows: DataFrame, ranges: int, side: str = "node") -> DataFrame:
+    """(range, n, digest): the leaves of a Merkle tree over one side of a graph. Equal digests mean equal rows.
+
+    Partial aggregates make one row for each range and task.
+    """
+    columns = NODE_CONTENT if side == "node" else EDGE_CONTENT
+    each = _digests(rows, side, columns).groupBy(in_range(ranges).alias("range")).agg(F.count("*").alias("n"), *_lanes())
+    return each.select("range", "n", _of_lanes().alias("digest"))
+
+
+def merkle_root(leaves: DataFrame, fan: int = 256) -> DataFrame:
+    """One row (hash) of the leaves of a tree: the digests of neighbouring ranges are hashed in their order, ``fan`` at a time."""
+    level = leaves.select(F.col("range").alias("at"), "digest")
+    for _ in range(2):  # at most 65536 ranges
+        listed = F.array_sort(F.collect_list(F.struct("at", "digest")))
+        joined = F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["at"].cast("string"), x["digest"])), "/")
+        level = level.groupBy(F.floor(F.col("at") / fan).cast("int").alias("above")).agg(F.sha2(joined, 256).alias("digest")).withColumnRenamed("above", "at")
+    return level.select(F.col("digest").alias("hash"))
+
+
+def unequal_ranges(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(range) where two trees' leaves differ, also where one has no rows."""
+    a, b = before.select("range", F.col("digest").alias("was")), after.select("range", F.col("digest").alias("now"))
+    return a.join(b, "range", "full_outer").where(~F.col("was").eqNullSafe(F.col("now"))).select("range")
+
+
+def difference_by_ranges(before: DataFrame, after: DataFrame, ranges: int, side: str = "node") -> DataFrame:
+    """(id, op) as ``difference`` has it, comparing only rows of ranges whose digests differ."""
+    unequal = F.broadcast(unequal_ranges(range_digests(before, ranges, side), range_digests(after, ranges, side)))  # at most ``ranges`` rows
+    within = lambda rows: rows.withColumn("range", in_range(ranges)).join(unequal, "range", "left_semi")
+    return difference(within(before), within(after), NODE_CONTENT if side == "node" else EDGE_CONTENT)
 
 
 def capped(diff: DataFrame, cap: int = DIFF_CAP, by: tuple[str, ...] = ("side", "op")) -> DataFrame:
@@ -86,9 +140,9 @@ def whole_difference(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame
 
 
 def renamed(published: DataFrame, after: DataFrame, columns: tuple[str, ...] = NODE_CONTENT) -> DataFrame:
-    """(removed_id, added_id): a removed and an added row with the same content are a disguised rename."""
-    gone = published.join(after.select("id"), "id", "left_anti").select(F.col("id").alias("removed_id"), content(columns).alias("d"))
-    new = after.join(published.select("id"), "id", "left_anti").select(F.col("id").alias("added_id"), content(columns).alias("d"))
+    """(removed_id, added_id): a removed and an added row with the same content are a disguised rename; of several added ones the first by id."""
+    gone = filled(published, columns).join(after.select("id"), "id", "left_anti").select(F.col("id").alias("removed_id"), content(columns).alias("d"))
+    new = filled(after, columns).join(published.select("id"), "id", "left_anti").groupBy(content(columns).alias("d")).agg(F.min("id").alias("added_id"))
     return gone.join(new, "d").drop("d")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators import traverse
+from weftgraph.operators.ordering import placed
 
 #: Labels of the document layer, which is not part of the units.
 DOCUMENT_LABELS = ("TeachingLearningMaterial", "DocumentSection", "Formatter", "FormatterSpec")
@@ -91,8 +92,8 @@ def children(links: DataFrame) -> DataFrame:
 
 def placed_children(links: DataFrame) -> DataFrame:
     """(id, place, child): the children as rows, counted from 0, which a parent of any size can have."""
-    place = F.row_number().over(Window.partitionBy("parent").orderBy("phase", "seq")) - 1
-    return links.select(F.col("parent").alias("id"), place.alias("place"), "child")
+    found = placed(links.select(F.col("parent").alias("id"), "phase", "seq", "child"), "id", "phase", "seq")
+    return found.select("id", F.col("place").cast("int").alias("place"), "child")
 
 
 def progression(edges: DataFrame, unit_rows: DataFrame, d: Descriptor = Descriptor()) -> DataFrame:
@@ -122,18 +123,20 @@ def model_roots(unit_rows: DataFrame) -> DataFrame:
     return unit_rows.join(known, "parent_id", "left_anti")
 
 
-def pruned(unit_rows: DataFrame, root_kinds: list[str], leaf_kinds: list[str], content_kinds: list[str], component_kind: str) -> DataFrame:
+def pruned(unit_rows: DataFrame, root_kinds: list[str], leaf_kinds: list[str], content_kinds: list[str], component_kind: str, links: DataFrame | None = None) -> DataFrame:
     """Units that matter below the roots.
 
     Kept: what the roots reach through children, not below leaf kinds; leaves with a kept content child;
     components whose parent is kept. Components of components are judged by what was kept before them.
+    ``links`` (parent, child) are the units' children as rows; without them the units' own lists are taken.
     """
-    ways = unit_rows.select(F.col("id").alias("a"), F.explode("child_ids").alias("b"))
+    held = unit_rows.select("id", F.explode("child_ids").alias("c")) if links is None else links.select(F.col("parent").alias("id"), F.col("child").alias("c"))
+    ways = held.select(F.col("id").alias("a"), F.col("c").alias("b"))
     inner = unit_rows.where(~F.col("kind").isin(*leaf_kinds)).select("id")
     starts = unit_rows.where(F.col("kind").isin(*root_kinds)).select("id")
     kept = traverse.closure(starts, ways, through=inner).select("id").distinct()
     content = unit_rows.where(F.col("kind").isin(*content_kinds)).select("id").join(kept, "id", "left_semi")
-    leaves = unit_rows.where(F.col("kind").isin(*leaf_kinds)).select("id", F.explode("child_ids").alias("c")).join(content.select(F.col("id").alias("c")), "c", "left_semi").select("id")
+    leaves = held.join(unit_rows.where(F.col("kind").isin(*leaf_kinds)).select("id"), "id", "left_semi").join(content.select(F.col("id").alias("c")), "c", "left_semi").select("id")
     kept = kept.unionByName(leaves).distinct()
     parts = unit_rows.where(F.col("kind") == component_kind).join(kept.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id")
     return unit_rows.join(kept.unionByName(parts).distinct(), "id", "left_semi")
@@ -184,6 +187,16 @@ def spine_edges(unit_rows: DataFrame) -> DataFrame:
     return listed("child_ids", "hasChild").unionByName(listed("builds_towards", "buildsTowards"))
 
 
+def spine_rows(links: DataFrame, ahead: DataFrame) -> DataFrame:
+    """As ``spine_edges``, from links and progression as rows, which a unit of any size can have."""
+    def listed(rows: DataFrame, kind: str, *order: str) -> DataFrame:
+        at = placed(rows, "src", *order).withColumn("place", F.col("place").cast("int"))
+        return at.select(F.concat(F.lit(f"{kind}:"), "src", F.lit("->"), "dst").alias("id"), F.lit(kind).alias("type"), "src", "dst", "place")
+
+    below = links.select(F.col("parent").alias("src"), F.col("child").alias("dst"), "phase", "seq")
+    return listed(below, "hasChild", "phase", "seq").unionByName(listed(ahead.select("src", "dst", "seq"), "buildsTowards", "seq"))
+
+
 def raw_envelope(stored: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The inverse of ``serialised``: raw nodes, and raw edges under their own ids, in order of seq, nulls last."""
     own = F.coalesce("identifier", "id") if "identifier" in links.columns else F.col("id")
@@ -193,8 +206,8 @@ def raw_envelope(stored: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFr
 def placed_stored_children(links: DataFrame, place: str = "place") -> DataFrame:
     """As ``ordered_children``, as rows (id, place, child) counted from 0."""
     at = F.coalesce(F.col(place).cast("double"), F.col("seq").cast("double"))
-    turn = F.row_number().over(Window.partitionBy("src").orderBy(at, "seq")) - 1
-    return links.select(F.col("src").alias("id"), turn.alias("place"), F.col("dst").alias("child"))
+    found = placed(links.select(F.col("src").alias("id"), at.alias("at"), "seq", F.col("dst").alias("child")), "id", "at", "seq")
+    return found.select("id", F.col("place").cast("int").alias("place"), "child")
 
 
 def ordered_children(links: DataFrame, place: str = "place") -> DataFrame:

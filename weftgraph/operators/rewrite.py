@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.ordering import placed
 from weftgraph.operators.traverse import ancestors, nearest
 
 
@@ -56,8 +57,8 @@ def aligned_to_single_parent(edges: DataFrame, components: DataFrame, parents: D
     single = up.groupBy("src").agg(F.min("dst").alias("parent"), F.countDistinct("dst").alias("n")).where("n = 1").select(F.col("src").alias("component"), "parent")
     order = "seq" if "seq" in edges.columns else "id"
     onto = edges.where(F.col("type") == "hasEducationalAlignment").join(single, F.col("dst") == F.col("component"))
-    running = F.row_number().over(Window.partitionBy("component").orderBy(order)) - 1
-    return onto.withColumn("running", running).select(F.concat(F.lit("hasEducationalAlignment:"), "src", F.lit("->"), "parent").alias("id"), "src", F.col("parent").alias("dst"), "component", "running")
+    onto = placed(onto, "component", order, name="running").withColumn("running", F.col("running").cast("int"))
+    return onto.select(F.concat(F.lit("hasEducationalAlignment:"), "src", F.lit("->"), "parent").alias("id"), "src", F.col("parent").alias("dst"), "component", "running")
 
 
 def canonical_edges(edges: DataFrame, content: DataFrame) -> DataFrame:
@@ -71,8 +72,8 @@ def canonical_edges(edges: DataFrame, content: DataFrame) -> DataFrame:
 
 def flagged_last(children: DataFrame, pattern: str = "(?i)bilan") -> DataFrame:
     """(parent, id): of each parent the last child whose text matches, else the last child. Needs parent, id, ord, text."""
-    turn = Window.partitionBy("parent").orderBy(F.coalesce(F.col("text").rlike(pattern), F.lit(False)).desc(), F.col("ord").desc_nulls_last(), F.col("id").desc())
-    return children.withColumn("_k", F.row_number().over(turn)).where("_k = 1").select("parent", "id")
+    last = F.struct(F.coalesce(F.col("text").rlike(pattern), F.lit(False)), "ord", "id")  # a null order is the lowest
+    return children.groupBy("parent").agg(F.max_by("id", last).alias("id"))
 
 
 def grouped_between(edges: DataFrame, groups: DataFrame, label: str = "LessonGrouping") -> tuple[DataFrame, DataFrame]:

@@ -1,13 +1,15 @@
-"""A versioned store of graphs in Parquet: immutable version folders and one small pointer for each namespace.
+"""A versioned store of graphs in Parquet: immutable bucket folders and a small pointer for each namespace.
 
-A pointer is a JSON file that names the published version and, if a draft is open, its overlay. Publishing
-writes a new version and then replaces the pointer by a rename, so readers see the old or the new graph,
-never a mixture. Files are reached through Hadoop's file system, so any store that Spark knows will do.
+Rows lie in buckets by a hash of their identifier. A pointer is a numbered file (see ``sources.numbered``) that names each
+bucket's folder with its number of rows and digest and, if a draft is open, its overlay. Publishing writes anew only the buckets that the overlay touches and
+then adds the next pointer, so readers see the old or the new graph, never a mixture, and of two writers
+that began with the same pointer one is refused. Replaced folders stay until the next publishing, for those who still read them. Two versions differ at most where their buckets' digests do.
+Files are reached through Hadoop's file system, so any store that Spark knows will do.
 """
 
 from __future__ import annotations
 
-import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -16,10 +18,14 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import overlay
 from weftgraph.operators.mutate import Graph
+from weftgraph.sources.numbered import Conflict, Numbered
 
 _NODES = "id string, type string, labels array<string>, props string"
-_EDGES = "id string, type string, src string, dst string"
+_EDGES = "id string, type string, src string, dst string, props string"
+_SIDES = {"nodes": ("node", _NODES, overlay.NODE_CONTENT), "edges": ("edge", _EDGES, overlay.EDGE_CONTENT)}
 RESERVED = ("_catalog", "_glossary")
+#: Buckets of a new namespace; a bucket should have some million rows at most.
+BUCKETS = 16
 
 
 class Store:
@@ -29,137 +35,198 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._pointers = Numbered(spark, self.root)
 
     # --- pointers -------------------------------------------------------------------------------
     def _folder(self, namespace: str) -> str:
         return f"{self.root}/{namespace.replace('/', '__')}"
 
+    def _latest(self, namespace: str) -> tuple[int, dict | None]:
+        return self._pointers.latest(f"{self._folder(namespace)}/pointer")
+
+    def _seeded(self, namespace: str) -> tuple[int, dict]:
+        at, p = self._latest(namespace)
+        if p is None:
+            raise ValueError(f"{namespace!r} is not seeded")
+        return at, p
+
     def pointer(self, namespace: str) -> dict | None:
         """Where a namespace stands; None if it was never seeded."""
-        path = self._path(f"{self._folder(namespace)}/pointer.json")
-        if not self._fs.exists(path):
-            return None
-        return json.loads("\n".join(r.value for r in self.spark.read.text(path.toString()).collect()))
-
-    def _point(self, namespace: str, pointer: dict) -> None:
-        final, fresh = self._path(f"{self._folder(namespace)}/pointer.json"), self._path(f"{self._folder(namespace)}/.pointer-{uuid.uuid4().hex}")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps(pointer, sort_keys=True).encode()))
-        out.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        rename = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(fresh, final, options)
+        return self._latest(namespace)[1]
+
+    def _point(self, namespace: str, pointer: dict, seen: int, mine: list[str]) -> None:
+        """Adds the pointer after the one that was seen; if another writer was faster, the folders that were written for it go."""
+        try:
+            self._pointers.add(f"{self._folder(namespace)}/pointer", seen, pointer)
+        except Conflict:
+            for folder in mine:
+                self._remove(folder)
+            raise
 
     def namespaces(self, reserved: bool = True) -> list[str]:
         """Every seeded namespace, by name."""
         root = self._path(self.root)
         if not self._fs.exists(root):
             return []
-        names = [s.getPath().getName().replace("__", "/") for s in self._fs.listStatus(root) if s.isDirectory() and self._fs.exists(self._path(f"{s.getPath().toString()}/pointer.json"))]
-        return sorted(n for n in names if reserved or not any(part in RESERVED for part in n.split("/")))
+        names = [s.getPath().getName() for s in self._fs.listStatus(root) if s.isDirectory() and self._fs.exists(self._path(f"{s.getPath().toString()}/pointer"))]
+        return sorted(n for n in (x.replace("__", "/") for x in names) if reserved or not any(part in RESERVED for part in n.split("/")))
 
     # --- graphs ---------------------------------------------------------------------------------
     def _write(self, g: Graph, folder: str) -> None:
         g.nodes.write.parquet(f"{folder}/nodes")
         g.edges.write.parquet(f"{folder}/edges")
 
-    def _read(self, folder: str, dead: bool = False) -> Graph:
-        extra = ", _tombstone boolean" if dead else ""
-        return Graph(self.spark.read.schema(_NODES + extra).parquet(f"{folder}/nodes"), self.spark.read.schema(_EDGES + extra).parquet(f"{folder}/edges"))
+    def _overlay(self, folder: str) -> Graph:
+        return Graph(*(self.spark.read.schema(f"{s[1]}, _tombstone boolean").parquet(f"{folder}/{side}") for side, s in _SIDES.items()))
 
     def _fresh(self, namespace: str, kind: str) -> str:
         return f"{self._folder(namespace)}/{kind}-{uuid.uuid4().hex}"
 
-    def write(self, namespace: str, g: Graph, config: dict | None = None) -> None:
+    def _put(self, rows: DataFrame, side: str, folder: str, buckets: int) -> dict[str, dict]:
+        """Writes rows of one side, a file for each bucket; (path, n, digest) of each by its number."""
+        name, schema, columns = _SIDES[side]
+        names = [c.split()[0] for c in schema.split(", ")]
+        dealt = overlay.filled(rows, columns).select(*names).withColumn("_b", overlay.in_range(buckets))
+        dealt.repartition(buckets, "_b").write.partitionBy("_b").parquet(folder)
+        if not [s for s in self._fs.listStatus(self._path(folder)) if re.fullmatch(r"_b=\d+", s.getPath().getName())]:
+            return {}
+        leaves = overlay.range_digests(self.spark.read.schema(schema).parquet(f"{folder}/_b=*"), buckets, name).collect()  # a row for each bucket
+        return {str(r["range"]): {"path": f"{folder}/_b={r['range']}", "n": r["n"], "digest": r["digest"]} for r in leaves}
+
+    def _table(self, side: str, entries: list[dict]) -> DataFrame:
+        schema = _SIDES[side][1]
+        return self.spark.read.schema(schema).parquet(*(e["path"] for e in entries)) if entries else self.spark.createDataFrame([], schema)
+
+    def _canon(self, version: dict) -> Graph:
+        return Graph(*(self._table(side, list(version[side].values())) for side in _SIDES))
+
+    def write(self, namespace: str, g: Graph, config: dict | None = None, buckets: int = BUCKETS) -> None:
         """Replaces what is published; refused while a draft is open."""
-        now = self.pointer(namespace)
+        at, now = self._latest(namespace)
         if now and now["draft"]:
             raise ValueError("a draft is open")
         folder = self._fresh(namespace, "v")
-        self._write(Graph(g.nodes.select("id", "type", "labels", "props"), g.edges.select("id", "type", "src", "dst")), folder)
-        self._point(namespace, {"published": folder, "draft": None, "config": config if config is not None else (now or {}).get("config"), "draft_config": None})
+        version = {"buckets": buckets} | {side: self._put(rows, side, f"{folder}/{side}", buckets) for side, rows in zip(_SIDES, g, strict=True)}
+        stale = [e["path"] for side in _SIDES for e in now["published"][side].values()] if now else []
+        self._point(namespace, {"published": version, "draft": None, "config": config if config is not None else (now or {}).get("config"), "draft_config": None, "stale": stale}, at, [folder])
+        self._let_go(now)
+
+    def _let_go(self, before: dict | None) -> None:
+        """Removes what the version before the last one alone had; those who still read the last one go on."""
+        for path in (before or {}).get("stale", []):
+            self._remove(path)
+
+    def seed(self, namespace: str, g: Graph, config: dict | None = None, buckets: int = BUCKETS) -> bool:
+        """Publishes a first graph where there is none; whether it did. Nothing happens to a seeded namespace, also if another writer seeds it meanwhile."""
+        if self.pointer(namespace) is not None:
+            return False
+        try:
+            self.write(namespace, g, config, buckets)
+        except Conflict:
+            return False
+        return True
 
     def published(self, namespace: str) -> Graph | None:
         p = self.pointer(namespace)
-        return self._read(p["published"]) if p else None
+        return self._canon(p["published"]) if p else None
 
     def active(self, namespace: str) -> tuple[Graph, str] | None:
         """The draft if one is open, else what is published, and which."""
         p = self.pointer(namespace)
         if p is None:
             return None
+        canon = self._canon(p["published"])
         if not p["draft"]:
-            return self._read(p["published"]), "published"
-        canon, over = self._read(p["published"]), self._read(p["draft"], True)
+            return canon, "published"
+        over = self._overlay(p["draft"])
         return Graph(overlay.merged(canon.nodes, over.nodes), overlay.merged(canon.edges, over.edges)), "draft"
 
     def create_draft(self, namespace: str) -> None:
         """Opens an empty overlay, at no cost in the graph's size; nothing happens if one is open."""
-        p = self.pointer(namespace)
-        if p is None:
-            raise ValueError(f"{namespace!r} is not seeded")
+        self._open(namespace, *self._seeded(namespace))
+
+    def seen(self, namespace: str) -> int:
+        """The number of the pointer: what was read at it is still so while the number is the same."""
+        return self._latest(namespace)[0]
+
+    def _open(self, namespace: str, at: int, p: dict) -> None:
         if p["draft"]:
             return
         folder = self._fresh(namespace, "draft")
-        none = Graph(self.spark.createDataFrame([], _NODES + ", _tombstone boolean"), self.spark.createDataFrame([], _EDGES + ", _tombstone boolean"))
-        self._write(none, folder)
-        self._point(namespace, p | {"draft": folder, "draft_config": p["config"]})
-
-    def apply(self, namespace: str, after: Graph) -> None:
-        """Records in the draft what makes it ``after``: its difference from the published graph, with tombstones."""
-        self.create_draft(namespace)
-        p = self.pointer(namespace)
-        canon, sides = self._read(p["published"]), []
-        for before, now, columns in ((canon.nodes, after.nodes.select("id", "type", "labels", "props"), overlay.NODE_CONTENT), (canon.edges, after.edges.select("id", "type", "src", "dst"), overlay.EDGE_CONTENT)):
-            writes, gone = overlay.delta(before, now, columns)
+        self._write(Graph(*(self.spark.createDataFrame([], f"{s[1]}, _tombstone boolean") for s in _SIDES.values())), folder)
+        self._point(namespace, p | {"draft": folder, "draft_config": p["config"]}, at, [folder])
+
+    def apply(self, namespace: str, after: Graph, seen: int | None = None) -> None:
+        """Records in the draft what makes it ``after``: its difference from the published graph, with tombstones.
+
+        Only buckets whose digests differ are compared by row. ``seen``: the pointer's number when ``after`` was begun; Conflict if it has moved since.
+        """
+        at, p = self._seeded(namespace)
+        if seen is not None and at != seen:
+            raise Conflict(namespace)
+        self._open(namespace, at, p)
+        at, p = self._seeded(namespace)
+        sides, version = [], p["published"]
+        for side, rows in zip(_SIDES, after, strict=True):
+            name, schema, columns = _SIDES[side]
+            names = [c.split()[0] for c in schema.split(", ")]
+            now = overlay.filled(rows, columns).select(*names)
+            leaves = {str(r["range"]): r["digest"] for r in overlay.range_digests(now, version["buckets"], name).collect()}
+            unequal = [b for b in {*leaves, *version[side]} if leaves.get(b) != version[side].get(b, {}).get("digest")]
+            before = self._table(side, [version[side][b] for b in unequal if b in version[side]])
+            writes, gone = overlay.delta(before, now.where(overlay.in_range(version["buckets"]).isin([int(b) for b in unequal])), columns)
             dead = before.join(gone, "id", "left_semi").withColumn("_tombstone", F.lit(True))
-            sides.append(writes.select(*before.columns).withColumn("_tombstone", F.lit(False)).unionByName(dead))
+            sides.append(writes.select(*names).withColumn("_tombstone", F.lit(False)).unionByName(dead))
         folder = self._fresh(namespace, "draft")
         self._write(Graph(*sides), folder)
-        self._point(namespace, p | {"draft": folder})
+        self._point(namespace, p | {"draft": folder}, at, [folder])
         self._remove(p["draft"])
 
     def write_config(self, namespace: str, config: dict) -> None:
         """Replaces the configuration of the draft if one is open, else the published one; never merges."""
-        p = self.pointer(namespace)
-        if p is None:
-            raise ValueError(f"{namespace!r} is not seeded")
-        self._point(namespace, p | {"draft_config" if p["draft"] else "config": config})
+        at, p = self._seeded(namespace)
+        self._point(namespace, p | {"draft_config" if p["draft"] else "config": config}, at, [])
 
-    def publish(self, namespace: str) -> None:
-        """Writes the draft out as a new version and points to it; the old version goes."""
-        p = self.pointer(namespace)
+    def publish(self, namespace: str) -> list[str]:
+        """Makes the draft a new version: buckets that it touches are written anew, the others stay. Returns what was written, as (side, bucket) names."""
+        at, p = self._latest(namespace)
         if p is None or not p["draft"]:
             raise ValueError("no draft is open")
-        g, _ = self.active(namespace)
-        folder = self._fresh(namespace, "v")
-        self._write(g, folder)
+        over, folder = self._overlay(p["draft"]), self._fresh(namespace, "v")
+        version, old, written = dict(p["published"]), [], []
+        for side, changes in zip(_SIDES, over, strict=True):
+            touched = [str(r.b) for r in changes.select(overlay.in_range(version["buckets"]).alias("b")).distinct().collect()]
+            before = [version[side][b] for b in touched if b in version[side]]
+            old += [e["path"] for e in before]
+            fresh = self._put(overlay.merged(self._table(side, before), changes), side, f"{folder}/{side}", version["buckets"]) if touched else {}
+            version[side] = {b: e for b, e in version[side].items() if b not in touched} | fresh
+            written += [f"{side}/{b}" for b in fresh]
         config = p["draft_config"] if p["draft_config"] is not None else p["config"]
-        self._point(namespace, {"published": folder, "draft": None, "config": config, "draft_config": None})
-        self._remove(p["draft"])
-        self._remove(p["published"])
+        self._point(namespace, {"published": version, "draft": None, "config": config, "draft_config": None, "stale": [p["draft"], *old]}, at, [folder])
+        self._let_go(p)
+        return sorted(written)
 
     def stage_and_publish(self, namespace: str, change: Callable[[Graph], Graph]) -> None:
-        """Applies a change and publishes it at once; whatever fails, no draft is left. Refused while one is open."""
-        p = self.pointer(namespace)
-        if p is None:
-            raise ValueError(f"{namespace!r} is not seeded")
+        """Applies a change and publishes it at once; whatever fails, no draft of it is left. Refused while one is open."""
+        at, p = self._seeded(namespace)
         if p["draft"]:
             raise ValueError("a draft is open")
+        after = change(self._canon(p["published"]))
+        self._open(namespace, at, p)
         try:
-            self.apply(namespace, change(self.published(namespace)))
+            self.apply(namespace, after)
             self.publish(namespace)
+        except Conflict:  # the draft that is open now is another writer's
+            raise
         except Exception:
             self.discard(namespace)
             raise
 
     def discard(self, namespace: str) -> None:
         """Drops the draft; nothing happens without one."""
-        p = self.pointer(namespace)
+        at, p = self._latest(namespace)
         if p and p["draft"]:
-            self._point(namespace, p | {"draft": None, "draft_config": None})
+            self._point(namespace, p | {"draft": None, "draft_config": None}, at, [])
             self._remove(p["draft"])
 
     def delete(self, namespace: str) -> None:

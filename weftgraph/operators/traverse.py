@@ -107,6 +107,12 @@ def encode_cursor(depth: int, node_id: str) -> str:
     return base64.b64encode(json.dumps({"depth": depth, "id": node_id}, separators=(",", ":"), ensure_ascii=False).encode()).decode()
 
 
+def cursor_of(depth: Column, node_id: Column) -> Column:
+    """As ``encode_cursor``, for a table."""
+    named = F.to_json(F.struct(depth.alias("depth"), node_id.alias("id")))
+    return F.base64(F.encode(named, "utf-8"))
+
+
 def decode_cursor(cursor: str) -> tuple[int, str] | None:
     """Depth and id of a cursor; None for anything else than a cursor."""
     try:
@@ -189,7 +195,7 @@ def induced(edges: DataFrame, ids: DataFrame, types: list[str] | None = None) ->
     """Edges with both ends among ``ids``."""
     if types:
         edges = edges.where(F.col("type").isin(types))
-    return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("id", "type", "src", "dst")
+    return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("id", "type", "src", "dst", *(["props"] if "props" in edges.columns else []))
 
 
 def ancestors(starts: DataFrame, edges: DataFrame, types: list[str] = ["hasPart", "hasChild"], most_depth: int | None = None) -> DataFrame:  # noqa: B006

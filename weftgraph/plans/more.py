@@ -207,11 +207,15 @@ def m12_edited_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.nodes.where("type = 'Course'").select("id", "props")
 
 
-@_query("""SELECT path, path IN ('normalizedType', 'metadata', 'metadata.role', 'metadata.role.x', 'metadata.order', 'position', 'description', 'content', 'identifier', 'normalizedStatementType') AS refused
-  FROM (VALUES ('normalizedType'), ('normalizedStatementType'), ('metadata'), ('metadata.role'), ('metadata.role.x'), ('metadata.order'), ('metadata.guide'), ('metadataFoo'), ('position'), ('description'), ('content'), ('identifier'), ('type'), ('roles')) v(path)""")
+@_query("""SELECT id, path, regexp_matches(path, '^(position|description|normalizedStatementType|metadata\\.order|metadata\\.role)(\\.|$)') AS refused FROM (
+  SELECT n.id, k.key || suffix AS path FROM nodes n, unnest(json_keys(n.props)) AS k(key), (VALUES (''), ('.x'), ('Foo')) s(suffix)
+  UNION ALL SELECT id, 'metadata.' || k.key FROM (SELECT id, json_keys('{"order":1,"role":"a","guide":"b","roles":1}') AS keys FROM nodes WHERE type = 'Course'), unnest(keys) AS k(key))""".replace("\\\\", "\\"))
 def m13_protected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = ("normalizedType normalizedStatementType metadata metadata.role metadata.role.x metadata.order metadata.guide metadataFoo position description content identifier type roles").split()
-    return spark.createDataFrame([(p, any(jsontext.touches(p, q) for q in mutate.PROTECTED)) for p in paths], "path string, refused boolean")
+    """Every property that a node has, what would be inside it, and names that only begin like it, as paths of a free edit."""
+    n = graph(spark, sf_dir)[0]
+    own = n.select("id", F.explode(F.json_object_keys("props")).alias("key")).select("id", F.explode(F.array(*(F.concat("key", F.lit(x)) for x in ("", ".x", "Foo")))).alias("path"))
+    inner = n.where("type = 'Course'").select("id", F.explode(F.array(*(F.lit(f"metadata.{x}") for x in ("order", "role", "guide", "roles")))).alias("path"))
+    return own.unionByName(inner).withColumn("refused", mutate.is_protected(F.col("path")))
 
 
 @_query("SELECT id, CASE WHEN id LIKE 'R%' THEN json_extract_string(props, '$.description') || '!' ELSE json_extract_string(props, '$.description') END AS description FROM nodes WHERE type IN ('StandardsFramework', 'StandardsFrameworkItem')")
@@ -341,8 +345,7 @@ def t6_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT id, base64(encode('{\"depth\":' || depth || ',\"id\":\"' || id || '\"}')) AS cursor FROM walked", more=_WALKED)
 def t7_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, e = graph(spark, sf_dir)
-    as_cursor = F.udf(traverse.encode_cursor)  # a page's worth of rows
-    return traverse.reached(e, COURSE, "out", ["hasPart"], 2).select("id", as_cursor("depth", "id").alias("cursor"))
+    return traverse.reached(e, COURSE, "out", ["hasPart"], 2).select("id", traverse.cursor_of(F.col("depth"), F.col("id")).alias("cursor"))
 
 
 @_query("SELECT e.id FROM edges e JOIN walked w ON w.id = e.src WHERE e.type = 'hasPart' AND w.depth < 2 AND w.depth >= 0", more=_WALKED)
@@ -404,15 +407,15 @@ def f11_flat_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("id", F.array_join(pairs, "|").alias("props"))
 
 
-@_query("SELECT DISTINCT parent, child FROM (SELECT src AS parent, dst AS child FROM drawn WHERE type = 'hasPart' AND src LIKE 'C%' UNION ALL SELECT dst, src FROM drawn WHERE type = 'hasEducationalAlignment' AND dst LIKE 'C%')", more=_DRAWN)
+@_query("SELECT DISTINCT parent, child FROM (SELECT dst AS parent, src AS child FROM drawn WHERE type = 'hasEducationalAlignment' AND dst LIKE 'C%' UNION ALL SELECT src, dst FROM drawn WHERE type = 'supports' AND src LIKE 'N%')", more=_DRAWN)
 def u4_grafted(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = graph(spark, sf_dir)
-    return display.grafted(display.display_edges(n, e), display.display_nodes(n), [("Course", "hasPart", "out"), ("Course", "hasEducationalAlignment", "in")])
+    return display.grafted(display.display_edges(n, e), display.display_nodes(n), [("Course", "hasEducationalAlignment", "in"), ("Course", "hasPart", "out"), ("StandardsFrameworkItem", "supports", "out")])
 
 
-@_query("SELECT id, min(depth) AS depth FROM up GROUP BY id", more=_DRAWN + ", parent AS (SELECT dst, max(src) AS src FROM drawn WHERE rel = 'hasChild' GROUP BY dst), up AS (SELECT 'O000000001' AS id, 0 AS depth UNION ALL SELECT p.src, u.depth + 1 FROM up u JOIN parent p ON p.dst = u.id)")
+@_query("SELECT id, min(depth) AS depth FROM up GROUP BY id", more=_DRAWN + ", numbered AS (SELECT *, row_number() OVER (ORDER BY type, src, dst) AS seq FROM edges), parent AS (SELECT child AS dst, arg_max(parent, seq) AS src FROM (SELECT src AS parent, dst AS child, seq FROM numbered WHERE type IN ('hasPart', 'hasChild') UNION ALL SELECT dst, src, seq FROM numbered WHERE type IN ('supports', 'hasEducationalAlignment')) GROUP BY child), up AS (SELECT 'O000000001' AS id, 0 AS depth UNION ALL SELECT p.src, u.depth + 1 FROM up u JOIN parent p ON p.dst = u.id)")
 def c25_revealed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return display.reveal(display.display_edges(*graph(spark, sf_dir)), "O000000001")
+    return display.reveal(display.display_edges(graph(spark, sf_dir)[0], project.numbered_edges(spark, sf_dir)), "O000000001")
 
 
 @_query("SELECT name, row_number() OVER (ORDER BY CASE name WHEN 'x' THEN 0 ELSE 1 END, TRY_CAST(name AS DOUBLE) NULLS LAST, name) AS place FROM (SELECT DISTINCT CASE WHEN p_partkey % 9 = 0 THEN 'x' WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 120 AS VARCHAR) ELSE p_type END AS name FROM part)")

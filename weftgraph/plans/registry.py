@@ -234,8 +234,9 @@ def o7_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.whole_difference(graph(spark, sf_dir), draft(spark, sf_dir))
 
 
-def _digest(columns: tuple[str, ...]) -> str:
-    return "sha256(" + " || chr(31) || ".join(f"'v' || {c}" for c in columns) + ")"
+# The digests of a node's and of an edge's content: one label each, edges without properties.
+_NODE_DIGEST = """sha256('v' || type || chr(31) || 'v["' || type || '"]' || chr(31) || 'v' || props)"""
+_EDGE_DIGEST = "sha256('v' || type || chr(31) || 'v' || src || chr(31) || 'v' || dst || chr(31) || 'n')"
 
 
 _LANES = ", ".join(f"CAST(sum(CAST(('0x' || substr(d, {16 * i + 1}, 16)) AS UBIGINT)::HUGEINT) % 18446744073709551616 AS VARCHAR) AS s{i}" for i in range(4))
@@ -243,12 +244,45 @@ _LANES = ", ".join(f"CAST(sum(CAST(('0x' || substr(d, {16 * i + 1}, 16)) AS UBIG
 
 @_query(
     f"SELECT sha256(concat_ws('/', n, s0, s1, s2, s3)) AS hash FROM (SELECT CAST(count(*) AS VARCHAR) AS n, {_LANES} FROM row_digests)",
-    more=f"row_digests AS (SELECT sha256('node' || chr(30) || id || chr(30) || {_digest(overlay.NODE_CONTENT)}) AS d FROM nodes UNION ALL SELECT sha256('edge' || chr(30) || id || chr(30) || {_digest(overlay.EDGE_CONTENT)}) FROM edges)",
+    more=f"row_digests AS (SELECT sha256('node' || chr(30) || id || chr(30) || {_NODE_DIGEST}) AS d FROM nodes UNION ALL SELECT sha256('edge' || chr(30) || id || chr(30) || {_EDGE_DIGEST}) FROM edges)",
 )
 def o8_graph_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.graph_hash(*graph(spark, sf_dir))
 
 
+_RANGES = 64
+
+
+def _range_sql(table: str, side: str) -> str:
+    """Leaves of the tree over a table, in SQL."""
+    of = _NODE_DIGEST if side == "node" else _EDGE_DIGEST
+    rows = f"SELECT CAST(('0x' || substr(md5(id), 1, 4)) AS INTEGER) % {_RANGES} AS range, sha256('{side}' || chr(30) || id || chr(30) || {of}) AS d FROM {table}"
+    return f"SELECT range, n, sha256(concat_ws('/', n, s0, s1, s2, s3)) AS digest FROM (SELECT range, CAST(count(*) AS VARCHAR) AS n, {_LANES} FROM ({rows}) GROUP BY range)"
+
+
+@_query("SELECT range, CAST(n AS BIGINT) AS n, digest FROM leaves", more=f"leaves AS ({_range_sql('nodes', 'node')})")
+def a18_range_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.range_digests(graph(spark, sf_dir)[0], _RANGES)
+
+
+@_query("SELECT sha256('0:' || sha256(string_agg(range || ':' || digest, '/' ORDER BY range))) AS hash FROM leaves", True, more=f"leaves AS ({_range_sql('draft_edges', 'edge')})")
+def a18_merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.merkle_root(overlay.range_digests(draft(spark, sf_dir)[1], _RANGES, "edge"))
+
+
+@_query("SELECT id, op FROM diff WHERE side = 'node'", True, _DIFF)
+def o7_difference_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.difference_by_ranges(graph(spark, sf_dir)[0], draft(spark, sf_dir)[0], 4096)
+
+
+@_query("SELECT id, 'changed' AS op FROM nodes WHERE type = 'Lesson' AND json_extract_string(props, '$.educationalUse') = 'Assessment'")
+def o7_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draft that changes nothing but labels."""
+    n = graph(spark, sf_dir)[0]
+    more = F.when((F.col("type") == "Lesson") & (parse.prop("educationalUse") == "Assessment"), F.array_append("labels", F.lit("Assessment"))).otherwise(F.col("labels"))
+    return overlay.difference(n, n.withColumn("labels", more))
+
+
 @_query("SELECT id, true AS write FROM diff WHERE side = 'node' AND op <> 'removed' UNION ALL SELECT id, false FROM diff WHERE side = 'node' AND op = 'removed'", True, _DIFF)
 def o9_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     writes, removals = overlay.delta(graph(spark, sf_dir)[0], draft(spark, sf_dir)[0])
@@ -265,7 +299,7 @@ def o14_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.counts_of(overlay.whole_difference(graph(spark, sf_dir), draft(spark, sf_dir)))
 
 
-@_query("SELECT a.id AS removed_id, b.id AS added_id FROM nodes a JOIN nodes b ON a.type = b.type AND a.props = b.props WHERE a.type = 'Material'".replace("b.id AS added_id", "'Q' || substr(b.id, 2) AS added_id"))
+@_query("SELECT a.id AS removed_id, 'Q' || substr(min(b.id), 2) AS added_id FROM nodes a JOIN nodes b ON a.type = b.type AND a.props = b.props WHERE a.type = 'Material' GROUP BY a.id")
 def v1_disguised_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = graph(spark, sf_dir)[0]
     after = n.withColumn("id", F.when(F.col("type") == "Material", F.concat(F.lit("Q"), F.substring("id", 2, 20))).otherwise(F.col("id")))
@@ -318,9 +352,9 @@ def p1h_progression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT id FROM nodes WHERE type IN ('Course', 'LessonGrouping', 'Lesson', 'Material') AND (type <> 'Material' OR id IN (SELECT dst FROM edges WHERE type = 'hasPart' AND src LIKE 'L%')) UNION ALL SELECT DISTINCT dst FROM edges WHERE type = 'hasEducationalAlignment' UNION ALL SELECT DISTINCT s.src FROM edges s JOIN edges a ON a.dst = s.dst AND a.type = 'hasEducationalAlignment' WHERE s.type = 'supports'")
 def p2_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, e = graph(spark, sf_dir)
-    units = parse.parsed(n, project.numbered_edges(spark, sf_dir))
-    return parse.pruned(units, ["Course"], ["Standard"], ["Course", "Lesson"], "LearningComponent").select("id")
+    _, units, links = _links(spark, sf_dir)
+    units = units.join(parse.parents(links), "id", "left")
+    return parse.pruned(units, ["Course"], ["Standard"], ["Course", "Lesson"], "LearningComponent", links).select("id")
 
 
 @_query("SELECT id FROM units WHERE id NOT IN (SELECT child FROM held)", more=_UNITS)
@@ -343,8 +377,8 @@ def p4_stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT 'hasChild:' || parent || '->' || child AS id, CAST(row_number() OVER (PARTITION BY parent ORDER BY phase, child) - 1 AS INTEGER) AS place FROM held", more=_UNITS.replace("1 AS phase", "CASE type WHEN 'hasChild' THEN 10 ELSE 11 END AS phase").replace("dst, src, 2", "dst, src, CASE type WHEN 'hasEducationalAlignment' THEN 20 ELSE 21 END"))
 def p5_spine_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, e = graph(spark, sf_dir)
-    return parse.spine_edges(parse.parsed(n, project.numbered_edges(spark, sf_dir))).where("type = 'hasChild'").select("id", "place")
+    e, units, links = _links(spark, sf_dir)
+    return parse.spine_rows(links, parse.progression(e, units)).where("type = 'hasChild'").select("id", "place")
 
 
 # --- rewriting ------------------------------------------------------------------------------------
@@ -652,12 +686,12 @@ def v6_containment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from weftgraph.plans import more  # noqa: F401  registers its queries
+    from weftgraph.plans import more, orders  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from weftgraph.plans import more  # noqa: F401
+    from weftgraph.plans import more, orders  # noqa: F401
 
     return dict(_SQL)
