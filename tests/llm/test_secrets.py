@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 
@@ -68,3 +69,29 @@ def test_report_and_redaction(spark):
     assert masked[2] == 'x [secret] y [secret]"###'
     assert S.report(df.limit(0)).count() == 0
     assert {r["id"]: len(r.spans) for r in S.scan(df).collect()}[2] == 3
+
+
+def test_web_tokens_are_those_of_the_plain_pattern():
+    import random
+
+    pattern, draw = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)"), random.Random(6)
+    header = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=")
+    for _ in range(300):
+        text = "".join(draw.choices(["eyJ", "a", ".", " ", header, header + ".ab.cd", "eyJ.", "x9"], k=draw.randint(1, 14)))
+        want, done = [], 0
+        for at in (m.start() for m in re.finditer("(?=eyJ)", text)):
+            if at >= done and (m := pattern.match(text, at)):
+                done = m.end()
+                if S._json_header(m[1]):
+                    want.append((at, S.KINDS.index("web_token"), done))
+        assert [s for s in S.find_spans(text) if s[1] == S.KINDS.index("web_token")] == want, text
+
+
+def test_a_long_run_takes_time_in_proportion():
+    import time
+
+    start = time.process_time()
+    assert S.find_spans("eyJ" * 350_000) == []
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 200_000).decode().rstrip("=")
+    assert S.find_spans(f"{deep}.b.c") == []
+    assert time.process_time() - start < 5

@@ -5,9 +5,10 @@ finds 24 hexadecimal digits in a row on a copy of the text whose characters are
 classes, since a bare digest has no keyword. Regular expressions are only tried at the
 positions that these hits name. Kinds that embed a checksum are reported only if it is right.
 
-The scan keeps nothing between documents: no shuffle, one pass, memory of one text.
+The scan keeps nothing between documents: no shuffle, one pass, memory of one text. Runs that several hits share are
+passed over once, so its time is in proportion to the text's length.
 
-Cases: a null or empty text has no spans; repeated rows are scanned each for itself; columns of
+Cases: a null or empty text has no spans; a very long one is scanned whole; repeated rows are scanned each for itself; columns of
 the input are left as they are, and clashing names are avoided by selecting the two inputs.
 """
 
@@ -46,7 +47,7 @@ _PACKAGE = re.compile(r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
 _KEY_END = re.compile(r"(?=(-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----))")
 _NOT_KEY = re.compile(r"[^A-Za-z0-9+/=\s:,.-]")
-_WEB = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+_WEB_PART, _WEB_REST = re.compile(r"[A-Za-z0-9_-]+"), re.compile(r"\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _HEX_CLASS = bytes(ord("h") if chr(b) in "0123456789abcdef" else ord(" ") for b in range(256))
@@ -67,7 +68,7 @@ def checksum62(body: str) -> str:
 def _json_header(part: str) -> bool:
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))), dict)
-    except (ValueError, binascii.Error):
+    except (ValueError, binascii.Error, RecursionError):
         return False
 
 
@@ -109,7 +110,26 @@ class _Keys:
         return self.ends[k][1] if k < len(self.ends) and self.ends[k][0] <= self.foreign else None
 
 
-def _tried(kind: str, text: str, at: int, keys: _Keys) -> tuple[int, bool] | None:
+class _Tokens:
+    """Web tokens of one text, asked for in order of their starts; a run of their characters is passed over once.
+
+    Whatever starts in one run goes on with the same two parts behind it, or fails with them.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.until, self.rest = text, -1, None
+
+    def end(self, at: int) -> tuple[int, str] | None:
+        """Where the token that begins at ``at`` ends, and its first part."""
+        if not self.text.startswith("eyJ", at):
+            return None
+        if at >= self.until:
+            self.until = _WEB_PART.match(self.text, at).end()
+            self.rest = _WEB_REST.match(self.text, self.until)
+        return (self.rest.end(), self.text[at : self.until]) if self.rest and self.until > at + 3 else None
+
+
+def _tried(kind: str, text: str, at: int, keys: _Keys, tokens: _Tokens) -> tuple[int, bool] | None:
     """End of the pattern that starts at ``at`` and whether it passes its tests; None if none starts there."""
     if kind == "assign":
         return (m.end(), len(m[2]) >= LEAST_ASSIGN) if (m := _ASSIGN.match(text, at)) else None
@@ -120,7 +140,7 @@ def _tried(kind: str, text: str, at: int, keys: _Keys) -> tuple[int, bool] | Non
         return (m.end(), checksum62(m[1]) == m[2]) if (m := pattern.match(text, at)) else None
     if kind == "private_key":
         return (end, True) if (end := keys.end(at)) is not None else None
-    return (m.end(), _json_header(m[1])) if (m := _WEB.match(text, at)) else None
+    return (found[0], _json_header(found[1])) if (found := tokens.end(at)) else None
 
 
 def find_spans(text: str | None) -> list[Span]:
@@ -132,11 +152,11 @@ def find_spans(text: str | None) -> list[Span]:
     spans: list[Span] = []
     hits = sorted((end - size + 1, kind) for end, (kind, size) in words.iter(narrow.translate(_LOWER).decode("latin-1")))
     done: dict[str, int] = {}
-    keys = _Keys(text)
+    keys, tokens = _Keys(text), _Tokens(text)
     for at, kind in hits:
         if at < done.get(kind, 0):
             continue
-        if found := _tried(kind, text, at, keys):
+        if found := _tried(kind, text, at, keys, tokens):
             done[kind] = found[0]
             if found[1]:
                 spans.append((at, KINDS.index(kind), found[0]))
