@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from weftgraph import scratch
 
 MOST_LEVELS = 10_000
+#: Rows of a frontier that are broadcast; more are shuffled.
+MOST_BROADCAST = 200_000
 #: Tables of levels that become one, so that a plan reads few tables however deep the graph is.
 FAN = 16
 #: Defaults and bounds of a walk.
@@ -48,30 +50,29 @@ def _add(parts: list[tuple[int, DataFrame]], table: DataFrame) -> None:
         parts[-FAN:] = [(parts[-1][0] + 1, scratch.written(_together(parts[-FAN:]), "levels"))]
 
 
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= MOST_BROADCAST else rows
+
+
 def closure(starts: DataFrame, ways: DataFrame, most_depth: int | None = None, through: DataFrame | None = None) -> DataFrame:
     """(root, id, depth) of all that each start reaches, itself at depth 0.
 
     ``starts`` has a column id. ``through``: only nodes in it (a column id) are walked on from;
     others are reached but are walls.
     """
-    ways = ways.select("a", "b").distinct()
+    ways = ways.select("a", "b")
     if through is not None:
         ways = ways.join(through.select(F.col("id").alias("a")), "a", "left_semi")
-    frontier = starts.select(F.col("id").alias("root"), "id").distinct().withColumn("depth", F.lit(0))
-    if most_depth is not None and most_depth <= 4:  # a short walk is one plan
-        seen = frontier
-        for depth in range(most_depth):
-            found = frontier.join(ways, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct()
-            frontier = found.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth + 1))
-            seen = seen.unionByName(frontier)
-        return seen
-    ways = scratch.written(ways, "ways")  # read once for each level
-    frontier = scratch.written(frontier, "level")
+    frontier, n = scratch.counted(starts.select(F.col("id").alias("root"), "id").distinct().withColumn("depth", F.lit(0)), "level")
     parts = [(0, frontier)]
     for depth in range(MOST_LEVELS if most_depth is None else most_depth):
-        found = frontier.join(ways, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct()
-        frontier = scratch.written(found.join(_together(parts).select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth + 1)), "level")
-        if not frontier.take(1):
+        if depth == 1 and (most_depth is None or most_depth > 4) and through is not None:
+            ways = scratch.written(ways, "ways")  # joined once, read for each level
+        # A small frontier goes to the edges where they lie; of a large one both sides are shuffled. Repeated edges end in ``distinct``.
+        found = ways.join(_sent(frontier, n), F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct()
+        seen = _together(parts).select("root", "id")
+        frontier, n = scratch.counted(found.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth + 1)), "level")
+        if not n:
             return _together(parts)
         _add(parts, frontier)
     if most_depth is None:
@@ -81,7 +82,7 @@ def closure(starts: DataFrame, ways: DataFrame, most_depth: int | None = None, t
 
 def reached(edges: DataFrame, from_id: str, direction: str = "out", types: list[str] | None = None, most_depth: int = DEPTH) -> DataFrame:
     """(id, depth) from one start; the depth is kept within 1 to MOST_DEPTH."""
-    start = edges.sparkSession.createDataFrame([(from_id,)], "id string")
+    start = edges.sparkSession.range(1).select(F.lit(from_id).alias("id"))
     return closure(start, steps(edges, direction, types), min(max(most_depth, 1), MOST_DEPTH)).select("id", "depth")
 
 
@@ -211,17 +212,18 @@ def nearest(found: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
 
 def cascade(seeds: DataFrame, edges: DataFrame, types: list[str] = ["hasPart", "hasChild"]) -> DataFrame:  # noqa: B006
     """(id) of the seeds and of every node all of whose containers are removed, to a fixed point."""
-    links = scratch.written(edges.where(F.col("type").isin(types)).select("src", "dst").distinct(), "links")
-    total = links.groupBy("dst").agg(F.count("*").alias("n"))
-    fresh = scratch.written(seeds.select("id").distinct(), "removed")
-    parts = [(0, fresh)]
-    lost = None
+    links = edges.where(F.col("type").isin(types)).select("src", "dst")
+    fresh, n = scratch.counted(seeds.select("id").distinct(), "removed")
+    parts, lost = [(0, fresh)], None
+    by = lambda rows, name: rows.distinct().groupBy("dst").agg(F.count("*").alias(name))  # noqa: E731  containers of each, by whatever edges
     for _ in range(MOST_LEVELS):
-        newly = links.join(fresh.select(F.col("id").alias("src")), "src", "left_semi").groupBy("dst").agg(F.count("*").alias("k"))
+        newly, m = scratch.counted(by(links.join(_sent(fresh.select(F.col("id").alias("src")), n), "src", "left_semi"), "k"), "newly")
         lost = scratch.written(newly if lost is None else lost.unionByName(newly).groupBy("dst").agg(F.sum("k").alias("k")), "lost")
-        gone = lost.join(total, "dst").where("k = n").select(F.col("dst").alias("id"))
-        fresh = scratch.written(gone.join(_together(parts), "id", "left_anti"), "removed")
-        if not fresh.take(1):
+        # Only what has just lost a container can go now, so only its containers are counted.
+        asked = _sent(newly.select("dst"), m)
+        gone = by(links.join(asked, "dst", "left_semi"), "n").join(lost, "dst").where("k = n").select(F.col("dst").alias("id"))
+        fresh, n = scratch.counted(gone.join(_together(parts), "id", "left_anti"), "removed")
+        if not n:
             return _together(parts)
         _add(parts, fresh)
     raise RuntimeError(f"more than {MOST_LEVELS} levels")

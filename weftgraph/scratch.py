@@ -13,7 +13,8 @@ import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: str | None = None
 _open = threading.local()
@@ -50,6 +51,13 @@ def written(df: DataFrame, name: str, compression: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As ``written``, with the number of rows, which the same job counts."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return table, int(seen.get["n"])
+
+
 def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame], compression: str | None = None) -> DataFrame:
     """Writes what ``build`` returns, and then deletes the tables that were written on the way to it."""
     path = new_path(spark, name)

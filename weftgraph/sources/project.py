@@ -43,14 +43,22 @@ def _node(df: DataFrame, node_id: Column, label: str, **fields: Column) -> DataF
 
 
 def orders_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their position and predecessor among their customer's orders."""
+    """Orders with their position and predecessor among their customer's orders, written once."""
+    return _once(spark, sf_dir, "turns", lambda: _orders_in_turn(spark, sf_dir))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each (order, line): the one with the lowest part, ties by the lowest flag; written once."""
+    return _once(spark, sf_dir, "lines", lambda: _lines(spark, sf_dir))
+
+
+def _orders_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     return orders.withColumn("position", F.row_number().over(turn)).withColumn("before", F.lag("o_orderkey").over(turn))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each (order, line): the one with the lowest part, ties by the lowest flag."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.min(F.struct("l_partkey", "l_returnflag")).alias("best")
     found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(best)
     return found.select("l_orderkey", "l_linenumber", F.col("best.l_partkey").alias("l_partkey"), F.col("best.l_returnflag").alias("l_returnflag"))
@@ -124,40 +132,47 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple:
     return spark.sparkContext.applicationId, sf_dir, scratch.shared_dir(spark), tuple(found)
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
     """A table of the graph, written at its first use in a session and read from then on."""
     known = _stored.setdefault(_state(spark, sf_dir), {})
     if name not in known or not files.exists(spark, f"{known[name]}/_SUCCESS"):
         path = f"{scratch.shared_dir(spark)}/graph-{name}-{uuid.uuid4().hex}"
-        build().write.parquet(path)
+        writer = build().write
+        (writer.partitionBy(by) if by else writer).parquet(path)
         known[name] = path
     return spark.read.parquet(known[name])
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the published graph, written once."""
-    return _once(spark, sf_dir, "nodes", lambda: nodes(spark, sf_dir)), _once(spark, sf_dir, "edges", lambda: edges(spark, sf_dir))
+    """Nodes and edges of the published graph, written once, in a folder for each type: what asks for a type reads that alone."""
+    found = _once(spark, sf_dir, "nodes", lambda: nodes(spark, sf_dir), "type")
+    return found.select("id", "type", "labels", "props"), _ranged(spark, sf_dir).select("id", "type", "src", "dst")
 
 
-def numbered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges with ``seq``, written once."""
-    return _once(spark, sf_dir, "numbered", lambda: with_seq(graph(spark, sf_dir)[1]))
+def _ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges in order of (type, src, dst), each with its range and its place in it."""
+
+    def build() -> DataFrame:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = edges(spark, sf_dir).repartitionByRange(n, "type", "src", "dst").sortWithinPartitions("type", "src", "dst").withColumn("_at", F.monotonically_increasing_id())
+        return rows.withColumn("_part", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+
+    return _once(spark, sf_dir, "edges", build, "type")
 
 
-def with_seq(edge_rows: DataFrame) -> DataFrame:
-    """Edges with ``seq``: their place in the order of (type, src, dst).
+def numbered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges with ``seq``: their place in the order of (type, src, dst).
 
-    A global number is made from the counts of ordered ranges, not by one sorted partition.
+    A global number is made from the counts of ordered ranges, one for each task that wrote them, not by one sorted partition.
     """
-    n = int(edge_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = edge_rows.repartitionByRange(n, "type", "src", "dst").sortWithinPartitions("type", "src", "dst")
-    numbered = ranged.withColumn("_at", F.monotonically_increasing_id())
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = scratch.written(numbered.withColumn("_part", part).withColumn("_place", place).drop("_at"), "edges")
-    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return numbered.join(F.broadcast(starts), "_part").withColumn("seq", F.col("_start") + F.col("_place") + 1).drop("_part", "_place", "_start")
+
+    def build() -> DataFrame:
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = _ranged(spark, sf_dir).groupBy("_part").agg(F.count("*").alias("_n"))
+        return sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+
+    starts = F.broadcast(_once(spark, sf_dir, "starts", build))
+    return _ranged(spark, sf_dir).join(starts, "_part").select("id", "type", "src", "dst", (F.col("_start") + F.col("_place") + 1).alias("seq"))
 
 
 def overlay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
