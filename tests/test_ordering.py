@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import scratch
-from weftgraph.operators import lifecycle, mutate, ordering, overlay
+from weftgraph.operators import lifecycle, mutate, ordering, overlay, postings
 from weftgraph.operators.mutate import Graph
 from weftgraph.operators.pending import Pending
+from weftgraph.operators.postings import Postings
 from weftgraph.operators.store import Store
 from weftgraph.sources.numbered import Conflict, Numbered
 from weftgraph.streaming import confirmations
@@ -245,3 +246,30 @@ def test_a_stream_of_confirmations_says_what_the_log_says(spark, tmp_path):
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
     got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {tuple(r) for r in confirmations.outcomes(log).collect()} and {o for _, _, o in got} == {"applied", "used", "unknown"}
+
+
+# --- log and postings ---------------------------------------------------------------------------------
+def test_a_page_reads_the_newest_days_alone(spark, tmp_path):
+    s, schema = Store(spark, f"file://{tmp_path}"), "id string, ts string, actor string, namespace string"
+    rows = [(f"{d:02}-{i}", f"2024-01-{d:02}T00:00:0{i}Z", "a" if i % 2 else "b", ns) for d in range(1, 8) for i in range(5) for ns in ("w/g/s", "w/g/t")]
+    s.append_audit(spark.createDataFrame(rows, schema))
+    want = sorted(((r[1], r[0]) for r in rows if r[3] == "w/g/s"), reverse=True)
+    at = lambda found: [(r.ts, r.id) for r in found]
+    assert at(s.audit_page("w/g/s", schema, 12)) == want[:12] and at(s.audit_page("w/g/s", schema, 12, want[11])) == want[12:24]
+    assert at(s.audit_page("w/g/s", schema, 100, since="2024-01-03T00:00:02Z", until="2024-01-05T00:00:01Z")) == [x for x in want if "2024-01-03T00:00:02Z" <= x[0] <= "2024-01-05T00:00:01Z"]
+    assert at(s.audit_page("w/g/s", schema, 100, keep=lambda log: log.where("actor = 'b'"))) == [x for x in want if int(x[1][-1]) % 2 == 0]
+    assert s.audit_page("none", schema) == [] and s.audit(schema, "w/g/t").count() == 35
+    for d in range(1, 7):  # a first page needs none of these
+        scratch.remove(spark, f"file://{tmp_path}/_audit/_ns=w__g__s/_day=2024-01-{d:02}")
+    assert at(s.audit_page("w/g/s", schema, 5)) == want[:5]
+
+
+def test_postings_find_what_a_scan_finds(spark, tmp_path, monkeypatch):
+    draw = random.Random(1)
+    rows = [(i, "".join(draw.choices("abé A", k=draw.randint(0, 30)))) for i in range(300)] + [(300, None), (301, ""), (302, "ab"), (1, "zzabcz")]
+    p = Postings(spark, f"file://{tmp_path}").build(spark.createDataFrame(rows, "id int, text string"))
+    fold = lambda t: t.lower().replace("é", "e")
+    for query in ("a", "ab", "AbÉ", "a b", "eeee", "abc", "none"):
+        assert {r.id for r in p.search(query).collect()} == {i for i, t in rows if t and fold(query) in fold(t)}, query
+    monkeypatch.setattr(postings, "MOST_BROADCAST", 0)
+    assert {r.id for r in p.search("abe").collect()} == {i for i, t in rows if t and "abe" in fold(t)} and p.search("").count() == 0

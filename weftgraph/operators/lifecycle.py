@@ -41,7 +41,7 @@ class Drafts:
     # --- log ------------------------------------------------------------------------------------
     def log(self, namespace: str) -> DataFrame:
         """The records of a namespace; none where nothing was ever logged."""
-        return self.store.audit(RECORD).where(F.col("namespace") == namespace)
+        return self.store.audit(RECORD, namespace)
 
     def _write(self, actor: str, namespace: str, kind: str, ids: DataFrame | None = None, **fields) -> str:
         record = {"id": uuid.uuid4().hex, "ts": self.clock(), "actor": actor, "namespace": namespace, "eventType": kind} | fields
@@ -101,9 +101,12 @@ class Drafts:
         if outcome not in (None, "applied", "blocked"):
             raise ValueError(f"unknown outcome {outcome!r}")
         asked = {k: v for k, v in (conditions | {"outcome": outcome}).items() if v is not None}
-        rows = audit.matching(self.log(namespace), event_type=conditions.get("event_type"), actor=conditions.get("actor_id"), since=conditions.get("since"), until=conditions.get("until"))
-        rows = audit.outcome(rows)
-        page = [r.asDict(True) for r in audit.page(rows if outcome is None else rows.where(F.col("outcome") == outcome), limit, cursor).collect()]
+
+        def keep(rows: DataFrame) -> DataFrame:
+            rows = audit.outcome(audit.matching(rows, event_type=conditions.get("event_type"), actor=conditions.get("actor_id")))
+            return rows if outcome is None else rows.where(F.col("outcome") == outcome)
+
+        page = [r.asDict(True) for r in self.store.audit_page(namespace, RECORD, limit, cursor, conditions.get("since"), conditions.get("until"), keep)]
         query = dumps(asked | ({"paged": True} if cursor else {}))
         self._write(actor, namespace, "read", readQuery=query if len(query) <= MOST_QUERY else query[: MOST_QUERY - 1] + "…", readCount=len(page))
         return {"status": "read", "records": page}

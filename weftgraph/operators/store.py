@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators import audit as log_of
 from weftgraph.operators import overlay
 from weftgraph.operators.mutate import Graph
 from weftgraph.sources.numbered import Conflict, Numbered
@@ -242,14 +243,34 @@ class Store:
 
     # --- audit ----------------------------------------------------------------------------------
     def append_audit(self, records: DataFrame) -> None:
-        """Adds records; there is no way to change or remove one."""
-        records.write.mode("append").parquet(f"{self.root}/_audit")
-
-    def audit(self, schema: str | None = None) -> DataFrame:
-        """The log; with a schema, columns that older records lack are null, and a log that was never written is empty."""
-        path = f"{self.root}/_audit"
+        """Adds records, in folders by namespace and day; there is no way to change or remove one."""
+        of = F.col("namespace") if "namespace" in records.columns else F.lit(None).cast("string")
+        dealt = records.withColumn("_ns", F.coalesce(F.replace(of, F.lit("/"), F.lit("__")), F.lit("-"))).withColumn("_day", F.coalesce(F.substring("ts", 1, 10), F.lit("-")))
+        dealt.write.mode("append").partitionBy("_ns", "_day").parquet(f"{self.root}/_audit")
+
+    def audit(self, schema: str | None = None, namespace: str | None = None) -> DataFrame:
+        """The log, of one namespace if asked for; with a schema, columns that older records lack are null, and a log that was never written is empty."""
+        path = f"{self.root}/_audit" + ("" if namespace is None else f"/_ns={namespace.replace('/', '__')}")
         if schema is None:
-            return self.spark.read.parquet(path)
+            return self.spark.read.parquet(path).drop("_ns", "_day")
         if not self._fs.exists(self._path(path)):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
+
+    def audit_page(
+        self, namespace: str, schema: str, limit: int = log_of.DEFAULT_PAGE, cursor: tuple[str, str] | None = None, since: str | None = None, until: str | None = None,
+        keep: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    ) -> list:
+        """The newest records that ``keep`` leaves, as ``audit.page`` has them. Days are read from the last one on, twice as many each time, until the page is full."""
+        folder, limit = self._path(f"{self.root}/_audit/_ns={namespace.replace('/', '__')}"), min(max(1, int(limit)), log_of.MOST_PAGE)
+        if not self._fs.exists(folder):
+            return []
+        upper = min([x[:10] for x in (until, cursor and cursor[0]) if x], default="~")
+        days = sorted((s.getPath().getName()[5:], s.getPath().toString()) for s in self._fs.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith("_day="))
+        days = [path for day, path in reversed(days) if (since or "")[:10] <= day <= upper]
+        found, step = [], 1
+        while days and len(found) < limit:
+            rows = log_of.matching(self.spark.read.schema(schema).parquet(*days[:step]), since=since, until=until)
+            found += log_of.page(keep(rows), limit - len(found), cursor).collect()
+            days, step = days[step:], 2 * step
+        return found

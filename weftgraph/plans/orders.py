@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from weftgraph import scratch
 from weftgraph.operators import display, lookup, mutate, ordering, overlay, parse
 from weftgraph.operators.mutate import Graph
+from weftgraph.operators.postings import Postings
 from weftgraph.operators.store import Store
 from weftgraph.plans.more import NAMESPACE
-from weftgraph.plans.registry import _DRAWN, _LEXICON, WORD, _query, draft, graph
+from weftgraph.plans.registry import _AUDIT, _DRAWN, _LEXICON, TERM, WORD, _query, draft, graph
 from weftgraph.sources import project
 from weftgraph.streaming import confirmations
 
@@ -185,6 +186,31 @@ def o7_changed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.difference_by_ranges(e, after, 256, "edge").select(F.lit("edge").alias("side"), "id", "op")
 
 
+# --- log and search -------------------------------------------------------------------------------
+@_query("SELECT id, ts, actor FROM log WHERE eventType = 'publish' ORDER BY ts DESC, id DESC LIMIT 60", more=_AUDIT)
+def l2_newest_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the stored log; only the folders of its newest days are read."""
+    s = Store(spark, scratch.new_path(spark, "store"))
+    s.append_audit(project.audit(spark, sf_dir).select("id", "ts", "actor", "eventType", F.lit(NAMESPACE).alias("namespace")))
+    schema = "id string, ts string, actor string, eventType string, namespace string"
+    rows = s.audit_page(NAMESPACE, schema, 60, keep=lambda log: log.where("eventType = 'publish'"))
+    return spark.createDataFrame(rows, schema).select("id", "ts", "actor")  # one page
+
+
+@_query("SELECT doc_id AS id FROM documents WHERE contains(lower(strip_accents(text)), 'thre')")
+def c20_indexed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that hold a word, found through kept postings."""
+    docs = project.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return Postings(spark, scratch.new_path(spark, "postings")).build(docs).search("Thré")
+
+
+@_query(f"SELECT id FROM lexicon WHERE contains(lower(strip_accents(en)), '{TERM} ') OR contains(lower(strip_accents(xx)), '{TERM} ')", more=_LEXICON)
+def f8_indexed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms by any of their renderings, found through kept postings."""
+    terms = project.lexicon(spark, sf_dir).select("id", F.explode(F.map_values("renderings")).alias("text"))
+    return Postings(spark, scratch.new_path(spark, "postings")).build(terms).search(f"{TERM.upper()} ")
+
+
 # --- confirmations --------------------------------------------------------------------------------
 @_query(
     """SELECT id, key, CASE WHEN opened IS NULL OR spot > opened + 900 THEN 'unknown' WHEN nth = 1 THEN 'applied' ELSE 'used' END AS outcome FROM (
