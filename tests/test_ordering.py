@@ -1,5 +1,6 @@
 """Orders of trees, expiring values, versions: against plain Python."""
 
+import json
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from weftgraph.operators.mutate import Graph
 from weftgraph.operators.pending import Pending
 from weftgraph.operators.postings import Postings
 from weftgraph.operators.store import Store
+from weftgraph.sources import files
 from weftgraph.sources.numbered import Conflict, Numbered
 from weftgraph.streaming import confirmations
 
@@ -273,3 +275,16 @@ def test_postings_find_what_a_scan_finds(spark, tmp_path, monkeypatch):
         assert {r.id for r in p.search(query).collect()} == {i for i, t in rows if t and fold(query) in fold(t)}, query
     monkeypatch.setattr(postings, "MOST_BROADCAST", 0)
     assert {r.id for r in p.search("abe").collect()} == {i for i, t in rows if t and "abe" in fold(t)} and p.search("").count() == 0
+
+
+def test_parts_of_a_document_are_one_json_text(spark, g, tmp_path):
+    files.write_document(g.nodes, g.edges, f"file://{tmp_path}/doc")
+    parts = sorted((tmp_path / "doc").glob("part-*"))
+    whole = json.loads("".join(p.read_text(encoding="utf-8") for p in parts))
+    assert len(parts) > 1 and [n["id"] for n in whole["nodes"]] == sorted(f"n{i}" for i in range(200)) and len(whole["relationships"]) == 199
+    assert whole["relationships"][0]["properties"] == {"orderInParent": 1}
+    nodes, edges = files.read_document(spark, f"file://{tmp_path}/doc")
+    assert [r.id for r in edges.orderBy("seq").collect()] == [e["id"] for e in whole["relationships"]] and nodes.count() == 200
+    none = Graph(g.nodes.limit(0), g.edges.limit(0))
+    files.write_document(*none, f"file://{tmp_path}/none")
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*")))) == {"nodes": [], "relationships": []}

@@ -12,7 +12,7 @@ from weftgraph.operators.postings import Postings
 from weftgraph.operators.store import Store
 from weftgraph.plans.more import NAMESPACE
 from weftgraph.plans.registry import _AUDIT, _DRAWN, _LEXICON, TERM, WORD, _query, draft, graph
-from weftgraph.sources import project
+from weftgraph.sources import files, project
 from weftgraph.streaming import confirmations
 
 _NUMBERED = "numbered AS (SELECT *, row_number() OVER (ORDER BY type, src, dst) AS seq FROM edges)"
@@ -186,6 +186,24 @@ def o7_changed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.difference_by_ranges(e, after, 256, "edge").select(F.lit("edge").alias("side"), "id", "op")
 
 
+# --- documents ------------------------------------------------------------------------------------
+def _document(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    path, g = scratch.new_path(spark, "document"), _with_places(spark, sf_dir)
+    files.write_document(g.nodes, g.edges, path)
+    return files.read_document(spark, path)
+
+
+@_query("SELECT id, type AS labels, props FROM nodes")
+def s7_document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole graph as one document in parts, written and read by many tasks."""
+    return _document(spark, sf_dir)[0].select("id", F.array_join("labels", ",").alias("labels"), "props")
+
+
+@_query("SELECT id, src, dst, coalesce('{\"orderInParent\":' || place || '}', '{}') AS props, row_number() OVER (ORDER BY type, src, dst) AS seq FROM placed", more=_PLACED)
+def k9_document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _document(spark, sf_dir)[1].select("id", "src", "dst", "props", "seq")
+
+
 # --- log and search -------------------------------------------------------------------------------
 @_query("SELECT id, ts, actor FROM log WHERE eventType = 'publish' ORDER BY ts DESC, id DESC LIMIT 60", more=_AUDIT)
 def l2_newest_page(spark: SparkSession, sf_dir: str) -> DataFrame:

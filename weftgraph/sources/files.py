@@ -9,11 +9,13 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from weftgraph import scratch
 from weftgraph.functions.jsontext import camel_keys, dumps
+from weftgraph.operators.ordering import in_order
 
 #: Domains offered where no pool is given.
 DEFAULT_DOMAINS = ("market", "school", "garden", "kitchen", "football", "fishing", "travel", "family", "music", "crafts")
@@ -41,13 +43,52 @@ def read_envelope(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return nodes, edges
 
 
+def _node_item() -> Column:
+    return F.to_json(F.struct("id", "labels", F.parse_json("props").alias("properties")))
+
+
+def _edge_item(edges: DataFrame) -> Column:
+    own = [F.parse_json(F.coalesce("props", F.lit("{}"))).alias("properties")] if "props" in edges.columns else []
+    return F.to_json(F.struct("id", "type", F.col("src").alias("start"), F.col("dst").alias("end"), *own))
+
+
+#: Lines of a document that hold no item.
+_OPEN, _BETWEEN, _CLOSE = '{"nodes":[', '],"relationships":[', "]}"
+
+
+def write_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """One envelope document in parts: an item a line, nodes by id, then edges by seq or id. Each task writes its part; the parts in order of their names are one JSON text."""
+    order = F.lpad(F.col("seq").cast("string"), 20, "0") if "seq" in edges.columns else F.col("id")
+    none = F.lit(None).cast("string")
+    items = nodes.select(F.lit(1).alias("kind"), F.col("id").alias("key"), _node_item().alias("item")).unionByName(edges.select(F.lit(3).alias("kind"), order.alias("key"), _edge_item(edges).alias("item")))
+    frame = nodes.sparkSession.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(x).alias("item")) for k, x in ((0, _OPEN), (2, _BETWEEN), (4, _CLOSE))))).alias("x"))
+    rows = scratch.written(in_order(items.unionByName(frame.select("x.kind", none.alias("key"), "x.item")), "kind", "key"), "document")
+    first = F.broadcast(rows.groupBy("kind").agg(F.min("seq").alias("first")))  # five rows
+    comma = F.when(F.col("kind").isin(1, 3) & (F.col("seq") > F.col("first")), ",").otherwise("")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = rows.join(first, "kind").select("seq", F.concat(comma, "item").alias("value"))
+    lines.repartitionByRange(n, "seq").sortWithinPartitions("seq").select("value").write.text(path)
+
+
+def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, as ``read_envelope`` has them, of a document in parts. Lines are read by as many tasks as the files have splits; ``seq`` is the edges' order in them."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("item"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    items = lines.where(~F.col("item").isin(_OPEN, _BETWEEN, _CLOSE) & (F.col("item") != ""))
+    got = lambda k: F.get_json_object("item", f"$.{k}")
+    edge = got("start").isNotNull()
+    labels = F.coalesce(F.from_json(got("labels"), "array<string>"), F.array().cast("array<string>"))
+    nodes = items.where(~edge).select(got("id").alias("id"), labels.alias("labels"), F.coalesce(got("properties"), F.lit("{}")).alias("props"))
+    links = items.where(edge).select(got("id").alias("id"), got("type").alias("type"), got("start").alias("src"), got("end").alias("dst"), F.coalesce(got("properties"), F.lit("{}")).alias("props"), "file", "block", "line")
+    return nodes, in_order(links, "file", "block", "line").drop("file", "block", "line")
+
+
 def write_envelope(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """One envelope as lines of JSON: every node, then every edge in order of seq, a file for each task.
 
     Meant for graphs of any size; ``envelope_text`` makes the single document of a small one.
     """
-    n = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("id", "labels", F.parse_json("props").alias("properties"))).alias("value"))
-    e = edges.select(F.lit("relationship").alias("kind"), F.to_json(F.struct("id", "type", F.col("src").alias("start"), F.col("dst").alias("end"))).alias("value"))
+    n = nodes.select(F.lit("node").alias("kind"), _node_item().alias("value"))
+    e = edges.select(F.lit("relationship").alias("kind"), _edge_item(edges).alias("value"))
     n.unionByName(e).write.partitionBy("kind").text(path)
 
 
