@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import scratch
-from weftgraph.operators import lifecycle, mutate, ordering, overlay, postings
+from weftgraph.operators import lifecycle, mutate, ordering, overlay, postings, rewrite
 from weftgraph.operators.mutate import Graph
 from weftgraph.operators.pending import Pending
 from weftgraph.operators.postings import Postings
@@ -288,3 +288,24 @@ def test_parts_of_a_document_are_one_json_text(spark, g, tmp_path):
     none = Graph(g.nodes.limit(0), g.edges.limit(0))
     files.write_document(*none, f"file://{tmp_path}/none")
     assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*")))) == {"nodes": [], "relationships": []}
+
+
+def test_activation_says_what_is_wrong(spark, g, tmp_path):
+    s = Store(spark, f"file://{tmp_path}")
+    assert s.activated("w/g/s") == {"ok": False, "reason": "no graph in namespace 'w/g/s'", "available": []}
+    s.seed("w/g/s", g)
+    found = s.activated("w/g/s")
+    assert found["ok"] and found["units"].count() == 200 and found["profile"] is None
+    s.write_config("w/g/s", {"core": {"id": ""}})
+    assert "id: a text is needed" in s.activated("w/g/s")["reason"] and s.activated("w/g/s")["available"] == ["w/g/s"]
+    scratch.remove(spark, next(iter(s.pointer("w/g/s")["published"]["nodes"].values()))["path"])
+    assert "lacks 1 bucket" in s.activated("w/g/s")["reason"]
+
+
+def test_groupings_without_a_single_leaf_are_refused(spark, g):
+    keyed = lambda *rows: spark.createDataFrame(list(rows), "id string, key string")
+    for leaves in (keyed(("n1", "other")), keyed(("n1", "k"), ("n2", "k"))):
+        with pytest.raises(ValueError, match="n0"):
+            rewrite.derived_components(*g, keyed(("n0", "k")), leaves, "Lesson")
+    nodes, edges = rewrite.derived_components(g.nodes, g.edges, keyed(("n0", "k")), keyed(("n1", "k")), "Lesson", keyed(("n7", "")))
+    assert nodes.count() == 198 and {(r.type, r.src) for r in edges.collect()} == {("hasChild", "n1")} and edges.count() == 198

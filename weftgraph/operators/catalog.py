@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from weftgraph.functions.jsontext import dumps
 from weftgraph.operators.mutate import Graph, Rejected, edge_rows, edge_table, node_rows
+from weftgraph.operators.ordering import in_order
 from weftgraph.operators.rewrite import edge_id
 from weftgraph.operators.traverse import closure, induced, steps
 
@@ -26,6 +27,11 @@ def entries(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] | None =
     return tops if kinds is None else tops.where(F.col("kind").isin(*kinds))
 
 
+def card_order(rows: DataFrame) -> DataFrame:
+    """(id, kind, name) with ``place``, from 1: routines first, then by name and id."""
+    return in_order(rows, F.col("kind") != "routine", "name", "id", name="place")
+
+
 def assembled(sources: list[tuple[DataFrame, DataFrame]], authored: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """One root with the routines of the sources and every entry of the authored graphs, subtrees and ids as they are."""
     spark = (sources + authored)[0][0].sparkSession

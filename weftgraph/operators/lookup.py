@@ -23,12 +23,13 @@ def glossary_entries(nodes: DataFrame) -> DataFrame:
     return found.select("id", *(p[c].alias(c) for c in ("renderings", "subject", "grade", "tags")))
 
 
-def matching_terms(lexicon: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
-    """Entries with a rendering that holds the query, without regard to accents and case; first by id."""
+def matching_terms(lexicon: DataFrame, query: str, limit: int | None = 20, languages: list[str] | None = None) -> DataFrame:
+    """Entries with a rendering, of some languages or of any, that holds the query, without regard to accents and case; first by id."""
     from weftgraph.functions.text import without_accents
 
     wanted = without_accents(query) or ""
-    shown = lexicon.select("*", F.explode(F.map_values("renderings")).alias("_r")).where(F.contains(no_accents(F.col("_r")), F.lit(wanted)))
+    held = F.map_values("renderings" if languages is None else F.map_filter("renderings", lambda k, _: k.isin(languages)))
+    shown = lexicon.select("*", F.explode(held).alias("_r")).where(F.contains(no_accents(F.col("_r")), F.lit(wanted)))
     found = lexicon.join(shown.select("id").distinct(), "id", "left_semi")
     return found if limit is None else found.orderBy("id").limit(limit)
 
@@ -169,6 +170,16 @@ def nearby_domains(used: DataFrame, reach: int) -> DataFrame:
     return near.join(present.select(F.col("ordinal").alias("at")), "at", "left_semi").select(F.col("at").alias("ordinal"), "domain").distinct()
 
 
+def neighbourhood(used: DataFrame, ordinal: int, reach: int) -> DataFrame:
+    """(ordinal, domains): for each ordinal within reach of one, itself not, the domains used there, each once, in the order of their first use.
+
+    ``used`` are (ordinal, domain, seq). A list has at most the domains that there are.
+    """
+    near = used.where((F.abs(F.col("ordinal") - ordinal) <= reach) & (F.col("ordinal") != ordinal))
+    first = near.groupBy("ordinal", "domain").agg(F.min("seq").alias("first"))
+    return first.groupBy("ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "domain"))), lambda x: x["domain"]).alias("domains"))
+
+
 def fresh_domain(pool: DataFrame, used: DataFrame, ordinal: int, reach: int) -> DataFrame:
     """One row (domain): the first of the pool (domain, place) never used, else the one last used longest ago; none nearby."""
     usage = used.groupBy(F.lower("domain").alias("domain")).agg(F.max("ordinal").alias("last"), F.max((F.abs(F.col("ordinal") - ordinal) <= reach) & (F.col("ordinal") != ordinal)).alias("near"))

@@ -70,6 +70,23 @@ def canonical_edges(edges: DataFrame, content: DataFrame) -> DataFrame:
     return both.withColumn("type", kind).withColumn("id", edge_id()).select("id", "type", "src", "dst")
 
 
+def derived_components(nodes: DataFrame, edges: DataFrame, groupings: DataFrame, leaves: DataFrame, label: str, gone: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hangs what groupings hold below the leaves that their keys name, and removes the groupings with every edge that touches them.
+
+    ``groupings`` and ``leaves`` are (id, key) with a composite text as key, ``gone`` (id) more nodes to remove. Children of the given label move, by ``hasChild``
+    edges with derived ids. ValueError if a grouping has no leaf or several.
+    """
+    matched = groupings.join(leaves.groupBy("key").agg(F.min("id").alias("leaf"), F.count("*").alias("n")), "key", "left")
+    if bad := matched.where("n IS NULL OR n > 1").select("id").orderBy("id").limit(20).collect():
+        raise ValueError("no single leaf for " + ", ".join(r.id for r in bad))
+    below = edges.where(F.col("type") == "hasPart").join(matched.select(F.col("id").alias("src"), "leaf"), "src")
+    moved = below.join(nodes.where(F.array_contains("labels", label)).select(F.col("id").alias("dst")), "dst", "left_semi")
+    fresh = moved.select(derived_id(F.concat("leaf", F.lit(":hasChild:"), "dst")).alias("id"), F.lit("hasChild").alias("type"), F.col("leaf").alias("src"), "dst").distinct()
+    removed = groupings.select("id") if gone is None else groupings.select("id").unionByName(gone.select("id"))
+    kept = edges.join(removed.select(F.col("id").alias("src")), "src", "left_anti").select("id", "type", "src", "dst").unionByName(fresh)
+    return nodes.join(removed, "id", "left_anti"), kept.join(removed.select(F.col("id").alias("dst")), "dst", "left_anti").select("id", "type", "src", "dst")
+
+
 def flagged_last(children: DataFrame, pattern: str = "(?i)bilan") -> DataFrame:
     """(parent, id): of each parent the last child whose text matches, else the last child. Needs parent, id, ord, text."""
     last = F.struct(F.coalesce(F.col("text").rlike(pattern), F.lit(False)), "ord", "id")  # a null order is the lowest

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import audit as log_of
-from weftgraph.operators import overlay
+from weftgraph.operators import overlay, parse, profile
 from weftgraph.operators.mutate import Graph
 from weftgraph.sources.numbered import Conflict, Numbered
 
@@ -142,6 +142,25 @@ class Store:
         over = self._overlay(p["draft"])
         return Graph(overlay.merged(canon.nodes, over.nodes), overlay.merged(canon.edges, over.edges)), "draft"
 
+    def activated(self, namespace: str) -> dict:
+        """{ok, graph, units, profile} of what is published, or why it cannot be used, with the namespaces that can be asked for.
+
+        A version whose buckets are gone is corrupt; a stored profile that is not valid would be parsed wrongly, so it is refused.
+        """
+        p, available = self.pointer(namespace), self.namespaces(reserved=False)
+        refused = lambda reason: {"ok": False, "reason": reason, "available": available}
+        if p is None:
+            return refused(f"no graph in namespace {namespace!r}")
+        lost = [e["path"] for side in _SIDES for e in p["published"][side].values() if not self._fs.exists(self._path(e["path"]))]
+        if lost:
+            return refused(f"the published version of {namespace!r} lacks {len(lost)} bucket(s)")
+        try:
+            rules = profile.checked(p["config"]) if p["config"] is not None else None
+        except ValueError as e:
+            return refused(f"the profile of {namespace!r} is invalid: {e}")
+        g = self._canon(p["published"])
+        return {"ok": True, "graph": g, "units": parse.units(g.nodes), "profile": rules}
+
     def create_draft(self, namespace: str) -> None:
         """Opens an empty overlay, at no cost in the graph's size; nothing happens if one is open."""
         self._open(namespace, *self._seeded(namespace))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import scratch
-from weftgraph.operators import display, lookup, mutate, ordering, overlay, parse
+from weftgraph.operators import catalog, display, lookup, mutate, ordering, overlay, parse, rewrite
 from weftgraph.operators.mutate import Graph
 from weftgraph.operators.postings import Postings
 from weftgraph.operators.store import Store
@@ -120,6 +120,37 @@ def w9_section_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.section_order(terms)
 
 
+# --- smaller operators ----------------------------------------------------------------------------
+@_query("SELECT CASE json_extract_string(o.props, '$.groupName') WHEN 'F' THEN 'N00' WHEN 'O' THEN 'N01' ELSE 'N02' END AS src, e.dst FROM edges e JOIN nodes o ON o.id = e.src WHERE e.type = 'hasPart' AND o.type = 'LessonGrouping'")
+def p15_derived_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lessons move from groupings to the standard that the grouping's name stands for."""
+    n, e = graph(spark, sf_dir)
+    groupings = n.where("type = 'LessonGrouping'").select("id", F.concat(F.lit("status — "), parse.prop("groupName")).alias("key"))
+    at = F.substring("id", 2, 2).cast("int") + 1
+    leaves = n.where("type = 'StandardsFrameworkItem' AND id < 'N03'").select("id", F.concat(F.lit("status — "), F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), at)).alias("key"))
+    return rewrite.derived_components(n, e, groupings, leaves, "Lesson")[1].where("type = 'hasChild' AND dst LIKE 'L%'").select("src", "dst")
+
+
+@_query("SELECT ordinal, string_agg(domain, ',' ORDER BY first, domain) AS domains FROM (SELECT t.position AS ordinal, p_type AS domain, min(l_orderkey * 10 + l_linenumber) AS first FROM lines JOIN part ON p_partkey = l_partkey JOIN turns t ON t.o_orderkey = l_orderkey WHERE t.position IN (1, 2, 4, 5) GROUP BY ALL) GROUP BY ordinal")
+def a7_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = project.orders_in_turn(spark, sf_dir).select(F.col("o_orderkey").alias("l_orderkey"), F.col("position").alias("ordinal"))
+    parts = project.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("domain"))
+    used = project.lines(spark, sf_dir).join(parts, "l_partkey").join(at, "l_orderkey").select("ordinal", "domain", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return lookup.neighbourhood(used, 3, 2).withColumn("domains", F.array_join("domains", ","))
+
+
+@_query("SELECT id, kind, row_number() OVER (ORDER BY kind <> 'routine', name, id) AS place FROM (SELECT id, 'Routine ' || r_name AS name, CASE WHEN r_name < 'B' THEN 'rubric' ELSE 'routine' END AS kind FROM routines)", more=project.EXTENDED_SQL)
+def l13_card_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = project.extended(spark, sf_dir)
+    named = catalog.entries(n, e).join(n.select("id", parse.prop("description").alias("name")), "id")
+    return catalog.card_order(named.withColumn("kind", F.when(F.col("name") < "Routine B", "rubric").otherwise(F.col("kind")))).select("id", "kind", "place")
+
+
+@_query(f"SELECT id, en FROM lexicon WHERE contains(lower(strip_accents(en)), '{TERM}') ORDER BY id LIMIT 20", more=_LEXICON)
+def f9_terms_of_a_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.matching_terms(project.lexicon(spark, sf_dir), TERM, languages=["en"]).select("id", F.col("renderings")["en"].alias("en"))
+
+
 # --- versions -------------------------------------------------------------------------------------
 def _with_places(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph with each containment's place among its parent's as a property of the edge."""
