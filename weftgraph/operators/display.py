@@ -81,10 +81,10 @@ def display_edges(nodes: DataFrame, edges: DataFrame, illustrates: DataFrame | N
 def scoped_subtree(drawn: DataFrame, start: DataFrame, most_depth: int = 4) -> DataFrame:
     """(id, depth): what is drawn below a start to a depth, then, without one, what that is aligned with and its components."""
     ways = drawn.where("rel = 'hasChild'")
-    held = closure(start, ways.select(F.col("src").alias("a"), F.col("dst").alias("b")), min(max(most_depth, 1), 12)).groupBy("id").agg(F.min("depth").alias("depth"))
+    held = closure(start, ways.select(F.col("src").alias("a"), F.col("dst").alias("b")), min(max(most_depth, 1), 12), together=True).select("id", "depth")
     up = ways.where(F.col("type").isin(*ALIGNMENTS)).select(F.col("dst").alias("a"), F.col("src").alias("b"))
     down = ways.where(F.col("type") == SUPPORT).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    beyond = closure(held.select("id"), up.unionByName(down)).select("id").distinct().join(held, "id", "left_anti")
+    beyond = closure(held.select("id"), up.unionByName(down), together=True).select("id").join(held, "id", "left_anti")
     return held.unionByName(beyond.withColumn("depth", F.lit(None).cast("int")))
 
 
@@ -186,7 +186,7 @@ def label_tree(shown: DataFrame, drawn: DataFrame, labels: list[str], reverse: b
     ways = ways.join(kept.select(F.col("id").alias("a")), "a", "left_semi").join(kept.select(F.col("id").alias("b")), "b", "left_semi")
     if prune_to is not None:
         wanted = kept.where(F.col("label") == prune_to).select("id")
-        holding = closure(wanted, ways.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("id").distinct()
+        holding = closure(wanted, ways.select(F.col("b").alias("a"), F.col("a").alias("b")), together=True).select("id")
         kept = kept.join(holding, "id", "left_semi")
         ways = ways.join(holding.select(F.col("id").alias("b")), "b", "left_semi")
     roots = kept.join(ways.select(F.col("b").alias("id")), "id", "left_anti")
@@ -211,7 +211,7 @@ def search(shown: DataFrame, drawn: DataFrame, query: str, view_parents: DataFra
     if view_parents is not None:
         return chains(hits, view_parents.select("id", F.col("parent_id").alias("parent"))).groupBy("id").agg((F.min("depth") == 0).alias("matched"))
     ways = drawn.where("rel = 'hasChild'").select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    return closure(hits, ways).groupBy("id").agg((F.min("depth") == 0).alias("matched"))
+    return closure(hits, ways, together=True).select("id", (F.col("depth") == 0).alias("matched"))
 
 
 def detail(drawn: DataFrame, node: str) -> DataFrame:

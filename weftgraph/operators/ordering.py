@@ -102,9 +102,8 @@ def _within(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges whose parents are below the roots."""
     from weftgraph.operators.traverse import closure
 
-    start = roots.select(F.lit(0).alias("id")).limit(1).select(F.lit("").alias("id"))  # one walk from all roots together
-    ways = edges.select(F.col("parent").alias("a"), F.col("id").alias("b")).unionByName(roots.select(F.lit("").alias("a"), F.col("id").alias("b")))
-    return edges.join(closure(start, ways).select(F.col("id").alias("parent")), "parent", "left_semi")
+    below = closure(roots.select("id"), edges.select(F.col("parent").alias("a"), F.col("id").alias("b")), together=True)
+    return edges.join(below.select(F.col("id").alias("parent")), "parent", "left_semi")
 
 
 def preorder(tree: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ def pruned(unit_rows: DataFrame, root_kinds: list[str], leaf_kinds: list[str], c
     ways = held.select(F.col("id").alias("a"), F.col("c").alias("b"))
     inner = unit_rows.where(~F.col("kind").isin(*leaf_kinds)).select("id")
     starts = unit_rows.where(F.col("kind").isin(*root_kinds)).select("id")
-    kept = traverse.closure(starts, ways, through=inner).select("id").distinct()
+    kept = traverse.closure(starts, ways, through=inner, together=True).select("id")
     content = unit_rows.where(F.col("kind").isin(*content_kinds)).select("id").join(kept, "id", "left_semi")
     leaves = held.join(unit_rows.where(F.col("kind").isin(*leaf_kinds)).select("id"), "id", "left_semi").join(content.select(F.col("id").alias("c")), "c", "left_semi").select("id")
     kept = kept.unionByName(leaves).distinct()

@@ -54,16 +54,16 @@ def _sent(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= MOST_BROADCAST else rows
 
 
-def closure(starts: DataFrame, ways: DataFrame, most_depth: int | None = None, through: DataFrame | None = None) -> DataFrame:
+def closure(starts: DataFrame, ways: DataFrame, most_depth: int | None = None, through: DataFrame | None = None, together: bool = False) -> DataFrame:
     """(root, id, depth) of all that each start reaches, itself at depth 0.
 
     ``starts`` has a column id. ``through``: only nodes in it (a column id) are walked on from;
-    others are reached but are walls.
+    others are reached but are walls. ``together``: all starts are one root, the empty text, so each node is one row however many starts reach it.
     """
     ways = ways.select("a", "b")
     if through is not None:
         ways = ways.join(through.select(F.col("id").alias("a")), "a", "left_semi")
-    frontier, n = scratch.counted(starts.select(F.col("id").alias("root"), "id").distinct().withColumn("depth", F.lit(0)), "level")
+    frontier, n = scratch.counted(starts.select((F.lit("") if together else F.col("id")).alias("root"), "id").distinct().withColumn("depth", F.lit(0)), "level")
     parts = [(0, frontier)]
     for depth in range(MOST_LEVELS if most_depth is None else most_depth):
         if depth == 1 and (most_depth is None or most_depth > 4) and through is not None:
