@@ -39,7 +39,7 @@ def assembled(sources: list[tuple[DataFrame, DataFrame]], authored: list[tuple[D
     for graphs, kinds in ((sources, ("routine",)), (authored, None)):
         for n, e in graphs:
             tops = entries(n, e, kinds)
-            ids = closure(tops.select("id"), steps(e, "out", ["hasPart"])).select("id").distinct()
+            ids = closure(tops.select("id"), steps(e, "out", ["hasPart"]), together=True).select("id")
             below = tops.select(F.lit("hasPart").alias("type"), F.lit(ROOT[0]).alias("src"), F.col("id").alias("dst")).withColumn("id", edge_id()).select("id", "type", "src", "dst")
             links = edge_table(induced(e, ids, ["hasPart"])).unionByName(edge_table(below))
             nodes = nodes.unionByName(n.join(ids, "id", "left_semi").select("id", "type", "labels", "props"))

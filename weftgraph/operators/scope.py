@@ -70,10 +70,10 @@ def document_curriculum(nodes: DataFrame, edges: DataFrame, document: str) -> tu
     targets = edges.where(F.col("type") == "covers").join(own.select(F.col("id").alias("src")), "src", "left_semi").select("src", F.col("dst").alias("id"))
     by_section = targets.where(F.col("src") != document).select("id").distinct()
     if by_section.take(1):
-        return "sections", closure(by_section, steps(edges, "out", CONTAINMENT)).select("id").distinct()
+        return "sections", closure(by_section, steps(edges, "out", CONTAINMENT), together=True).select("id")
     of_course = targets.select("id").join(courses(nodes).select("id"), "id", "left_semi")
     if of_course.take(1):
-        return "course", closure(of_course, steps(edges, "out", CONTAINMENT)).select("id").distinct()
+        return "course", closure(of_course, steps(edges, "out", CONTAINMENT), together=True).select("id")
     return "none", of_course
 
 
@@ -104,17 +104,17 @@ def section_routine(nodes: DataFrame, edges: DataFrame, section: str) -> DataFra
     own = me.select("id", F.lit(0).alias("rank"), F.lit(0).alias("depth"))
     tlm = owning_document(nodes, edges, me).select("id", F.lit(1).alias("rank"), "depth")
     covered = edges.where((F.col("type") == "covers") & (F.col("src") == section)).select(F.col("dst").alias("id"))
-    above = closure(covered, steps(edges, "in", CONTAINMENT)).groupBy("id").agg(F.min("depth").alias("depth")).select("id", F.lit(2).alias("rank"), "depth")
+    above = closure(covered, steps(edges, "in", CONTAINMENT), together=True).select("id", F.lit(2).alias("rank"), "depth")
     uses = edges.where(F.col("type") == "usesRoutine").select(F.col("src").alias("id"), "dst", F.col("id").alias("edge"))
     first = own.unionByName(tlm).unionByName(above).join(uses, "id").agg(F.min_by("dst", F.struct("rank", "depth", "id", "edge")).alias("id")).where("id IS NOT NULL")
-    return closure(first, steps(edges, "out", ["hasPart"])).select("id").distinct()
+    return closure(first, steps(edges, "out", ["hasPart"]), together=True).select("id")
 
 
 def section_subgraph(nodes: DataFrame, edges: DataFrame, section: str) -> dict[str, DataFrame]:
     """A section with its covered curriculum (containment edges only), routine and formatters."""
     me = nodes.where(F.col("id") == section).select("id")
     covered = edges.where((F.col("type") == "covers") & (F.col("src") == section)).select(F.col("dst").alias("id"))
-    curriculum = closure(covered, steps(edges, "out", CONTAINMENT)).select("id").distinct()
+    curriculum = closure(covered, steps(edges, "out", CONTAINMENT), together=True).select("id")
     document = owning_document(nodes, edges, me).select("id")
     first = document.take(1)
     formatters = own_formatters(nodes, edges, section)
