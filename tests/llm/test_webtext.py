@@ -1,5 +1,6 @@
 import html as H
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -80,6 +81,41 @@ def test_any_depth():
         assert "legal" not in X.main_text(source, known)
 
 
+def test_a_form_around_the_page_is_no_form():
+    words = "word " * 60
+    article = "<h1>T</h1><p>a</p><form><p>mail me</p><button>go</button></form>"
+    for page in (
+        f'<form id="aspnetForm"><nav>n</nav><article>{article}</article></form>',
+        f'<form><main>{article}</main></form>',
+        f"<form><div>{article}</div><footer>f</footer></form>",
+    ):
+        assert X.main_text(page) == "T a", page
+    assert X.main_text(f"<p>before</p><form><p>{words}</p><label>{words}</label></form>") == f"before {words}{words}".strip()
+    # A form beside the article goes, however long it is.
+    assert X.main_text(f"<article><p>a</p></article><form><p>{words}</p></form>") == "a"
+    assert X.main_text(f"<p>{words}</p><form><p>mail me</p></form>") == words.strip()
+    assert X.main_text("<p>short</p><form><p>give us your address</p></form>") == "short"
+    assert X.main_text("<main><p>a</p></main><nav>x</nav><main><p>b</p><main>c</main></main>") == "a b c"
+
+
+def test_nesting_takes_time_in_proportion():
+    n = 20_000
+    start = time.monotonic()
+    for opened, closed, text in (('<div class="ad">', "</div>", "<article>x</article>"), ("<form>", "</form>", "<main>x</main>")):
+        assert X.main_text(opened * n + text + closed * n) == "x"
+    assert X.main_text("<b>" * n + "x" + "</i>" * n) == "x"
+    assert X.main_text("<span>" * n + "<p>x" + "</span></i><p>y" * n).startswith("x y")
+    assert time.monotonic() - start < 20
+
+
+def test_parts_of_any_cut_give_the_same_texts(spark):
+    rng = random.Random(12)
+    made = [page(i, rng, article=i % 2 == 0) for i in range(60)]
+    df = spark.createDataFrame([(i, "http://one.example/x", s) for i, (s, _) in enumerate(made)], "page_id long, url string, html string")
+    got = [{r.page_id: r.text for r in X.report(df.repartition(n)).collect()} for n in (1, 7)]
+    assert got[0] == got[1] == {i: t for i, (_, t) in enumerate(made)}
+
+
 def test_names_that_articles_use_are_believed_where_the_wrapper_shows_furniture():
     for name in ("related work", "search results", "social history", "alert-levels"):
         assert X.main_text(f"<article><p>a</p><div class='{name}'><p>b</p></div></article>") == "a b"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
@@ -23,6 +24,7 @@ _ENDS_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "thead", "tfoot"]),
     "td": frozenset(["td", "th", "tr", "tbody"]), "th": frozenset(["td", "th", "tr", "tbody"]), "option": frozenset(["option"]),
 }
+_ENDING = {tag: ("p", *(t for t, by in _ENDS_BY.items() if tag in by)) for tag in BLOCK}
 #: Ending one of these never ends what stands outside.
 _WALLS = frozenset("ul ol dl table article section aside nav header footer main body html form".split())
 
@@ -35,10 +37,10 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "template", "common")
+    __slots__ = ("tag", "attrs", "children", "template", "common", "frame", "titled")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.children, self.template, self.common = tag, attrs or {}, [], False, False
+        self.tag, self.attrs, self.children, self.template, self.common, self.frame, self.titled = tag, attrs or {}, [], False, False, False, False
 
     def elements(self):
         """This element and all below it, in page order."""
@@ -66,6 +68,7 @@ def parse(source: str) -> Element:
     """The tree of a page; its root stands above everything."""
     root = Element("#root")
     stack = [root]
+    opened: Counter[str] = Counter()
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.search(source, at)
@@ -79,11 +82,11 @@ def parse(source: str) -> Element:
         if not tag:
             continue
         if m["end"] or m["end2"]:
-            _end(stack, tag)
+            _end(stack, opened, tag)
             continue
         attrs = m["attrs"] if m["tag"] else m["attrs2"]
         if tag in BLOCK:
-            _end_implied(stack, tag)
+            _end_implied(stack, opened, tag)
         element = Element(tag, _attributes(attrs))
         stack[-1].children.append(element)
         if tag in RAW:
@@ -92,25 +95,37 @@ def parse(source: str) -> Element:
             at = close.end() if close else n
         elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK):
             stack.append(element)
+            opened[tag] += 1
     return root
 
 
-def _end(stack: list[Element], tag: str) -> None:
+def _close(stack: list[Element], opened: Counter[str], at: int) -> None:
+    for e in stack[at:]:
+        opened[e.tag] -= 1
+    del stack[at:]
+
+
+def _end(stack: list[Element], opened: Counter[str], tag: str) -> None:
+    """Ends the innermost such element; ``opened`` counts the open ones by name, so an end tag without one costs nothing."""
+    if not opened[tag]:
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag == tag:
-            del stack[i:]
+            _close(stack, opened, i)
             return
         if stack[i].tag in _WALLS and tag not in _WALLS:
             return
 
 
-def _end_implied(stack: list[Element], tag: str) -> None:
+def _end_implied(stack: list[Element], opened: Counter[str], tag: str) -> None:
+    if not any(opened[t] for t in _ENDING[tag]):
+        return
     for i in range(len(stack) - 1, 0, -1):
         open_tag = stack[i].tag
         if open_tag == "p" or tag in _ENDS_BY.get(open_tag, ()):
-            del stack[i:]
+            _close(stack, opened, i)
             if open_tag == "p":
-                _end_implied(stack, tag)
+                _end_implied(stack, opened, tag)
             return
         if open_tag in _WALLS or open_tag in ("div", "blockquote", "details", "figure"):
             return

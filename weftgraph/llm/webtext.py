@@ -5,8 +5,8 @@ and the partial wrappers of a host are merged in two steps, so no task sees all
 pages that occur several times on a host move: they count once. Then each page is laid over its host's wrapper again:
 places with constant text are template and dropped, wherever they are; slots whose text varies are content.
 
-What varies but is no article text needs another sign. Elements that HTML itself sets apart (nav, aside, footer, form,
-script) go always, and so does what is named after nothing but furniture (``class="ad-box"``, ``id="comments"``).
+What varies but is no article text needs another sign. Elements that HTML itself sets apart (nav, aside, footer,
+script) go always, a form unless it is the frame of the page, and so does what is named after nothing but furniture (``class="ad-box"``, ``id="comments"``).
 Names that articles use too (``related``, ``search``) are only believed if the wrapper shows that place to be
 part of the host's layout, or, on a host without a wrapper, outside the article.
 
@@ -15,8 +15,9 @@ wrappers are joined by host, where Spark splits the pages of a hot host.
 
 Cases: a null or empty page has an empty text; pages without an address form one host; hosts with
 few pages, or whose pages are copies of one page, have no wrapper and are told by elements and names alone; if
-the template would leave nothing, these alone decide; broken markup and nesting of any depth never fail; text that is
-hidden by a style is text.
+the template would leave nothing, these alone decide; broken markup and nesting of any depth never fail and take time in proportion to
+their length; of several main elements all are text, in page order; text that is hidden by a style is text; repeated rows and page
+identifiers each get their text; a column that is named like the text is replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -30,19 +31,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph import scratch
-from weftgraph.llm.dom import BLOCK, Element, parse
+from weftgraph.llm.dom import BLOCK, RAW, Element, parse
 from weftgraph.llm.textcols import without
 from weftgraph.llm.wrappers import Wrapper
 
 BROADCAST_BYTES = 32 << 20
 #: Partial wrappers of a host are merged in so many parts before they meet.
 PARTS = 16
+#: A form that holds half of a page's text is the page's frame if it has so many characters.
+LEAST_FORM = 200
 
 # Elements that are not article text.
 _DROPPED = frozenset(
     "head script style noscript template iframe object embed svg canvas audio video nav footer aside form button select textarea input "
     "datalist dialog menu search title".split()
 )
+# Elements of forms whose text is not counted to what a form holds.
+_CONTROLS = frozenset("button select textarea datalist label legend".split())
 # Names of furniture: a class or id made of these words alone, and of the words below, is not article text.
 _FURNITURE = frozenset(
     "ad ads adv adslot adbox adunit advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu "
@@ -70,14 +75,39 @@ def _names(e: Element) -> set[str]:
     return set().union(*_tokens(e))
 
 
+def survey(page: Element) -> None:
+    """Notes at each element what the elements below it are, in one pass from the leaves up.
+
+    ``frame``: below it is a main element or an article, or, for a form, a first heading or half of the page's text; ``titled``: below
+    it is a heading of the first two levels. A page within a form is thus told from a form within a page.
+    """
+    order = list(page.elements())
+    size: dict[int, int] = {}
+    heading: set[int] = set()
+    for e in reversed(order):
+        held = 0 if e.tag in RAW or e.tag in _CONTROLS else sum(len(c) - c.count(" ") if isinstance(c, str) else size[id(c)] for c in e.children)
+        size[id(e)] = held
+        for c in e.children:
+            if isinstance(c, Element):
+                e.frame = e.frame or c.frame or c.tag == "main" or (c.tag == "article" and not not_article(c))
+                e.titled = e.titled or c.titled or c.tag in ("h1", "h2")
+                if c.tag == "h1" or id(c) in heading:
+                    heading.add(id(e))
+    for e in order:
+        if e.tag == "form":
+            e.frame = e.frame or id(e) in heading or 0 < size[id(page)] <= 2 * size[id(e)] and size[id(e)] >= LEAST_FORM
+
+
 def not_article(e: Element, inside: bool = False, laid_out: bool = False) -> bool:
-    """Whether an element is something else than article text.
+    """Whether an element of a surveyed page is something else than article text.
 
     ``inside``: it stands in the article; ``laid_out``: the page has been laid over a wrapper.
     """
+    if e.tag == "form" and e.frame and not inside:
+        return False
     if e.tag in _DROPPED:
         return True
-    if e.tag == "header" and not (inside and any(x.tag in ("h1", "h2") for x in e.elements())):
+    if e.tag == "header" and not (inside and e.titled):
         return True
     if not e.attrs or e.tag in _KEPT_ROOTS:
         return False
@@ -91,19 +121,18 @@ def not_article(e: Element, inside: bool = False, laid_out: bool = False) -> boo
     if not named:
         return False
     # Such words also name the frame of a whole page; a frame holds the article.
-    if e.tag == "article":
-        return True
-    return not any(x.tag in ("article", "main") and not not_article(x) for x in e.elements() if x is not e)
+    return e.tag == "article" or not e.frame
 
 
 def roots(page: Element) -> list[Element]:
-    """Where the article is: the main element, else articles, else a content element with most text, else all."""
+    """Where the article is: the main elements, else articles, else a content element with most text, else all."""
     mains, articles, named = [], [], []
     stack = [page]
     while stack:
         e = stack.pop()
         if e.tag == "main" or e.attrs.get("role", "").lower() == "main":
             mains.append(e)
+            continue
         elif not_article(e):
             continue
         elif e.tag == "article":
@@ -113,7 +142,7 @@ def roots(page: Element) -> list[Element]:
             named.append(e)
         stack.extend(c for c in reversed(e.children) if isinstance(c, Element))
     if mains:
-        return mains[:1]
+        return mains
     if articles:
         return articles
     if named:
@@ -164,6 +193,7 @@ def main_text(source: str | None, wrapper: Wrapper | None = None) -> str:
     if not source:
         return ""
     page = parse(source)
+    survey(page)
     tops = roots(page)
     inside, laid_out = tops != [page], wrapper is not None
     if laid_out:
