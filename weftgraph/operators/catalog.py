@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from weftgraph.functions.jsontext import dumps
 from weftgraph.operators.mutate import Graph, Rejected, edge_rows, edge_table, node_rows
-from weftgraph.operators.ordering import in_order
+from weftgraph.operators.ordering import in_order, placed
 from weftgraph.operators.rewrite import edge_id
 from weftgraph.operators.traverse import closure, induced, steps
 
@@ -120,6 +120,46 @@ def rendered(nodes: DataFrame, edges: DataFrame, entry: str, scope: str = "share
     return "\n".join(out).rstrip() + "\n"
 
 
+def pages(nodes: DataFrame, edges: DataFrame, scope: str = "shared") -> DataFrame:
+    """(entry, line, text): the lines that ``rendered`` has, blank ones left out, of every entry, as a table. A text of several lines is one row.
+
+    An entry of any size is no task of its own: its lines are numbered by ranges.
+    """
+    prop = lambda path: F.nullif(F.get_json_object("props", f"$.{path}"), F.lit(""))
+    at = F.coalesce(F.nullif(prop("position").cast("double"), F.lit(0.0)), F.nullif(prop("metadata.order").cast("double"), F.lit(0.0)), F.lit(0.0))
+    told = lambda text, extra: F.concat(F.coalesce(text, F.lit("")), F.coalesce(F.concat(F.lit(" ("), extra, F.lit(")")), F.lit("")))
+    n = nodes.select(
+        "id", at.alias("at"), F.array_contains("labels", "Material").alias("material"), F.array_contains("labels", ROUTINE).alias("routine"), prop("description").alias("name"), prop("content").alias("body"),
+        prop("timeRequired").alias("time"), prop("metadata.weight").alias("weight"), prop("metadata.summary").alias("summary"), prop("metadata.scale").alias("scale"),
+    )
+    held = edges.where("type = 'hasPart'").select("src", "dst")
+    top = entries(nodes, edges).join(n.select("id", "name", "summary", "scale"), "id").withColumnRenamed("id", "entry")
+    none = F.lit(None)
+
+    def lines(rows: DataFrame, *texts: Column, below: bool = False, inner: bool = False) -> DataFrame:
+        """Rows of text in order; they stand at their node's place below the entry, ``inner`` at a place below that one."""
+        spot = [F.col("at1") if below else none.cast("double"), F.col("id1") if below else none.cast("string"), F.col("at2") if inner else none.cast("double"), F.col("id2") if inner else none.cast("string")]
+        cells = F.posexplode(F.array(*texts)).alias("part", "text")
+        return rows.select("entry", *(c.alias(k) for k, c in zip(("o1", "k1", "o2", "k2"), spot, strict=True)), cells).where("text IS NOT NULL")
+
+    kind = F.col("kind")
+    first = held.join(top.select(F.col("entry").alias("src"), "entry", "kind"), "src").drop("src").join(n, F.col("dst") == F.col("id")).withColumnsRenamed({"id": "id1", "at": "at1"}).drop("dst")
+    first = first.where(F.when(kind == "formatter", F.col("material")).when(kind == "rubric", F.col("routine")).otherwise(F.col("material") | F.col("routine")))
+    shown = F.when(kind == "rubric", F.concat(F.lit("## "), told(F.col("name"), F.col("weight")))).when(kind != "formatter", F.concat(F.lit("## "), told(F.col("name"), F.col("time"))))
+    node = lambda i: F.when(F.col("body").isNotNull(), F.concat(F.lit("node `"), F.col(i), F.lit("`")))
+    own = F.col("material") & (kind != "rubric")
+    parents = first.where((kind != "formatter") & (~F.col("material") | (kind == "rubric"))).select("entry", "kind", "id1", "at1")
+    second = held.join(parents, F.col("src") == F.col("id1")).drop("src").join(n.where("material"), F.col("dst") == F.col("id")).withColumnsRenamed({"id": "id2", "at": "at2"}).drop("dst")
+    criterion = F.when(kind == "rubric", F.concat(F.lit("### "), F.coalesce("name", F.lit(""))))
+    head = lines(
+        top, F.concat(F.lit("# "), F.coalesce("name", "entry")), F.concat(F.lit("*"), kind, F.lit(f", {scope} catalog*")), F.col("summary"), F.when(kind == "rubric", F.concat(F.lit("**"), F.col("scale"), F.lit("**")))
+    )
+    body = lines(first, shown, F.when(own, node("id1")), F.when(own, F.col("body")), below=True)
+    inner = lines(second, criterion, node("id2"), F.col("body"), below=True, inner=True)
+    rows = placed(head.unionByName(body).unionByName(inner), "entry", "o1", "k1", "o2", "k2", "part", name="line")
+    return rows.select("entry", (F.col("line") + 1).alias("line"), "text")
+
+
 def relabelled(nodes: DataFrame, edges: DataFrame, root: str, labels: tuple[str, ...]) -> DataFrame:
     """A cloned subtree with a label for each level below its root, without the tags of the catalog.
 

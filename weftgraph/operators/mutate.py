@@ -171,6 +171,30 @@ def add_nodes(g: Graph, items: Sequence[dict]) -> Graph:
     return Graph(nodes, edges.unionByName(edge_rows(spark, links)) if links else edges)
 
 
+def created_props(template: dict, name: str | None, position: float, identifier: str | None = None, name_en: str | None = None, assessment: bool = False, extra: dict | None = None) -> dict:
+    """Properties of a new node in the stored form: normalised fields beside the raw ones, from which a parser makes them again. Absent values leave no key.
+
+    ``template``: grouping (whether the label groups lessons), boilerplate (raw fields that all nodes of the label share), order_paths (dotted paths that
+    hold the position), type, statement_type and role. ``extra`` has the last word on raw fields.
+    """
+    raw = dict(template.get("boilerplate") or {})
+    props: dict = {"title" if template.get("grouping") else "text": name, "position": position, "isAssessment": True if assessment else None}
+    raw |= {k: v for k, v in {"identifier": identifier, "description": name}.items() if v is not None}
+    props["raw"] = raw
+    meta = {"raw.metadata.en.description": name_en, **dict.fromkeys(template.get("order_paths") or (), position)}
+    meta |= {"raw.normalizedType": template.get("type"), "raw.normalizedStatementType": template.get("statement_type"), "raw.metadata.role": template.get("role")}
+    for path, value in (meta | {f"raw.{k}": v for k, v in (extra or {}).items()}).items():
+        if value is None:
+            continue
+        *above, last = path.split(".")
+        at = props
+        for k in above:
+            at[k] = dict(at[k]) if isinstance(at.get(k), dict) else {}
+            at = at[k]
+        at[last] = value
+    return {k: v for k, v in props.items() if v is not None}
+
+
 def next_positions(nodes: DataFrame, below: DataFrame) -> DataFrame:
     """(parent, next_position): one more than the largest position of its children, at least 1. ``below``: (parent, id)."""
     at = F.get_json_object("props", "$.position").cast("double")

@@ -686,12 +686,12 @@ def v6_containment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from weftgraph.plans import more, orders  # noqa: F401  register their queries
+    from weftgraph.plans import more, orders, reviews  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from weftgraph.plans import more, orders  # noqa: F401
+    from weftgraph.plans import more, orders, reviews  # noqa: F401
 
     return dict(_SQL)

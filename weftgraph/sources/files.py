@@ -70,6 +70,26 @@ def write_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     lines.repartitionByRange(n, "seq").sortWithinPartitions("seq").select("value").write.text(path)
 
 
+#: First and last line of a history in parts.
+_HISTORY, _HISTORY_END = '{"version":3,"entries":[', "]}"
+
+
+def write_history(history: DataFrame, path: str) -> None:
+    """A history of any size as one JSON document in parts, an entry a line, by nodeId and relPath: each task writes its part, in order of their names."""
+    rows = scratch.written(in_order(history.select("nodeId", "relPath", F.to_json(F.struct(*history.columns)).alias("item")), "nodeId", "relPath", "item"), "history")
+    last = rows.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("n"))
+    ends = last.select(F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit(_HISTORY).alias("value")), F.struct((F.col("n") + 1).alias("seq"), F.lit(_HISTORY_END).alias("value")))).alias("x"))
+    lines = rows.select("seq", F.concat(F.when(F.col("seq") > 1, ",").otherwise(""), "item").alias("value")).unionByName(ends.select("x.*"))
+    n = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(n, "seq").sortWithinPartitions("seq").select("value").write.text(path)
+
+
+def read_history_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The entries of a history in parts, read by as many tasks as the files have splits."""
+    lines = spark.read.text(path).where(~F.col("value").isin(_HISTORY, _HISTORY_END))
+    return lines.select(F.from_json(F.regexp_replace("value", "^,", ""), schema).alias("x")).select("x.*")
+
+
 def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges, as ``read_envelope`` has them, of a document in parts. Lines are read by as many tasks as the files have splits; ``seq`` is the edges' order in them."""
     lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("item"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))

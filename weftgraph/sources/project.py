@@ -245,6 +245,31 @@ def _extended(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return reduce(DataFrame.unionByName, [n, *more]), reduce(DataFrame.unionByName, [e, *links])
 
 
+def library(spark: SparkSession, sf_dir: str, graded: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A catalog with an entry for each customer: its orders are steps or sections, their lines materials or criteria.
+
+    ``graded``: the same trees as rubrics, most of them below a document that covers the customer's course.
+    """
+    top, step, leaf = ("Rubric", "RubricSection", "RubricCriterion") if graded else ("InstructionalRoutine", "InstructionalRoutine", "Material")
+    c, o, x = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), orders_in_turn(spark, sf_dir), lines(spark, sf_dir)
+    kind = F.when(F.col("c_custkey") % 3 == 1, "formatter").when(F.col("c_custkey") % 3 == 2, "rubric")
+    entry, part = lambda k: key("B", k, 7), lambda k: key("BO", k, 9)
+    line = F.concat(key("BL", "l_orderkey", 9), F.lit("-"), F.col("l_linenumber").cast("string"))
+    body = F.when(F.col("l_returnflag") != "N", F.concat(F.lit("Flag "), F.col("l_returnflag")))
+    nodes = [
+        _node(c, entry("c_custkey"), top, description=F.col("c_name"), metadata=F.struct(kind.alias("catalogKind"), F.col("c_mktsegment").alias("scale"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("summary"))),
+        _node(o, part("o_orderkey"), step, description=F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), metadata=F.struct(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("weight")), position=F.col("position")),
+        _node(x, line, leaf, description=F.concat(F.lit("Line "), F.col("l_linenumber").cast("string")), content=body, position=F.col("l_linenumber")),
+    ]
+    edge = lambda df, kind, src, dst: df.select(F.concat(F.lit(f"{kind}:"), src, F.lit("->"), dst).alias("id"), F.lit(kind).alias("type"), src.alias("src"), dst.alias("dst"))
+    links = [edge(o, "hasPart", entry("o_custkey"), part("o_orderkey")), edge(x, "hasPart", part("l_orderkey"), line)]
+    if graded:
+        document = key("M", "c_custkey", 7)
+        nodes.append(_node(c, document, "TeachingLearningMaterial", description=F.concat(F.lit("Of "), F.col("c_name"))))
+        links += [edge(c.where("c_custkey % 4 <> 0"), "hasPart", document, entry("c_custkey")), edge(c.where("c_custkey % 7 <> 0"), "covers", document, key("C", "c_custkey", 7))]
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, links)
+
+
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership rows (userId, workspace, role, seq) and the last one of a user in a workspace counts: customers stand in."""
     role = F.element_at(F.array(F.lit("curator"), F.lit("approver"), F.lit("admin")), (F.col("c_custkey") % 3 + 1).cast("int"))
