@@ -2,10 +2,11 @@
 
 import pytest
 
-from weftgraph.operators import catalog, evaluate, libraries, lifecycle
+from weftgraph.operators import catalog, evaluate, libraries, lifecycle, lookup, traverse
 from weftgraph.operators import mutate as M
 from weftgraph.operators.store import Store
 from weftgraph.sources import files
+from weftgraph.sources.numbered import Conflict
 
 R, DOC = catalog.ROUTINE, "TeachingLearningMaterial"
 
@@ -135,3 +136,50 @@ def test_history_in_parts(spark, tmp_path):
         whole = "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
         assert json.loads(whole)["version"] == 3
         assert sorted(map(tuple, files.read_history_parts(spark, path, "nodeId string, relPath string, md5 string").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
+def test_ties_on_a_page_are_in_the_order_of_a_dictionary(spark):
+    names = ["B", "a", "C", "é", "z", "10", "9"]
+    nodes = M.node_rows(spark, [("top", "Course", ["Course"], {})] + [(x, "Lesson", ["Lesson"], {}) for x in names])
+    edges = M.edge_rows(spark, [("hasPart", "top", x) for x in names])
+    shown, cursor = [], None
+    while True:
+        page = traverse.walk(nodes, edges, "top", limit=3, cursor=cursor, include_edges=False)
+        shown += [n["id"] for n in page.nodes]
+        if not (cursor := page.next_cursor):
+            break
+    assert shown == ["top", "10", "9", "a", "B", "C", "é", "z"]
+    assert [n["id"] for n in traverse.walk(nodes, edges, "top", include_edges=False, collation=None).nodes] == ["top", *sorted(names)]
+
+
+def test_profiles_are_edited_in_two_steps(spark, shelf):
+    d, ns = shelf.drafts, "w/g/s"
+    good = lambda guide: {"core": {"id": "p", "capabilities": {"exampleDomainRotation": True}, "parse": {}}, "guide": guide}
+    assert d.edit_profile(ns, "cora", good("a"))["status"] == "failed"
+    d.store.write(ns, M.Graph(M.node_rows(spark, [("a", "Course", ["Course"], {})]), M.edge_rows(spark, [("x", "y", "z")]).limit(0)), good("old"))
+    assert d.edit_profile(ns, "zoe", good("a"))["status"] == "unauthorized"
+    assert d.edit_profile(ns, "cora", {"core": {}})["status"] == "blocked"
+    first, second = (d.edit_profile(ns, "cora", good(x))["token"] for x in "ab")
+    assert d.edit_profile(ns, "cora", good("b"), first)["reason"] == "arguments differ"
+    assert d.edit_profile(ns, "cora", good("a"), "odd")["reason"] == "malformed token"
+    assert d.edit_profile(ns, "cora", good("a"), first)["status"] == "applied" and d.store.config(ns)["guide"] == "a"
+    assert d.edit_profile(ns, "cora", good("b"), second)["reason"] == "stale"
+    assert [r.eventType for r in d.log(ns).orderBy("ts").collect()] == ["blocked", "blocked", "config"]
+    seen = d.store.seen(ns)
+    d.store.create_draft(ns)
+    with pytest.raises(Conflict):
+        d.store.write_config(ns, good("late"), seen)
+    d.edit_profile(ns, "cora", good("c"), d.edit_profile(ns, "cora", good("c"))["token"])
+    assert d.store.config(ns)["guide"] == "c" and d.store.pointer(ns)["config"]["guide"] == "a"
+
+
+def test_clones_take_given_identifiers(spark, graded):
+    ids = spark.createDataFrame([("r",), ("s1",)], "id string")
+    given = spark.createDataFrame([("r", "mine"), ("x", "other")], "old_id string, new_id string")
+    copies, links, renamed = lookup.cloned(*graded, ids, "stamp", given)
+    new = {r.old_id: r.new_id for r in renamed.collect()}
+    assert new["r"] == "mine" and set(new) == {"r", "s1"} and {r.id for r in copies.collect()} == set(new.values())
+    assert [(r.src, r.dst) for r in links.collect()] == [("mine", new["s1"])]
+    assert new["s1"] == {r.old_id: r.new_id for r in lookup.cloned(*graded, ids, "stamp")[2].collect()}["s1"]
+    with pytest.raises(ValueError):
+        lookup.cloned(*graded, ids, "stamp", given.unionByName(given))

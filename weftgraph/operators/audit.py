@@ -59,6 +59,12 @@ def self_authored(log: DataFrame, actor: str) -> DataFrame:
     return draft_applies(log).agg(F.coalesce(F.max(F.col("actor") == actor), F.lit(False)).alias("self_authored"))
 
 
+def read_counters(log: DataFrame) -> DataFrame:
+    """(actor, reads, records, longest): how often each actor read, and how many records that returned together and at most."""
+    n = F.coalesce(F.col("readCount"), F.lit(0))
+    return log.where("eventType = 'read'").groupBy("actor").agg(F.count("*").alias("reads"), F.sum(n).alias("records"), F.max(n).alias("longest"))
+
+
 def broken_chain(log: DataFrame, by: str = "namespace") -> DataFrame:
     """Applies whose base version is not the result of the one before."""
     found = with_previous(log.where("eventType = 'apply'"), by, "ts", "id", value="resultingVersion", name="before")

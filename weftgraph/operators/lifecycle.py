@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.jsontext import dumps
-from weftgraph.operators import audit, lookup, overlay, scope
+from weftgraph.operators import audit, lookup, overlay, profile, scope
 from weftgraph.operators.mutate import Graph, Rejected, structural_errors
 from weftgraph.operators.store import Store
 from weftgraph.sources.numbered import Conflict
@@ -125,6 +125,35 @@ class Drafts:
         self._write(actor, namespace, "preview", reason=f"course {course!r} of draft {version}")
         return {"status": "preview", "version": version, "nodes": part[0], "edges": part[1]}
 
+    # --- profiles ---------------------------------------------------------------------------------
+    def edit_profile(self, namespace: str, actor: str | None, proposed: dict, token: str | None = None, validate: profile.Validator | None = None) -> dict:
+        """Replaces the profile of the draft, or of what is published without one, in two steps: a preview with a token, and its confirmation.
+
+        Tokens are of profiles only and have no end of time; one is stale once the profile has changed. Of two writers one gets the change.
+        """
+        if why := self._refused(actor, "apply", namespace):
+            return {"status": "unauthorized", "reason": why}
+        if self.store.pointer(namespace) is None:
+            return {"status": "failed", "reason": f"{namespace!r} is not seeded"}
+        seen, now = self.store.seen(namespace), self.store.config(namespace)
+        if token is None:
+            shown = profile.preview(now, proposed, validate)
+            if shown["status"] == "blocked":
+                self._write(actor, namespace, "blocked", mutation="edit_profile", reason="; ".join(shown["errors"]))
+            return shown
+        try:
+            said, record = profile.confirm(now, proposed, token, validate)
+        except ValueError as e:
+            said, record = str(e), None
+        if record is None:
+            return {"status": "failed", "reason": said}
+        try:
+            self.store.write_config(namespace, record, seen)
+        except Conflict:
+            return {"status": "failed", "reason": "the namespace has moved"}
+        versions = {"baseVersion": profile.config_hash(now), "resultingVersion": profile.config_hash(record)}
+        return {"status": "applied", "id": self._write(actor, namespace, "config", mutation="edit_profile", **versions)}
+
     # --- publishing and discarding ----------------------------------------------------------------
     def _print(self, namespace: str) -> str | None:
         """A digest of the draft, its base and its configuration; None without a draft."""

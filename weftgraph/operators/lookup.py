@@ -120,6 +120,11 @@ def reconciled(history: DataFrame, bucket: DataFrame) -> DataFrame:
     return h.join(b, "relPath", "full_outer").select("relPath", state.alias("state"))
 
 
+def reconcile_counts(states: DataFrame) -> DataFrame:
+    """One row (unchanged, modified, missing, new, total) of the states that ``reconciled`` found."""
+    return states.agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("unchanged", "modified", "missing", "new")), F.count("*").alias("total"))
+
+
 def survivors(history: DataFrame, bucket: DataFrame) -> DataFrame:
     """The history after a reconcile: what is still stored, with its present digest."""
     return history.drop("md5").join(bucket.select("relPath", "md5"), "relPath")
@@ -258,12 +263,22 @@ def catalog_entries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("id", "kind", "name", F.coalesce("steps", F.array().cast("array<string>")).alias("steps"), F.coalesce("material_count", F.lit(0)).alias("material_count"))
 
 
-def cloned(nodes: DataFrame, edges: DataFrame, ids: DataFrame, stamp: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Copies of the nodes ``ids`` and the containment among them under new ids; also the map (old_id, new_id)."""
+def cloned(nodes: DataFrame, edges: DataFrame, ids: DataFrame, stamp: str, minted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Copies of the nodes ``ids`` and the containment among them under new ids; also the map (old_id, new_id).
+
+    ``minted`` (old_id, new_id) gives new ids; those that it lacks are derived from the stamp and the old one. An id twice in it is an error.
+    """
     from weftgraph.operators.rewrite import derived_id, edge_id
     from weftgraph.operators.traverse import induced
 
-    renamed = ids.select(F.col("id").alias("old_id"), derived_id(F.concat_ws("/", F.lit(stamp), "id")).alias("new_id"))
+    derived = derived_id(F.concat_ws("/", F.lit(stamp), "old_id"))
+    renamed = ids.select(F.col("id").alias("old_id"))
+    if minted is None:
+        renamed = renamed.withColumn("new_id", derived)
+    else:
+        if any(minted.groupBy(c).count().where("count > 1").take(1) for c in ("old_id", "new_id")):
+            raise ValueError("an identifier is minted twice")
+        renamed = renamed.join(minted.select("old_id", "new_id"), "old_id", "left").withColumn("new_id", F.coalesce("new_id", derived))
     copies = nodes.join(renamed, F.col("id") == F.col("old_id")).select(F.col("new_id").alias("id"), "type", "labels", "props")
     links = induced(edges, ids, ["hasPart"]).join(renamed.select(F.col("old_id").alias("src"), F.col("new_id").alias("s")), "src").join(renamed.select(F.col("old_id").alias("dst"), F.col("new_id").alias("d")), "dst")
     own = ["props"] if "props" in links.columns else []

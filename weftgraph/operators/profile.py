@@ -10,6 +10,8 @@ from collections.abc import Callable
 from weftgraph.functions.jsontext import dumps
 
 MOST_GUIDE = 100_000
+#: Marks tokens of profiles, so that one of another step is none of theirs.
+TOKEN = "profile"
 NUMBER_FROM = ("order", "position", "description")
 PARSE_KEYS = ("numberFrom", "containerEdge", "supportEdge", "progressionEdge", "dependencyEdge", "prune")
 
@@ -67,7 +69,7 @@ def preview(now: object, proposed: object, validate: Validator | None = None) ->
     errors, warnings = validate(record) if validate else ([], [])
     if errors:
         return {"status": "blocked", "errors": errors, "warnings": warnings}
-    token = {"v": config_hash(now), "p": config_hash(record)}
+    token = {"t": TOKEN, "v": config_hash(now), "p": config_hash(record)}
     return {"status": "preview", "changed": changed(now, record), "warnings": warnings, "token": base64.urlsafe_b64encode(dumps(token).encode()).decode()}
 
 
@@ -75,9 +77,11 @@ def confirm(now: object, proposed: object, token: str, validate: Validator | Non
     """("applied", record), or why not."""
     try:
         t = json.loads(base64.urlsafe_b64decode(token))
-        version, digest = t["v"], t["p"]
+        kind, version, digest = t["t"], t["v"], t["p"]
     except (ValueError, KeyError, TypeError):
         return "malformed token", None
+    if kind != TOKEN:
+        return "token of something else", None
     record = checked(proposed)
     if digest != config_hash(record):
         return "arguments differ", None

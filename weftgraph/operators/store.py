@@ -202,9 +202,16 @@ class Store:
         self._point(namespace, p | {"draft": folder}, at, [folder])
         self._remove(p["draft"])
 
-    def write_config(self, namespace: str, config: dict) -> None:
-        """Replaces the configuration of the draft if one is open, else the published one; never merges."""
+    def config(self, namespace: str) -> dict | None:
+        """The configuration of the draft if one is open, else the published one."""
+        _, p = self._seeded(namespace)
+        return p["draft_config" if p["draft"] else "config"]
+
+    def write_config(self, namespace: str, config: dict, seen: int | None = None) -> None:
+        """Replaces the configuration of the draft if one is open, else the published one; never merges. ``seen``: as in ``apply``."""
         at, p = self._seeded(namespace)
+        if seen is not None and at != seen:
+            raise Conflict(namespace)
         self._point(namespace, p | {"draft_config" if p["draft"] else "config": config}, at, [])
 
     def publish(self, namespace: str) -> list[str]:

@@ -131,6 +131,10 @@ def after(cursor: tuple[int, str], id_col: Column | None = None) -> Column:
     return (F.col("depth") > cursor[0]) | ((F.col("depth") == cursor[0]) & (node_id > cursor[1]))
 
 
+#: Ties of identifiers on a page are in the order of a dictionary: a before B.
+COLLATION = "UNICODE"
+
+
 @dataclass
 class Page:
     """One page of a walk and why it ends where it does."""
@@ -149,11 +153,11 @@ def _size(nodes: list[dict], edges: list[dict] | None) -> int:
 
 def walk(
     nodes: DataFrame, edges: DataFrame, from_id: str, direction: str = "out", edge_types: list[str] | None = None, labels: list[str] | None = None,
-    most_depth: int = DEPTH, include_edges: bool = True, limit: int = LIMIT, cursor: str | None = None, page_bytes: int = PAGE_BYTES, collation: str | None = None,
+    most_depth: int = DEPTH, include_edges: bool = True, limit: int = LIMIT, cursor: str | None = None, page_bytes: int = PAGE_BYTES, collation: str | None = COLLATION,
 ) -> Page:
     """One page of the nodes around a start, in order of (depth, id). Only the page comes to the driver.
 
-    ``collation``: a Spark collation for ties, by default binary. Raises ValueError for an unknown start
+    ``collation``: a Spark collation for ties, by default that of no language; None is binary order. Raises ValueError for an unknown start
     or a cursor that is none.
     """
     at = decode_cursor(cursor) if cursor else None

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import scratch
 from weftgraph.functions import jsontext, text
-from weftgraph.operators import audit, catalog, display, export, lifecycle, lookup, mutate, overlay, parse, rewrite, scope, stats, traverse, workspaces
+from weftgraph.operators import audit, catalog, display, export, lifecycle, lookup, mutate, ordering, overlay, parse, rewrite, scope, stats, traverse, workspaces
 from weftgraph.operators.mutate import Graph
 from weftgraph.operators.store import Store
 from weftgraph.plans.registry import _AUDIT, _DIFF, _DRAWN, _LEXICON, _UNITS, COURSE, _query, draft, graph
@@ -730,11 +730,9 @@ def fn_iso_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT name, row_number() OVER (ORDER BY head, n) AS place FROM (SELECT DISTINCT CASE p_partkey % 2 WHEN 0 THEN 'a' ELSE 'b' END AS head, p_partkey % 150 AS n, CASE p_partkey % 2 WHEN 0 THEN 'a' ELSE 'b' END || p_partkey % 150 AS name FROM part)")
 def fn_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     p = project.table(spark, sf_dir, "part")
     name = F.concat(F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b"), (F.col("p_partkey") % 150).cast("string"))
-    return p.select(name.alias("name")).distinct().select("name", F.row_number().over(Window.orderBy(text.natural_key(F.col("name")))).cast("long").alias("place"))
+    return p.select(name.alias("name")).distinct().withColumn("key", text.natural_key(F.col("name"))).transform(lambda df: ordering.in_order(df, "key", name="place")).select("name", "place")
 
 
 @_query("SELECT id, en AS first, length(en) AS n FROM lexicon", more=_LEXICON)
