@@ -121,3 +121,23 @@ def test_equal_groups_are_one():
     distinct, number = groups.interned()
     assert len(distinct) == 3 and number[0] == number[2]
     assert alignment.Groups.of_keys(groups.keys()).keys() == groups.keys()
+
+
+def test_a_chunk_is_encoded_and_counted_in_parts(spark, pair, monkeypatch):
+    sizes, encoded = [], alignment.Pair.encoded
+    monkeypatch.setattr(alignment, "ENCODED", 7)
+    monkeypatch.setattr(alignment.Pair, "encoded", lambda self, texts: sizes.append(len(texts)) or encoded(self, texts))
+    texts = [f"w{i}" for i in range(40)]
+    groups, per_text, good = alignment.grouped(pair, texts)
+    assert sizes == [7, 7, 7, 7, 7, 5] and good.all()
+    monkeypatch.setattr(alignment, "ENCODED", 4096)
+    whole, of_text, _ = alignment.grouped(pair, texts)
+    assert groups.keys() == whole.keys() and (per_text == of_text).all()
+    monkeypatch.setattr(alignment, "COUNTED", 3)
+    assert [(s.start, s.stop) for s in alignment._some_documents(np.array([2, 0, 1, 5, 0, 1, 2]))] == [(0, 3), (3, 8), (8, 11)]
+
+
+def test_chunks_move_compressed(spark):
+    words = 30_000
+    (row,) = alignment.align(spark.createDataFrame([(1, "the end " * words)], SCHEMA)).chunks.collect()
+    assert len(row.segs) < words and len(alignment._unpressed(row.segs)) >= words and len(alignment._unpressed(alignment._pressed(np.zeros(0)))) == 0

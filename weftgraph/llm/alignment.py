@@ -11,7 +11,8 @@ Both tokenizers cut at a single space between two characters that are no white s
 any merge, the other has no piece with a space behind another character (checked when it is loaded; without that, texts stay whole). So
 a text is a row of segments, and distinct segments of a chunk are encoded once.
 
-The tokenizers' files are read on the driver and sent to the tasks; their size is fixed. The largest thing in a task is a chunk with its dictionary.
+The tokenizers' files are read on the driver and sent to the tasks; their size is fixed. The largest thing in a task is a chunk with its dictionary;
+its segments are encoded ``ENCODED`` at a time and its documents counted ``COUNTED`` segments at a time, and what moves of it is compressed.
 
 Cases: a null or empty text, and one whose tokens do not spell a space and the text, has no tokens: zeros and an empty digest; repeated
 rows are documents of their own; null identifiers are kept; an empty table returns no rows; other columns are not read; a text of
@@ -30,6 +31,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,10 @@ from weftgraph.llm.textcols import as_strings, mix
 FOLDER, BYTE_LEVEL, PIECES = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text that share a dictionary.
 CHUNK_CHARS = 8 << 20
+#: Segments that are encoded at once; the tokenizers' own results take a kilobyte each.
+ENCODED = 4096
+#: Segments whose documents are counted at once.
+COUNTED = 1 << 17
 _MOST_CHUNKS = 1 << 24
 #: A single space between two characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -60,7 +66,7 @@ class Pair:
 
     def encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of a space and each text by the first, and by the second, which adds the space itself."""
-        return [e.ids for e in self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        return [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -170,12 +176,25 @@ def _places(size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
+def _some_documents(seg_count: np.ndarray) -> Iterator[slice]:
+    """Segments of whole documents, about ``COUNTED`` at a time."""
+    ends, begin = np.cumsum(seg_count), 0
+    while len(ends) and begin < ends[-1]:
+        end = int(ends[max(np.searchsorted(ends, begin + COUNTED, side="right") - 1, np.searchsorted(ends, begin, side="right"))])
+        yield slice(begin, end)
+        begin = end
+
+
 def grouped(pair: Pair, texts: list[str]) -> tuple[Groups, np.ndarray, np.ndarray]:
     """The groups of all texts (none empty), how many each text has, and whether its tokens spell it; those that don't have none."""
-    a, b = pair.encoded(texts)
-    good = np.array([b"".join(map(pair.a_bytes.__getitem__, x)) == b"".join(map(pair.b_bytes.__getitem__, y)) == f" {t}".encode() for t, x, y in zip(texts, a, b, strict=True)], bool)
-    flat = lambda ids: np.fromiter((i for x, g in zip(ids, good, strict=True) if g for i in x), np.int32)
-    a_ids, b_ids = flat(a), flat(b)
+    parts = []
+    for begin in range(0, len(texts), ENCODED):
+        some = texts[begin : begin + ENCODED]
+        a, b = pair.encoded(some)
+        fit = np.array([b"".join(map(pair.a_bytes.__getitem__, x)) == b"".join(map(pair.b_bytes.__getitem__, y)) == f" {t}".encode() for t, x, y in zip(some, a, b, strict=True)], bool)
+        flat = lambda ids: np.fromiter((i for x, g in zip(ids, fit, strict=True) if g for i in x), np.int32)  # noqa: B023, E731
+        parts.append((flat(a), flat(b), fit))
+    a_ids, b_ids, good = (np.concatenate(x) for x in zip((np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)), *parts, strict=True))
     a_ends, b_ends = np.cumsum(_lengths(pair.a_bytes)[a_ids]), np.cumsum(_lengths(pair.b_bytes)[b_ids])
     common = np.intersect1d(a_ends, b_ends, assume_unique=True)
     whole = np.cumsum(np.fromiter((len(t.encode()) + 1 if g else 0 for t, g in zip(texts, good, strict=True)), np.int64, len(texts)))
@@ -183,6 +202,15 @@ def grouped(pair: Pair, texts: list[str]) -> tuple[Groups, np.ndarray, np.ndarra
     return Groups(a_ids, b_ids, np.searchsorted(a_ends, common) + 1, np.searchsorted(b_ends, common) + 1), per_text, good
 
 
+def _pressed(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, compressed, since chunks move as rows: the four bytes of all of them, one place after the other."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def _unpressed(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
 def _lengths(parts: list[bytes]) -> np.ndarray:
     return np.fromiter(map(len, parts), np.int64, len(parts))
 
@@ -239,21 +267,21 @@ def _encoded(docs: DataFrame, files) -> DataFrame:
         for begin, end in zip([0, *parts], parts):
             text_of.append(";".join([shown[g] for g in numbers[begin:end]]))
         digest = ["" if b or not seq else hashlib.sha256(";".join([text_of[s] for s in seq]).encode()).hexdigest() for seq, b in zip(seqs, bad, strict=True)]
-        # Which documents hold a group, and which hold a pair in several of their groups.
-        doc_seg = np.unique(owner * max(len(per_seg), 1) + segs) if len(segs) else np.zeros(0, np.int64)
-        doc, seg = np.divmod(doc_seg, max(len(per_seg), 1))
-        seg_start = np.cumsum(per_seg) - per_seg
-        doc_group = np.unique(np.repeat(doc, per_seg[seg]) * max(len(distinct), 1) + group_of[_runs(seg_start[seg], per_seg[seg])])
-        doc, group = np.divmod(doc_group, max(len(distinct), 1))
-        held = np.bincount(group, minlength=len(distinct))
         of_group, a, b = distinct.links(_lengths(pair.a_bytes), _lengths(pair.b_bytes))
         width = len(pair.b_bytes)
         every_pair = len(pair.a_bytes) * width
         own = np.divmod(np.unique(of_group * every_pair + a.astype(np.int64) * width + b), every_pair)  # a pair once for each group
         pairs, pair_of = np.unique(own[1], return_inverse=True)
         n_own = np.bincount(own[0], minlength=len(distinct))
-        doc_pair, times = np.unique(np.repeat(doc, n_own[group]) * max(len(pairs), 1) + pair_of[_runs((np.cumsum(n_own) - n_own)[group], n_own[group])], return_counts=True)
-        over = np.bincount((doc_pair % max(len(pairs), 1))[times > 1], times[times > 1] - 1, len(pairs)).astype(np.int64)
+        # Which documents hold a group, and which hold a pair in several of their groups; some documents at a time.
+        seg_start, own_start = np.cumsum(per_seg) - per_seg, np.cumsum(n_own) - n_own
+        held, over = np.zeros(len(distinct), np.int64), np.zeros(len(pairs), np.int64)
+        for some in _some_documents(seg_count):
+            doc, seg = np.divmod(np.unique(owner[some] * len(per_seg) + segs[some]), len(per_seg))
+            doc, group = np.divmod(np.unique(np.repeat(doc, per_seg[seg]) * len(distinct) + group_of[_runs(seg_start[seg], per_seg[seg])]), len(distinct))
+            held += np.bincount(group, minlength=len(distinct))
+            doc_pair, times = np.unique(np.repeat(doc, n_own[group]) * len(pairs) + pair_of[_runs(own_start[group], n_own[group])], return_counts=True)
+            over += np.bincount((doc_pair % len(pairs))[times > 1], times[times > 1] - 1, len(pairs)).astype(np.int64)
         excess = [{"a": p // width, "b": p % width, "n": n} for p, n in zip(pairs[over > 0].tolist(), over[over > 0].tolist(), strict=True)]
         keep = np.flatnonzero(held > 0)  # groups of texts without tokens go
         renamed = np.zeros(len(distinct), np.uint32)
@@ -263,7 +291,7 @@ def _encoded(docs: DataFrame, files) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, n_docs], pa.int32()), every), *map(column, sums), pa.array([digest], pa.list_(pa.string())),
-                pa.array([seg_count.astype(np.uint32).tobytes()]), pa.array([segs.astype(np.uint32).tobytes()]), pa.array([per_seg.astype(np.uint32).tobytes()]), pa.array([renamed[group_of].tobytes()]),
+                *(pa.array([_pressed(x)], pa.binary()) for x in (seg_count, segs, per_seg, renamed[group_of])),
                 pa.array([distinct.take(keep).keys()], pa.list_(pa.binary())), column(held[keep]), pa.array([excess], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))),
             ], names,
         )
@@ -333,12 +361,12 @@ def per_document(found: Alignment) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n).slice(i, 1) for n in batch.schema.names}
                 inner = lambda n: row[n].flatten()  # noqa: B023, E731
-                packed = lambda n: np.frombuffer(row[n][0].as_py(), np.uint32).astype(np.int64)  # noqa: B023, E731
+                packed = lambda n: _unpressed(row[n][0].as_py())  # noqa: B023, E731
                 seg_count, segs, group_count, groups = map(packed, ("seg_count", "segs", "group_count", "groups"))
                 owner, seg_of_group = np.repeat(np.arange(len(seg_count)), seg_count), np.repeat(np.arange(len(group_count)), group_count)
                 sums = []
                 for name in ("best", "total"):
-                    of_group = np.zeros(len(inner("keys")), np.int64)
+                    of_group = np.zeros(row["n_keys"][0].as_py(), np.int64)
                     if len(of_group):
                         listed = inner("values")
                         of_group[listed.field("at").to_numpy()] = listed.field(name).to_numpy()
@@ -349,7 +377,7 @@ def per_document(found: Alignment) -> DataFrame:
                     sums.append(pa.array(of_doc))
                 yield pa.RecordBatch.from_arrays([inner("ids"), *map(inner, names[1:5]), *sums, inner("digest")], names)
 
-    return found.chunks.drop("held", "excess").join(back, "chunk", "left").mapInArrow(run, schema)
+    return found.chunks.withColumn("n_keys", F.size("keys")).drop("keys", "held", "excess").join(back, "chunk", "left").mapInArrow(run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
