@@ -124,3 +124,15 @@ def test_shingles_of_slices():
     texts = ["a b c d e f", "", "A b", None, "a b c d e a b c d e"]
     sizes = [c for _, _, counts in minhash.shingle_sets(pa.array(texts, pa.large_string()).fill_null("")) for c in counts.tolist()]
     assert sizes == [len(shingles(t)) for t in texts]
+
+
+def test_full_sets_meet_once_for_buckets_of_the_same_units(spark, monkeypatch):
+    members = spark.createDataFrame([(5, 1, 9), (5, 2, 8), (6, 1, 9), (6, 2, 8), (7, 1, 9), (7, 3, 7), (8, 1, 9)], "bucket long, unit long, root long")
+    assert sorted(tuple(r) for r in minhash._one_of_equals(members).collect()) == [(5, 1, 9), (5, 2, 8), (7, 1, 9), (7, 3, 7), (8, 1, 9)]
+
+
+def test_keys_of_one_unit_are_not_shuffled(spark):
+    units = spark.createDataFrame([(u, [u * 1000 + i for i in range(30)] + [-7]) for u in range(200)], "unit long, keys array<long>")
+    found = [tuple(r) for r in minhash._maybe_in(units, spark.createDataFrame([(-7,), (5,)], "key long")).collect()]
+    assert {(-7, u) for u in range(200)} | {(5, 0)} <= set(found) and len(found) < 400
+    assert minhash._maybe_in(units, spark.createDataFrame([], "key long")).count() == 0

@@ -11,6 +11,7 @@ Buckets of any size are met in three steps, none of which holds a whole bucket:
 2. In buckets whose units are then of several groups, signatures meet in blocks of ``SIGNATURES``; a unit stays if it is
    close enough to one of another group. What comes out is units, not pairs.
 3. The units that stay meet by full sets in blocks of ``SETS``, block against block; what is in one group already is not compared again.
+Only keys that two units have are shuffled with their units, by a Bloom filter of bounded size, and buckets with the same units are one, before and after step 2.
 A group needs no more links than hold it together, so a group of n gives n - 1 and not n squared.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer words than a shingle are one
@@ -24,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph import scratch
+from weftgraph.llm import bloom
 from weftgraph.llm.textcols import as_strings, lower_ascii, mix, row_chunks, token_hashes, tokens
 from weftgraph.operators.components import components
 
@@ -183,16 +186,17 @@ def _close(pairs: DataFrame, signatures: DataFrame, fewest: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "a_signature", "b_signature").mapInArrow(run, "a bigint, b bigint")
 
 
-def _met(members: DataFrame, size: int, value: str) -> DataFrame:
-    """(task, side, unit, root, bucket, value) of members (bucket, unit, root, value): the members of each bucket in blocks of about ``size``, each block with each.
+def _met(members: DataFrame, size: int, values: DataFrame) -> DataFrame:
+    """(task, side, unit, root, bucket, value) of members (bucket, unit, root) with their values (unit, value): the members of each bucket in blocks of about ``size``, each block with each.
 
-    ``side`` is 0 for the first block of a task, 1 for the second, and 2 where a block meets itself.
+    ``side`` is 0 for the first block of a task, 1 for the second, and 2 where a block meets itself. Values come last, so that they move to their tasks only.
     """
     parts = F.ceil(F.col("n") / size)
     dealt = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("unit", "bucket"), "parts"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    return other.select(F.struct("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("task"), side.alias("side"), "unit", "root", "bucket", value)
+    dealt_out = other.select(F.struct("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("task"), side.alias("side"), "unit", "root", "bucket")
+    return dealt_out.join(values, "unit").select("task", "side", "unit", "root", "bucket", values.columns[1])
 
 
 def _tasks(met: DataFrame) -> DataFrame:
@@ -214,8 +218,8 @@ def _by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, ...]]:
         yield tuple(zip(*held, strict=True))
 
 
-def _near_others(members: DataFrame, fewest: int) -> DataFrame:
-    """(bucket, unit) of the members (bucket, unit, root, signature) that may be similar to one of another group in their bucket."""
+def _near_others(members: DataFrame, signatures: DataFrame, fewest: int) -> DataFrame:
+    """(bucket, unit) of the members (bucket, unit, root) that may be similar to one of another group in their bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for side, unit, root, bucket, value in _by_task(batches):
@@ -229,7 +233,7 @@ def _near_others(members: DataFrame, fewest: int) -> DataFrame:
                 near[i] |= good.any()
             yield pa.RecordBatch.from_arrays([pa.array(np.array(x)[near]) for x in (bucket, unit)], ["bucket", "unit"])
 
-    return _tasks(_met(members, SIGNATURES, "signature")).mapInArrow(run, "bucket bigint, unit bigint").distinct()
+    return _tasks(_met(members, SIGNATURES, signatures)).mapInArrow(run, "bucket bigint, unit bigint").distinct()
 
 
 def linked(side: np.ndarray, root: np.ndarray, sets: list[np.ndarray], least: int = LEAST) -> list[tuple[int, int]]:
@@ -257,27 +261,46 @@ def _joined(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
             pairs = linked(np.array(side), np.array(root), [np.frombuffer(v, np.uint64) for v in value], least)
             yield pa.RecordBatch.from_arrays([pa.array([unit[i] for i, _ in pairs], pa.int64()), pa.array([unit[j] for _, j in pairs], pa.int64())], ["a", "b"])
 
-    met = _met(members.join(sets, "unit"), SETS, "set")
-    return _tasks(met).mapInArrow(run, "a bigint, b bigint")
+    return _tasks(_met(members, SETS, sets)).mapInArrow(run, "a bigint, b bigint")
+
+
+def _maybe_in(units: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(key, unit) of units (unit, keys) for all keys of a table and, by a Bloom filter's errors, a few others."""
+    shipped = units.sparkSession.sparkContext.broadcast(bloom.build(repeated.select("key"), repeated.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            key, unit = lists.flatten(), batch.column(1).take(pc.list_parent_indices(lists))
+            hit = pa.array(bloom.maybe(shipped.value, key.to_numpy(zero_copy_only=False).view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([key.filter(hit), unit.filter(hit)], ["key", "unit"])
+
+    return units.select("keys", "unit").mapInArrow(run, "key bigint, unit bigint")
+
+
+def _one_of_equals(members: DataFrame) -> DataFrame:
+    """Members (bucket, unit, ...) without those of buckets whose units are the same as another's."""
+    each = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("unit").cast("decimal(38,0)")).alias("h"), F.min("unit").alias("first"))
+    return members.join(each.groupBy("n", "h", "first").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
 
 
 def links(units: DataFrame, texts: DataFrame, least: int = LEAST, fewest: int = FEWEST) -> DataFrame:
     """(node, root) of the components of units (unit, keys, signature), whose texts are (unit, text)."""
     keys = units.select(F.explode("keys").alias("key"), "unit")
-    # Buckets with the same units, of whatever bands, are one.
-    each = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("unit").cast("decimal(38,0)")).alias("h"), F.min("unit").alias("low")).where("n > 1")
-    buckets = scratch.written(each.groupBy("n", "h", "low").agg(F.min("key").alias("key")).select("key", "low"), "buckets")
-    members = scratch.written(keys.join(buckets, "key").select(F.col("key").alias("bucket"), "unit", "low"), "members")
+    repeated = scratch.written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("unit").alias("low")).where("n > 1").select("key", "low"), "repeated")
+    met = scratch.written(_maybe_in(units, repeated).join(repeated, "key").select(F.col("key").alias("bucket"), "unit", "low"), "met")
+    members = scratch.written(_one_of_equals(met), "members")  # buckets with the same units, of whatever bands, are one
     stars = members.where("unit <> low").select(F.col("low").alias("a"), F.col("unit").alias("b")).distinct()
     close = scratch.written(_close(stars, units.select("unit", "signature"), fewest), "close")
     ends = close.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
-    found = components(_confirmed(close, scratch.written(_sets(_of(texts, ends)), "sets", "none"), least))
+    found = components(_confirmed(close, _sets(_of(texts, ends)), least))
     rooted = members.join(found, F.col("unit") == F.col("node"), "left").select("bucket", "unit", F.coalesce("root", "unit").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     apart = scratch.written(rooted.join(mixed, "bucket"), "apart")
-    near = _near_others(apart.join(units.select("unit", "signature"), "unit").select("bucket", "unit", "root", "signature"), fewest)
+    near = _near_others(apart, units.select("unit", "signature"), fewest)
     near = scratch.written(near.join(apart, ["bucket", "unit"]).select("bucket", "unit", "root"), "near")
-    more = scratch.written(_joined(near, scratch.written(_sets(_of(texts, near.select("unit").distinct())), "sets", "none"), least), "more")
+    few = scratch.written(_one_of_equals(near), "few")
+    more = scratch.written(_joined(few, _sets(_of(texts, few.select("unit").distinct())), least), "more")
     if more.isEmpty():
         return found
     return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
