@@ -2,14 +2,16 @@
 
 import os
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import scratch
-from weftgraph.operators import overlay
+from weftgraph.operators import ordering, overlay
 from weftgraph.operators.mutate import Graph
 from weftgraph.operators.store import Store
+from weftgraph.sources import files
 
 NS = "w/g/s"
 
@@ -64,3 +66,30 @@ def test_staged_changes_are_the_draft(spark, g):
     draft = s.version(NS)
     s.publish(NS)
     assert s.version(NS) == draft == overlay.graph_hash(*s.published(NS)).first().hash
+
+
+def left(spark, name):
+    return set(Path(scratch.shared_dir(spark)).glob(f"{name}-*"))
+
+
+def test_of_tables_of_rounds_the_last_one_stays(spark):
+    before = left(spark, "walk")
+    tree = spark.createDataFrame([("a", None, 0), ("b", "a", 0), ("c", "b", 0), ("d", "a", 1)], "id string, parent string, place int")
+    found = ordering.preorder(tree)
+    assert sorted((r.id, r.preorder, r.size) for r in found.collect()) == [("a", 0, 4), ("b", 1, 2), ("c", 2, 1), ("d", 3, 1)]
+    assert len(left(spark, "walk") - before) == 1
+
+
+def test_places_keep_one_table(spark, g):
+    before = left(spark, "ordered")
+    assert {r.place for r in ordering.placed(g.edges, "type", "src").collect()} == set(range(59))
+    assert left(spark, "ordered") == before
+
+
+def test_a_compressed_document_is_read_as_it_was(spark, g, tmp_path):
+    before = left(spark, "document")
+    files.write_document(g.nodes, g.edges, f"{tmp_path}/d", "gzip")
+    n, e = files.read_document(spark, f"{tmp_path}/d")
+    assert sorted(n.select("id", "props").collect()) == sorted(g.nodes.select("id", "props").collect())
+    assert [r.id for r in e.orderBy("seq").collect()] == sorted(r.id for r in g.edges.collect())
+    assert list(tmp_path.glob("d/*.gz")) and left(spark, "document") == before
